@@ -100,3 +100,81 @@ SELECT tenant_id, {O.label('pidx')} AS period, CAST(n AS BIGINT) AS paying_custo
 def q_active_by_month(spark, sf_dir):
     """Distinct paying customers per month."""
     return _by_month(["paying_customers"])(spark, sf_dir)
+
+
+# --- cohorts (B1-B7) -----------------------------------------------------------
+
+from recurra.operators import cohort as CO  # noqa: E402
+
+_COHORT_SQL = O.FACTS + f""",
+coh AS (SELECT tenant_id, customer_id, min(pidx) AS cidx FROM pay GROUP BY tenant_id, customer_id),
+sizes AS (SELECT tenant_id, cidx, count(*) AS size FROM coh GROUP BY tenant_id, cidx),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY cidx DESC) AS cohort_rank,
+                  count(*) OVER (PARTITION BY tenant_id) AS ncoh FROM sizes),
+shown AS (SELECT tenant_id, cidx, size, cohort_rank FROM ranked WHERE ncoh >= 3 AND cohort_rank <= 12),
+act AS (SELECT DISTINCT tenant_id, customer_id, pidx FROM s WHERE status = 'active' AND pidx IS NOT NULL),
+ret AS (SELECT c.tenant_id, c.cidx, a.pidx - c.cidx AS month_n, count(*) AS retained
+        FROM coh c JOIN shown sh ON sh.tenant_id = c.tenant_id AND sh.cidx = c.cidx
+        JOIN act a ON a.tenant_id = c.tenant_id AND a.customer_id = c.customer_id AND a.pidx >= c.cidx
+        GROUP BY c.tenant_id, c.cidx, a.pidx - c.cidx),
+span AS (SELECT sh.tenant_id, min(sh.cidx) AS minc,
+                (SELECT max(r.cidx + r.month_n) FROM ret r WHERE r.tenant_id = sh.tenant_id) AS maxp
+         FROM shown sh GROUP BY sh.tenant_id),
+grid0 AS (SELECT sh.tenant_id, sh.cidx, sh.size, sh.cohort_rank, sp.maxp,
+                 unnest(generate_series(0, sp.maxp - sp.minc)) AS month_n
+          FROM shown sh JOIN span sp ON sp.tenant_id = sh.tenant_id),
+grid AS (SELECT g.tenant_id, {O.label('g.cidx')} AS cohort, g.cidx AS cohort_idx, CAST(g.size AS BIGINT) AS size,
+                g.cohort_rank, CAST(g.month_n AS INTEGER) AS month_n,
+                CAST(coalesce(r.retained, 0) AS BIGINT) AS retained,
+                coalesce(r.retained, 0) / g.size * 100 AS pct_exact,
+                g.cidx + g.month_n <= g.maxp AS is_observed
+         FROM grid0 g LEFT JOIN ret r ON r.tenant_id = g.tenant_id AND r.cidx = g.cidx AND r.month_n = g.month_n)"""
+
+
+def _hist(spark, sf_dir):
+    return rollup_of(spark, sf_dir).hist
+
+
+@register("cohort_assignment", f"""WITH {O.FACTS}
+SELECT tenant_id, customer_id, CAST(min(pidx) AS INTEGER) AS cohort_idx, {O.label('min(pidx)')} AS cohort
+FROM pay GROUP BY tenant_id, customer_id""")
+def q_cohort_assignment(spark, sf_dir):
+    return CO.cohort_assignment(_hist(spark, sf_dir))
+
+
+@register("cohort_selection", f"""WITH {_COHORT_SQL}
+SELECT tenant_id, CAST(cidx AS INTEGER) AS cohort_idx, {O.label('cidx')} AS cohort, CAST(size AS BIGINT) AS size,
+       CAST(cohort_rank AS INTEGER) AS cohort_rank FROM shown""")
+def q_cohort_selection(spark, sf_dir):
+    return CO.cohort_selection(_hist(spark, sf_dir))
+
+
+@register("cohort_retention", f"""WITH {_COHORT_SQL}
+SELECT tenant_id, CAST(cidx AS INTEGER) AS cohort_idx, CAST(month_n AS INTEGER) AS month_n,
+       CAST(retained AS BIGINT) AS retained FROM ret""")
+def q_cohort_retention(spark, sf_dir):
+    return CO.cohort_retention(_hist(spark, sf_dir))
+
+
+@register("cohort_grid", f"""WITH {_COHORT_SQL}
+SELECT tenant_id, cohort, CAST(cohort_idx AS INTEGER) AS cohort_idx, size, CAST(cohort_rank AS INTEGER) AS cohort_rank,
+       month_n, retained, round_even(pct_exact, 1) AS pct, round(pct_exact, 6) AS pct_exact, is_observed FROM grid""")
+def q_cohort_grid(spark, sf_dir):
+    return round_doubles(CO.cohort_grid(_hist(spark, sf_dir)))
+
+
+@register("cohort_top_k", f"""WITH {_COHORT_SQL}
+SELECT tenant_id, cohort, month_n, retained, round_even(pct_exact, 1) AS pct FROM grid WHERE cohort_rank <= 8""")
+def q_cohort_top_k(spark, sf_dir):
+    g = CO.cohort_top_k(CO.cohort_grid(_hist(spark, sf_dir)))
+    return g.select("tenant_id", "cohort", "month_n", "retained", "pct")
+
+
+@register("cohort_table", f"""WITH {_COHORT_SQL}
+PIVOT (SELECT tenant_id, cohort, size, 'month_' || month_n AS m, round_even(pct_exact, 1) AS pct FROM grid)
+ON m USING first(pct) GROUP BY tenant_id, cohort, size""")
+def q_cohort_table(spark, sf_dir):
+    """Wide table; width = the largest tenant horizon (one scalar job)."""
+    grid = CO.cohort_grid(_hist(spark, sf_dir)).cache()
+    horizon = grid.agg(F.max("month_n")).first()[0]
+    return CO.cohort_table(grid, int(horizon or 0))
