@@ -178,3 +178,125 @@ def q_cohort_table(spark, sf_dir):
     grid = CO.cohort_grid(_hist(spark, sf_dir)).cache()
     horizon = grid.agg(F.max("month_n")).first()[0]
     return CO.cohort_table(grid, int(horizon or 0))
+
+
+# --- forecast (F1-F7, S13, S17) -------------------------------------------------
+
+from recurra.operators import forecast as FC  # noqa: E402
+
+_FC_SQL = "WITH RECURSIVE " + O.LAST + """,
+series AS (SELECT tenant_id, list(CAST(mrr AS DOUBLE) ORDER BY pidx) AS ys, count(*) AS n, max(pidx) AS last_idx
+           FROM tm GROUP BY tenant_id),
+gate AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient' WHEN len(list_distinct(ys)) = 1 THEN 'degenerate'
+                        WHEN n < 6 THEN 'realistic_only' ELSE 'full' END AS status FROM series),
+tp AS (SELECT g.tenant_id, g.ys, g.n, CAST(a.i AS DOUBLE) / 10.0 AS alpha, CAST(b.i AS DOUBLE) / 10.0 AS beta
+       FROM gate g, range(1, 10) a(i), range(1, 10) b(i) WHERE g.status IN ('realistic_only', 'full')),
+tfit(tenant_id, alpha, beta, t, l, b, sse) AS (
+  SELECT tenant_id, alpha, beta, 1, ys[1], (ys[n] - ys[1]) / (n - 1), CAST(0 AS DOUBLE) FROM tp
+  UNION ALL
+  SELECT f.tenant_id, f.alpha, f.beta, f.t + 1,
+         f.alpha * s.ys[f.t] + (1 - f.alpha) * (f.l + f.b),
+         f.beta * ((f.alpha * s.ys[f.t] + (1 - f.alpha) * (f.l + f.b)) - f.l) + (1 - f.beta) * f.b,
+         f.sse + (s.ys[f.t] - (f.l + f.b)) * (s.ys[f.t] - (f.l + f.b))
+  FROM tfit f JOIN series s ON s.tenant_id = f.tenant_id WHERE f.t <= s.n),
+tbest AS (SELECT DISTINCT ON (f.tenant_id) f.tenant_id, f.alpha, f.beta, f.l AS level, f.b AS trend, f.sse
+          FROM tfit f JOIN series s ON s.tenant_id = f.tenant_id WHERE f.t = s.n + 1
+          ORDER BY f.tenant_id, f.sse, f.alpha, f.beta),
+sp AS (SELECT g.*, least(12, greatest(2, g.n // 2)) AS m FROM gate g WHERE g.status = 'full'),
+sp1 AS (SELECT *, list_reduce(ys[1:m], lambda a, x: a + x) / m AS l0 FROM sp),
+sp2 AS (SELECT *, (list_reduce(ys[m + 1:2 * m], lambda a, x: a + x) / m - l0) / m AS b0,
+               list_transform(ys[1:m], lambda x: x - l0) AS s0 FROM sp1),
+sgrid AS (SELECT p.tenant_id, p.m, CAST(a.i AS DOUBLE) / 10.0 AS alpha, CAST(b.i AS DOUBLE) / 10.0 AS beta,
+                 CAST(c.i AS DOUBLE) / 10.0 AS gamma, p.l0, p.b0, p.s0
+          FROM sp2 p, (VALUES (1), (3), (5), (7), (9)) a(i), (VALUES (1), (3), (5), (7), (9)) b(i),
+               (VALUES (1), (3), (5), (7), (9)) c(i)),
+sfit(tenant_id, m, alpha, beta, gamma, t, l, b, s, sse) AS (
+  SELECT tenant_id, m, alpha, beta, gamma, 0, l0, b0, s0, CAST(0 AS DOUBLE) FROM sgrid
+  UNION ALL
+  SELECT f.tenant_id, f.m, f.alpha, f.beta, f.gamma, f.t + 1,
+         f.alpha * (q.ys[f.t + 1] - f.s[f.t % f.m + 1]) + (1 - f.alpha) * (f.l + f.b),
+         f.beta * ((f.alpha * (q.ys[f.t + 1] - f.s[f.t % f.m + 1]) + (1 - f.alpha) * (f.l + f.b)) - f.l) + (1 - f.beta) * f.b,
+         list_transform(f.s, lambda x, i: CASE WHEN i = f.t % f.m + 1
+                                              THEN f.gamma * (q.ys[f.t + 1] - f.l - f.b) + (1 - f.gamma) * x ELSE x END),
+         f.sse + (q.ys[f.t + 1] - (f.l + f.b + f.s[f.t % f.m + 1])) * (q.ys[f.t + 1] - (f.l + f.b + f.s[f.t % f.m + 1]))
+  FROM sfit f JOIN series q ON q.tenant_id = f.tenant_id WHERE f.t < q.n),
+sbest AS (SELECT DISTINCT ON (f.tenant_id) f.tenant_id, f.m AS seasonal_periods, f.alpha, f.beta, f.gamma,
+                 f.l AS level, f.b AS trend, f.s AS season, f.sse
+          FROM sfit f JOIN series q ON q.tenant_id = f.tenant_id WHERE f.t = q.n
+          ORDER BY f.tenant_id, f.sse, f.alpha, f.beta, f.gamma),
+proj AS (
+  SELECT g.tenant_id, CAST(h.h AS INTEGER) AS horizon, g.status, """ + O.label("g.last_idx + h.h") + """ AS period,
+         greatest(CASE WHEN g.status = 'full' THEN sb.level + h.h * sb.trend + sb.season[(g.n + h.h - 1) % sb.seasonal_periods + 1]
+                       ELSE tb.level + h.h * tb.trend END, 0.0) AS projected
+  FROM gate g JOIN range(1, 13) h(h) ON true
+  LEFT JOIN tbest tb ON tb.tenant_id = g.tenant_id LEFT JOIN sbest sb ON sb.tenant_id = g.tenant_id
+  WHERE g.status IN ('realistic_only', 'full')),
+scen AS (
+  SELECT p.tenant_id, p.horizon, p.period, k.scenario,
+         greatest(p.projected * (1 - coalesce(ml.churn_rate / 100, 0.05) * k.k), 0.0) AS value,
+         coalesce(ml.churn_rate / 100, 0.05) AS churn_rate_used
+  FROM proj p JOIN metrics_last ml ON ml.tenant_id = p.tenant_id
+  JOIN (VALUES ('pessimistic', 1.20), ('realistic', 1.00), ('optimistic', 0.80)) k(scenario, k) ON true
+  WHERE p.status = 'full'
+  UNION ALL
+  SELECT p.tenant_id, p.horizon, p.period, 'realistic', p.projected, CAST(NULL AS DOUBLE)
+  FROM proj p WHERE p.status = 'realistic_only')"""
+
+
+def _series(spark, sf_dir):
+    return FC.monthly_series(rollup_of(spark, sf_dir).base)
+
+
+def _scenarios(spark, sf_dir):
+    r = rollup_of(spark, sf_dir)
+    series = FC.monthly_series(r.base)
+    return FC.scenarios(FC.projections(series), churn=MX.metrics_last(r))
+
+
+@register("forecast_gate", _FC_SQL + """
+SELECT tenant_id, CAST(n AS BIGINT) AS data_months_used, status, status = 'full' AS export_enabled,
+       status = 'full' AS all_scenarios_available FROM gate""")
+def q_forecast_gate(spark, sf_dir):
+    return FC.forecast_status(_series(spark, sf_dir))
+
+
+@register("forecast_trend", _FC_SQL + """
+SELECT tenant_id, alpha, beta, round(level, 6) AS level, round(trend, 6) AS trend, round(sse, 6) AS sse FROM tbest""")
+def q_forecast_trend(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    ok = s.join(FC.forecast_status(s).where(F.col("status").isin("realistic_only", "full")).select("tenant_id"),
+                "tenant_id")
+    return round_doubles(FC.fit_trend(ok))
+
+
+@register("forecast_seasonal", _FC_SQL + """
+SELECT tenant_id, seasonal_periods, alpha, beta, gamma, round(level, 6) AS level, round(trend, 6) AS trend,
+       round(sse, 6) AS sse FROM sbest""")
+def q_forecast_seasonal(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    full = s.join(FC.forecast_status(s).where(F.col("status") == "full").select("tenant_id"), "tenant_id")
+    return round_doubles(FC.fit_seasonal(full).drop("season"))
+
+
+@register("forecast_scenarios", _FC_SQL + """
+SELECT tenant_id, horizon, period, scenario, round(value, 6) AS value, round(churn_rate_used, 6) AS churn_rate_used
+FROM scen""")
+def q_forecast_scenarios(spark, sf_dir):
+    return round_doubles(_scenarios(spark, sf_dir))
+
+
+@register("forecast_endpoint", _FC_SQL + """
+SELECT tenant_id, scenario, round(arg_max(value, horizon), 6) AS final_value, max(period) AS final_period
+FROM scen GROUP BY tenant_id, scenario""")
+def q_forecast_endpoint(spark, sf_dir):
+    return round_doubles(FC.forecast_endpoint(_scenarios(spark, sf_dir)))
+
+
+@register("report_forecast", _FC_SQL + """
+SELECT tenant_id, horizon, period,
+       round(max(value) FILTER (WHERE scenario = 'pessimistic'), 2) AS pessimistic,
+       round(max(value) FILTER (WHERE scenario = 'realistic'), 2) AS realistic,
+       round(max(value) FILTER (WHERE scenario = 'optimistic'), 2) AS optimistic
+FROM scen GROUP BY tenant_id, horizon, period""")
+def q_report_forecast(spark, sf_dir):
+    return FC.report_forecast(_scenarios(spark, sf_dir))
