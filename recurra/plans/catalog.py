@@ -300,3 +300,84 @@ SELECT tenant_id, horizon, period,
 FROM scen GROUP BY tenant_id, horizon, period""")
 def q_report_forecast(spark, sf_dir):
     return FC.report_forecast(_scenarios(spark, sf_dir))
+
+
+# --- what-if projection (P1-P5) -------------------------------------------------
+
+from recurra.operators import scenario as SC  # noqa: E402
+
+_SCEN_VALUES = ", ".join(f"('{n}', {float(c)!r}, {int(k)}, {float(p)!r})" for n, c, k, p in SC.DEFAULT_SCENARIOS)
+_SCEN_SQL = "WITH " + O.LAST + f""",
+inputs AS (SELECT scenario, CAST(c AS DOUBLE) AS churn_reduction, CAST(k AS BIGINT) AS new_customers_month,
+                  CAST(p AS DOUBLE) AS price_increase FROM (VALUES {_SCEN_VALUES}) v(scenario, c, k, p)),
+valid AS (SELECT * FROM inputs WHERE churn_reduction BETWEEN 0.0 AND 1.0 AND new_customers_month BETWEEN 0 AND 10000
+                                 AND price_increase BETWEEN -0.5 AND 5.0),
+pb AS (SELECT ml.tenant_id, ml.mrr AS base_mrr, ml.arpu AS base_arpu, coalesce(ml.churn_rate, 5.0) AS base_churn_rate,
+              v.scenario, v.churn_reduction, v.new_customers_month, v.price_increase
+       FROM metrics_last ml, valid v WHERE ml.arpu <> 0),
+pc AS (SELECT *, base_churn_rate / 100.0 * (1 - churn_reduction) AS r, base_arpu * (1 + price_increase) AS new_arpu,
+              base_mrr / base_arpu AS s0, CAST(m.month AS INTEGER) AS month
+       FROM pb, range(1, 13) m(month)),
+pd AS (SELECT *,
+         greatest(s0 * pow(1 - r, month - 1) * new_arpu
+                  + new_customers_month * new_arpu * (CASE WHEN r = 0 THEN CAST(month AS DOUBLE) ELSE (1 - pow(1 - r, month)) / r END), 0.0) AS mrr,
+         CASE WHEN month = 1 THEN base_mrr ELSE
+         greatest(s0 * pow(1 - r, month - 2) * new_arpu
+                  + new_customers_month * new_arpu * (CASE WHEN r = 0 THEN CAST(month - 1 AS DOUBLE) ELSE (1 - pow(1 - r, month - 1)) / r END), 0.0) END AS prev,
+         s0 * pow(1 - r, month - 1) + new_customers_month * (CASE WHEN r = 0 THEN CAST(month AS DOUBLE) ELSE (1 - pow(1 - r, month)) / r END) AS subs
+       FROM pc),
+proj AS (SELECT tenant_id, scenario, month, churn_reduction, new_customers_month, price_increase,
+                base_mrr, base_arpu, base_churn_rate, r * 100 AS new_churn_rate, new_arpu, mrr,
+                mrr - prev AS mrr_change, CASE WHEN prev <> 0 THEN (mrr - prev) / prev * 100.0 END AS mrr_change_pct,
+                CAST(round_even(subs, 0) AS BIGINT) AS active_subscribers, new_customers_month AS new_customers_added,
+                r * 100 AS effective_churn_rate FROM pd)"""
+
+
+def _metrics_last(spark, sf_dir):
+    return MX.metrics_last(rollup_of(spark, sf_dir))
+
+
+@register("scenario_projection", _SCEN_SQL + """
+SELECT tenant_id, scenario, month, round(mrr, 6) AS mrr, round(new_arpu, 6) AS new_arpu,
+       round(new_churn_rate, 6) AS new_churn_rate, round(base_mrr, 6) AS base_mrr FROM proj""")
+def q_scenario_projection(spark, sf_dir):
+    p = SC.projection(_metrics_last(spark, sf_dir))
+    return round_doubles(p.select("tenant_id", "scenario", "month", "mrr", "new_arpu", "new_churn_rate", "base_mrr"))
+
+
+@register("scenario_monthly", _SCEN_SQL + """
+SELECT tenant_id, scenario, month, round(mrr, 6) AS mrr, round(mrr_change, 6) AS mrr_change,
+       round(mrr_change_pct, 6) AS mrr_change_pct, active_subscribers, new_customers_added,
+       round(effective_churn_rate, 6) AS effective_churn_rate FROM proj""")
+def q_scenario_monthly(spark, sf_dir):
+    p = SC.projection(_metrics_last(spark, sf_dir))
+    return round_doubles(p.select("tenant_id", "scenario", "month", "mrr", "mrr_change", "mrr_change_pct",
+                                  "active_subscribers", "new_customers_added", "effective_churn_rate"))
+
+
+@register("scenario_summary", _SCEN_SQL + """
+SELECT tenant_id, scenario, round(base_mrr, 6) AS base_mrr, round(arg_max(mrr, month), 6) AS final_mrr,
+       round(CASE WHEN base_mrr <> 0 THEN (arg_max(mrr, month) - base_mrr) / base_mrr * 100.0 END, 6) AS mrr_change_pct
+FROM proj GROUP BY tenant_id, scenario, base_mrr""")
+def q_scenario_summary(spark, sf_dir):
+    return round_doubles(SC.summary(SC.projection(_metrics_last(spark, sf_dir))))
+
+
+@register("scenario_totals", _SCEN_SQL + """
+SELECT tenant_id, scenario, round(avg(mrr), 6) AS avg_mrr, round(sum(mrr_change), 6) AS total_change
+FROM proj GROUP BY tenant_id, scenario""")
+def q_scenario_totals(spark, sf_dir):
+    return round_doubles(SC.totals(SC.projection(_metrics_last(spark, sf_dir))))
+
+
+@register("scenario_rejects", _SCEN_SQL + """
+SELECT ml.tenant_id, i.scenario,
+       concat_ws(', ', CASE WHEN NOT (i.churn_reduction BETWEEN 0.0 AND 1.0) THEN 'churn_reduction' END,
+                       CASE WHEN NOT (i.new_customers_month BETWEEN 0 AND 10000) THEN 'new_customers_month' END,
+                       CASE WHEN NOT (i.price_increase BETWEEN -0.5 AND 5.0) THEN 'price_increase' END,
+                       CASE WHEN ml.arpu = 0 THEN 'zero_arpu' END) AS rejected_fields
+FROM metrics_last ml, inputs i
+WHERE NOT (i.churn_reduction BETWEEN 0.0 AND 1.0 AND i.new_customers_month BETWEEN 0 AND 10000
+           AND i.price_increase BETWEEN -0.5 AND 5.0) OR ml.arpu = 0""")
+def q_scenario_rejects(spark, sf_dir):
+    return SC.rejects_by_tenant(_metrics_last(spark, sf_dir))
