@@ -381,3 +381,228 @@ WHERE NOT (i.churn_reduction BETWEEN 0.0 AND 1.0 AND i.new_customers_month BETWE
            AND i.price_increase BETWEEN -0.5 AND 5.0) OR ml.arpu = 0""")
 def q_scenario_rejects(spark, sf_dir):
     return SC.rejects_by_tenant(_metrics_last(spark, sf_dir))
+
+
+# --- snapshots (S1-S9, R5) ------------------------------------------------------
+
+from recurra.operators import report as RP  # noqa: E402
+from recurra.operators import snapshots as SN  # noqa: E402
+
+_SNAP_SQL = "WITH " + O.LAST + """,
+snaps AS (
+  SELECT md5(tenant_id || '|' || period) AS snapshot_id, tenant_id AS user_id, period,
+         mrr, arr, arpu, churn_rate, nrr, ltv, CAST(active_subscribers AS INTEGER) AS active_subscribers,
+         total_revenue, 'billing' AS source,
+         CAST(strptime(period || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at
+  FROM bym2),
+incoming AS (
+  SELECT tenant_id AS user_id, last_month AS period, mrr, total_revenue, nrr, 'reupload' AS source,
+         CAST(strptime(last_month || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH + INTERVAL 1 DAY AS TIMESTAMP) AS created_at
+  FROM metrics_last WHERE last_month IS NOT NULL),
+upserted AS (
+  SELECT coalesce(s.snapshot_id, md5(i.user_id || '|' || i.period)) AS snapshot_id,
+         coalesce(s.user_id, i.user_id) AS user_id, coalesce(s.period, i.period) AS period,
+         CASE WHEN i.user_id IS NOT NULL THEN i.mrr ELSE s.mrr END AS mrr, s.arr, s.arpu, s.churn_rate,
+         CASE WHEN i.user_id IS NOT NULL THEN i.nrr ELSE s.nrr END AS nrr, s.ltv, s.active_subscribers,
+         CASE WHEN i.user_id IS NOT NULL THEN i.total_revenue ELSE s.total_revenue END AS total_revenue,
+         CASE WHEN i.user_id IS NOT NULL THEN i.source ELSE s.source END AS source,
+         CASE WHEN i.user_id IS NOT NULL THEN i.created_at ELSE s.created_at END AS created_at
+  FROM snaps s FULL OUTER JOIN incoming i ON s.user_id = i.user_id AND s.period = i.period),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY period DESC) AS rn FROM snaps)"""
+
+_SNAP_OUT = ("snapshot_id, user_id, period, round(mrr, 6) AS mrr, round(arr, 6) AS arr, round(arpu, 6) AS arpu, "
+             "round(churn_rate, 6) AS churn_rate, round(nrr, 6) AS nrr, round(ltv, 6) AS ltv, active_subscribers, "
+             "round(total_revenue, 6) AS total_revenue, source, created_at")
+
+
+def _snaps(spark, sf_dir):
+    return SN.snapshot_rows(MX.metrics_by_month(rollup_of(spark, sf_dir)))
+
+
+def _incoming(spark, sf_dir):
+    ml = MX.metrics_last(rollup_of(spark, sf_dir)).where(F.col("last_month").isNotNull())
+    return ml.select(F.col("tenant_id").alias("user_id"), F.col("last_month").alias("period"),
+                     "mrr", "total_revenue", "nrr", F.lit("reupload").alias("source"),
+                     (SN.month_close(F.col("last_month")) + F.expr("INTERVAL 1 DAY")).alias("created_at"))
+
+
+@register("snapshot_rows", _SNAP_SQL + f"\nSELECT {_SNAP_OUT} FROM snaps")
+def q_snapshot_rows(spark, sf_dir):
+    return round_doubles(_snaps(spark, sf_dir))
+
+
+@register("snapshot_upsert", _SNAP_SQL + f"\nSELECT {_SNAP_OUT} FROM upserted")
+def q_snapshot_upsert(spark, sf_dir):
+    """Last-month re-upload (3 keys) merged into the monthly history."""
+    return round_doubles(SN.upsert(_snaps(spark, sf_dir), _incoming(spark, sf_dir)))
+
+
+@register("snapshot_rejects", _SNAP_SQL + """
+SELECT user_id, period,
+       CASE WHEN user_id IS NULL OR trim(user_id) = '' THEN 'blank_user_id'
+            WHEN period IS NULL OR trim(period) = '' THEN 'blank_period'
+            ELSE 'bad_period_format' END AS reject_reason
+FROM snaps WHERE user_id IS NULL OR trim(user_id) = '' OR period IS NULL OR trim(period) = ''
+              OR NOT regexp_full_match(period, '\\d{4}-\\d{2}')""")
+def q_snapshot_rejects(spark, sf_dir):
+    return SN.snapshot_rejects(_snaps(spark, sf_dir)).select("user_id", "period", "reject_reason")
+
+
+@register("snapshot_history", _SNAP_SQL + """
+SELECT user_id, period, round(mrr, 6) AS mrr, round(churn_rate, 6) AS churn_rate, round(nrr, 6) AS nrr,
+       round(arpu, 6) AS arpu FROM snaps""")
+def q_snapshot_history(spark, sf_dir):
+    return round_doubles(SN.history(_snaps(spark, sf_dir)))
+
+
+@register("mom_deltas", _SNAP_SQL + """
+SELECT c.user_id, c.period AS current_period, p.period AS previous_period,
+       round(c.mrr, 6) AS current_mrr, round(p.mrr, 6) AS previous_mrr,
+       round(CASE WHEN p.mrr IS NOT NULL AND p.mrr <> 0 THEN (c.mrr - p.mrr) / p.mrr * 100 END, 6) AS mrr_delta_pct,
+       round(c.churn_rate, 6) AS current_churn_rate, round(p.churn_rate, 6) AS previous_churn_rate,
+       round(c.churn_rate - p.churn_rate, 6) AS churn_delta_pp,
+       round(c.nrr, 6) AS current_nrr, round(p.nrr, 6) AS previous_nrr, round(c.nrr - p.nrr, 6) AS nrr_delta_pp
+FROM ranked c JOIN ranked p ON p.user_id = c.user_id AND c.rn = 1 AND p.rn = 2""")
+def q_mom_deltas(spark, sf_dir):
+    return round_doubles(SN.mom_deltas(_snaps(spark, sf_dir)))
+
+
+@register("snapshot_trend", _SNAP_SQL + """
+SELECT user_id, period, round(mrr, 6) AS mrr, round(churn_rate, 6) AS churn_rate FROM snaps""")
+def q_snapshot_trend(spark, sf_dir):
+    return round_doubles(SN.trend(_snaps(spark, sf_dir)))
+
+
+@register("snapshot_table", _SNAP_SQL + """
+SELECT user_id, period, round(mrr, 6) AS mrr, round(arpu, 6) AS arpu, round(churn_rate, 6) AS churn_rate,
+       round(nrr, 6) AS nrr FROM snaps""")
+def q_snapshot_table(spark, sf_dir):
+    return round_doubles(SN.table(_snaps(spark, sf_dir)))
+
+
+@register("snapshot_csv", _SNAP_SQL + """
+SELECT user_id, period, active_subscribers, round(arpu, 6) AS arpu, round(arr, 6) AS arr,
+       round(churn_rate, 6) AS churn_rate, round(ltv, 6) AS ltv, round(mrr, 6) AS mrr, round(nrr, 6) AS nrr,
+       round(total_revenue, 6) AS total_revenue FROM snaps""")
+def q_snapshot_csv(spark, sf_dir):
+    """Export columns per user (the sink writes one folder per user)."""
+    s = _snaps(spark, sf_dir)
+    return round_doubles(s.select("user_id", *SN.csv_columns(s)))
+
+
+@register("own_rows", _SNAP_SQL + """
+SELECT user_id, period, round(mrr, 6) AS mrr FROM snaps
+WHERE user_id = (SELECT min(user_id) FROM snaps)""")
+def q_own_rows(spark, sf_dir):
+    """The rows visible to one user (the first tenant by name)."""
+    s = _snaps(spark, sf_dir)
+    first_user = s.agg(F.min("user_id")).first()[0]
+    return round_doubles(SN.own_rows(s, first_user).select("user_id", "period", "mrr"))
+
+
+# --- report tables (S10, S11, S15, S16, S19, X1) --------------------------------
+
+_FMT_CUR = "CASE WHEN {v} IS NULL THEN 'N/A' ELSE (CASE WHEN {v} < 0 THEN '-' ELSE '' END) || '$' || format('{{:,.2f}}', abs({v})) END"
+_FMT_PCT = "CASE WHEN {v} IS NULL THEN 'N/A' ELSE printf('%.2f', {v}) || '%' END"
+_FMT_INT = "CASE WHEN {v} IS NULL THEN 'N/A' ELSE format('{{:,}}', CAST({v} AS BIGINT)) END"
+
+
+def _summary_sql() -> str:
+    parts = []
+    for block, order, key, label, kind in RP.SUMMARY_ROWS:
+        v = f"CAST(ml.{key} AS DOUBLE)"
+        txt = {"currency": _FMT_CUR, "pct": _FMT_PCT, "int": _FMT_INT}[kind].format(
+            v=(v if kind != "int" else f"ml.{key}"))
+        if key in RP.NA_WHEN_NULL:
+            st = f"CASE WHEN {v} IS NULL THEN 'N/A' ELSE '✓' END"
+        elif key == "nrr":
+            st = f"CASE WHEN coalesce({v}, 0.0) > 200 THEN '⚠ >200%' ELSE '✓' END"
+        elif key == "involuntary_churn_rate":
+            st = f"CASE WHEN coalesce({v}, 0.0) > 0 THEN '🔧' ELSE '✓' END"
+        else:
+            st = "'✓'"
+        parts.append(f"SELECT ml.tenant_id, {block} AS block, '{RP.BLOCK_NAMES[block]}' AS block_name, "
+                     f"{order} AS row_order, '{key}' AS metric, '{label}' AS label, round({v}, 6) AS value, "
+                     f"{txt} AS value_text, {st} AS status FROM metrics_last ml")
+    return "WITH " + O.LAST + ",\nsummary AS (\n" + "\nUNION ALL\n".join(parts) + ")"
+
+
+_SUMMARY_SQL = _summary_sql()
+
+
+def _summary(spark, sf_dir):
+    return RP.report_summary(_metrics_last(spark, sf_dir))
+
+
+@register("report_summary", _SUMMARY_SQL + "\nSELECT * FROM summary")
+def q_report_summary(spark, sf_dir):
+    return round_doubles(_summary(spark, sf_dir))
+
+
+@register("report_formatted", _SUMMARY_SQL + "\nSELECT tenant_id, metric, value_text FROM summary")
+def q_report_formatted(spark, sf_dir):
+    """Every metric rendered as the report shows it."""
+    return _summary(spark, sf_dir).select("tenant_id", "metric", "value_text")
+
+
+@register("report_by_plan", _SUMMARY_SQL + """
+SELECT s.tenant_id, p.plan, s.block, s.metric, s.value_text FROM summary s
+JOIN (VALUES ('free', 1), ('free', 2), ('starter', 1), ('starter', 2), ('starter', 3), ('starter', 4),
+             ('pro', 1), ('pro', 2), ('pro', 3), ('pro', 4), ('pro', 5)) p(plan, block) ON p.block = s.block""")
+def q_report_by_plan(spark, sf_dir):
+    return RP.report_by_plan(_summary(spark, sf_dir)).select("tenant_id", "plan", "block", "metric", "value_text")
+
+
+@register("metric_reconciliation", "WITH " + O.LAST + """,
+chk AS (
+  SELECT tenant_id, 'arr' AS metric, arr AS reported, mrr * 12 AS recomputed FROM metrics_last
+  UNION ALL SELECT tenant_id, 'arpu', arpu, CASE WHEN active_subscribers > 0 THEN mrr / active_subscribers END FROM metrics_last
+  UNION ALL SELECT tenant_id, 'growth_rate', growth_rate,
+         CASE WHEN mrr_prev_month IS NOT NULL AND mrr_prev_month <> 0 THEN (mrr - mrr_prev_month) / mrr_prev_month * 100 END FROM metrics_last
+  UNION ALL SELECT tenant_id, 'churn_rate', churn_rate,
+         CASE WHEN active_subscribers_prev_month > 0 THEN lost_subscribers / active_subscribers_prev_month * 100 END FROM metrics_last
+  UNION ALL SELECT tenant_id, 'nrr', nrr,
+         CASE WHEN mrr_prev_month IS NOT NULL AND mrr_prev_month <> 0 THEN
+              least(greatest((mrr - revenue_churn + coalesce(expansion_mrr, 0.0)) / mrr_prev_month * 100, 0.0), 999.0) END FROM metrics_last
+  UNION ALL SELECT tenant_id, 'ltv', ltv,
+         CASE WHEN churn_rate IS NULL OR churn_rate = 0 THEN arpu * 36 ELSE arpu / (churn_rate / 100) END FROM metrics_last
+  UNION ALL SELECT tenant_id, 'lost_subscribers', CAST(lost_subscribers AS DOUBLE),
+         CAST(active_subscribers_prev_month - existing_subscribers AS DOUBLE) FROM metrics_last)
+SELECT tenant_id, metric, round(reported, 6) AS reported, round(recomputed, 6) AS recomputed,
+       round(abs(reported - recomputed), 6) AS abs_diff,
+       coalesce(abs(reported - recomputed) <= 1e-6, reported IS NULL AND recomputed IS NULL) AS consistent
+FROM chk""")
+def q_metric_reconciliation(spark, sf_dir):
+    return round_doubles(RP.metric_reconciliation(_metrics_last(spark, sf_dir)))
+
+
+@register("report_quality", "WITH " + O.LAST + """
+SELECT tenant_id, 1 AS row_order, 'prev_month_status' AS flag, prev_month_status AS value FROM metrics_last
+UNION ALL SELECT tenant_id, 2, 'last_month_is_fallback', CASE WHEN last_month_is_fallback THEN 'True' ELSE 'False' END FROM metrics_last
+UNION ALL SELECT tenant_id, 3, 'last_month_used', coalesce(last_month, 'N/A') FROM metrics_last""")
+def q_report_quality(spark, sf_dir):
+    return RP.report_quality(_metrics_last(spark, sf_dir))
+
+
+@register("data_quality_flags", "WITH " + O.LAST + """
+SELECT tenant_id, prev_month_status, last_month_is_fallback, last_month AS last_month_used FROM metrics_last""")
+def q_data_quality_flags(spark, sf_dir):
+    """The flag record per tenant."""
+    m = _metrics_last(spark, sf_dir)
+    return m.select("tenant_id", "prev_month_status", "last_month_is_fallback",
+                    F.col("last_month").alias("last_month_used"))
+
+
+@register("quality_messages", "WITH " + O.LAST + """
+SELECT tenant_id, 'prev_month_gap' AS code, 'warning' AS level,
+       'The month before ' || coalesce(last_month, 'N/A') || ' has no paying rows; comparisons are not available.' AS message
+FROM metrics_last WHERE prev_month_status = 'gap'
+UNION ALL SELECT tenant_id, 'prev_month_missing', 'info',
+       'There is no data before the last month; comparisons are not available.' FROM metrics_last WHERE prev_month_status = 'missing'
+UNION ALL SELECT tenant_id, 'last_month_fallback', 'warning',
+       'Fewer than 5 paying customers in ' || coalesce(last_month, 'N/A') || '; metrics may be unreliable.'
+FROM metrics_last WHERE last_month_is_fallback
+UNION ALL SELECT tenant_id, 'nrr_above_200', 'warning',
+       'NRR exceeds 200% - likely caused by limited prior-month data.' FROM metrics_last WHERE nrr_warning""")
+def q_quality_messages(spark, sf_dir):
+    return RP.quality_messages(_metrics_last(spark, sf_dir))
