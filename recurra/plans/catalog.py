@@ -606,3 +606,40 @@ UNION ALL SELECT tenant_id, 'nrr_above_200', 'warning',
        'NRR exceeds 200% - likely caused by limited prior-month data.' FROM metrics_last WHERE nrr_warning""")
 def q_quality_messages(spark, sf_dir):
     return RP.quality_messages(_metrics_last(spark, sf_dir))
+
+
+# --- session rules on events (T1, T2) --------------------------------------------
+
+from recurra.operators import sessions as SE  # noqa: E402
+
+_SESS_OUT = """SELECT user_id, CAST(session_idx AS BIGINT) AS session_idx, min(ts) AS session_start,
+       max(ts) AS session_end, count(*) AS n_events, round((max(t) - min(t)) / 1000000, 6) AS duration_seconds"""
+
+
+@register("sessions_idle", f"""WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t FROM events),
+l AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS pt FROM e),
+m AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt > 1800000000 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session_idx FROM l)
+{_SESS_OUT} FROM m GROUP BY user_id, session_idx""")
+def q_sessions_idle(spark, sf_dir):
+    """Sessions split by inactivity strictly over 30 minutes."""
+    return round_doubles(SE.idle_sessions(tables.read_table(spark, sf_dir, "events")))
+
+
+@register("sessions_max_age", f"""WITH RECURSIVE
+e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t,
+             row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+walk(user_id, rn, t, start_t, last_t, session_idx) AS (
+  SELECT user_id, rn, t, t, t, 1 FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.t,
+         CASE WHEN e.t - w.start_t > 28800000000 OR e.t - w.last_t > 1800000000 THEN e.t ELSE w.start_t END,
+         e.t,
+         CASE WHEN e.t - w.start_t > 28800000000 OR e.t - w.last_t > 1800000000 THEN w.session_idx + 1
+              ELSE w.session_idx END
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1),
+m AS (SELECT e.user_id, w.session_idx, e.ts, e.t FROM walk w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn)
+{_SESS_OUT} FROM m GROUP BY user_id, session_idx""")
+def q_sessions_max_age(spark, sf_dir):
+    """T1 + T2: idle expiry plus the 8-hour maximum session age."""
+    return round_doubles(SE.sessions(tables.read_table(spark, sf_dir, "events")))
