@@ -643,3 +643,147 @@ m AS (SELECT e.user_id, w.session_idx, e.ts, e.t FROM walk w JOIN e ON e.user_id
 def q_sessions_max_age(spark, sf_dir):
     """T1 + T2: idle expiry plus the 8-hour maximum session age."""
     return round_doubles(SE.sessions(tables.read_table(spark, sf_dir, "events")))
+
+
+# --- privacy, names, entitlements, feedback (E1-E4, R6-R7, S8) --------------------
+
+from recurra.functions.constants import PII_PATTERNS  # noqa: E402
+from recurra.operators import plan as PL  # noqa: E402
+from recurra.operators import privacy as PV  # noqa: E402
+
+
+def _re2(pattern: str) -> str:
+    """The same pattern for RE2: Java's \\s set spelled out; the key
+    pattern's look-arounds dropped (a match is already a maximal run)."""
+    p = pattern.replace("(?<![A-Za-z0-9])", "").replace("(?![A-Za-z0-9])", "")
+    return p.replace("\\s", "[\\t\\n\\x0B\\f\\r ]")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _scrub_sql(col: str) -> str:
+    out = col
+    for pattern, repl in PII_PATTERNS:
+        out = f"regexp_replace({out}, {_sql_str(_re2(pattern))}, {_sql_str(repl)}, 'g')"
+    return out
+
+
+@register("pii_scrub", f"SELECT doc_id, {_scrub_sql('text')} AS text FROM documents")
+def q_pii_scrub(spark, sf_dir):
+    """Documents with e-mails, bearer tokens, token fields, keys and IPs redacted."""
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return PV.scrub_documents(docs)
+
+
+@register("pii_scrub_conversations", f"SELECT conv_id, turn, role, {_scrub_sql('text')} AS text FROM conversations")
+def q_pii_scrub_conversations(spark, sf_dir):
+    conv = tables.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return PV.scrub_documents(conv)
+
+
+@register("pii_scrub_map", f"""
+SELECT conv_id, turn, 'role' AS field, {_scrub_sql('role')} AS value FROM conversations
+UNION ALL SELECT conv_id, turn, 'text', {_scrub_sql('text')} FROM conversations
+UNION ALL SELECT conv_id, turn, 'line_' || CAST(i - 1 AS VARCHAR), {_scrub_sql('ls[i]')}
+FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations) x,
+     LATERAL generate_series(1, len(x.ls)) g(i)""")
+def q_pii_scrub_map(spark, sf_dir):
+    """A nested record per turn (map of fields + array of lines), every
+    string inside scrubbed with transform_values / transform."""
+    conv = tables.read_table(spark, sf_dir, "conversations")
+    rec = conv.select("conv_id", "turn",
+                      F.create_map(F.lit("role"), F.col("role"), F.lit("text"), F.col("text")).alias("fields"),
+                      F.split(F.col("text"), "\n", -1).alias("lines"))
+    clean = rec.select("conv_id", "turn", PV.scrub_map(F.col("fields")).alias("fields"),
+                       PV.scrub_array(F.col("lines")).alias("lines"))
+    fields = clean.select("conv_id", "turn", F.explode("fields").alias("field", "value"))
+    lines = clean.select("conv_id", "turn", F.posexplode("lines").alias("pos", "value")).select(
+        "conv_id", "turn", F.concat(F.lit("line_"), F.col("pos").cast("string")).alias("field"), "value")
+    return fields.unionByName(lines)
+
+
+_PY_SPACE_RE2 = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in PV.PY_SPACE_CODEPOINTS)
+
+
+@register("safe_name", f"""
+WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages),
+k AS (SELECT page_id, title, lower(regexp_replace(regexp_replace(title, '[^\\pL\\pN_{_PY_SPACE_RE2}-]', '', 'g'),
+                                          '[-{_PY_SPACE_RE2}]+', '_', 'g')) AS s FROM t)
+SELECT page_id, title, CASE WHEN s IS NULL OR s = '' THEN 'report' ELSE s END AS safe_name FROM k""")
+def q_safe_name(spark, sf_dir):
+    """File-safe report names from page titles."""
+    pages = tables.read_table(spark, sf_dir, "pages")
+    t = pages.select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+    return t.select("page_id", "title", PV.safe_name(F.col("title")).alias("safe_name"))
+
+
+# Orders as the sales feed: product = order priority, refunded = a returned
+# line, charged back = payment pending. Pro = urgent, starter = high.
+PRO_PRODUCT, STARTER_PRODUCT = "1-URGENT", "2-HIGH"
+
+
+def _sales(spark, sf_dir):
+    orders = tables.read_table(spark, sf_dir, "orders")
+    returned = (tables.read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+                .select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("refunded", F.lit(True)))
+    return (orders.join(returned, "o_orderkey", "left")
+                  .select(F.col("o_custkey").cast("string").alias("email"),
+                          F.col("o_orderpriority").alias("product_id"),
+                          F.coalesce("refunded", F.lit(False)).alias("refunded"),
+                          (F.col("o_orderstatus") == "P").alias("chargedback")))
+
+
+def _plans(spark, sf_dir):
+    users = tables.read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("email"))
+    return PL.plan_from_sales(users, _sales(spark, sf_dir), PRO_PRODUCT, STARTER_PRODUCT)
+
+
+_PLAN_SQL = """WITH sales AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS email, o.o_orderpriority AS product_id,
+         EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') AS refunded,
+         o.o_orderstatus = 'P' AS chargedback FROM orders o),
+best AS (SELECT email, max(CASE WHEN product_id = '1-URGENT' THEN 2 WHEN product_id = '2-HIGH' THEN 1 ELSE 0 END) AS r
+         FROM sales WHERE NOT refunded AND NOT chargedback GROUP BY email),
+plans AS (SELECT CAST(c.c_custkey AS VARCHAR) AS email,
+                 CASE b.r WHEN 2 THEN 'pro' WHEN 1 THEN 'starter' ELSE 'free' END AS plan
+          FROM customer c LEFT JOIN best b ON b.email = CAST(c.c_custkey AS VARCHAR))"""
+
+
+@register("plan_from_sales", _PLAN_SQL + "\nSELECT email, plan FROM plans")
+def q_plan_from_sales(spark, sf_dir):
+    """Plan per customer from their order feed."""
+    return _plans(spark, sf_dir)
+
+
+@register("plan_lookup", _PLAN_SQL + "\nSELECT email, plan FROM plans")
+def q_plan_lookup(spark, sf_dir):
+    """One plan per user from the plan table (unknown -> free)."""
+    return PL.plan_lookup(_plans(spark, sf_dir))
+
+
+def _feedback(spark, sf_dir):
+    """User turns of the conversation log as free-text feedback messages."""
+    conv = tables.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("feedback_id"),
+                       F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("user_email"),
+                       F.lit(None).cast("int").alias("rating"), F.col("text").alias("message"),
+                       F.col("turn").alias("created_at"))
+
+
+@register("feedback_rejects", """
+SELECT conv_id * 1000 + turn AS feedback_id, 'empty' AS reject_reason FROM conversations
+WHERE role = 'user' AND (text IS NULL OR length(trim(text)) = 0)""")
+def q_feedback_rejects(spark, sf_dir):
+    """Submissions without a rating and without text (or bad ratings)."""
+    return PL.feedback_rejects(_feedback(spark, sf_dir)).select("feedback_id", "reject_reason")
+
+
+@register("feedback_history", """
+SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS user_email, CAST(NULL AS INTEGER) AS rating, trim(text) AS message,
+       turn AS created_at FROM conversations
+WHERE role = 'user' AND text IS NOT NULL AND length(trim(text)) > 0""")
+def q_feedback_history(spark, sf_dir):
+    """Accepted feedback per user, newest first."""
+    return PL.feedback_history(_feedback(spark, sf_dir))
