@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recurra.functions import columns as FCOL
 from recurra.operators import clean as CL
 from recurra.operators import metrics as MX
 from recurra.plans import oracle as O
@@ -787,3 +788,233 @@ WHERE role = 'user' AND text IS NOT NULL AND length(trim(text)) > 0""")
 def q_feedback_history(spark, sf_dir):
     """Accepted feedback per user, newest first."""
     return PL.feedback_history(_feedback(spark, sf_dir))
+
+
+# --- ingest of CSV exports, schema resolution, cleaning (R1-R4, M1-M9, C1-C12) ----
+
+from recurra.operators import mapping as MP  # noqa: E402
+from recurra.sources import csv_exports as CX  # noqa: E402
+
+
+def _exports(spark, sf_dir):
+    return CX.ensure_exports(spark, sf_dir, tables.raw_billing_rows(spark, sf_dir))
+
+
+def _catalog(spark, sf_dir):
+    return CX.header_catalog(spark, _exports(spark, sf_dir))
+
+
+def _layout_case(col: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CX.LAYOUT_BY_INITIAL.items())
+    return f"CASE upper(substr({col}, 1, 1)) {whens} ELSE 'manual' END"
+
+
+_HEADER_VALUES = ", ".join(f"('{layout}', {i}, '{name}')" for layout, h in CX.LAYOUTS.items()
+                           for i, name in enumerate(h.values()))
+_CATALOG_SQL = O.FACTS + f""",
+layouts AS (SELECT DISTINCT {_layout_case('tenant_id')} AS source_id FROM raw),
+headers AS (SELECT * FROM (VALUES {_HEADER_VALUES}) h(source_id, ordinal, "column")),
+catalog AS (SELECT h.source_id, CAST(h.ordinal AS INTEGER) AS ordinal, h."column" FROM headers h
+            JOIN layouts l ON l.source_id = h.source_id),
+san AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(
+          regexp_replace(lower("column"), '^[\\s]+|[\\s]+$', '', 'g'), '[\\s\\-.]+', '_', 'g'),
+          '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS sanitized FROM catalog)"""
+
+
+@register("ingest_csv", "WITH " + O.FACTS + """
+SELECT tenant_id, customer_id, strftime(date, '%Y-%m-%d') AS date, printf('%.2f', amount) AS amount,
+       CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS status,
+       currency FROM raw""")
+def q_ingest_csv(spark, sf_dir):
+    """R1 + M7: the exports read back (all strings), renamed to the canonical fields."""
+    return CX.ingest(spark, _exports(spark, sf_dir))
+
+
+@register("ingest_csv_strict", "WITH " + O.FACTS + """
+SELECT tenant_id, customer_id, strftime(date, '%Y-%m-%d') AS date, printf('%.2f', amount) AS amount,
+       CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS status,
+       currency FROM raw""")
+def q_ingest_csv_strict(spark, sf_dir):
+    """R2: the same read in fail-fast mode."""
+    return CX.ingest(spark, _exports(spark, sf_dir), strict=True)
+
+
+@register("ingest_metrics", O.last_metric_sql(ALL + ["last_month_is_fallback", "prev_month", "prev_month_status"]))
+def q_ingest_metrics(spark, sf_dir):
+    """End to end as the upload flow: CSV exports -> mapping -> clean -> metrics."""
+    raw = CX.ingest(spark, _exports(spark, sf_dir))
+    m = MX.metrics_last(MX.Rollup(CL.clean(raw)))
+    return round_doubles(m.select("tenant_id", "last_month", *ALL,
+                                  "last_month_is_fallback", "prev_month", "prev_month_status"))
+
+
+@register("file_manifest")
+def q_file_manifest(spark, sf_dir):
+    """Upload guards over the export files (paths are run-specific: rows-only)."""
+    return CX.file_manifest(spark, _exports(spark, sf_dir))
+
+
+@register("file_encoding_report")
+def q_file_encoding_report(spark, sf_dir):
+    """Encoding per export file."""
+    return CX.encoding_report(spark, _exports(spark, sf_dir))
+
+
+@register("sanitize_names", "WITH " + _CATALOG_SQL + """
+SELECT source_id, ordinal, "column", sanitized FROM san""")
+def q_sanitize_names(spark, sf_dir):
+    """M1: sanitised header names of every export."""
+    return MP.sanitized_catalog(_catalog(spark, sf_dir))
+
+
+@register("name_match_scores")
+def q_name_match_scores(spark, sf_dir):
+    """M2/M3: fuzzy scores per (column, field), blocklisted columns removed."""
+    return round_doubles(MP.name_match_scores(_catalog(spark, sf_dir)))
+
+
+@register("auto_map_columns")
+def q_auto_map_columns(spark, sf_dir):
+    """M4: greedy one-to-one fuzzy mapping per export."""
+    return round_doubles(MP.auto_map_columns(_catalog(spark, sf_dir)))
+
+
+from recurra.functions.constants import PRESET_SIGNATURES  # noqa: E402
+
+_PRESET_VALUES = ", ".join(f"('{name}', {rank}, '{field}', '{col}')"
+                           for rank, (name, sig) in enumerate(PRESET_SIGNATURES) for field, col in sig.items())
+_PRESET_SQL = "WITH " + _CATALOG_SQL + f""",
+sigs AS (SELECT * FROM (VALUES {_PRESET_VALUES}) s(preset, preset_rank, field, signature_column)),
+hits AS (SELECT c.source_id, s.preset, s.preset_rank, count(DISTINCT s.field) AS n
+         FROM catalog c JOIN sigs s ON s.signature_column = lower(trim(c."column"))
+         GROUP BY c.source_id, s.preset, s.preset_rank),
+presets AS (SELECT source_id, arg_min(preset, preset_rank) AS preset FROM hits WHERE n = 4 GROUP BY source_id),
+pmap AS (
+  SELECT source_id, field, ordinal, "column" FROM (
+    SELECT p.source_id, w.field, c.ordinal, c."column",
+           row_number() OVER (PARTITION BY p.source_id, w.field ORDER BY c.ordinal) AS rn
+    FROM presets p
+    JOIN (SELECT preset, field, signature_column FROM sigs
+          UNION ALL SELECT DISTINCT preset, 'currency', 'currency' FROM sigs) w ON w.preset = p.preset
+    JOIN catalog c ON c.source_id = p.source_id AND lower(trim(c."column")) = w.signature_column) x
+  WHERE rn = 1)"""
+
+
+@register("detect_preset", _PRESET_SQL + "\nSELECT source_id, preset FROM presets")
+def q_detect_preset(spark, sf_dir):
+    """M8: billing source recognised from each export's header."""
+    return MP.detect_preset(_catalog(spark, sf_dir))
+
+
+@register("preset_mapping", _PRESET_SQL + "\nSELECT source_id, field, ordinal, \"column\" FROM pmap")
+def q_preset_mapping(spark, sf_dir):
+    """M9: the mapping a detected preset implies."""
+    cat = _catalog(spark, sf_dir)
+    return MP.preset_mapping(cat, MP.detect_preset(cat))
+
+
+@register("unmapped_fields", _PRESET_SQL + """
+SELECT l.source_id, f.field FROM layouts l, (VALUES ('amount'), ('status'), ('customer_id'), ('date')) f(field)
+WHERE NOT EXISTS (SELECT 1 FROM pmap m WHERE m.source_id = l.source_id AND m.field = f.field)
+  AND l.source_id IN (SELECT source_id FROM presets)""")
+def q_unmapped_fields(spark, sf_dir):
+    """M5: required fields a preset mapping leaves open (per preset-detected export)."""
+    cat = _catalog(spark, sf_dir)
+    presets = MP.detect_preset(cat)
+    return MP.unmapped_fields(MP.preset_mapping(cat, presets), presets.select("source_id"))
+
+
+@register("duplicate_mappings")
+def q_duplicate_mappings(spark, sf_dir):
+    """M6: columns chosen for two fields in the resolved mappings."""
+    return MP.duplicate_mappings(MP.resolve_mapping(_catalog(spark, sf_dir)))
+
+
+@register("apply_mapping", "WITH " + O.FACTS + """
+SELECT tenant_id, customer_id, strftime(date, '%Y-%m-%d') AS date, printf('%.2f', amount) AS amount,
+       CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS status,
+       currency FROM raw""")
+def q_apply_mapping(spark, sf_dir):
+    """M7: exports renamed by the resolved mapping (pass-through columns kept)."""
+    return CX.ingest(spark, _exports(spark, sf_dir))
+
+
+# Cleaning on the billing facts.
+
+_RAW_DEDUP = "WITH " + O.FACTS
+
+
+@register("dedup", _RAW_DEDUP + """
+SELECT tenant_id, customer_id, date, round(amount, 6) AS amount, status, currency FROM subs""")
+def q_dedup(spark, sf_dir):
+    """Exact duplicates removed (typed values)."""
+    raw = tables.raw_billing_rows(spark, sf_dir)
+    d = CL.dedup(CL.normalize(CL.typed(raw.select("tenant_id", *CL.CANONICAL))))
+    return round_doubles(d)
+
+
+@register("normalize_status", _RAW_DEDUP + """
+SELECT tenant_id,
+       CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS raw_status,
+       status, count(*) AS n_rows FROM raw GROUP BY ALL""")
+def q_normalize_status(spark, sf_dir):
+    """Raw spellings and their canonical status, with row counts."""
+    raw = tables.raw_billing_rows(spark, sf_dir)
+    return (raw.select("tenant_id", F.col("status").alias("raw_status"),
+                       FCOL.normalize_status(F.col("status")).alias("status"))
+               .groupBy("tenant_id", "raw_status", "status").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@register("currency_conflicts", _RAW_DEDUP + """
+SELECT tenant_id, count(DISTINCT currency) AS n_currencies, list_sort(list(DISTINCT currency)) AS currencies
+FROM subs WHERE currency IS NOT NULL GROUP BY tenant_id HAVING count(DISTINCT currency) > 1""")
+def q_currency_conflicts(spark, sf_dir):
+    """Tenants blocked for mixing currencies."""
+    return CL.currency_conflicts(subscriptions(spark, sf_dir))
+
+
+@register("currency_label", _RAW_DEDUP + """
+SELECT tenant_id, CASE WHEN count(DISTINCT currency) = 1 THEN min(currency) ELSE 'N/A' END AS currency_label
+FROM subs GROUP BY tenant_id""")
+def q_currency_label(spark, sf_dir):
+    """The tenant's single currency or N/A."""
+    return CL.currency_label(subscriptions(spark, sf_dir))
+
+
+@register("row_cap", _RAW_DEDUP + """
+SELECT tenant_id, src_order, src_line FROM (
+  SELECT tenant_id, src_order, src_line,
+         row_number() OVER (PARTITION BY tenant_id ORDER BY src_order, src_line) AS rn FROM raw) x
+WHERE rn <= 1000""")
+def q_row_cap(spark, sf_dir):
+    """The free plan's first 1,000 rows per tenant in export order."""
+    return CL.row_cap(tables.raw_billing_rows(spark, sf_dir), "free").select("tenant_id", "src_order", "src_line")
+
+
+@register("cleaning_report", _RAW_DEDUP + """
+SELECT r.tenant_id, r.n AS rows_before, r.n - d.n AS duplicates_removed, d.zeros AS zeros_count,
+       d.negs AS negatives_count, d.n AS rows_after, false AS encoding_warning, d.ncur > 1 AS multicurrency_error
+FROM (SELECT tenant_id, count(*) AS n FROM raw GROUP BY tenant_id) r
+JOIN (SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE amount = 0) AS zeros,
+             count(*) FILTER (WHERE amount < 0) AS negs, count(DISTINCT currency) AS ncur
+      FROM subs GROUP BY tenant_id) d ON d.tenant_id = r.tenant_id""")
+def q_cleaning_report(spark, sf_dir):
+    """Cleaning counters per tenant."""
+    return CL.cleaning_report(tables.raw_billing_rows(spark, sf_dir))
+
+
+@register("paying_rows", _RAW_DEDUP + """
+SELECT tenant_id, customer_id, date, round(amount, 6) AS amount FROM subs WHERE status = 'active' AND amount > 0""")
+def q_paying_rows(spark, sf_dir):
+    """C11: the rows that count toward MRR."""
+    return round_doubles(CL.paying_rows(subscriptions(spark, sf_dir)).select("tenant_id", "customer_id", "date", "amount"))
+
+
+@register("preview", _RAW_DEDUP + """
+SELECT tenant_id, src_order, src_line, row_no FROM (
+  SELECT tenant_id, src_order, src_line,
+         row_number() OVER (PARTITION BY tenant_id ORDER BY src_order, src_line) AS row_no FROM raw) x
+WHERE row_no <= 10""")
+def q_preview(spark, sf_dir):
+    """The first 10 rows of each tenant's export."""
+    return CL.preview(tables.raw_billing_rows(spark, sf_dir), 10).select("tenant_id", "src_order", "src_line", "row_no")
