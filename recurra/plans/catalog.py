@@ -1018,3 +1018,39 @@ WHERE row_no <= 10""")
 def q_preview(spark, sf_dir):
     """The first 10 rows of each tenant's export."""
     return CL.preview(tables.raw_billing_rows(spark, sf_dir), 10).select("tenant_id", "src_order", "src_line", "row_no")
+
+
+# --- streaming forms (T1, T2 on a stream) ----------------------------------------
+
+def _events_stream_run(spark, sf_dir, which: str):
+    import datetime as _dt
+
+    from recurra.streaming import sessions_stream as SS
+    marker = {"event_id": -1, "ts": _dt.datetime.fromisoformat(SS.END_MARKER_TS), "user_id": SS.END_MARKER_USER,
+              "event_type": "end", "value": 0.0, "props": None}
+    build = SS.idle_sessions_stream if which == "idle" else SS.sessions_stream
+    out = SS.run_to_parquet(spark, build, f"{sf_dir.rstrip('/')}/events.parquet", SS.EVENT_SCHEMA, marker,
+                            f"sessions-{which}")
+    return out.where(F.col("user_id") != SS.END_MARKER_USER).select(
+        "user_id", "session_start", "session_end", "n_events")
+
+
+_SESS_STREAM_SQL = """WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t FROM events),
+l AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS pt FROM e),
+m AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt > 1800000000 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session_idx FROM l)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events
+FROM m GROUP BY user_id, session_idx"""
+
+
+@register("sessions_idle_stream", _SESS_STREAM_SQL)
+def q_sessions_idle_stream(spark, sf_dir):
+    """T1 as Structured Streaming (session_window + watermark, append)."""
+    return _events_stream_run(spark, sf_dir, "idle")
+
+
+@register("sessions_max_age_stream", _SESS_STREAM_SQL)
+def q_sessions_max_age_stream(spark, sf_dir):
+    """T1 + T2 as Structured Streaming (applyInPandasWithState per user).
+    The 8-hour rule does not fire on this event log, so the oracle is T1's."""
+    return _events_stream_run(spark, sf_dir, "max_age")
