@@ -65,21 +65,33 @@ def clean(raw: DataFrame) -> DataFrame:
     t = typed(raw.select(*cols))
     if "currency" not in t.columns:
         t = t.withColumn("currency", F.lit(None).cast("string"))
-    return with_period(normalize(dedup(t)))
+    # One exchange serves both the de-duplication (on raw typed values, before
+    # normalisation) and the customer-month rollup that follows: rows are
+    # hash-partitioned by (tenant, normalised customer, month), which is a
+    # subset of the dedup key and exactly the rollup key. A hot customer is
+    # still spread over its months.
+    t = (t.withColumn("_cust", C.text_key(F.col("customer_id")))
+          .withColumn("_pidx", C.period_idx(F.col("date")))
+          .repartition("tenant_id", "_cust", "_pidx"))
+    d = t.dropDuplicates(["tenant_id", *CANONICAL, "_cust", "_pidx"])
+    return d.select(
+        "tenant_id", F.col("_cust").alias("customer_id"), "date", "amount",
+        C.normalize_status(F.col("status")).alias("status"), "currency",
+        F.col("_pidx").alias("period_idx"), C.period_label(F.col("_pidx")).alias("period"))
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
     """Per-tenant counters of the cleaning step."""
-    t = typed(raw.select("tenant_id", *[c for c in CANONICAL if c in raw.columns]))
-    before = t.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows_before"))
-    d = dedup(t)
-    after = d.groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("rows_after"),
-        F.count_if(F.col("amount") == 0).alias("zeros_count"),
-        F.count_if(F.col("amount") < 0).alias("negatives_count"),
-        F.count_distinct("currency").alias("_ncur"),
-    )
-    return (before.join(after, "tenant_id")
+    keys = ["tenant_id", *[c for c in CANONICAL if c in raw.columns]]
+    t = typed(raw.select(*keys))
+    # One pass: distinct rows with their multiplicity, then per tenant.
+    d = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_mult"))
+    return (d.groupBy("tenant_id").agg(
+                F.sum("_mult").alias("rows_before"),
+                F.count(F.lit(1)).alias("rows_after"),
+                F.count_if(F.col("amount") == 0).alias("zeros_count"),
+                F.count_if(F.col("amount") < 0).alias("negatives_count"),
+                F.count_distinct("currency").alias("_ncur"))
             .select("tenant_id", "rows_before",
                     (F.col("rows_before") - F.col("rows_after")).alias("duplicates_removed"),
                     "zeros_count", "negatives_count", "rows_after",

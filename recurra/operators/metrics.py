@@ -27,13 +27,28 @@ CONTEXT_COLUMNS = ["last_month", "last_month_is_fallback", "prev_month", "prev_m
 
 
 class Rollup:
-    """The shared intermediate tables of one metrics job (built lazily once)."""
+    """The shared intermediate tables of one metrics job.
 
-    def __init__(self, subs: DataFrame):
+    ``hist`` (one row per customer-month with its window facts) is read by
+    the month aggregation, the reactivation check and the cohorts. With
+    ``materialize=True`` it is written once to the shared folder, so the
+    fact table is scanned, de-duplicated and shuffled exactly once however
+    many outputs are derived; the small tenant-month table likewise.
+    """
+
+    def __init__(self, subs: DataFrame, materialize: bool = False):
         self.subs = subs
         self.cm = rollup.customer_month(subs)
-        self.hist = rollup.customer_history(self.cm)
-        self.base = rollup.tenant_month_base(self.hist)
+        hist = rollup.customer_history(self.cm)
+        if materialize:
+            from recurra.session import materialize as _mat
+            spark = subs.sparkSession
+            hist = _mat(spark, hist, "customer_history")
+            self.hist = hist
+            self.base = _mat(spark, rollup.tenant_month_base(hist), "tenant_month_base")
+        else:
+            self.hist = hist
+            self.base = rollup.tenant_month_base(hist)
 
 
 def _d(col):

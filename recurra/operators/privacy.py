@@ -55,4 +55,5 @@ def safe_name(name: Column, default: str = "report") -> Column:
 
 
 def scrub_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn(text_col, scrub_pii(F.col(text_col)))
+    from recurra.session import spread
+    return spread(docs).withColumn(text_col, scrub_pii(F.col(text_col)))

@@ -91,11 +91,16 @@ def mark_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
     it runs per idle session with Arrow batches: only (user, event id, time)
     travel to Python and each restart is one binary search.
     """
-    idle = mark_idle_sessions(events, idle_seconds=idle_seconds, **kw)
+    from recurra.session import materialize
+    spark = events.sparkSession
+    # The idle marking is read three times below: write it once.
+    idle = materialize(spark, mark_idle_sessions(events, idle_seconds=idle_seconds, **kw), "idle_sessions")
     # Idle sessions that span at most max_age need no age split.
     spans = (idle.groupBy("user_id", "session_idx")
                  .agg((F.max("t") - F.min("t")).alias("span"), F.count(F.lit(1)).alias("n")))
     long_ids = spans.where(F.col("span") > max_age_seconds * MICROS).select("user_id", "session_idx")
+    if long_ids.isEmpty():
+        return idle.select("user_id", "event_id", "ts", "t", "session_idx")
     long_ev = idle.join(long_ids, ["user_id", "session_idx"])
     split = (long_ev.select("user_id", "event_id", "t", "session_idx")
                     .groupBy("user_id", "session_idx")

@@ -46,8 +46,33 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.clean(tables.raw_billing_rows(spark, sf_dir))
 
 
+_ROLLUPS: dict[tuple, MX.Rollup] = {}
+
+
+def _input_key(sf_dir: str) -> tuple:
+    """Identity of the billing inputs (path, size, mtime of each table)."""
+    import os
+    key = [sf_dir.rstrip("/")]
+    for t in ("lineitem", "orders", "customer"):
+        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        try:
+            st = os.stat(p)
+            key.append((t, st.st_size, int(st.st_mtime)))
+        except OSError:
+            key.append((t, None, None))
+    return tuple(key)
+
+
 def rollup_of(spark: SparkSession, sf_dir: str) -> MX.Rollup:
-    return MX.Rollup(subscriptions(spark, sf_dir))
+    """The materialized rollup of the billing facts, built once per input
+    and session (like a materialized view) and shared by every metric,
+    cohort, forecast, snapshot and report plan."""
+    key = (id(spark), spark.sparkContext.applicationId, _input_key(sf_dir))
+    r = _ROLLUPS.get(key)
+    if r is None:
+        r = MX.Rollup(subscriptions(spark, sf_dir), materialize=True)
+        _ROLLUPS[key] = r
+    return r
 
 
 # --- metrics (A, G, K, H) ------------------------------------------------------

@@ -60,3 +60,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a written table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Write ``df`` as parquet under the shared folder and read it back.
+
+    Used for intermediates that several consumers read (the customer
+    history): lineage is cut, a lost executor does not force recomputation
+    from the raw facts, and readers still get column pruning and file-size
+    statistics for AQE. Never a machine-local folder on a cluster.
+    """
+    import uuid
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df, factor: int = 2):
+    """Give CPU-heavy per-row work (regex scrubbing over whole texts) at
+    least ``factor`` x the cluster's cores in partitions. Input with enough
+    splits already (the normal case for large tables) is left as it is; a
+    few large files with one row group each would otherwise run in one task.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
