@@ -287,21 +287,27 @@ def q_forecast_gate(spark, sf_dir):
 
 
 @register("forecast_trend", _FC_SQL + """
-SELECT tenant_id, alpha, beta, round(level, 6) AS level, round(trend, 6) AS trend, round(sse, 6) AS sse FROM tbest""")
+SELECT t.tenant_id, t.alpha, t.beta, round(t.level, 6) AS level, round(t.trend, 6) AS trend,
+       round(sqrt(t.sse / s.n), 6) AS rmse FROM tbest t JOIN series s ON s.tenant_id = t.tenant_id""")
 def q_forecast_trend(spark, sf_dir):
     s = _series(spark, sf_dir)
     ok = s.join(FC.forecast_status(s).where(F.col("status").isin("realistic_only", "full")).select("tenant_id"),
                 "tenant_id")
-    return round_doubles(FC.fit_trend(ok))
+    fit = FC.fit_trend(ok).join(ok.select("tenant_id", "n"), "tenant_id")
+    return round_doubles(fit.select("tenant_id", "alpha", "beta", "level", "trend",
+                                    F.sqrt(F.col("sse") / F.col("n")).alias("rmse")))
 
 
 @register("forecast_seasonal", _FC_SQL + """
-SELECT tenant_id, seasonal_periods, alpha, beta, gamma, round(level, 6) AS level, round(trend, 6) AS trend,
-       round(sse, 6) AS sse FROM sbest""")
+SELECT b.tenant_id, b.seasonal_periods, b.alpha, b.beta, b.gamma, round(b.level, 6) AS level,
+       round(b.trend, 6) AS trend, round(sqrt(b.sse / s.n), 6) AS rmse
+FROM sbest b JOIN series s ON s.tenant_id = b.tenant_id""")
 def q_forecast_seasonal(spark, sf_dir):
     s = _series(spark, sf_dir)
     full = s.join(FC.forecast_status(s).where(F.col("status") == "full").select("tenant_id"), "tenant_id")
-    return round_doubles(FC.fit_seasonal(full).drop("season"))
+    fit = FC.fit_seasonal(full).join(full.select("tenant_id", "n"), "tenant_id")
+    return round_doubles(fit.select("tenant_id", "seasonal_periods", "alpha", "beta", "gamma", "level", "trend",
+                                    F.sqrt(F.col("sse") / F.col("n")).alias("rmse")))
 
 
 @register("forecast_scenarios", _FC_SQL + """
