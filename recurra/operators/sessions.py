@@ -13,12 +13,13 @@ into (user, hour) chunks, gaps are found inside chunks with a window, and
 the first event of each chunk takes its predecessor from the previous
 chunk's last event (a small chunk-level table). Session numbers are chunk
 offsets (prefix sums over the chunk table) plus in-chunk running counts.
+
+T2 is exact and distributed as well (no group is gathered in one task):
+see ``mark_sessions``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,56 +67,114 @@ def idle_sessions(events: DataFrame, **kw) -> DataFrame:
     return summarize(mark_idle_sessions(events, **kw))
 
 
-def _split_by_age(max_age_us: int):
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"], kind="mergesort")
-        t = pdf["t"].to_numpy()
-        sub = np.zeros(len(t), dtype=np.int64)
-        i, k = 0, 0
-        while i < len(t):
-            # The next session starts at the first event strictly later than
-            # start + max_age (binary search on the sorted times).
-            j = int(np.searchsorted(t, t[i] + max_age_us, side="right"))
-            sub[i:j] = k
-            i, k = j, k + 1
-        return pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
-                             "idle_idx": pdf["session_idx"].to_numpy(), "sub_idx": sub})
-    return split
+def _successor_after(ev: DataFrame, delta_us: int, chunk_us: int) -> DataFrame:
+    """For every event e of ``ev`` (user_id, idle_idx, event_id, t): the first
+    event of the same idle session strictly later than t_e + delta, in
+    (t, event_id) order, or NULL.
+
+    Probes (t_e + delta) and events are merged and ordered inside
+    (user, session, chunk) windows (a running frame in descending order, so
+    linear); a probe with no later event in its chunk takes the first event
+    of the next chunk that has events, from a chunk-level table.
+    """
+    keys = ["user_id", "idle_idx"]
+    evs = ev.select(*keys, F.col("t").alias("time"), F.lit(0).alias("kind"), F.col("event_id").alias("id"))
+    probes = ev.select(*keys, (F.col("t") + delta_us).alias("time"), F.lit(1).alias("kind"),
+                       F.col("event_id").alias("id"))
+    u = evs.unionByName(probes).withColumn("chunk", F.floor(F.col("time") / chunk_us))
+    later_first = (Window.partitionBy(*keys, "chunk")
+                         .orderBy(F.col("time").desc(), F.col("kind").desc(), F.col("id").desc())
+                         .rowsBetween(Window.unboundedPreceding, -1))
+    as_event = F.when(F.col("kind") == 0, F.struct(F.col("time").alias("t"), F.col("id").alias("id")))
+    u = u.withColumn("cand", F.last(as_event, ignorenulls=True).over(later_first))
+    chunk_first = (u.groupBy(*keys, "chunk")
+                    .agg(F.min(as_event).alias("first_ev"))
+                    .withColumn("next_chunk_first", F.last("first_ev", ignorenulls=True).over(
+                        Window.partitionBy(*keys).orderBy(F.col("chunk").desc())
+                              .rowsBetween(Window.unboundedPreceding, -1))))
+    pr = u.where(F.col("kind") == 1).join(chunk_first.select(*keys, "chunk", "next_chunk_first"), [*keys, "chunk"])
+    nxt = F.coalesce(F.col("cand"), F.col("next_chunk_first"))
+    return pr.select(*keys, F.col("id").alias("e"), nxt["id"].alias("p"))
+
+
+def _age_starts(long_ev: DataFrame, first_ev: DataFrame, levels: int, max_age_us: int,
+                chunk_us: int) -> DataFrame:
+    """Session starts inside long idle sessions: the orbit of each idle
+    session's first event under "next start" (first event more than
+    max_age later), found by pointer doubling: jump tables J_k = next^(2^k),
+    and orbit sets S_{k+1} = S_k + J_k(S_k), so 2^levels starts are covered
+    after ``levels`` joins."""
+    from recurra.session import materialize
+    spark = long_ev.sparkSession
+    keys = ["user_id", "idle_idx"]
+    jump = materialize(spark, _successor_after(long_ev, max_age_us, chunk_us), "session-jump-0")
+    orbit = first_ev.select(*keys, F.col("event_id").alias("node"))
+    for k in range(levels):
+        step = (orbit.join(jump.withColumnRenamed("e", "node"), [*keys, "node"])
+                     .where(F.col("p").isNotNull()).select(*keys, F.col("p").alias("node")))
+        orbit = orbit.unionByName(step).distinct()
+        if k + 1 < levels:
+            a, b = jump.alias("a"), jump.alias("b")
+            nxt = (a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.idle_idx") == F.col("b.idle_idx"))
+                          & (F.col("a.p") == F.col("b.e")), "left")
+                    .select(F.col("a.user_id").alias("user_id"), F.col("a.idle_idx").alias("idle_idx"),
+                            F.col("a.e").alias("e"), F.col("b.p").alias("p")))
+            jump = materialize(spark, nxt, f"session-jump-{k + 1}")
+            orbit = materialize(spark, orbit, f"session-orbit-{k + 1}")
+    return orbit.withColumnRenamed("node", "event_id")
 
 
 def mark_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
-                  max_age_seconds: int = SESSION_MAX_AGE_SECONDS, **kw) -> DataFrame:
+                  max_age_seconds: int = SESSION_MAX_AGE_SECONDS, chunk_seconds: int = 3600,
+                  **kw) -> DataFrame:
     """T1 + T2: every event with its final ``session_idx`` (1-based per user).
 
-    The age restart is recursive (each restart moves the session start), so
-    it runs per idle session with Arrow batches: only (user, event id, time)
-    travel to Python and each restart is one binary search.
+    The age restart is recursive (each restart moves the session start). It
+    only matters inside idle sessions longer than max_age; there, starts are
+    found by pointer doubling (see ``_age_starts``) and each event is given
+    the latest start not after it. Starts are more than max_age apart and an
+    event is at most max_age after its start, so with max_age-wide time
+    buckets an event meets at most two candidate starts (an equi-join, no
+    pairs within a session).
     """
+    import math
+
     from recurra.session import materialize
     spark = events.sparkSession
-    # The idle marking is read three times below: write it once.
-    idle = materialize(spark, mark_idle_sessions(events, idle_seconds=idle_seconds, **kw), "idle_sessions")
-    # Idle sessions that span at most max_age need no age split.
-    spans = (idle.groupBy("user_id", "session_idx")
-                 .agg((F.max("t") - F.min("t")).alias("span"), F.count(F.lit(1)).alias("n")))
-    long_ids = spans.where(F.col("span") > max_age_seconds * MICROS).select("user_id", "session_idx")
-    if long_ids.isEmpty():
-        return idle.select("user_id", "event_id", "ts", "t", "session_idx")
-    long_ev = idle.join(long_ids, ["user_id", "session_idx"])
-    split = (long_ev.select("user_id", "event_id", "t", "session_idx")
-                    .groupBy("user_id", "session_idx")
-                    .applyInPandas(_split_by_age(max_age_seconds * MICROS),
-                                   "user_id long, event_id long, idle_idx long, sub_idx long"))
-    subs = split.groupBy("user_id", "idle_idx").agg((F.max("sub_idx") + 1).alias("n_sub"))
-    per_idle = (spans.select("user_id", F.col("session_idx").alias("idle_idx"))
-                     .join(subs, ["user_id", "idle_idx"], "left")
+    max_age_us, chunk_us = max_age_seconds * MICROS, chunk_seconds * MICROS
+    idle = materialize(spark, mark_idle_sessions(events, idle_seconds=idle_seconds,
+                                                 chunk_seconds=chunk_seconds, **kw), "idle_sessions")
+    keys = ["user_id", "idle_idx"]
+    idle = idle.withColumnRenamed("session_idx", "idle_idx")
+    spans = (idle.groupBy(*keys)
+                 .agg((F.max("t") - F.min("t")).alias("span"),
+                      F.min(F.struct("t", "event_id")).alias("first")))
+    long_sessions = spans.where(F.col("span") > max_age_us)
+    longest = long_sessions.agg(F.max("span")).first()[0]
+    if longest is None:
+        return idle.select("user_id", "event_id", "ts", "t", F.col("idle_idx").alias("session_idx"))
+    # At most span / max_age + 1 starts per long idle session.
+    levels = max(1, math.ceil(math.log2(longest // max_age_us + 2)))
+    long_ev = idle.join(long_sessions.select(*keys), keys).select(*keys, "event_id", "t")
+    first_ev = long_sessions.select(*keys, F.col("first.event_id").alias("event_id"))
+    starts = _age_starts(long_ev, first_ev, levels, max_age_us, chunk_us)
+    starts = (starts.join(long_ev, [*keys, "event_id"])
+                    .withColumn("sub_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("t", "event_id")) - 1)
+                    .select(*keys, F.col("t").alias("start_t"), F.col("event_id").alias("start_id"), "sub_idx",
+                            F.floor(F.col("t") / max_age_us).alias("bucket")))
+    cand = (long_ev.withColumn("bucket", F.explode(F.array(F.floor(F.col("t") / max_age_us),
+                                                           F.floor(F.col("t") / max_age_us) - 1)))
+                   .join(starts, [*keys, "bucket"])
+                   .where(F.struct(F.col("start_t"), F.col("start_id")) <= F.struct(F.col("t"), F.col("event_id"))))
+    sub = cand.groupBy(*keys, "event_id").agg(F.max_by("sub_idx", F.struct("start_t", "start_id")).alias("sub_idx"))
+    n_sub = starts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sub"))
+    per_idle = (spans.select(*keys).join(n_sub, keys, "left")
                      .withColumn("n_sub", F.coalesce("n_sub", F.lit(1)))
                      .withColumn("offset", F.coalesce(F.sum("n_sub").over(
                          Window.partitionBy("user_id").orderBy("idle_idx")
                                .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    ev = (idle.withColumnRenamed("session_idx", "idle_idx")
-              .join(split.select("user_id", "event_id", "sub_idx"), ["user_id", "event_id"], "left")
-              .join(per_idle.select("user_id", "idle_idx", "offset"), ["user_id", "idle_idx"]))
+    ev = (idle.join(sub, [*keys, "event_id"], "left")
+              .join(per_idle.select(*keys, "offset"), keys))
     return ev.select("user_id", "event_id", "ts", "t",
                      (F.col("offset") + F.coalesce("sub_idx", F.lit(0)) + 1).cast("long").alias("session_idx"))
 

@@ -188,3 +188,24 @@ def test_report_summary_rows_and_status(metrics_of, spark, subs_of):
     assert msgs == {"last_month_fallback", "nrr_above_200"}
     rec = {r["metric"]: r for r in RP.metric_reconciliation(m).collect()}
     assert rec["arr"]["consistent"] and rec["churn_rate"]["consistent"] and rec["lost_subscribers"]["consistent"]
+
+
+def test_sessions_random_against_sequential_rule(spark):
+    import random
+    from recurra.operators import sessions as SE
+    rng = random.Random(7)
+    ev, truth = [], {}
+    for u in range(4):
+        t, times = T0, []
+        for _ in range(400):
+            gap = rng.choice([0, 1, 5, 12, 29, 30, 31, 45, 200]) if u != 3 else rng.choice([0, 3, 7, 29, 30])
+            t = t + dt.timedelta(minutes=gap, seconds=rng.choice([0, 0, 1]))
+            times.append(t)
+        ev += [(u, x) for x in times]
+        truth[u] = brute_sessions(times)
+    got = SE.sessions(events_df(spark, ev)).collect()
+    for u in range(4):
+        mine = sorted((r["session_start"], r["session_end"], r["n_events"]) for r in got if r["user_id"] == u)
+        assert mine == truth[u]
+    idx = sorted(r["session_idx"] for r in got if r["user_id"] == 3)
+    assert idx == list(range(1, len(idx) + 1))
