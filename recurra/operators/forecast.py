@@ -107,7 +107,9 @@ def projections(series: DataFrame) -> DataFrame:
     """
     st = forecast_status(series).select("tenant_id", "status")
     ok = series.join(st, "tenant_id").where(F.col("status").isin("realistic_only", "full"))
-    trend = fit_trend(ok)
+    # The trend model serves the 3-5 month forecasts; longer series use the
+    # seasonal model (a grid fit always exists, so no fallback is needed).
+    trend = fit_trend(ok.where(F.col("status") == "realistic_only"))
     seas = fit_seasonal(ok.where(F.col("status") == "full"))
     h = F.explode(F.sequence(F.lit(1), F.lit(FORECAST_HORIZON))).alias("horizon")
     base = ok.select("tenant_id", "n", "last_idx", "status", h)
@@ -137,17 +139,16 @@ def scenarios(proj: DataFrame, churn: DataFrame | None = None, churn_fraction: f
         c = F.coalesce(F.col("churn_rate") / 100, F.lit(FORECAST_CHURN_FALLBACK))
     else:
         p, c = proj, F.lit(FORECAST_CHURN_FALLBACK)
-    factors = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("k")) for n, k in SCENARIO_FACTORS])
-    p = p.withColumn("_c", c)
-    full = (p.where(F.col("status") == "full")
-             .select("*", F.inline(factors))
-             .select("tenant_id", "horizon", "period", "scenario",
-                     F.greatest(F.col("projected") * (1 - F.col("_c") * F.col("k")), F.lit(0.0)).alias("value"),
-                     F.col("_c").alias("churn_rate_used")))
-    limited = (p.where(F.col("status") == "realistic_only")
-                .select("tenant_id", "horizon", "period", F.lit("realistic").alias("scenario"),
-                        F.col("projected").alias("value"), F.lit(None).cast("double").alias("churn_rate_used")))
-    return full.unionByName(limited)
+    # One pass: full forecasts expand to the three scenario factors, limited
+    # ones to a single unadjusted "realistic" row (no union of two branches).
+    full_rows = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("k")) for n, k in SCENARIO_FACTORS])
+    limited_row = F.array(F.struct(F.lit("realistic").alias("scenario"), F.lit(None).cast("double").alias("k")))
+    p = p.withColumn("_c", c).select(
+        "*", F.inline(F.when(F.col("status") == "full", full_rows).otherwise(limited_row)))
+    value = F.when(F.col("k").isNull(), F.col("projected")) \
+             .otherwise(F.greatest(F.col("projected") * (1 - F.col("_c") * F.col("k")), F.lit(0.0)))
+    return p.select("tenant_id", "horizon", "period", "scenario", value.alias("value"),
+                    F.when(F.col("k").isNotNull(), F.col("_c")).alias("churn_rate_used"))
 
 
 def forecast_endpoint(sc: DataFrame) -> DataFrame:

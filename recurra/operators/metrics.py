@@ -38,6 +38,8 @@ class Rollup:
 
     def __init__(self, subs: DataFrame, materialize: bool = False):
         self.subs = subs
+        self.materialized = materialize
+        self._tables: dict[str, DataFrame] = {}
         self.cm = rollup.customer_month(subs)
         hist = rollup.customer_history(self.cm)
         if materialize:
@@ -51,6 +53,24 @@ class Rollup:
             self.base = rollup.tenant_month_base(hist)
 
 
+    def table(self, name: str, build) -> DataFrame:
+        """A derived table of this rollup, built once (and written to the
+        shared folder when the rollup is materialized)."""
+        if name not in self._tables:
+            df = build(self)
+            if self.materialized:
+                from recurra.session import materialize as _mat
+                df = _mat(self.subs.sparkSession, df, name)
+            self._tables[name] = df
+        return self._tables[name]
+
+    def by_month(self) -> DataFrame:
+        return self.table("metrics_by_month", metrics_by_month)
+
+    def last(self) -> DataFrame:
+        return self.table("metrics_last", metrics_last)
+
+
 def _d(col):
     return col.cast("double")
 

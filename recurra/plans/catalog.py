@@ -79,14 +79,14 @@ def rollup_of(spark: SparkSession, sf_dir: str) -> MX.Rollup:
 
 def _last(cols: list[str]):
     def run(spark, sf_dir):
-        m = MX.metrics_last(rollup_of(spark, sf_dir))
+        m = rollup_of(spark, sf_dir).last()
         return round_doubles(m.select("tenant_id", "last_month", *cols))
     return run
 
 
 def _by_month(cols: list[str]):
     def run(spark, sf_dir):
-        m = MX.metrics_by_month(rollup_of(spark, sf_dir))
+        m = rollup_of(spark, sf_dir).by_month()
         return round_doubles(m.select("tenant_id", "period", *cols))
     return run
 
@@ -276,7 +276,7 @@ def _series(spark, sf_dir):
 def _scenarios(spark, sf_dir):
     r = rollup_of(spark, sf_dir)
     series = FC.monthly_series(r.base)
-    return FC.scenarios(FC.projections(series), churn=MX.metrics_last(r))
+    return FC.scenarios(FC.projections(series), churn=r.last())
 
 
 @register("forecast_gate", _FC_SQL + """
@@ -366,7 +366,7 @@ proj AS (SELECT tenant_id, scenario, month, churn_reduction, new_customers_month
 
 
 def _metrics_last(spark, sf_dir):
-    return MX.metrics_last(rollup_of(spark, sf_dir))
+    return rollup_of(spark, sf_dir).last()
 
 
 @register("scenario_projection", _SCEN_SQL + """
@@ -448,11 +448,11 @@ _SNAP_OUT = ("snapshot_id, user_id, period, round(mrr, 6) AS mrr, round(arr, 6)
 
 
 def _snaps(spark, sf_dir):
-    return SN.snapshot_rows(MX.metrics_by_month(rollup_of(spark, sf_dir)))
+    return SN.snapshot_rows(rollup_of(spark, sf_dir).by_month())
 
 
 def _incoming(spark, sf_dir):
-    ml = MX.metrics_last(rollup_of(spark, sf_dir)).where(F.col("last_month").isNotNull())
+    ml = rollup_of(spark, sf_dir).last().where(F.col("last_month").isNotNull())
     return ml.select(F.col("tenant_id").alias("user_id"), F.col("last_month").alias("period"),
                      "mrr", "total_revenue", "nrr", F.lit("reupload").alias("source"),
                      (SN.month_close(F.col("last_month")) + F.expr("INTERVAL 1 DAY")).alias("created_at"))

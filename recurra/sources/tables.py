@@ -41,9 +41,11 @@ def raw_billing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Carries ``src_order``/``src_line`` as the ingest ordinal (file order).
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    from recurra.session import spread
+    # A fact file with few row groups would feed the joins from one task.
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount",
-        "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_returnflag", "l_linestatus", "l_shipdate"))
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
 
