@@ -45,7 +45,7 @@ def main() -> None:
     # folder, a different input, so nothing at the measured scale is
     # pre-built. The first headline query pays for building the materialized
     # rollup that later metric plans share.
-    warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
         for q in ("all_metrics", "sessions_idle"):
             catalog.QUERIES[q](spark, warm).write.format("noop").mode("overwrite").save()

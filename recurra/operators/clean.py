@@ -65,19 +65,17 @@ def clean(raw: DataFrame) -> DataFrame:
     t = typed(raw.select(*cols))
     if "currency" not in t.columns:
         t = t.withColumn("currency", F.lit(None).cast("string"))
-    # One exchange serves both the de-duplication (on raw typed values, before
-    # normalisation) and the customer-month rollup that follows: rows are
-    # hash-partitioned by (tenant, normalised customer, month), which is a
-    # subset of the dedup key and exactly the rollup key. A hot customer is
-    # still spread over its months.
-    t = (t.withColumn("_cust", C.text_key(F.col("customer_id")))
-          .withColumn("_pidx", C.period_idx(F.col("date")))
-          .repartition("tenant_id", "_cust", "_pidx"))
-    d = t.dropDuplicates(["tenant_id", *CANONICAL, "_cust", "_pidx"])
+    # De-duplicate on the raw typed values (before normalisation). The
+    # exchange hashes whole rows, so even one hot customer-month is spread
+    # over all tasks, and exact copies are dropped map-side first. The
+    # customer-month rollup that follows pre-aggregates map-side again, so
+    # its own exchange carries at most one row per customer-month and task.
+    d = dedup(t)
     return d.select(
-        "tenant_id", F.col("_cust").alias("customer_id"), "date", "amount",
+        "tenant_id", C.text_key(F.col("customer_id")).alias("customer_id"), "date", "amount",
         C.normalize_status(F.col("status")).alias("status"), "currency",
-        F.col("_pidx").alias("period_idx"), C.period_label(F.col("_pidx")).alias("period"))
+        C.period_idx(F.col("date")).alias("period_idx"),
+        C.period_label(C.period_idx(F.col("date"))).alias("period"))
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:

@@ -202,3 +202,31 @@ def metrics_last(r: Rollup) -> DataFrame:
              C.period_label(F.col("period_idx") - 1).alias("prev_month"),
              F.coalesce("prev_month_status", F.lit("missing")).alias("prev_month_status")]
     return joined.select(*cols)
+
+
+def _last_months(r: Rollup) -> DataFrame:
+    return (r.last().where(F.col("last_month").isNotNull())
+                    .select("tenant_id", C.label_to_idx(F.col("last_month")).alias("period_idx"), "arpu"))
+
+
+def new_customers(r: Rollup) -> DataFrame:
+    """Customers whose first row (any status, any amount) falls in the
+    tenant's last month."""
+    lm = _last_months(r)
+    h = r.hist.where(F.col("period_idx") == F.col("first_seen_idx")).select("tenant_id", "customer_id", "period_idx")
+    return h.join(lm.select("tenant_id", "period_idx"), ["tenant_id", "period_idx"]).select("tenant_id", "customer_id")
+
+
+def reactivated_customers(r: Rollup) -> DataFrame:
+    """Customers reactivated in the tenant's last month."""
+    rows = rollup.reactivated_rows(r.hist, _last_months(r))
+    return rows.select("tenant_id", "customer_id", C.money(F.col("paying_amt")).cast("double").alias("mrr"))
+
+
+def churn_type(r: Rollup) -> DataFrame:
+    """K3: churn sets in the last month: any 'churned' row -> voluntary; any
+    'past_due' row without a 'churned' row -> involuntary."""
+    lm = _last_months(r).select("tenant_id", "period_idx")
+    h = r.hist.join(lm, ["tenant_id", "period_idx"]).where(F.col("has_churned") | F.col("has_past_due"))
+    return h.select("tenant_id", "customer_id",
+                    F.when(F.col("has_churned"), F.lit("voluntary")).otherwise(F.lit("involuntary")).alias("churn_type"))

@@ -2,6 +2,8 @@
 
 Shuffle plan (fact table of any size):
 
+0. De-duplication (in ``clean``) hashes whole rows: a hot customer or
+   customer-month is spread over every task; copies are dropped map-side.
 1. ``customer_month``: one grouped aggregate of the clean facts keyed by
    (tenant, customer, month). Partial aggregation runs map-side, so even a
    customer holding a third of all rows is collapsed to at most
@@ -142,8 +144,8 @@ def tenant_month_base(hist: DataFrame) -> DataFrame:
     return contrib.groupBy("tenant_id", F.col("k").alias("period_idx")).agg(*sums)
 
 
-def reactivations(hist: DataFrame, arpu_by_month: DataFrame) -> DataFrame:
-    """G6-G8 per (tenant, month): paying now, last paid 3-10 months earlier
+def reactivated_rows(hist: DataFrame, arpu_by_month: DataFrame) -> DataFrame:
+    """G6 per customer-month: paying now, last paid 3-10 months earlier
     (2-9 months absent), and not an annual plan (largest paying row so far
     above 6 x ARPU of the month)."""
     from recurra.functions.constants import (
@@ -153,8 +155,13 @@ def reactivations(hist: DataFrame, arpu_by_month: DataFrame) -> DataFrame:
                        & gap.between(REACTIVATION_MIN_ABSENT, REACTIVATION_MAX_ABSENT))
                 .select("tenant_id", "customer_id", "period_idx", "paying_amt", "run_max_paying_row"))
     joined = cand.join(arpu_by_month.select("tenant_id", "period_idx", "arpu"), ["tenant_id", "period_idx"])
-    kept = joined.where(~((F.col("arpu") > 0)
+    return joined.where(~((F.col("arpu") > 0)
                           & (F.col("run_max_paying_row") > F.lit(ANNUAL_PLAN_ARPU_MULTIPLE) * F.col("arpu"))))
+
+
+def reactivations(hist: DataFrame, arpu_by_month: DataFrame) -> DataFrame:
+    """G7/G8 per (tenant, month): count and MRR of reactivated customers."""
+    kept = reactivated_rows(hist, arpu_by_month)
     return kept.groupBy("tenant_id", "period_idx").agg(
         F.count(F.lit(1)).alias("reactivated_subscribers"),
         F.sum("paying_amt").alias("reactivation_mrr_dec"))

@@ -1085,3 +1085,48 @@ def q_sessions_max_age_stream(spark, sf_dir):
     """T1 + T2 as Structured Streaming (applyInPandasWithState per user).
     The 8-hour rule does not fire on this event log, so the oracle is T1's."""
     return _events_stream_run(spark, sf_dir, "max_age")
+
+
+# --- customer-level sets behind the metrics (G3, G6, K3) and the sales feed (R8) --
+
+_SETS_SQL = "WITH " + O.LAST + """,
+lastidx AS (SELECT tenant_id, pidx, arpu FROM bym2 b
+            WHERE pidx = (SELECT max(pidx) FROM bym2 x WHERE x.tenant_id = b.tenant_id))"""
+
+
+@register("new_customers", _SETS_SQL + """
+SELECT f.tenant_id, f.customer_id FROM first_seen f JOIN lastidx l ON l.tenant_id = f.tenant_id AND l.pidx = f.fs""")
+def q_new_customers(spark, sf_dir):
+    """First-ever appearance in the tenant's last month."""
+    return MX.new_customers(rollup_of(spark, sf_dir))
+
+
+@register("reactivated_customers", _SETS_SQL + """
+SELECT p.tenant_id, p.customer_id, round(CAST(p.amt AS DOUBLE), 6) AS mrr
+FROM pay p JOIN lastidx l ON l.tenant_id = p.tenant_id AND l.pidx = p.pidx
+WHERE (p.pidx - (SELECT max(q.pidx) FROM pay q WHERE q.tenant_id = p.tenant_id AND q.customer_id = p.customer_id
+                  AND q.pidx < p.pidx) - 1) BETWEEN 2 AND 9
+  AND NOT (l.arpu > 0 AND (SELECT max(x.mx) FROM maxrow x WHERE x.tenant_id = p.tenant_id
+                           AND x.customer_id = p.customer_id AND (x.pidx IS NULL OR x.pidx <= p.pidx)) > 6 * l.arpu)""")
+def q_reactivated_customers(spark, sf_dir):
+    """Customers back after a 2-9 month absence (annual plans excluded)."""
+    return round_doubles(MX.reactivated_customers(rollup_of(spark, sf_dir)))
+
+
+@register("churn_type", _SETS_SQL + """
+SELECT s.tenant_id, s.customer_id, CASE WHEN s.has_churned THEN 'voluntary' ELSE 'involuntary' END AS churn_type
+FROM status_at s JOIN lastidx l ON l.tenant_id = s.tenant_id AND l.pidx = s.pidx
+WHERE s.has_churned OR s.has_past_due""")
+def q_churn_type(spark, sf_dir):
+    """K3: voluntary / involuntary churn sets of the last month."""
+    return MX.churn_type(rollup_of(spark, sf_dir))
+
+
+@register("sales_json", _PLAN_SQL + """
+SELECT email, product_id, refunded, chargedback FROM sales""")
+def q_sales_json(spark, sf_dir):
+    """The order feed landed as JSON sale lists and read back with
+    from_json + explode (one list per order, no grouping)."""
+    landed = _sales(spark, sf_dir).select(
+        "email", F.to_json(F.array(F.struct("product_id", "refunded", "chargedback"))).alias("sales_json"))
+    return PL.sales_from_json(landed).select("email", "product_id", "refunded", "chargedback")
