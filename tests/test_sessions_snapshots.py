@@ -209,3 +209,24 @@ def test_sessions_random_against_sequential_rule(spark):
         assert mine == truth[u]
     idx = sorted(r["session_idx"] for r in got if r["user_id"] == 3)
     assert idx == list(range(1, len(idx) + 1))
+
+
+def test_customer_month_stream_matches_batch(spark, subs_of):
+    from recurra.operators import rollup as R
+    from recurra.streaming import sessions_stream as SS
+    rows = [("A", "2024-01-05", 10, "active"), ("A", "2024-01-20", 5, "active"), ("A", "2024-02-05", -3, "active"),
+            ("B", "2024-01-07", 7, "churned"), ("B", "2024-03-01", 8, "active"), ("C", None, 4, "active")]
+    subs = subs_of(rows).select("tenant_id", "customer_id", F.col("date").cast("timestamp").alias("date"),
+                                "amount", "status", "currency")
+    src = tempfile.mkdtemp(prefix="recurra-test-cm-", dir="/tmp")
+    subs.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "subs"))
+    schema = "tenant_id string, customer_id string, date timestamp, amount double, status string, currency string"
+    marker = {"tenant_id": "~end", "customer_id": "~end", "date": dt.datetime(2200, 1, 1), "amount": 0.0,
+              "status": "end", "currency": None}
+    out = SS.run_to_parquet(spark, SS.customer_month_stream, os.path.join(src, "subs"), schema, marker, "cm")
+    got = sorted((r["customer_id"], r["month_start"].strftime("%Y-%m"), float(r["paying_amt"] or 0), r["n_rows"])
+                 for r in out.where(F.col("tenant_id") != "~end").collect())
+    batch = R.customer_month(subs_of(rows)).where(F.col("period_idx").isNotNull()).collect()
+    want = sorted((r["customer_id"], f"{r['period_idx'] // 12:04d}-{r['period_idx'] % 12 + 1:02d}",
+                   float(r["paying_amt"]), r["n_rows"]) for r in batch)
+    assert got == want
