@@ -68,7 +68,7 @@ class Rollup:
         return self.table("metrics_by_month", metrics_by_month)
 
     def last(self) -> DataFrame:
-        return self.table("metrics_last", metrics_last)
+        return self.table("metrics_last", lambda r: metrics_last(r, r.by_month()))
 
 
 def _d(col):
@@ -174,13 +174,13 @@ def month_context(r: Rollup) -> DataFrame:
     )
 
 
-def metrics_last(r: Rollup) -> DataFrame:
+def metrics_last(r: Rollup, bym: DataFrame | None = None) -> DataFrame:
     """H5 ``get_all_metrics`` for every tenant: the last paying month's row.
 
     Total revenue covers every row of the tenant (any date, NULL included).
     Tenants without any paying row get the reference's empty-data values.
     """
-    bym = metrics_by_month(r)
+    bym = metrics_by_month(r) if bym is None else bym
     last = Window.partitionBy("tenant_id")
     latest = (bym.withColumn("_max", F.max("period_idx").over(last))
                  .where(F.col("period_idx") == F.col("_max")).drop("_max", "total_revenue"))

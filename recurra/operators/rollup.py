@@ -60,8 +60,10 @@ def customer_history(cm: DataFrame) -> DataFrame:
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pay_idx = F.when(F.col("is_paying"), F.col("period_idx"))
+    # Only the columns later stages read are kept (the table is materialized).
     return cm.select(
-        "*",
+        "tenant_id", "customer_id", "period_idx", "paying_amt", "is_paying", "has_active_status",
+        "has_churned", "has_past_due", "refund_abs", "positive_amt",
         F.min("period_idx").over(by_cust).alias("first_seen_idx"),
         F.min(pay_idx).over(by_cust).alias("cohort_idx"),
         F.last(pay_idx, ignorenulls=True).over(before).alias("prev_pay_idx"),
