@@ -140,7 +140,10 @@ def read_export_dir(spark: SparkSession, path: str, strict: bool = False) -> Dat
     # Spark flags short and long lines alike; pandas pads short lines with
     # NULL and skips lines with too many fields, so only the latter go.
     too_long = F.size(F.split(F.col("_corrupt_record"), ",")) > len(data_cols)
-    return df.where(F.col("_corrupt_record").isNull() | ~too_long).drop("_corrupt_record")
+    # The filter also reads the data columns: a scan reduced to the corrupt
+    # record column alone (e.g. for a row count) is refused by Spark.
+    reads_data = F.length(F.concat_ws(",", *[F.col(f.name) for f in data_cols])) >= 0
+    return df.where((F.col("_corrupt_record").isNull() | ~too_long) & reads_data).drop("_corrupt_record")
 
 
 def layout_frames(spark: SparkSession, path: str, strict: bool = False) -> dict[str, DataFrame]:
