@@ -34,8 +34,10 @@ def register(name: str, sql: str | None = None):
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (value-hash comparisons across engines)."""
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (the same on the SQL side).
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        else F.col(f.name)
         for f in df.schema.fields])
 
 
@@ -378,8 +380,8 @@ def q_scenario_projection(spark, sf_dir):
 
 
 @register("scenario_monthly", _SCEN_SQL + """
-SELECT tenant_id, scenario, month, round(mrr, 6) AS mrr, round(mrr_change, 6) AS mrr_change,
-       round(mrr_change_pct, 6) AS mrr_change_pct, active_subscribers, new_customers_added,
+SELECT tenant_id, scenario, month, round(mrr, 6) AS mrr, round(mrr_change, 6) + 0.0 AS mrr_change,
+       round(mrr_change_pct, 6) + 0.0 AS mrr_change_pct, active_subscribers, new_customers_added,
        round(effective_churn_rate, 6) AS effective_churn_rate FROM proj""")
 def q_scenario_monthly(spark, sf_dir):
     p = SC.projection(_metrics_last(spark, sf_dir))
@@ -389,14 +391,14 @@ def q_scenario_monthly(spark, sf_dir):
 
 @register("scenario_summary", _SCEN_SQL + """
 SELECT tenant_id, scenario, round(base_mrr, 6) AS base_mrr, round(arg_max(mrr, month), 6) AS final_mrr,
-       round(CASE WHEN base_mrr <> 0 THEN (arg_max(mrr, month) - base_mrr) / base_mrr * 100.0 END, 6) AS mrr_change_pct
+       round(CASE WHEN base_mrr <> 0 THEN (arg_max(mrr, month) - base_mrr) / base_mrr * 100.0 END, 6) + 0.0 AS mrr_change_pct
 FROM proj GROUP BY tenant_id, scenario, base_mrr""")
 def q_scenario_summary(spark, sf_dir):
     return round_doubles(SC.summary(SC.projection(_metrics_last(spark, sf_dir))))
 
 
 @register("scenario_totals", _SCEN_SQL + """
-SELECT tenant_id, scenario, round(avg(mrr), 6) AS avg_mrr, round(sum(mrr_change), 6) AS total_change
+SELECT tenant_id, scenario, round(avg(mrr), 6) AS avg_mrr, round(sum(mrr_change), 6) + 0.0 AS total_change
 FROM proj GROUP BY tenant_id, scenario""")
 def q_scenario_totals(spark, sf_dir):
     return round_doubles(SC.totals(SC.projection(_metrics_last(spark, sf_dir))))

@@ -33,7 +33,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        # exact: the driver hashes values, so no tolerance here
+        return repr(v)
     if hasattr(v, "tolist"):
         return str(v.tolist())
     if isinstance(v, (list, tuple, dict)):
