@@ -70,10 +70,12 @@ def clean(raw: DataFrame) -> DataFrame:
     # over all tasks, and exact copies are dropped map-side first. The
     # customer-month rollup that follows pre-aggregates map-side again, so
     # its own exchange carries at most one row per customer-month and task.
-    d = dedup(t)
+    # The grouping keeps each distinct row's multiplicity (n_copies), so the
+    # cleaning report is a by-product of this pass.
+    d = t.groupBy("tenant_id", *CANONICAL).agg(F.count(F.lit(1)).alias("n_copies"))
     return d.select(
         "tenant_id", C.text_key(F.col("customer_id")).alias("customer_id"), "date", "amount",
-        C.normalize_status(F.col("status")).alias("status"), "currency",
+        C.normalize_status(F.col("status")).alias("status"), "currency", "n_copies",
         C.period_idx(F.col("date")).alias("period_idx"),
         C.period_label(C.period_idx(F.col("date"))).alias("period"))
 
@@ -97,6 +99,23 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
                     (F.col("_ncur") > 1).alias("multicurrency_error")))
 
 
+def cleaning_report_from_history(hist: DataFrame) -> DataFrame:
+    """C9 from the materialized rollup: the dedup pass kept each distinct
+    row's multiplicity and the rollup summed the counters per customer-month
+    (undated rows included), so no second pass over the facts is needed."""
+    return (hist.groupBy("tenant_id").agg(
+                F.sum("n_raw_rows").alias("rows_before"),
+                F.sum("n_rows").alias("rows_after"),
+                F.sum("n_zero").alias("zeros_count"),
+                F.sum("n_negative").alias("negatives_count"),
+                F.min("currency_min").alias("_cmin"), F.max("currency_max").alias("_cmax"))
+            .select("tenant_id", "rows_before",
+                    (F.col("rows_before") - F.col("rows_after")).alias("duplicates_removed"),
+                    "zeros_count", "negatives_count", "rows_after",
+                    F.lit(False).alias("encoding_warning"),
+                    F.coalesce(F.col("_cmin") != F.col("_cmax"), F.lit(False)).alias("multicurrency_error")))
+
+
 def currency_conflicts(subs: DataFrame) -> DataFrame:
     """Tenants whose export holds more than one distinct currency."""
     return (subs.where(F.col("currency").isNotNull())

@@ -40,6 +40,11 @@ def customer_month(subs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("amount") < 0, -amt)).alias("refund_abs"),
         F.sum(F.when(F.col("amount") > 0, amt)).alias("positive_amt"),
         F.count(F.lit(1)).alias("n_rows"),
+        (F.sum("n_copies") if "n_copies" in subs.columns else F.count(F.lit(1))).alias("n_raw_rows"),
+        F.count_if(F.col("amount") == 0).alias("n_zero"),
+        F.count_if(F.col("amount") < 0).alias("n_negative"),
+        F.min("currency").alias("currency_min"),
+        F.max("currency").alias("currency_max"),
     ).select(
         *CM_KEYS,
         F.coalesce("paying_amt", F.lit(0).cast(C.MONEY)).alias("paying_amt"),
@@ -49,7 +54,7 @@ def customer_month(subs: DataFrame) -> DataFrame:
         (F.col("n_past_due") > 0).alias("has_past_due"),
         F.coalesce("refund_abs", F.lit(0).cast(C.MONEY)).alias("refund_abs"),
         F.coalesce("positive_amt", F.lit(0).cast(C.MONEY)).alias("positive_amt"),
-        "max_paying_row", "n_rows",
+        "max_paying_row", "n_rows", "n_raw_rows", "n_zero", "n_negative", "currency_min", "currency_max",
     ))
 
 
@@ -64,6 +69,7 @@ def customer_history(cm: DataFrame) -> DataFrame:
     return cm.select(
         "tenant_id", "customer_id", "period_idx", "paying_amt", "is_paying", "has_active_status",
         "has_churned", "has_past_due", "refund_abs", "positive_amt",
+        "n_rows", "n_raw_rows", "n_zero", "n_negative", "currency_min", "currency_max",
         F.min("period_idx").over(by_cust).alias("first_seen_idx"),
         F.min(pay_idx).over(by_cust).alias("cohort_idx"),
         F.last(pay_idx, ignorenulls=True).over(before).alias("prev_pay_idx"),

@@ -1032,8 +1032,8 @@ JOIN (SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE amount = 0) AS zer
              count(*) FILTER (WHERE amount < 0) AS negs, count(DISTINCT currency) AS ncur
       FROM subs GROUP BY tenant_id) d ON d.tenant_id = r.tenant_id""")
 def q_cleaning_report(spark, sf_dir):
-    """Cleaning counters per tenant."""
-    return CL.cleaning_report(tables.raw_billing_rows(spark, sf_dir))
+    """Cleaning counters per tenant (a by-product of the rollup pass)."""
+    return CL.cleaning_report_from_history(rollup_of(spark, sf_dir).hist)
 
 
 @register("paying_rows", _RAW_DEDUP + """
