@@ -126,9 +126,12 @@ def _age_starts(long_ev: DataFrame, first_ev: DataFrame, levels: int, max_age_us
 
 def mark_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
                   max_age_seconds: int = SESSION_MAX_AGE_SECONDS, chunk_seconds: int = 3600,
-                  **kw) -> DataFrame:
+                  idle_marked: DataFrame | None = None, **kw) -> DataFrame:
     """T1 + T2: every event with its final ``session_idx`` (1-based per user).
 
+    ``idle_marked`` may pass an already materialized T1 marking (the output
+    of ``mark_idle_sessions`` for the same events and idle limit).
+
     The age restart is recursive (each restart moves the session start). It
     only matters inside idle sessions longer than max_age; there, starts are
     found by pointer doubling (see ``_age_starts``) and each event is given
@@ -142,8 +145,9 @@ def mark_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
     from recurra.session import materialize
     spark = events.sparkSession
     max_age_us, chunk_us = max_age_seconds * MICROS, chunk_seconds * MICROS
-    idle = materialize(spark, mark_idle_sessions(events, idle_seconds=idle_seconds,
-                                                 chunk_seconds=chunk_seconds, **kw), "idle_sessions")
+    idle = idle_marked if idle_marked is not None else materialize(
+        spark, mark_idle_sessions(events, idle_seconds=idle_seconds, chunk_seconds=chunk_seconds, **kw),
+        "idle_sessions")
     keys = ["user_id", "idle_idx"]
     idle = idle.withColumnRenamed("session_idx", "idle_idx")
     spans = (idle.groupBy(*keys)

@@ -650,6 +650,28 @@ _SESS_OUT = """SELECT user_id, CAST(session_idx AS BIGINT) AS session_idx, min(t
        max(ts) AS session_end, count(*) AS n_events, round((max(t) - min(t)) / 1000000, 6) AS duration_seconds"""
 
 
+_IDLE_MARKS: dict[tuple, DataFrame] = {}
+
+
+def idle_marks_of(spark, sf_dir):
+    """The T1 marking of the event log, materialized once per input and
+    session (read by the idle and the max-age plans)."""
+    import os
+
+    from recurra.session import materialize
+    p = f"{sf_dir.rstrip('/')}/events.parquet"
+    try:
+        st = os.stat(p)
+        ident = (p, st.st_size, int(st.st_mtime))
+    except OSError:
+        ident = (p, None, None)
+    key = (id(spark), spark.sparkContext.applicationId, ident)
+    if key not in _IDLE_MARKS:
+        _IDLE_MARKS[key] = materialize(
+            spark, SE.mark_idle_sessions(tables.read_table(spark, sf_dir, "events")), "idle_sessions")
+    return _IDLE_MARKS[key]
+
+
 @register("sessions_idle", f"""WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t FROM events),
 l AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS pt FROM e),
 m AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt > 1800000000 THEN 1 ELSE 0 END)
@@ -657,7 +679,7 @@ m AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt > 1800000000 THEN 1 ELSE 0 EN
 {_SESS_OUT} FROM m GROUP BY user_id, session_idx""")
 def q_sessions_idle(spark, sf_dir):
     """Sessions split by inactivity strictly over 30 minutes."""
-    return round_doubles(SE.idle_sessions(tables.read_table(spark, sf_dir, "events")))
+    return round_doubles(SE.summarize(idle_marks_of(spark, sf_dir)))
 
 
 @register("sessions_max_age", f"""WITH RECURSIVE
@@ -676,7 +698,8 @@ m AS (SELECT e.user_id, w.session_idx, e.ts, e.t FROM walk w JOIN e ON e.user_id
 {_SESS_OUT} FROM m GROUP BY user_id, session_idx""")
 def q_sessions_max_age(spark, sf_dir):
     """T1 + T2: idle expiry plus the 8-hour maximum session age."""
-    return round_doubles(SE.sessions(tables.read_table(spark, sf_dir, "events")))
+    events = tables.read_table(spark, sf_dir, "events")
+    return round_doubles(SE.summarize(SE.mark_sessions(events, idle_marked=idle_marks_of(spark, sf_dir))))
 
 
 # --- privacy, names, entitlements, feedback (E1-E4, R6-R7, S8) --------------------
