@@ -195,3 +195,17 @@ def test_safe_name(spark, name, expected):
     from recurra.operators.privacy import safe_name
     df = spark.createDataFrame([(name,)], "n string")
     assert df.select(safe_name(F.col("n"))).first()[0] == expected
+
+
+def test_cleaning_report_from_rollup_equals_direct(spark):
+    from recurra.operators import clean as CL
+    from recurra.operators import metrics as MX
+    rows = [("A", "2024-01-01", "49", "active", "USD"), ("A", "2024-01-01", "49.00", "active", "USD"),
+            ("A", "2024-01-01", "49", "active", "USD"), ("B", "2024-02-01", "0", "active", "USD"),
+            ("C", "bad date", "-5", "active", "USD"), ("C", "bad date", "-5", "active", "USD"),
+            ("D", "2024-02-03", "-7", "churned", "EUR"), ("E", "2024-02-03", "x", "trial", None)]
+    raw = raw_frame(spark, rows)
+    direct = {k: v for k, v in CL.cleaning_report(raw).first().asDict().items()}
+    via = {k: v for k, v in CL.cleaning_report_from_history(MX.Rollup(CL.clean(raw)).hist).first().asDict().items()}
+    assert direct == via
+    assert via["rows_before"] == 8 and via["duplicates_removed"] == 3 and via["multicurrency_error"] is True
