@@ -36,8 +36,7 @@ def document_edits(docs: DataFrame) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    before = token_counts.trees(docs)
-    after = token_counts.apply_edits(before.withColumn("n_before", F.get("tree", F.lit(1))), document_edits(docs))
+    after = token_counts.apply_edits(token_counts.trees(docs), document_edits(docs))
     return after.select("doc_id", "n_before", F.get("tree", F.lit(1)).alias("n_tokens"), F.size("leaf_chars").alias("n_leaves"),
                         F.length("text").cast("long").alias("n_chars"), "n_edits", "encoded_chars")
 

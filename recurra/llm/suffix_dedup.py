@@ -460,14 +460,18 @@ def open_windows(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(doc_id, kept, spans, n_bytes, n_removed, n_spans, kept_sha256); kept is binary: a cut may fall inside a character."""
+    """(doc_id, text, spans, n_bytes, n_removed, n_spans, kept_sha256).
+
+    spans are the removed byte ranges, and the numbers and the digest follow them. text is what is left as a string:
+    there a character that a span's edge cuts through stays whole.
+    """
     rows = clean_docs(docs).where(F.col("doc_id").isNotNull())
     rows = rows if unique_ids(docs) else one_per_id(rows)
     marks = anchor_marks(rows, window, hot)
     covered = marks.where(F.col("kind") == COVERED).union(open_windows(rows, marks, window))
     per_doc = covered.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("marks"))
     reach = window - ANCHOR
-    schema = ("doc_id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long, n_removed long, "
+    schema = ("doc_id long, text string, spans array<struct<start:long,end:long>>, n_bytes long, n_removed long, "
               "n_spans long, kept_sha256 string")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -484,9 +488,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
                     np.add.at(mark, np.minimum(hi, len(data)), -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist()
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if edge else data
-                out.append((doc_id, kept, [{"start": s, "end": e} for s, e in edge], len(data), int(gone.sum()), len(edge), hashlib.sha256(kept).hexdigest()))
-            yield _batch(out, ["doc_id", "kept", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-                         [pa.int64(), pa.binary(), span, pa.int64(), pa.int64(), pa.int64(), pa.string()])
+                raw = np.frombuffer(data, np.uint8)
+                kept = raw[~gone].tobytes() if edge else data
+                inside = np.append(raw & 0xC0 == 0x80, False)  # bytes that go on with a character
+                clean, at = [], 0
+                for s, e in edge:
+                    while s < e and inside[s]:
+                        s += 1
+                    while e > s and inside[e]:
+                        e -= 1
+                    clean.append(data[at:s])
+                    at = e
+                clean = b"".join([*clean, data[at:]]).decode("utf-8", "surrogatepass")
+                out.append((doc_id, clean, [{"start": s, "end": e} for s, e in edge], len(data), int(gone.sum()), len(edge), hashlib.sha256(kept).hexdigest()))
+            yield _batch(out, ["doc_id", "text", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                         [pa.int64(), pa.string(), span, pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
     return rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(cut, schema)

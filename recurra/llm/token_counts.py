@@ -170,19 +170,20 @@ def trees(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 
 def apply_edits(tree_rows: DataFrame, edits: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The tree table after ``edits``, with n_edits and the characters encoded again."""
+    """The tree table after ``edits``, with the tokens before, n_edits and the characters encoded again."""
     vocabulary = (path, pattern) if path and pattern else default_vocabulary()
     own = edits.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "seq", F.col("start").cast("long"), F.col("removed").cast("long"), F.coalesce("inserted", F.lit("")).alias("inserted")))).alias("edits"))
+        "seq", F.col("start").cast("long").alias("start"), F.col("removed").cast("long").alias("removed"), F.coalesce("inserted", F.lit("")).alias("inserted")))).alias("edits"))
     rows = tree_rows.join(own, "doc_id", "left")
-    schema = TREES + ", n_edits int, encoded_chars long"
+    schema = TREES + ", n_before long, n_edits int, encoded_chars long"
 
     def run(batches):
         counts = counter(*vocabulary)
         for b in batches:
-            done, n = [], []
+            done, n, before = [], [], []
             for text, chars, tree, todo in zip(*(b.column(c).to_pylist() for c in ("text", "leaf_chars", "tree", "edits"))):
                 d = Document(text, chars, tree, counts)
+                before.append(d.total)
                 for e in todo or ():
                     d.edit(e["start"] or 0, e["removed"] or 0, e["inserted"])
                 done.append(d)
@@ -190,7 +191,7 @@ def apply_edits(tree_rows: DataFrame, edits: DataFrame, path: str | None = None,
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([d.text for d in done], pa.string()),
                  pa.array([d.chars for d in done], pa.list_(pa.int32())), pa.array([d.tree for d in done], pa.list_(pa.int64())),
-                 pa.array(n, pa.int32()), pa.array([d.encoded for d in done], pa.int64())],
-                ["doc_id", "text", "leaf_chars", "tree", "n_edits", "encoded_chars"])
+                 pa.array(before, pa.int64()), pa.array(n, pa.int32()), pa.array([d.encoded for d in done], pa.int64())],
+                ["doc_id", "text", "leaf_chars", "tree", "n_before", "n_edits", "encoded_chars"])
 
     return rows.select("doc_id", "text", "leaf_chars", "tree", "edits").mapInArrow(run, schema)
