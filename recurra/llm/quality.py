@@ -8,8 +8,8 @@ other labelled texts than those of the dictionaries and weighted to the true
 shares of the labels, turns it into a probability of label 1.
 
 Fitting reads a bounded sample of the labelled rows: ``per_class`` texts of
-each class for the dictionaries and as many for the curve, of ``max_bytes``
-at most each, chosen by a hash of the doc_id. Scoring reads every whole text.
+each class for the dictionaries and as many for the curve, chosen by a hash of
+the doc_id; texts of more than ``max_bytes`` are left out of the sample. Scoring reads every whole text.
 Labels, language, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts get the score of a difference of zero;
@@ -89,8 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: in
     texts = clean_docs(docs).where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes))
     taken = []
     for q in (1, 0):
-        rows = (texts.join(marked.where(F.col("quality") == q), "doc_id")
-                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).select("text").toLocalIterator())
+        # The sample is drawn from the labels, so that texts are met by a list of bounded length and never shuffled.
+        ids = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).select("doc_id")
+        rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toLocalIterator()
         taken.append([r["text"].encode("utf-8", "surrogatepass") for r in rows])
     if min(map(len, taken)) < 4:
         return model
