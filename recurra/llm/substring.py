@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.common import U64, WordHash, clean_docs, deal, ngrams, one_per_id, pack, run_starts, shuffle_partitions, text_slices, unique_ids, unpack
+from recurra.llm.common import U64, WordHash, clean_docs, deal, mix, ngrams, one_per_id, pack, run_starts, shuffle_partitions, text_slices, unique_ids, unpack
 
 WINDOW = 13
 
@@ -127,7 +127,7 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts): packed starts of the windows that also start in a smaller doc_id."""
+    """(doc_id, starts): packed starts of the windows that also start in a smaller doc_id; one row per document."""
     block, n_buckets = (window + 1) // 2, shuffle_partitions(docs)
     reach = window - block
 
@@ -171,14 +171,23 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
             least = np.repeat(doc[first], np.diff(np.append(first, len(lo))))
             again = doc > least
             doc, pos = doc[again], pos[again]
+            # Replies travel in one blob per bucket and target, not in a row per bucket and document.
+            to = (mix(doc.view(U64)) % U64(n_buckets)).astype(np.int64)
+            yield _rows(list(deal(to, n_buckets, doc, pos)), ["target", "data"], [pa.int32(), pa.binary()])
+
+    def gather(batches):
+        blobs = [d for b in batches for d in b.column("data").to_pylist()]
+        if blobs:
+            doc, pos = (np.concatenate(x) for x in zip(*(unpack(d, np.int64, np.uint32) for d in blobs)))
             order = np.argsort(doc, kind="stable")
             doc, pos = doc[order], pos[order]
             cut = np.flatnonzero(run_starts(doc))
-            out = [(d, pack(p)) for d, p in zip(doc[cut].tolist(), np.split(pos, cut[1:]))] if len(doc) else []
+            out = [(d, pack(p)) for d, p in zip(doc[cut].tolist(), np.split(pos, cut[1:]))]
             yield _rows(out, ["doc_id", "starts"], [pa.int64(), pa.binary()])
 
     rows = docs.join(hit_rows, "doc_id").select("doc_id", "text", "hits").mapInArrow(extend, "bucket int, data binary")
-    return rows.repartition(n_buckets, "bucket").mapInArrow(settle, "doc_id long, starts binary")
+    found = rows.repartition(n_buckets, "bucket").mapInArrow(settle, "target int, data binary")
+    return found.repartition(n_buckets, "target").mapInArrow(gather, "doc_id long, starts binary")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -188,18 +197,16 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = clean_docs(docs).where(F.col("doc_id").isNotNull())
     rows = rows if unique_ids(docs) else one_per_id(rows)
-    found = repeated_windows(rows, hits(rows, window), window)
-    # A bucket gives one blob per document, so a document's list is bounded by its words.
-    per_doc = found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    per_doc = repeated_windows(rows, hits(rows, window), window)
     schema = "doc_id long, text string, spans array<struct<start:int,end:int>>, n_words long, n_removed long, kept_sha256 string"
 
     def cut(batches):
         for b in batches:
             out = []
-            for doc_id, text, blobs in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("starts").to_pylist()):
+            for doc_id, text, data in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("starts").to_pylist()):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 mark = np.zeros(len(words) + 1, np.int32)
-                for data in blobs or ():
+                if data:
                     at = unpack(data, np.uint32)[0]
                     np.add.at(mark, at, 1)
                     np.add.at(mark, at + window, -1)
