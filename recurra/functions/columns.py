@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -12,7 +11,7 @@ from recurra.functions.constants import PANDAS_NA_STRINGS, STATUS_MAP
 
 # Money is summed as a long-backed decimal so totals are exact and do not
 # depend on partitioning or summation order.
-MONEY = "decimal(18,4)"
+MONEY = "decimal(28,4)"
 
 # A plain decimal number in text form (rejects '49d', '$5', '1,000').
 NUMERIC_TEXT = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
@@ -39,12 +38,18 @@ def label_to_idx(label_col: Column) -> Column:
 
 
 def money(col: Column) -> Column:
-    return col.cast(MONEY)
+    return col.try_cast(MONEY)
+
+
+def strip(col: Column) -> Column:
+    """Text without Unicode white space at both ends (tabs, newlines, no-break spaces)."""
+    space = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+    return F.regexp_replace(col.cast("string"), f"^{space}|{space}$", "")
 
 
 def normalize_status(raw: Column) -> Column:
     """strip, then exact-key map to the canonical status, else lower()."""
-    stripped = F.trim(raw.cast("string"))
+    stripped = strip(raw)
     mapping = F.create_map(*[F.lit(x) for x in chain.from_iterable(STATUS_MAP.items())])
     return F.coalesce(F.element_at(mapping, stripped), F.lower(stripped))
 
@@ -56,7 +61,7 @@ def null_if_na_string(col: Column) -> Column:
 
 def text_key(col: Column) -> Column:
     """astype(str).strip(): a missing value becomes the literal 'nan'."""
-    return F.coalesce(F.trim(col.cast("string")), F.lit("nan"))
+    return F.coalesce(strip(col), F.lit("nan"))
 
 
 def parse_amount_expr(col_name: str) -> Column:
@@ -83,16 +88,3 @@ def is_paying(status: Column | None = None, amount: Column | None = None) -> Col
     status = F.col("status") if status is None else status
     amount = F.col("amount") if amount is None else amount
     return (status == "active") & (amount > 0)
-
-
-def any_true(cond: Column) -> Column:
-    return F.max(cond.cast("int")) == 1
-
-
-def r6(col: Column) -> Column:
-    """Ratios are reported rounded to 6 decimals (stable across engines)."""
-    return F.round(col, 6)
-
-
-def all_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols)

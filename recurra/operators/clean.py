@@ -34,13 +34,12 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def dedup(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Exact-duplicate removal on typed values (NULLs compare equal).
+    """Exact-duplicate removal on the typed values of all columns (NULLs compare equal).
 
     Expressed as a grouping so duplicates are combined map-side before the
     shuffle; the key includes date and amount, so one hot customer is spread
     over many tasks.
     """
-    keys = keys or [c for c in ["tenant_id", *CANONICAL] if c in df.columns]
     return df.dropDuplicates(keys)
 
 
@@ -50,29 +49,24 @@ def normalize(df: DataFrame) -> DataFrame:
     return out.withColumn("customer_id", C.text_key(F.col("customer_id")))
 
 
-def with_period(df: DataFrame) -> DataFrame:
-    idx = C.period_idx(F.col("date"))
-    return df.withColumn("period_idx", idx).withColumn("period", C.period_label(F.col("period_idx")))
-
-
 def clean(raw: DataFrame) -> DataFrame:
     """The clean ``subscriptions`` table.
 
     Zero and negative amounts are kept; NULL dates stay (they only drop out
     of month-grouped metrics).
     """
-    cols = [c for c in ["tenant_id", *CANONICAL] if c in raw.columns]
-    t = typed(raw.select(*cols))
+    t = typed(raw)
     if "currency" not in t.columns:
         t = t.withColumn("currency", F.lit(None).cast("string"))
-    # De-duplicate on the raw typed values (before normalisation). The
-    # exchange hashes whole rows, so even one hot customer-month is spread
+    # De-duplicate on the raw typed values of every column the export has
+    # (before normalisation): two rows are copies only if they agree in the
+    # pass-through columns too, e.g. the order line they bill. The exchange hashes whole rows, so even one hot customer-month is spread
     # over all tasks, and exact copies are dropped map-side first. The
     # customer-month rollup that follows pre-aggregates map-side again, so
     # its own exchange carries at most one row per customer-month and task.
     # The grouping keeps each distinct row's multiplicity (n_copies), so the
     # cleaning report is a by-product of this pass.
-    d = t.groupBy("tenant_id", *CANONICAL).agg(F.count(F.lit(1)).alias("n_copies"))
+    d = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n_copies"))
     return d.select(
         "tenant_id", C.text_key(F.col("customer_id")).alias("customer_id"), "date", "amount",
         C.normalize_status(F.col("status")).alias("status"), "currency", "n_copies",
@@ -82,8 +76,8 @@ def clean(raw: DataFrame) -> DataFrame:
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
     """Per-tenant counters of the cleaning step."""
-    keys = ["tenant_id", *[c for c in CANONICAL if c in raw.columns]]
-    t = typed(raw.select(*keys))
+    t = typed(raw)
+    keys = t.columns
     # One pass: distinct rows with their multiplicity, then per tenant.
     d = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_mult"))
     return (d.groupBy("tenant_id").agg(
@@ -157,7 +151,7 @@ def row_cap(raw: DataFrame, plan: str | DataFrame = "pro",
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                    n: Column, salt_buckets: int = 64) -> DataFrame:
+                    n: Column, salt_buckets: int = 16) -> DataFrame:
     """Exact first-n rows per group, safe when one group holds most rows.
 
     Stage 1 ranks inside (group, salt) buckets and keeps at most n per

@@ -79,7 +79,7 @@ def auto_map_columns(catalog: DataFrame) -> DataFrame:
     at once (first by ordinal); otherwise the best score >= 75, first column
     on ties. A column serves one field. Five fixed rounds, all sources at once.
     Returns (source_id, field, column, score); unmapped fields are absent."""
-    scores = name_match_scores(catalog).where(F.col("exact") | (F.col("score") >= FUZZY_THRESHOLD)).cache()
+    scores = name_match_scores(catalog).where(F.col("exact") | (F.col("score") >= FUZZY_THRESHOLD))
     assigned = None
     for f in FIELD_ORDER:
         cand = scores.where(F.col("field") == f)

@@ -2,9 +2,8 @@
 
 All of it is JVM-side ``regexp_replace`` over whole texts (no prefixes, no
 Python per row). The five PII patterns run in the reference's order.
-Character classes use Java's defaults, which are ASCII for \\d, \\b and \\s
-(the reference runs Python's Unicode classes; texts with non-ASCII digits
-or whitespace next to a match can differ).
+Character classes are Unicode ((?U)), so a token after ``Bearer`` and a
+no-break space is scrubbed too.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ def scrub_pii(text: Column) -> Column:
     """Apply every pattern in order (email, bearer, token field, key, IPv4)."""
     out = text
     for pattern, replacement in PII_PATTERNS:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement.replace("$", "\\$")))
+        out = F.regexp_replace(out, F.lit("(?U)" + pattern), F.lit(replacement.replace("$", "\\$")))
     return out
 
 
@@ -55,5 +54,4 @@ def safe_name(name: Column, default: str = "report") -> Column:
 
 
 def scrub_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    from recurra.session import spread
-    return spread(docs).withColumn(text_col, scrub_pii(F.col(text_col)))
+    return docs.withColumn(text_col, scrub_pii(F.col(text_col)))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.functions.constants import PERIOD_PATTERN, SNAPSHOT_METRIC_KEYS
+from recurra.session import materialize
 
 SERVICE_COLUMNS = ["snapshot_id", "user_id", "created_at", "source"]
 SNAPSHOT_COLUMNS = ["snapshot_id", "user_id", "period", *SNAPSHOT_METRIC_KEYS, "source", "created_at"]
@@ -41,17 +42,23 @@ def snapshot_rows(metrics: DataFrame, source: str = "billing") -> DataFrame:
 
 def snapshot_rejects(rows: DataFrame) -> DataFrame:
     """S3: blank user_id, blank period or a period not shaped YYYY-MM."""
+    reason = reject_reason()
+    return rows.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
+
+
+def reject_reason() -> Column:
+    """Why a row's key is invalid, or NULL."""
     blank_user = F.coalesce(F.trim(F.col("user_id")) == "", F.lit(True))
     blank_period = F.coalesce(F.trim(F.col("period")) == "", F.lit(True))
     bad_shape = ~F.coalesce(F.col("period").rlike(PERIOD_PATTERN), F.lit(False))
-    reason = (F.when(blank_user, F.lit("blank_user_id"))
-               .when(blank_period, F.lit("blank_period"))
-               .when(bad_shape, F.lit("bad_period_format")))
-    return rows.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
+    return (F.when(blank_user, F.lit("blank_user_id"))
+             .when(blank_period, F.lit("blank_period"))
+             .when(bad_shape, F.lit("bad_period_format")))
 
 
 def valid_rows(rows: DataFrame) -> DataFrame:
-    return rows.join(snapshot_rejects(rows).select("user_id", "period"), ["user_id", "period"], "left_anti")
+    """S3: the rows whose key is valid."""
+    return rows.where(reject_reason().isNull())
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -59,8 +66,14 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Metric keys present in ``incoming`` overwrite (a present NULL overwrites
     too); keys absent from ``incoming`` keep the stored value. New keys are
-    inserted. An equi full-outer join on the unique key, no window needed.
+    inserted. Rows with an invalid key are rejected first; of several incoming
+    rows for one key the one taken last (by created_at) counts.
     """
+    incoming = valid_rows(incoming)
+    last = [F.col("created_at")] if "created_at" in incoming.columns else []
+    values = [c for c in incoming.columns if c not in ("user_id", "period")]
+    newest = F.max(F.struct(*last, *[c for c in values if c != "created_at"]))
+    incoming = incoming.groupBy("user_id", "period").agg(newest.alias("_row")).select("user_id", "period", "_row.*")
     inc_keys = [k for k in SNAPSHOT_METRIC_KEYS if k in incoming.columns]
     inc = incoming.select("user_id", "period", F.lit(True).alias("_hit"),
                           *[F.col(k).alias(f"_in_{k}") for k in inc_keys],
@@ -80,13 +93,26 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def write_snapshots(rows: DataFrame, path: str) -> None:
-    """Sink: parquet partitioned by period; only touched periods are replaced."""
+    """Sink: parquet partitioned by period; only the periods that ``rows`` holds are replaced.
+
+    ``rows`` must hold a touched period whole and must not be read from
+    ``path`` itself; :func:`upsert_into` takes care of both.
+    """
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("period").parquet(path))
 
 
 def read_snapshots(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.select(*[F.col(c).cast("string") if c == "period" else F.col(c) for c in SNAPSHOT_COLUMNS])
+
+
+def upsert_into(spark, path: str, incoming: DataFrame) -> None:
+    """S2 sink: merges ``incoming`` into the store and rewrites the touched periods alone."""
+    touched = valid_rows(incoming).select("period").distinct()
+    existing = read_snapshots(spark, path).join(touched, "period", "left_semi")
+    merged = materialize(spark, upsert(existing, incoming).select(*SNAPSHOT_COLUMNS), "snapshot-upsert")
+    write_snapshots(merged, path)
 
 
 def history(snaps: DataFrame, user_id: str | None = None) -> DataFrame:
@@ -146,5 +172,19 @@ def csv_frame(snaps: DataFrame) -> DataFrame:
 
 
 def write_csv(snaps: DataFrame, path: str) -> None:
-    """S7 sink: header row, NULL as empty field."""
-    csv_frame(snaps).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+    """S7 sink for one user: one CSV file ordered by period, header row, NULL as empty field.
+
+    A user has one row per month, so one file is enough; a frame with several
+    users is refused (see :func:`write_all_csv`).
+    """
+    if snaps.select("user_id").distinct().limit(2).count() > 1:
+        raise ValueError("write_csv takes the snapshots of one user")
+    rows = csv_frame(snaps).repartition(1).sortWithinPartitions("period")
+    rows.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+
+
+def write_all_csv(snaps: DataFrame, path: str) -> None:
+    """S7 sink for all users: a folder per user with one ordered file."""
+    rows = snaps.select("user_id", *csv_columns(snaps)).repartition("user_id").sortWithinPartitions("user_id", "period")
+    (rows.write.mode("overwrite").option("header", True).option("nullValue", "")
+         .partitionBy("user_id").csv(path))

@@ -51,25 +51,27 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROLLUPS: dict[tuple, MX.Rollup] = {}
 
 
-def _input_key(sf_dir: str) -> tuple:
-    """Identity of the billing inputs (path, size, mtime of each table)."""
-    import os
+def table_files(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Identity of input tables: path, length and modification time of every file, by Spark's file system."""
     key = [sf_dir.rstrip("/")]
-    for t in ("lineitem", "orders", "customer"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            key.append((t, st.st_size, int(st.st_mtime)))
-        except OSError:
-            key.append((t, None, None))
-    return tuple(key)
+    for t in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            key.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (key[0], *sorted(key[1:]))
+
+
+def _input_key(spark: SparkSession, sf_dir: str) -> tuple:
+    return table_files(spark, sf_dir, "lineitem", "orders", "customer")
 
 
 def rollup_of(spark: SparkSession, sf_dir: str) -> MX.Rollup:
     """The materialized rollup of the billing facts, built once per input
     and session (like a materialized view) and shared by every metric,
     cohort, forecast, snapshot and report plan."""
-    key = (id(spark), spark.sparkContext.applicationId, _input_key(sf_dir))
+    key = (id(spark), spark.sparkContext.applicationId, _input_key(spark, sf_dir))
     r = _ROLLUPS.get(key)
     if r is None:
         r = MX.Rollup(subscriptions(spark, sf_dir), materialize=True)
@@ -199,13 +201,15 @@ def q_cohort_top_k(spark, sf_dir):
 
 
 @register("cohort_table", f"""WITH {_COHORT_SQL}
-PIVOT (SELECT tenant_id, cohort, size, 'month_' || month_n AS m, round_even(pct_exact, 1) AS pct FROM grid)
-ON m USING first(pct) GROUP BY tenant_id, cohort, size""")
+SELECT tenant_id, cohort, size, 'month_' || month_n AS month, round_even(pct_exact, 1) AS pct
+FROM grid WHERE pct_exact IS NOT NULL""")
 def q_cohort_table(spark, sf_dir):
-    """Wide table; width = the largest tenant horizon (one scalar job)."""
-    grid = CO.cohort_grid(_hist(spark, sf_dir)).cache()
+    """Wide table (width = the largest tenant horizon, one scalar job), its cells listed by column name."""
+    grid = materialize(spark, CO.cohort_grid(_hist(spark, sf_dir)), "cohort-grid")
     horizon = grid.agg(F.max("month_n")).first()[0]
-    return CO.cohort_table(grid, int(horizon or 0))
+    wide = CO.cohort_table(grid, int(horizon or 0))
+    keys = ["tenant_id", "cohort", "size"]
+    return wide.unpivot(keys, [c for c in wide.columns if c not in keys], "month", "pct").where("pct IS NOT NULL")
 
 
 # --- forecast (F1-F7, S13, S17) -------------------------------------------------
@@ -519,7 +523,7 @@ SELECT user_id, period, active_subscribers, round(arpu, 6) AS arpu, round(arr, 6
        round(churn_rate, 6) AS churn_rate, round(ltv, 6) AS ltv, round(mrr, 6) AS mrr, round(nrr, 6) AS nrr,
        round(total_revenue, 6) AS total_revenue FROM snaps""")
 def q_snapshot_csv(spark, sf_dir):
-    """Export columns per user (the sink writes one folder per user)."""
+    """Export columns per user (the sink writes one ordered file per user folder)."""
     s = _snaps(spark, sf_dir)
     return round_doubles(s.select("user_id", *SN.csv_columns(s)))
 
@@ -644,6 +648,7 @@ def q_quality_messages(spark, sf_dir):
 
 # --- session rules on events (T1, T2) --------------------------------------------
 
+from recurra.session import materialize  # noqa: E402
 from recurra.operators import sessions as SE  # noqa: E402
 
 _SESS_OUT = """SELECT user_id, CAST(session_idx AS BIGINT) AS session_idx, min(ts) AS session_start,
@@ -656,15 +661,7 @@ _IDLE_MARKS: dict[tuple, DataFrame] = {}
 def idle_marks_of(spark, sf_dir):
     """The T1 marking of the event log, materialized once per input and
     session (read by the idle and the max-age plans)."""
-    import os
-
-    from recurra.session import materialize
-    p = f"{sf_dir.rstrip('/')}/events.parquet"
-    try:
-        st = os.stat(p)
-        ident = (p, st.st_size, int(st.st_mtime))
-    except OSError:
-        ident = (p, None, None)
+    ident = table_files(spark, sf_dir, "events")
     key = (id(spark), spark.sparkContext.applicationId, ident)
     if key not in _IDLE_MARKS:
         _IDLE_MARKS[key] = materialize(
@@ -1005,8 +1002,8 @@ SELECT tenant_id, customer_id, date, round(amount, 6) AS amount, status, currenc
 def q_dedup(spark, sf_dir):
     """Exact duplicates removed (typed values)."""
     raw = tables.raw_billing_rows(spark, sf_dir)
-    d = CL.dedup(CL.normalize(CL.typed(raw.select("tenant_id", *CL.CANONICAL))))
-    return round_doubles(d)
+    d = CL.dedup(CL.normalize(CL.typed(raw)))
+    return round_doubles(d.select("tenant_id", *CL.CANONICAL))
 
 
 @register("normalize_status", _RAW_DEDUP + """

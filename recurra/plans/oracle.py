@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from recurra.sources.tables import RAW_BILLING_SQL
 
-# Clean facts: dedup on the canonical columns, month ordinal, money decimal.
+# Clean facts: dedup on whole rows, month ordinal, money decimal.
 FACTS = RAW_BILLING_SQL + """,
-subs AS (SELECT DISTINCT tenant_id, customer_id, date, amount, status, currency FROM raw),
+subs AS (SELECT DISTINCT * FROM raw),
 s AS (SELECT *, CAST(year(date) * 12 + month(date) - 1 AS INTEGER) AS pidx,
              CAST(amount AS DECIMAL(18,4)) AS amt FROM subs),
 pay AS (SELECT tenant_id, customer_id, pidx, sum(amt) AS amt

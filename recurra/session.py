@@ -3,7 +3,8 @@
 The library never creates machine-local scratch space on a cluster: anything
 that must be materialised (lineage cuts, snapshot tables) goes under the
 shared folder named by ``spark.checkpoint.dir``. Only when that setting is
-absent (local tests) do we fall back to a fresh ``/tmp`` folder.
+absent on a ``local`` master (tests) do we fall back to a fresh ``/tmp``
+folder; on a cluster the setting is required.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Splits of a table that is small for the cluster; plans do not depend on the size of the input.
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -51,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="recurra-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -74,15 +79,3 @@ def materialize(spark: SparkSession, df, name: str):
     path = shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def spread(df, factor: int = 2):
-    """Give CPU-heavy per-row work (regex scrubbing over whole texts) at
-    least ``factor`` x the cluster's cores in partitions. Input with enough
-    splits already (the normal case for large tables) is left as it is; a
-    few large files with one row group each would otherwise run in one task.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

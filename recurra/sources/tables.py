@@ -41,16 +41,15 @@ def raw_billing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Carries ``src_order``/``src_line`` as the ingest ordinal (file order).
     """
-    from recurra.session import spread
-    # A fact file with few row groups would feed the joins from one task.
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount",
-        "l_returnflag", "l_linestatus", "l_shipdate"))
+        "l_returnflag", "l_linestatus", "l_shipdate")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
 
-    joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-                .join(cust, orders.o_custkey == cust.c_custkey))
+    # Orders meet their customers first: the fact rows are joined (and shuffled) once, by order.
+    owned = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    joined = li.join(owned, li.l_orderkey == owned.o_orderkey)
     net = net_amount_cents()
     signed_cents = (F.when((F.col("l_returnflag") == "N") & (F.col("l_discount") < 0.01), F.lit(0))
                      .when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), -net)

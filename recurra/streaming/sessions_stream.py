@@ -11,8 +11,10 @@
   aggregate keyed by the month start, evicted by the watermark.
 
 ``run_to_parquet`` drives a stream over the available input with
-``availableNow`` and an end-of-input marker (a single far-future row under a
-separate source) so that the final sessions are closed and emitted too.
+``availableNow``. Only when all data has been read does an end-of-input marker
+(a single far-future row) appear in a second watched folder, and a further run
+of the same checkpointed query reads it, so that the final sessions are closed
+and emitted without making any data late.
 """
 
 from __future__ import annotations
@@ -76,7 +78,8 @@ def _session_fn(idle_us: int, max_age_us: int):
                 start, n, first_ts = t, 0, ts
             last, last_ts, n = t, ts, n + 1
         state.update((start, last, n, first_ts, last_ts))
-        state.setTimeoutTimestamp(int(last // 1000) + idle_us // 1000 + 1)
+        # A timeout must lie beyond the watermark, which may have passed a user's last event already.
+        state.setTimeoutTimestamp(max(int(last // 1000) + idle_us // 1000, state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame({"user_id": [user] * len(out), "session_start": [o[0] for o in out],
                                 "session_end": [o[1] for o in out], "n_events": [o[2] for o in out]})
@@ -109,23 +112,24 @@ def customer_month_stream(subs: DataFrame, watermark: str = "31 days") -> DataFr
                      F.count(F.lit(1)).alias("n_rows")))
 
 
-def _end_marker(spark: SparkSession, base: str, row: dict, schema: str) -> str:
-    path = os.path.join(base, "end-marker")
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(path)
-    return path
-
-
 def run_to_parquet(spark: SparkSession, build, source: str, schema: str, marker_row: dict,
-                   name: str, max_files: int = 1) -> DataFrame:
+                   name: str, max_bytes: str | None = None) -> DataFrame:
     """Run ``build(stream_df)`` over ``source`` (all available files) into a
     parquet sink under the shared folder and return the sink as a batch
-    DataFrame. The end marker advances the watermark past every real event
-    (max watermark policy), so append-mode results are complete."""
+    DataFrame.
+
+    All files are read in one micro-batch, so their order does not matter.
+    With ``max_bytes`` per micro-batch they are read in order of their
+    modification time, and the watermark delay of ``build`` must cover how far
+    files are out of event-time order.
+    """
     base = shared_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    marker = _end_marker(spark, base, marker_row, schema)
-    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if source.endswith(".parquet") and not os.path.isdir(source):
+    marker = os.path.join(base, "end-marker")
+    spark.createDataFrame([], schema).write.parquet(marker)
+    reader = spark.readStream.schema(schema)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    if source.endswith(".parquet") and _is_file(spark, source):
         # A single-file table: watch its folder, admit only that file name.
         folder, fname = os.path.split(source.rstrip("/"))
         data = reader.option("pathGlobFilter", fname).parquet(folder)
@@ -133,15 +137,21 @@ def run_to_parquet(spark: SparkSession, build, source: str, schema: str, marker_
         data = reader.parquet(source)
     end = spark.readStream.schema(schema).parquet(marker)
     out = build(data.unionByName(end))
-    q = (out.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", os.path.join(base, "checkpoint"))
-            .option("path", os.path.join(base, "sink"))
-            .trigger(availableNow=True).start())
-    q.awaitTermination()
-    # A second run lets the watermark reached at the end evict what is left.
-    q = (out.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", os.path.join(base, "checkpoint"))
-            .option("path", os.path.join(base, "sink"))
-            .trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def run():
+        q = (out.writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", os.path.join(base, "checkpoint"))
+                .option("path", os.path.join(base, "sink"))
+                .trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    spark.createDataFrame([marker_row], schema).coalesce(1).write.mode("append").parquet(marker)
+    run()  # reads the marker: the watermark passes every real event
+    run()  # evicts what that watermark closes
     return spark.read.schema(out.schema).parquet(os.path.join(base, "sink"))
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()

@@ -82,6 +82,37 @@ def test_sessions_stream_matches_batch(spark):
     assert idle.where(F.col("user_id") == 2).count() == 2
 
 
+def test_stream_over_many_files_loses_nothing(spark):
+    from recurra.operators import sessions as SE
+    from recurra.streaming import sessions_stream as SS
+    times = [(u, T0 + dt.timedelta(minutes=17 * k + 7 * u + (90 if k % 9 > 5 else 0))) for u in range(5) for k in range(60)]
+    ev = events_df(spark, times)
+    marker = {"event_id": -1, "ts": dt.datetime.fromisoformat(SS.END_MARKER_TS), "user_id": SS.END_MARKER_USER,
+              "event_type": "end", "value": 0.0, "props": None}
+    for layout in (ev.repartitionByRange(6, "ts"), ev.repartition(6)):
+        src = os.path.join(tempfile.mkdtemp(prefix="recurra-test-src-", dir="/tmp"), "events")
+        layout.write.parquet(src)
+        for build, batch in ((SS.sessions_stream, SE.sessions(ev)), (SS.idle_sessions_stream, None)):
+            out = SS.run_to_parquet(spark, build, src, SS.EVENT_SCHEMA, marker, "many")
+            out = out.where(F.col("user_id") != SS.END_MARKER_USER)
+            assert out.agg(F.sum("n_events")).first()[0] == len(times)
+            if batch is not None:
+                want = sorted((r["user_id"], r["session_start"], r["n_events"]) for r in batch.collect())
+                assert sorted((r["user_id"], r["session_start"], r["n_events"]) for r in out.collect()) == want
+
+
+def test_upsert_into_store(spark):
+    from recurra.operators import snapshots as SN
+    path = os.path.join(tempfile.mkdtemp(prefix="recurra-test-store-", dir="/tmp"), "s")
+    row = lambda u, p, mrr: ("1", u, p, mrr, 1.0, 1.0, 1.0, 1.0, 1.0, 1, 1.0, "a", T0)
+    SN.write_snapshots(snaps(spark, [row("u", "2024-01", 1.0), row("u", "2024-02", 2.0), row("v", "2024-02", 3.0)]), path)
+    SN.upsert_into(spark, path, snaps(spark, [row("u", "2024-02", 9.0), row(None, "2024-02", 5.0), row("v", "2024-03", 4.0)]))
+    got = sorted((r["user_id"], r["period"], r["mrr"]) for r in SN.read_snapshots(spark, path).collect())
+    assert got == [("u", "2024-01", 1.0), ("u", "2024-02", 9.0), ("v", "2024-02", 3.0), ("v", "2024-03", 4.0)]
+    SN.write_all_csv(SN.read_snapshots(spark, path), path + "-csv")
+    assert sorted(x for x in os.listdir(path + "-csv") if x.startswith("user_id")) == ["user_id=u", "user_id=v"]
+
+
 def snaps(spark, rows):
     return spark.createDataFrame(
         rows, "snapshot_id string, user_id string, period string, mrr double, arr double, arpu double, "
