@@ -412,8 +412,12 @@ def open_windows(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
         def hot_groups(t):
             t = t.sort_by([("key", "ascending"), ("context", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")])
             digest = np.frombuffer(b"".join(t.column("context").to_pylist()), np.uint64).reshape(-1, 2)
-            late = ~run_starts(digest[:, 0], digest[:, 1])
-            return t.column("doc_id").to_numpy()[late], t.column("pos").to_numpy()[late]
+            new = run_starts(digest[:, 0], digest[:, 1])
+            doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy()
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            # Contexts overlap, so the first window may come several times.
+            late = (doc != doc[first]) | (pos != pos[first])
+            return doc[late], pos[late]
 
         def groups(t):
             t = t.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
