@@ -73,14 +73,21 @@ def parse_amount_expr(col_name: str) -> Column:
     )
 
 
-def parse_date_expr(col_name: str) -> Column:
-    """to_datetime(errors='coerce'): ISO forms, then US and day-first forms."""
+def only_day_first(col_name: str) -> Column:
+    """Whether a slash date can only be read with the day first."""
+    day = F.regexp_extract(F.col(col_name).cast("string"), r"^\s*(\d{1,2})/\d{1,2}/\d{4}", 1)
+    return F.coalesce(F.when(day != "", day.cast("int") > 12), F.lit(False))
+
+
+def parse_date_expr(col_name: str, day_first: Column | None = None) -> Column:
+    """to_datetime(errors='coerce'): ISO forms, then slash forms with the month first, or the day where ``day_first``."""
     s = f"trim(cast(`{col_name}` as string))"
-    return F.expr(
-        f"coalesce(try_to_timestamp({s}), try_to_timestamp({s}, 'yyyy-MM'), "
-        f"try_to_timestamp({s}, 'MM/dd/yyyy'), try_to_timestamp({s}, 'dd/MM/yyyy'), "
-        f"try_to_timestamp({s}, 'yyyy/MM/dd'))"
-    ).cast("timestamp_ntz")
+    iso = F.expr(f"coalesce(try_to_timestamp({s}), try_to_timestamp({s}, 'yyyy-MM'), try_to_timestamp({s}, 'yyyy/MM/dd'))")
+    month = F.expr(f"try_to_timestamp({s}, 'M/d/yyyy')")
+    if day_first is None:
+        return F.coalesce(iso, month).cast("timestamp_ntz")
+    day = F.expr(f"try_to_timestamp({s}, 'd/M/yyyy')")
+    return F.coalesce(iso, F.when(day_first, day).otherwise(month)).cast("timestamp_ntz")
 
 
 def is_paying(status: Column | None = None, amount: Column | None = None) -> Column:

@@ -22,15 +22,20 @@ def _typed_amount(df: DataFrame) -> Column:
     return F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double"))
 
 
-def _typed_date(df: DataFrame) -> Column:
-    if isinstance(df.schema["date"].dataType, T.StringType):
-        return C.parse_date_expr("date")
-    return F.col("date").cast("timestamp_ntz")
-
-
 def typed(df: DataFrame) -> DataFrame:
-    """Cast amount/date to their types (C4, C5; NaN -> NULL, bad -> NULL)."""
-    return df.withColumns({"amount": _typed_amount(df), "date": _typed_date(df)})
+    """Cast amount/date to their types (C4, C5; NaN -> NULL, bad -> NULL).
+
+    One date format holds per export: if any of a tenant's slash dates can
+    only be read with the day first, all of them are (one grouped aggregate).
+    """
+    amount = _typed_amount(df)
+    if not isinstance(df.schema["date"].dataType, T.StringType):
+        return df.withColumns({"amount": amount, "date": F.col("date").cast("timestamp_ntz")})
+    order = df.groupBy("tenant_id").agg(F.bool_or(C.only_day_first("date")).alias("_day_first"))
+    order = order.where("_day_first").withColumnRenamed("tenant_id", "_tenant")
+    met = df.join(order, F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left")
+    day_first = F.coalesce("_day_first", F.lit(False))
+    return met.withColumns({"amount": amount, "date": C.parse_date_expr("date", day_first)}).drop("_day_first", "_tenant")
 
 
 def dedup(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -43,9 +48,14 @@ def dedup(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.dropDuplicates(keys)
 
 
+def clean_status() -> Column:
+    """C2 on the column ``status``: a missing status becomes the text 'nan'."""
+    return F.coalesce(C.normalize_status(F.col("status")), F.lit("nan"))
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """Canonical status and trimmed text customer id."""
-    out = df.withColumn("status", C.normalize_status(F.col("status")))
+    out = df.withColumn("status", clean_status())
     return out.withColumn("customer_id", C.text_key(F.col("customer_id")))
 
 
@@ -69,7 +79,7 @@ def clean(raw: DataFrame) -> DataFrame:
     d = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n_copies"))
     return d.select(
         "tenant_id", C.text_key(F.col("customer_id")).alias("customer_id"), "date", "amount",
-        C.normalize_status(F.col("status")).alias("status"), "currency", "n_copies",
+        clean_status().alias("status"), "currency", "n_copies",
         C.period_idx(F.col("date")).alias("period_idx"),
         C.period_label(C.period_idx(F.col("date"))).alias("period"))
 
@@ -110,6 +120,12 @@ def cleaning_report_from_history(hist: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_cmin") != F.col("_cmax"), F.lit(False)).alias("multicurrency_error")))
 
 
+def blocked_tenants(hist: DataFrame) -> DataFrame:
+    """C6 from the customer-month rollup: (tenant_id) of tenants with more than one currency."""
+    return (hist.groupBy("tenant_id").agg(F.min("currency_min").alias("a"), F.max("currency_max").alias("b"))
+            .where(F.col("a") != F.col("b")).select("tenant_id"))
+
+
 def currency_conflicts(subs: DataFrame) -> DataFrame:
     """Tenants whose export holds more than one distinct currency."""
     return (subs.where(F.col("currency").isNotNull())

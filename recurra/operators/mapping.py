@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recurra.functions.constants import (
     BLOCKLIST, FIELD_ORDER, FIELD_SYNONYMS, FUZZY_THRESHOLD, PRESET_SIGNATURES, REQUIRED_FIELDS)
+from recurra.session import materialize
 
 PY_SPACE = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -67,11 +68,13 @@ def name_match_scores(catalog: DataFrame) -> DataFrame:
                              F.lit(s).alias("synonym"))
                     for f in FIELD_ORDER for s in FIELD_SYNONYMS[f]])
     cat = sanitized_catalog(catalog).where(~F.col("sanitized").isin(BLOCKLIST))
-    pairs = cat.select("source_id", "ordinal", "column", "sanitized", F.inline(syn))
-    scored = pairs.withColumn("score", indel_ratio(F.col("sanitized"), F.col("synonym")))
-    return (scored.groupBy("source_id", "ordinal", "column", "sanitized", "field", "field_rank")
-                  .agg(F.max("score").alias("score"),
-                       F.max((F.col("sanitized") == F.col("synonym")).cast("int")).cast("boolean").alias("exact")))
+    # Each distinct name is scored once, however many sources carry it.
+    pairs = cat.select("sanitized").distinct().select("sanitized", F.inline(syn))
+    scored = (pairs.withColumn("score", indel_ratio(F.col("sanitized"), F.col("synonym")))
+              .groupBy("sanitized", "field", "field_rank")
+              .agg(F.max("score").alias("score"), F.bool_or(F.col("sanitized") == F.col("synonym")).alias("exact")))
+    return cat.join(scored, "sanitized").select(
+        "source_id", "ordinal", "column", "sanitized", "field", "field_rank", "score", "exact")
 
 
 def auto_map_columns(catalog: DataFrame) -> DataFrame:
@@ -79,7 +82,8 @@ def auto_map_columns(catalog: DataFrame) -> DataFrame:
     at once (first by ordinal); otherwise the best score >= 75, first column
     on ties. A column serves one field. Five fixed rounds, all sources at once.
     Returns (source_id, field, column, score); unmapped fields are absent."""
-    scores = name_match_scores(catalog).where(F.col("exact") | (F.col("score") >= FUZZY_THRESHOLD))
+    scores = materialize(catalog.sparkSession, name_match_scores(catalog).where(
+        F.col("exact") | (F.col("score") >= FUZZY_THRESHOLD)), "name-scores")
     assigned = None
     for f in FIELD_ORDER:
         cand = scores.where(F.col("field") == f)
@@ -93,6 +97,15 @@ def auto_map_columns(catalog: DataFrame) -> DataFrame:
     return assigned
 
 
+def best_columns(catalog: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """The best column of every field on its own (same order of preference), as a user picks them one by one:
+    a column may be picked for several fields, which ``duplicate_mappings`` reports."""
+    scores = name_match_scores(catalog).where(F.col("exact") | (F.col("score") >= threshold))
+    w = Window.partitionBy("source_id", "field").orderBy(F.col("exact").desc(), F.col("score").desc(), "ordinal")
+    return (scores.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+                  .select("source_id", "field", "ordinal", "column"))
+
+
 def unmapped_fields(mapping: DataFrame, sources: DataFrame) -> DataFrame:
     """M5: required fields without a column, per source."""
     req = sources.select("source_id", F.explode(F.array(*[F.lit(f) for f in REQUIRED_FIELDS])).alias("field"))

@@ -15,6 +15,7 @@ from recurra.functions import columns as C
 from recurra.functions.constants import (
     LTV_CAP_MONTHS, MIN_PAYING_FOR_QUALIFIED_MONTH, NRR_MAX, NRR_MIN, NRR_WARNING)
 from recurra.operators import rollup
+from recurra.operators.clean import blocked_tenants
 
 METRIC_COLUMNS = [
     "mrr", "arr", "arpu", "total_revenue",
@@ -34,6 +35,10 @@ class Rollup:
     ``materialize=True`` it is written once to the shared folder, so the
     fact table is scanned, de-duplicated and shuffled exactly once however
     many outputs are derived; the small tenant-month table likewise.
+
+    ``hist`` has every tenant (the cleaning report counts them all);
+    ``allowed`` leaves out tenants that mix currencies, which are refused
+    before any metric. All other tables derive from it.
     """
 
     def __init__(self, subs: DataFrame, materialize: bool = False):
@@ -46,12 +51,13 @@ class Rollup:
             from recurra.session import materialize as _mat
             spark = subs.sparkSession
             hist = _mat(spark, hist, "customer_history")
-            self.hist = hist
-            self.base = _mat(spark, rollup.tenant_month_base(hist), "tenant_month_base")
+            self.blocked = _mat(spark, blocked_tenants(hist), "blocked_tenants")
         else:
-            self.hist = hist
-            self.base = rollup.tenant_month_base(hist)
-
+            self.blocked = blocked_tenants(hist)
+        self.hist = hist
+        self.allowed = hist.join(self.blocked, "tenant_id", "left_anti")
+        base = rollup.tenant_month_base(self.allowed)
+        self.base = _mat(spark, base, "tenant_month_base") if materialize else base
 
     def table(self, name: str, build) -> DataFrame:
         """A derived table of this rollup, built once (and written to the
@@ -101,7 +107,7 @@ def metrics_by_month(r: Rollup) -> DataFrame:
         "n_existing", "expansion", "cum_positive", "mrr",
         arpu.alias("arpu"), status.alias("prev_month_status"))
 
-    react = rollup.reactivations(r.hist, m.select("tenant_id", "period_idx", "arpu"))
+    react = rollup.reactivations(r.allowed, m.select("tenant_id", "period_idx", "arpu"))
     m = (m.join(react, ["tenant_id", "period_idx"], "left")
           .join(undated, "tenant_id", "left"))
 
@@ -151,29 +157,6 @@ def metrics_by_month(r: Rollup) -> DataFrame:
     return out
 
 
-def month_context(r: Rollup) -> DataFrame:
-    """G1: one row per tenant (tenants without paying rows included)."""
-    tenants = r.base.select("tenant_id").distinct()
-    dated = r.base.where(F.col("period_idx").isNotNull() & (F.col("n_paying") > 0))
-    agg = dated.groupBy("tenant_id").agg(
-        F.max("period_idx").alias("last_idx"),
-        F.count(F.lit(1)).alias("n_paying_months"),
-        F.max_by("n_paying", "period_idx").alias("n_paying_last"),
-    )
-    prevs = dated.select("tenant_id", (F.col("period_idx") + 1).alias("last_idx"),
-                         F.lit(True).alias("prev_has_paying"))
-    ctx = tenants.join(agg, "tenant_id", "left").join(prevs, ["tenant_id", "last_idx"], "left")
-    return ctx.select(
-        "tenant_id",
-        C.period_label(F.col("last_idx")).alias("last_month"),
-        F.coalesce(F.col("n_paying_last") < MIN_PAYING_FOR_QUALIFIED_MONTH, F.lit(True)).alias("last_month_is_fallback"),
-        C.period_label(F.col("last_idx") - 1).alias("prev_month"),
-        F.when(F.col("prev_has_paying"), F.lit("ok"))
-         .when(F.col("n_paying_months") > 1, F.lit("gap"))
-         .otherwise(F.lit("missing")).alias("prev_month_status"),
-    )
-
-
 def metrics_last(r: Rollup, bym: DataFrame | None = None) -> DataFrame:
     """H5 ``get_all_metrics`` for every tenant: the last paying month's row.
 
@@ -213,13 +196,21 @@ def new_customers(r: Rollup) -> DataFrame:
     """Customers whose first row (any status, any amount) falls in the
     tenant's last month."""
     lm = _last_months(r)
-    h = r.hist.where(F.col("period_idx") == F.col("first_seen_idx")).select("tenant_id", "customer_id", "period_idx")
+    h = r.allowed.where(F.col("period_idx") == F.col("first_seen_idx")).select("tenant_id", "customer_id", "period_idx")
     return h.join(lm.select("tenant_id", "period_idx"), ["tenant_id", "period_idx"]).select("tenant_id", "customer_id")
 
 
+def new_customers_by_month(r: Rollup) -> DataFrame:
+    """G3 with every paying month as the last one."""
+    months = r.base.where(F.col("period_idx").isNotNull() & (F.col("n_paying") > 0)).select("tenant_id", "period_idx")
+    h = r.allowed.where(F.col("period_idx") == F.col("first_seen_idx")).select("tenant_id", "customer_id", "period_idx")
+    return h.join(months, ["tenant_id", "period_idx"]).select(
+        "tenant_id", "customer_id", C.period_label(F.col("period_idx")).alias("period"))
+
+
 def reactivated_customers(r: Rollup) -> DataFrame:
     """Customers reactivated in the tenant's last month."""
-    rows = rollup.reactivated_rows(r.hist, _last_months(r))
+    rows = rollup.reactivated_rows(r.allowed, _last_months(r))
     return rows.select("tenant_id", "customer_id", C.money(F.col("paying_amt")).cast("double").alias("mrr"))
 
 
@@ -227,6 +218,6 @@ def churn_type(r: Rollup) -> DataFrame:
     """K3: churn sets in the last month: any 'churned' row -> voluntary; any
     'past_due' row without a 'churned' row -> involuntary."""
     lm = _last_months(r).select("tenant_id", "period_idx")
-    h = r.hist.join(lm, ["tenant_id", "period_idx"]).where(F.col("has_churned") | F.col("has_past_due"))
+    h = r.allowed.join(lm, ["tenant_id", "period_idx"]).where(F.col("has_churned") | F.col("has_past_due"))
     return h.select("tenant_id", "customer_id",
                     F.when(F.col("has_churned"), F.lit("voluntary")).otherwise(F.lit("involuntary")).alias("churn_type"))

@@ -4,10 +4,11 @@ and feedback validation/history (S8, R6).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recurra.functions import columns as C
 from recurra.functions.constants import PLAN_RANK, VALID_PLANS
 
 SALE_SCHEMA = T.ArrayType(T.StructType([
@@ -49,19 +50,21 @@ def plan_lookup(subscriptions: DataFrame) -> DataFrame:
                          .select("email", valid.alias("plan")))
 
 
+def feedback_reason() -> Column:
+    """Why a submission is refused, or NULL: it needs a rating or non-blank text; ratings are 1..5."""
+    has_text = F.coalesce(F.length(C.strip(F.col("message"))) > 0, F.lit(False))
+    return (F.when(F.col("rating").isNull() & ~has_text, F.lit("empty"))
+             .when(F.col("rating").isNotNull() & ~F.col("rating").between(1, 5), F.lit("rating_out_of_range")))
+
+
 def feedback_rejects(feedback: DataFrame) -> DataFrame:
-    """A submission needs a rating or non-blank text; ratings are 1..5."""
-    text = F.trim(F.col("message"))
-    has_text = F.coalesce(F.length(text) > 0, F.lit(False))
-    reason = (F.when(F.col("rating").isNull() & ~has_text, F.lit("empty"))
-               .when(F.col("rating").isNotNull() & ~F.col("rating").between(1, 5), F.lit("rating_out_of_range")))
-    return feedback.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
+    """The refused submissions with the reason."""
+    return feedback.withColumn("reject_reason", feedback_reason()).where(F.col("reject_reason").isNotNull())
 
 
 def feedback_accepted(feedback: DataFrame) -> DataFrame:
-    """The rows that would be stored, text trimmed."""
-    ok = feedback.join(feedback_rejects(feedback).select("feedback_id"), "feedback_id", "left_anti")
-    return ok.withColumn("message", F.trim(F.col("message")))
+    """The rows that would be stored, text stripped (a filter on the reason: ids may be NULL or repeat)."""
+    return feedback.where(feedback_reason().isNull()).withColumn("message", C.strip(F.col("message")))
 
 
 def feedback_history(feedback: DataFrame) -> DataFrame:

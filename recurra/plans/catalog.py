@@ -162,7 +162,7 @@ grid AS (SELECT g.tenant_id, {O.label('g.cidx')} AS cohort, g.cidx AS cohort_idx
 
 
 def _hist(spark, sf_dir):
-    return rollup_of(spark, sf_dir).hist
+    return rollup_of(spark, sf_dir).allowed
 
 
 @register("cohort_assignment", f"""WITH {O.FACTS}
@@ -292,6 +292,24 @@ def q_forecast_gate(spark, sf_dir):
     return FC.forecast_status(_series(spark, sf_dir))
 
 
+@register("forecast_gate_by_customer", "WITH " + O.FACTS + """,
+pts AS (SELECT 'mrr|' || tenant_id || '|' || customer_id AS tenant_id, pidx, CAST(amt AS DOUBLE) AS y FROM pay
+        UNION ALL SELECT 'active|' || tenant_id || '|' || customer_id, pidx, 1.0 FROM pay),
+series AS (SELECT tenant_id, count(*) AS n, count(DISTINCT y) AS n_values FROM pts GROUP BY tenant_id),
+gate AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient' WHEN n_values = 1 THEN 'degenerate'
+                        WHEN n < 6 THEN 'realistic_only' ELSE 'full' END AS status FROM series)
+SELECT tenant_id, CAST(n AS BIGINT) AS data_months_used, status, status = 'full' AS export_enabled,
+       status = 'full' AS all_scenarios_available FROM gate""")
+def q_forecast_gate_by_customer(spark, sf_dir):
+    """F1, F4 on every customer's monthly revenue and on their monthly activity (which never changes)."""
+    paying = rollup_of(spark, sf_dir).allowed.where(F.col("is_paying") & F.col("period_idx").isNotNull())
+    kinds = F.array(F.struct(F.lit("mrr").alias("kind"), F.col("paying_amt").alias("y")),
+                    F.struct(F.lit("active").alias("kind"), F.lit(1).cast(FCOL.MONEY).alias("y")))
+    base = paying.select("tenant_id", "customer_id", "period_idx", F.inline(kinds)).select(
+        F.concat_ws("|", "kind", "tenant_id", "customer_id").alias("tenant_id"), "period_idx", F.col("y").alias("mrr"), F.lit(1).alias("n_paying"))
+    return FC.forecast_status(FC.monthly_series(base))
+
+
 @register("forecast_trend", _FC_SQL + """
 SELECT t.tenant_id, t.alpha, t.beta, round(t.level, 6) AS level, round(t.trend, 6) AS trend,
        round(sqrt(t.sse / s.n), 6) AS rmse FROM tbest t JOIN series s ON s.tenant_id = t.tenant_id""")
@@ -486,6 +504,39 @@ def q_snapshot_rejects(spark, sf_dir):
     return SN.snapshot_rejects(_snaps(spark, sf_dir)).select("user_id", "period", "reject_reason")
 
 
+def _broken_keys(spark, sf_dir):
+    """The monthly snapshots as uploads that spell some keys wrongly (by the month of the row)."""
+    s = _snaps(spark, sf_dir)
+    m = F.substring("period", 6, 2)
+    user = F.when(m == "02", F.lit(None)).when(m == "03", F.lit("  ")).otherwise(F.col("user_id"))
+    period = (F.when(m == "05", F.lit(None)).when(m == "06", F.lit(" ")).when(m == "07", F.replace("period", F.lit("-"), F.lit("/")))
+               .when(m == "08", F.concat("period", F.lit("-01"))).otherwise(F.col("period")))
+    return s.withColumns({"user_id": user, "period": period})
+
+
+_BROKEN_SQL = _SNAP_SQL + """,
+broken AS (SELECT snapshot_id, mrr, CASE substr(period, 6, 2) WHEN '02' THEN NULL WHEN '03' THEN '  ' ELSE user_id END AS user_id,
+                  CASE substr(period, 6, 2) WHEN '05' THEN NULL WHEN '06' THEN ' ' WHEN '07' THEN replace(period, '-', '/')
+                                            WHEN '08' THEN period || '-01' ELSE period END AS period FROM snaps),
+judged AS (SELECT *, CASE WHEN user_id IS NULL OR trim(user_id) = '' THEN 'blank_user_id'
+                          WHEN period IS NULL OR trim(period) = '' THEN 'blank_period'
+                          WHEN NOT regexp_full_match(period, '\\d{4}-\\d{2}') THEN 'bad_period_format' END AS reject_reason FROM broken)"""
+
+
+@register("snapshot_upload_rejects", _BROKEN_SQL + """
+SELECT snapshot_id, user_id, period, reject_reason FROM judged WHERE reject_reason IS NOT NULL""")
+def q_snapshot_upload_rejects(spark, sf_dir):
+    """S3 on uploads with blank and malformed keys."""
+    return SN.snapshot_rejects(_broken_keys(spark, sf_dir)).select("snapshot_id", "user_id", "period", "reject_reason")
+
+
+@register("snapshot_upload_valid", _BROKEN_SQL + """
+SELECT snapshot_id, user_id, period, round(mrr, 6) AS mrr FROM judged WHERE reject_reason IS NULL""")
+def q_snapshot_upload_valid(spark, sf_dir):
+    """S3: the uploads that are stored."""
+    return round_doubles(SN.valid_rows(_broken_keys(spark, sf_dir)).select("snapshot_id", "user_id", "period", "mrr"))
+
+
 @register("snapshot_history", _SNAP_SQL + """
 SELECT user_id, period, round(mrr, 6) AS mrr, round(churn_rate, 6) AS churn_rate, round(nrr, 6) AS nrr,
        round(arpu, 6) AS arpu FROM snaps""")
@@ -545,6 +596,10 @@ _FMT_PCT = "CASE WHEN {v} IS NULL THEN 'N/A' ELSE printf('%.2f', {v}) || '%' END
 _FMT_INT = "CASE WHEN {v} IS NULL THEN 'N/A' ELSE format('{{:,}}', CAST({v} AS BIGINT)) END"
 
 
+def _q(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def _summary_sql() -> str:
     parts = []
     for block, order, key, label, kind in RP.SUMMARY_ROWS:
@@ -561,7 +616,7 @@ def _summary_sql() -> str:
             st = "'✓'"
         parts.append(f"SELECT ml.tenant_id, {block} AS block, '{RP.BLOCK_NAMES[block]}' AS block_name, "
                      f"{order} AS row_order, '{key}' AS metric, '{label}' AS label, round({v}, 6) AS value, "
-                     f"{txt} AS value_text, {st} AS status FROM metrics_last ml")
+                     f"{txt} AS value_text, '{_q(RP.SUMMARY_NOTES[key])}' AS note, {st} AS status FROM metrics_last ml")
     return "WITH " + O.LAST + ",\nsummary AS (\n" + "\nUNION ALL\n".join(parts) + ")"
 
 
@@ -591,6 +646,22 @@ def q_report_by_plan(spark, sf_dir):
     return RP.report_by_plan(_summary(spark, sf_dir)).select("tenant_id", "plan", "block", "metric", "value_text")
 
 
+def _detail_sql() -> str:
+    parts = []
+    for i, (key, kind, formula) in enumerate(RP.DETAIL_ROWS):
+        v = f"CAST(ml.{key} AS DOUBLE)"
+        shown = {"currency": _FMT_CUR, "pct": _FMT_PCT, "int": _FMT_INT}[kind].format(v=v if kind != "int" else f"ml.{key}")
+        parts.append(f"SELECT ml.tenant_id, {i + 1} AS row_order, '{key}' AS metric, round({v}, 6) AS raw_value, "
+                     f"{shown} AS formatted_value, '{_q(formula)}' AS formula FROM metrics_last ml")
+    return "WITH " + O.LAST + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("report_detail", _detail_sql())
+def q_report_detail(spark, sf_dir):
+    """The 19 detail rows per tenant."""
+    return round_doubles(RP.report_detail(_metrics_last(spark, sf_dir)))
+
+
 @register("metric_reconciliation", "WITH " + O.LAST + """,
 chk AS (
   SELECT tenant_id, 'arr' AS metric, arr AS reported, mrr * 12 AS recomputed FROM metrics_last
@@ -614,10 +685,13 @@ def q_metric_reconciliation(spark, sf_dir):
     return round_doubles(RP.metric_reconciliation(_metrics_last(spark, sf_dir)))
 
 
-@register("report_quality", "WITH " + O.LAST + """
-SELECT tenant_id, 1 AS row_order, 'prev_month_status' AS flag, prev_month_status AS value FROM metrics_last
-UNION ALL SELECT tenant_id, 2, 'last_month_is_fallback', CASE WHEN last_month_is_fallback THEN 'True' ELSE 'False' END FROM metrics_last
-UNION ALL SELECT tenant_id, 3, 'last_month_used', coalesce(last_month, 'N/A') FROM metrics_last""")
+@register("report_quality", "WITH " + O.LAST + f"""
+SELECT tenant_id, 1 AS row_order, 'prev_month_status' AS flag, prev_month_status AS value,
+       '{_q(RP.FLAG_MEANINGS["prev_month_status"])}' AS meaning FROM metrics_last
+UNION ALL SELECT tenant_id, 2, 'last_month_is_fallback', CASE WHEN last_month_is_fallback THEN 'True' ELSE 'False' END,
+       '{_q(RP.FLAG_MEANINGS["last_month_is_fallback"])}' FROM metrics_last
+UNION ALL SELECT tenant_id, 3, 'last_month_used', coalesce(last_month, 'N/A'),
+       '{_q(RP.FLAG_MEANINGS["last_month_used"])}' FROM metrics_last""")
 def q_report_quality(spark, sf_dir):
     return RP.report_quality(_metrics_last(spark, sf_dir))
 
@@ -631,21 +705,32 @@ def q_data_quality_flags(spark, sf_dir):
                     F.col("last_month").alias("last_month_used"))
 
 
-@register("quality_messages", "WITH " + O.LAST + """
-SELECT tenant_id, 'prev_month_gap' AS code, 'warning' AS level,
-       'The month before ' || coalesce(last_month, 'N/A') || ' has no paying rows; comparisons are not available.' AS message
-FROM metrics_last WHERE prev_month_status = 'gap'
-UNION ALL SELECT tenant_id, 'prev_month_missing', 'info',
-       'There is no data before the last month; comparisons are not available.' FROM metrics_last WHERE prev_month_status = 'missing'
-UNION ALL SELECT tenant_id, 'last_month_fallback', 'warning',
-       'Fewer than 5 paying customers in ' || coalesce(last_month, 'N/A') || '; metrics may be unreliable.'
-FROM metrics_last WHERE last_month_is_fallback
-UNION ALL SELECT tenant_id, 'nrr_above_200', 'warning',
-       'NRR exceeds 200% - likely caused by limited prior-month data.' FROM metrics_last WHERE nrr_warning""")
+def _messages_sql(table: str, month: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, 'prev_month_gap' AS code, 'warning' AS level,
+       'The month before ' || coalesce({month}, 'N/A') || ' has no paying rows; comparisons are not available.' AS message
+FROM {table} WHERE prev_month_status = 'gap'
+UNION ALL SELECT {keys}, 'prev_month_missing', 'info',
+       'There is no data before the last month; comparisons are not available.' FROM {table} WHERE prev_month_status = 'missing'
+UNION ALL SELECT {keys}, 'last_month_fallback', 'warning',
+       'Fewer than 5 paying customers in ' || coalesce({month}, 'N/A') || '; metrics may be unreliable.'
+FROM {table} WHERE last_month_is_fallback
+UNION ALL SELECT {keys}, 'nrr_above_200', 'warning',
+       'NRR exceeds 200% - likely caused by limited prior-month data.' FROM {table} WHERE nrr_warning"""
+
+
+@register("quality_messages", "WITH " + O.LAST + _messages_sql("metrics_last", "last_month", "tenant_id"))
 def q_quality_messages(spark, sf_dir):
     return RP.quality_messages(_metrics_last(spark, sf_dir))
 
 
+@register("quality_messages_by_month", "WITH " + O.BY_MONTH + _messages_sql("bym2", "period", "tenant_id, period AS last_month"))
+def q_quality_messages_by_month(spark, sf_dir):
+    """S16 for every month as if it were the last."""
+    months = rollup_of(spark, sf_dir).by_month().withColumn("last_month", F.col("period"))
+    return RP.quality_messages(months, ("tenant_id", "last_month"))
+
+
 # --- session rules on events (T1, T2) --------------------------------------------
 
 from recurra.session import materialize  # noqa: E402
@@ -679,26 +764,41 @@ def q_sessions_idle(spark, sf_dir):
     return round_doubles(SE.summarize(idle_marks_of(spark, sf_dir)))
 
 
-@register("sessions_max_age", f"""WITH RECURSIVE
+def _max_age_sql(idle_seconds: int, max_age_seconds: int) -> str:
+    idle, age = idle_seconds * 1_000_000, max_age_seconds * 1_000_000
+    over = f"e.t - w.start_t > {age} OR e.t - w.last_t > {idle}"
+    return f"""WITH RECURSIVE
 e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t,
              row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
 walk(user_id, rn, t, start_t, last_t, session_idx) AS (
   SELECT user_id, rn, t, t, t, 1 FROM e WHERE rn = 1
   UNION ALL
-  SELECT e.user_id, e.rn, e.t,
-         CASE WHEN e.t - w.start_t > 28800000000 OR e.t - w.last_t > 1800000000 THEN e.t ELSE w.start_t END,
-         e.t,
-         CASE WHEN e.t - w.start_t > 28800000000 OR e.t - w.last_t > 1800000000 THEN w.session_idx + 1
-              ELSE w.session_idx END
+  SELECT e.user_id, e.rn, e.t, CASE WHEN {over} THEN e.t ELSE w.start_t END, e.t,
+         CASE WHEN {over} THEN w.session_idx + 1 ELSE w.session_idx END
   FROM walk w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1),
 m AS (SELECT e.user_id, w.session_idx, e.ts, e.t FROM walk w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn)
-{_SESS_OUT} FROM m GROUP BY user_id, session_idx""")
+{_SESS_OUT} FROM m GROUP BY user_id, session_idx"""
+
+
+@register("sessions_max_age", _max_age_sql(1800, 28800))
 def q_sessions_max_age(spark, sf_dir):
     """T1 + T2: idle expiry plus the 8-hour maximum session age."""
     events = tables.read_table(spark, sf_dir, "events")
     return round_doubles(SE.summarize(SE.mark_sessions(events, idle_marked=idle_marks_of(spark, sf_dir))))
 
 
+#: Limits under which the age rule fires on the event log (its users act every few hours).
+SLOW_IDLE, SLOW_MAX_AGE = 24 * 3600, 72 * 3600
+
+
+@register("sessions_max_age_slow", _max_age_sql(SLOW_IDLE, SLOW_MAX_AGE))
+def q_sessions_max_age_slow(spark, sf_dir):
+    """T1 + T2 with limits of a day and three days."""
+    events = tables.read_table(spark, sf_dir, "events")
+    return round_doubles(SE.summarize(SE.mark_sessions(
+        events, idle_seconds=SLOW_IDLE, max_age_seconds=SLOW_MAX_AGE, chunk_seconds=SLOW_IDLE)))
+
+
 # --- privacy, names, entitlements, feedback (E1-E4, R6-R7, S8) --------------------
 
 from recurra.functions.constants import PII_PATTERNS  # noqa: E402
@@ -817,6 +917,51 @@ def q_plan_lookup(spark, sf_dir):
     return PL.plan_lookup(_plans(spark, sf_dir))
 
 
+@register("plan_lookup_orders", """
+SELECT email, CASE WHEN plan IN ('free', 'starter', 'pro') THEN plan ELSE 'free' END AS plan FROM (
+  SELECT email, plan, row_number() OVER (PARTITION BY email ORDER BY plan NULLS LAST) AS rn FROM (
+    SELECT CAST(o_custkey AS VARCHAR) AS email,
+           CASE o_orderpriority WHEN '1-URGENT' THEN 'pro' WHEN '2-HIGH' THEN 'starter' WHEN '3-MEDIUM' THEN 'free'
+                                WHEN '4-NOT SPECIFIED' THEN 'gold' END AS plan FROM orders) p) x
+WHERE rn = 1""")
+def q_plan_lookup_orders(spark, sf_dir):
+    """R7 where users have several rows, unknown plans and missing ones: one row per order."""
+    names = F.create_map(*[F.lit(x) for x in ("1-URGENT", "pro", "2-HIGH", "starter", "3-MEDIUM", "free", "4-NOT SPECIFIED", "gold")])
+    return PL.plan_lookup(tables.read_table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("email"), F.element_at(names, F.col("o_orderpriority")).alias("plan")))
+
+
+def _rated(spark, sf_dir):
+    """Events as rated feedback: the rating is the value's tens (none for views), the text the event type (blank for errors)."""
+    ev = tables.read_table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("feedback_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("user_email"),
+                     F.when(F.col("event_type") != "view", F.floor(F.col("value") / 10).cast("int")).alias("rating"),
+                     F.when(F.col("event_type") == "error", F.lit("  ")).otherwise(F.col("event_type")).alias("message"),
+                     F.col("ts").alias("created_at"))
+
+
+_RATED_SQL = """WITH fb AS (
+  SELECT event_id AS feedback_id, 'user-' || CAST(user_id AS VARCHAR) AS user_email,
+         CASE WHEN event_type <> 'view' THEN CAST(floor(value / 10) AS INTEGER) END AS rating,
+         CASE WHEN event_type = 'error' THEN '  ' ELSE event_type END AS message, ts AS created_at FROM events),
+judged AS (SELECT *, CASE WHEN rating IS NULL AND coalesce(trim(message), '') = '' THEN 'empty'
+                          WHEN rating IS NOT NULL AND rating NOT BETWEEN 1 AND 5 THEN 'rating_out_of_range' END AS reject_reason
+           FROM fb)"""
+
+
+@register("feedback_rating_rejects", _RATED_SQL + "\nSELECT feedback_id, reject_reason FROM judged WHERE reject_reason IS NOT NULL")
+def q_feedback_rating_rejects(spark, sf_dir):
+    """S8 with ratings in and out of range."""
+    return PL.feedback_rejects(_rated(spark, sf_dir)).select("feedback_id", "reject_reason")
+
+
+@register("feedback_rating_history", _RATED_SQL + """
+SELECT user_email, rating, trim(message) AS message, created_at FROM judged WHERE reject_reason IS NULL""")
+def q_feedback_rating_history(spark, sf_dir):
+    """R6 with ratings."""
+    return PL.feedback_history(_rated(spark, sf_dir))
+
+
 def _feedback(spark, sf_dir):
     """User turns of the conversation log as free-text feedback messages."""
     conv = tables.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
@@ -849,12 +994,35 @@ from recurra.operators import mapping as MP  # noqa: E402
 from recurra.sources import csv_exports as CX  # noqa: E402
 
 
-def _exports(spark, sf_dir):
-    return CX.ensure_exports(spark, sf_dir, tables.raw_billing_rows(spark, sf_dir))
+_UPLOADS: dict[tuple, CX.Uploads] = {}
+
+
+def _uploads(spark, sf_dir) -> tuple[str, CX.Uploads]:
+    """The export files of the input and their stored lines, built once per input and session."""
+    ident = _input_key(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, ident)
+    path = CX.ensure_exports(spark, ident, tables.raw_billing_rows(spark, sf_dir))
+    if key not in _UPLOADS:
+        _UPLOADS[key] = CX.Uploads(spark, path)
+    return path, _UPLOADS[key]
+
+
+def _ingested(spark, sf_dir, strict=False):
+    path, uploads = _uploads(spark, sf_dir)
+    return CX.ingest(spark, path, strict, uploads)
+
+
+LINK_LABEL = '<a href="/[^"]*">([^<]*)</a>'
 
 
 def _catalog(spark, sf_dir):
-    return CX.header_catalog(spark, _exports(spark, sf_dir))
+    """Column names to resolve: the headers of the uploads, and the navigation labels of every page."""
+    _, uploads = _uploads(spark, sf_dir)
+    headers = uploads.catalog(CX.upload_of(F.col("file"))[0])
+    labels = tables.read_table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"),
+        F.posexplode(F.regexp_extract_all("html", F.lit(LINK_LABEL), F.lit(1))).alias("ordinal", "column"))
+    return headers.unionByName(labels)
 
 
 def _layout_case(col: str) -> str:
@@ -865,75 +1033,134 @@ def _layout_case(col: str) -> str:
 _HEADER_VALUES = ", ".join(f"('{layout}', {i}, '{name}')" for layout, h in CX.LAYOUTS.items()
                            for i, name in enumerate(h.values()))
 _CATALOG_SQL = O.FACTS + f""",
-layouts AS (SELECT DISTINCT {_layout_case('tenant_id')} AS source_id FROM raw),
-headers AS (SELECT * FROM (VALUES {_HEADER_VALUES}) h(source_id, ordinal, "column")),
-catalog AS (SELECT h.source_id, CAST(h.ordinal AS INTEGER) AS ordinal, h."column" FROM headers h
-            JOIN layouts l ON l.source_id = h.source_id),
+uploads AS (SELECT DISTINCT tenant_id AS source_id, {_layout_case('tenant_id')} AS layout FROM raw),
+headers AS (SELECT * FROM (VALUES {_HEADER_VALUES}) h(layout, ordinal, "column")),
+links AS (SELECT 'page-' || CAST(page_id AS VARCHAR) AS source_id, regexp_extract_all(html, '{LINK_LABEL}', 1) AS names FROM pages),
+catalog AS (SELECT u.source_id, CAST(h.ordinal AS INTEGER) AS ordinal, h."column" FROM headers h
+            JOIN uploads u ON u.layout = h.layout
+            UNION ALL
+            SELECT source_id, CAST(unnest(range(len(names))) AS INTEGER), unnest(names) FROM links),
 san AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(
           regexp_replace(lower("column"), '^[\\s]+|[\\s]+$', '', 'g'), '[\\s\\-.]+', '_', 'g'),
           '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS sanitized FROM catalog)"""
 
-
-@register("ingest_csv", "WITH " + O.FACTS + """
-SELECT tenant_id, customer_id, strftime(date, '%Y-%m-%d') AS date, printf('%.2f', amount) AS amount,
-       CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS status,
-       currency FROM raw""")
+# The exports' rows as they must come back: the long lines are dropped.
+_LONG = (f"{_layout_case('tenant_id')} IN ({', '.join(repr(x) for x in CX.LONG_LINE_LAYOUTS)}) "
+         "AND src_line = 5 AND src_order % 4 = 0")
+_UP_SQL = O.FACTS + f""",
+up AS (SELECT *, {_layout_case('tenant_id')} AS layout, src_order // {CX.CHUNK_ORDERS} AS chunk, ({_LONG}) AS too_long,
+              CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS spelled
+       FROM raw),
+cells AS (
+  SELECT *, CASE layout WHEN 'stripe' THEN strftime(date, '%m/%d/%Y') WHEN 'lemonsqueezy' THEN strftime(date, '%d/%m/%Y')
+                        ELSE strftime(date, '%Y-%m-%d') END AS day,
+         CASE layout WHEN 'chargebee' THEN 'Счёт' WHEN 'lemonsqueezy' THEN 'Café' || chr(152) ELSE 'Facture é' END AS word FROM up)"""
+_UP_OUT = """
+SELECT tenant_id, customer_id, day AS date, printf('%.2f', amount) AS amount, spelled AS status, currency,
+       CAST(src_order AS VARCHAR) AS order_ref, CAST(src_line AS VARCHAR) AS line_no,
+       CASE WHEN src_line = 2 OR (src_line = 4 AND src_order % 3 = 0) THEN NULL
+            WHEN src_line = 1 THEN word || ', "' || spelled || '", 1' ELSE word END AS memo
+FROM cells"""
+
+
+def _with_extras(rows):
+    return rows.select("tenant_id", *CL.CANONICAL, *[CX.extra(n).alias(n) for n in CX.EXTRAS.values()])
+
+
+@register("ingest_csv", "WITH " + _UP_SQL + _UP_OUT + " WHERE NOT too_long")
 def q_ingest_csv(spark, sf_dir):
-    """R1 + M7: the exports read back (all strings), renamed to the canonical fields."""
-    return CX.ingest(spark, _exports(spark, sf_dir))
+    """R1 + M7: the exports read back (all strings), renamed to the canonical fields, other columns kept."""
+    return _with_extras(_ingested(spark, sf_dir))
 
 
-@register("ingest_csv_strict", "WITH " + O.FACTS + """
-SELECT tenant_id, customer_id, strftime(date, '%Y-%m-%d') AS date, printf('%.2f', amount) AS amount,
-       CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS status,
-       currency FROM raw""")
+@register("ingest_csv_strict", "WITH " + _UP_SQL + _UP_OUT + """ c
+WHERE NOT EXISTS (SELECT 1 FROM up u WHERE u.too_long AND u.tenant_id = c.tenant_id AND u.chunk = c.chunk)""")
 def q_ingest_csv_strict(spark, sf_dir):
-    """R2: the same read in fail-fast mode."""
-    return CX.ingest(spark, _exports(spark, sf_dir), strict=True)
+    """R2: files with a malformed line are refused whole."""
+    return _with_extras(_ingested(spark, sf_dir, strict=True))
 
 
-@register("ingest_metrics", O.last_metric_sql(ALL + ["last_month_is_fallback", "prev_month", "prev_month_status"]))
+@register("ingest_metrics", O.last_metric_sql(ALL + ["last_month_is_fallback", "prev_month", "prev_month_status"]).replace(
+    "(SELECT DISTINCT * FROM raw)", f"(SELECT DISTINCT * FROM raw WHERE NOT ({_LONG}))"))
 def q_ingest_metrics(spark, sf_dir):
     """End to end as the upload flow: CSV exports -> mapping -> clean -> metrics."""
-    raw = CX.ingest(spark, _exports(spark, sf_dir))
-    m = MX.metrics_last(MX.Rollup(CL.clean(raw)))
+    m = MX.metrics_last(MX.Rollup(CL.clean(_ingested(spark, sf_dir)), materialize=True))
     return round_doubles(m.select("tenant_id", "last_month", *ALL,
                                   "last_month_is_fallback", "prev_month", "prev_month_status"))
 
 
-@register("file_manifest")
+@register("file_manifest", "WITH " + _UP_SQL + """
+SELECT DISTINCT tenant_id, chunk, CAST(NULL AS VARCHAR) AS reject_reason, true AS accepted FROM up""")
 def q_file_manifest(spark, sf_dir):
-    """Upload guards over the export files (paths are run-specific: rows-only)."""
-    return CX.file_manifest(spark, _exports(spark, sf_dir))
+    """Upload guards over the export files."""
+    files = CX.file_manifest(spark, _uploads(spark, sf_dir)[0] + "/charset=*")
+    return files.select(*CX.upload_of(F.col("path")), "reject_reason", "accepted")
 
 
-@register("file_encoding_report")
+@register("file_encoding_report", "WITH " + _UP_SQL + """
+SELECT DISTINCT tenant_id, chunk, CASE layout WHEN 'paddle' THEN 'utf-8-sig' WHEN 'chargebee' THEN 'cp1251'
+                                              WHEN 'lemonsqueezy' THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+       layout = 'lemonsqueezy' AS encoding_warning FROM up""")
 def q_file_encoding_report(spark, sf_dir):
     """Encoding per export file."""
-    return CX.encoding_report(spark, _exports(spark, sf_dir))
+    return _uploads(spark, sf_dir)[1].encodings().select(*CX.upload_of(F.col("file")), "encoding", "encoding_warning")
 
 
 @register("sanitize_names", "WITH " + _CATALOG_SQL + """
 SELECT source_id, ordinal, "column", sanitized FROM san""")
 def q_sanitize_names(spark, sf_dir):
-    """M1: sanitised header names of every export."""
+    """M1: sanitised names of every header and page."""
     return MP.sanitized_catalog(_catalog(spark, sf_dir))
 
 
-@register("name_match_scores")
+from recurra.functions.constants import BLOCKLIST, FIELD_ORDER, FIELD_SYNONYMS, PRESET_SIGNATURES  # noqa: E402
+
+# One table row per character of the name; rows and characters are lists of integers, as a fold's state has its items' type.
+_LCS = """CASE WHEN len(sanitized) = 0 THEN 0 ELSE list_reduce(
+    list_transform(string_split(sanitized, ''), lambda c: [ascii(c)]),
+    lambda prev, ca: list_reduce(
+      list_transform(range(1, len(synonym) + 1), lambda j: [CAST(j AS INTEGER)]),
+      lambda cur, j: list_append(cur, CASE WHEN ca[1] = ascii(synonym[j[1]]) THEN prev[j[1]] + 1
+                                           ELSE greatest(prev[j[1] + 1], cur[j[1]]) END), [0]),
+    list_transform(range(0, len(synonym) + 1), lambda j: 0))[len(synonym) + 1] END"""
+_SYN_VALUES = ", ".join(f"('{f}', {FIELD_ORDER.index(f)}, '{x}')" for f in FIELD_ORDER for x in FIELD_SYNONYMS[f])
+_SCORE_SQL = "WITH " + _CATALOG_SQL + f""",
+usable AS (SELECT * FROM san WHERE sanitized NOT IN ({', '.join(repr(x) for x in BLOCKLIST)})),
+pairs AS (SELECT n.sanitized, y.field, y.field_rank, y.synonym FROM (SELECT DISTINCT sanitized FROM usable) n,
+                 (VALUES {_SYN_VALUES}) y(field, field_rank, synonym)),
+by_name AS (SELECT sanitized, field, field_rank, max(200.0::DOUBLE * ({_LCS}) / (len(sanitized) + len(synonym))) AS score,
+                   bool_or(sanitized = synonym) AS exact FROM pairs GROUP BY sanitized, field, field_rank),
+scores AS (SELECT u.source_id, u.ordinal, u."column", u.sanitized, b.field, b.field_rank, b.score, b.exact
+           FROM usable u JOIN by_name b ON b.sanitized = u.sanitized),
+near AS (SELECT * FROM scores WHERE exact OR score >= 75)"""
+
+
+def _greedy_sql() -> str:
+    sql, taken = _SCORE_SQL, ""
+    for i, f in enumerate(FIELD_ORDER):
+        free = f" AND NOT EXISTS (SELECT 1 FROM ({taken}) a WHERE a.source_id = n.source_id AND a.ordinal = n.ordinal)" if taken else ""
+        sql += f""",
+pick{i} AS (SELECT source_id, field, ordinal, "column", CASE WHEN exact THEN 100.0 ELSE score END AS score FROM (
+  SELECT n.*, row_number() OVER (PARTITION BY source_id ORDER BY exact DESC, score DESC, ordinal) AS rn
+  FROM near n WHERE field = '{f}'{free}) x WHERE rn = 1)"""
+        taken = " UNION ALL ".join(f"SELECT * FROM pick{k}" for k in range(i + 1))
+    return sql + f",\nmapped AS ({taken})"
+
+
+@register("name_match_scores", _SCORE_SQL + """
+SELECT source_id, ordinal, "column", sanitized, field, field_rank, round(score, 6) AS score, exact FROM scores""")
 def q_name_match_scores(spark, sf_dir):
     """M2/M3: fuzzy scores per (column, field), blocklisted columns removed."""
     return round_doubles(MP.name_match_scores(_catalog(spark, sf_dir)))
 
 
-@register("auto_map_columns")
+@register("auto_map_columns", _greedy_sql() + """
+SELECT source_id, field, ordinal, "column", round(score, 6) AS score FROM mapped""")
 def q_auto_map_columns(spark, sf_dir):
-    """M4: greedy one-to-one fuzzy mapping per export."""
+    """M4: greedy one-to-one fuzzy mapping per source."""
     return round_doubles(MP.auto_map_columns(_catalog(spark, sf_dir)))
 
 
-from recurra.functions.constants import PRESET_SIGNATURES  # noqa: E402
-
 _PRESET_VALUES = ", ".join(f"('{name}', {rank}, '{field}', '{col}')"
                            for rank, (name, sig) in enumerate(PRESET_SIGNATURES) for field, col in sig.items())
 _PRESET_SQL = "WITH " + _CATALOG_SQL + f""",
@@ -955,7 +1182,7 @@ pmap AS (
 
 @register("detect_preset", _PRESET_SQL + "\nSELECT source_id, preset FROM presets")
 def q_detect_preset(spark, sf_dir):
-    """M8: billing source recognised from each export's header."""
+    """M8: billing source recognised from each header."""
     return MP.detect_preset(_catalog(spark, sf_dir))
 
 
@@ -966,30 +1193,34 @@ def q_preset_mapping(spark, sf_dir):
     return MP.preset_mapping(cat, MP.detect_preset(cat))
 
 
-@register("unmapped_fields", _PRESET_SQL + """
-SELECT l.source_id, f.field FROM layouts l, (VALUES ('amount'), ('status'), ('customer_id'), ('date')) f(field)
-WHERE NOT EXISTS (SELECT 1 FROM pmap m WHERE m.source_id = l.source_id AND m.field = f.field)
-  AND l.source_id IN (SELECT source_id FROM presets)""")
+@register("unmapped_fields", _greedy_sql() + """
+SELECT l.source_id, f.field FROM (SELECT DISTINCT source_id FROM catalog) l, (VALUES ('amount'), ('status'), ('customer_id'), ('date')) f(field)
+WHERE NOT EXISTS (SELECT 1 FROM mapped m WHERE m.source_id = l.source_id AND m.field = f.field)""")
 def q_unmapped_fields(spark, sf_dir):
-    """M5: required fields a preset mapping leaves open (per preset-detected export)."""
+    """M5: required fields the fuzzy mapping leaves open, for every source."""
     cat = _catalog(spark, sf_dir)
-    presets = MP.detect_preset(cat)
-    return MP.unmapped_fields(MP.preset_mapping(cat, presets), presets.select("source_id"))
+    return MP.unmapped_fields(MP.auto_map_columns(cat), cat.select("source_id").distinct())
 
 
-@register("duplicate_mappings")
+@register("duplicate_mappings", _SCORE_SQL + """,
+best AS (SELECT source_id, field, "column" FROM (
+  SELECT n.*, row_number() OVER (PARTITION BY source_id, field ORDER BY exact DESC, score DESC, ordinal) AS rn
+  FROM scores n WHERE exact OR score >= 50) x WHERE rn = 1)
+SELECT source_id, "column", count(*) AS n_fields, list_sort(list(field)) AS fields FROM best
+GROUP BY source_id, "column" HAVING count(*) > 1""")
 def q_duplicate_mappings(spark, sf_dir):
-    """M6: columns chosen for two fields in the resolved mappings."""
-    return MP.duplicate_mappings(MP.resolve_mapping(_catalog(spark, sf_dir)))
+    """M6: columns picked for two fields when each field takes its most similar column on its own."""
+    return MP.duplicate_mappings(MP.best_columns(_catalog(spark, sf_dir), threshold=50))
 
 
-@register("apply_mapping", "WITH " + O.FACTS + """
-SELECT tenant_id, customer_id, strftime(date, '%Y-%m-%d') AS date, printf('%.2f', amount) AS amount,
-       CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS status,
-       currency FROM raw""")
+@register("apply_mapping", "WITH " + _UP_SQL + """
+SELECT tenant_id, customer_id, day AS date, printf('%.2f', amount) AS amount, spelled AS status, currency,
+       CASE layout WHEN 'custom' THEN 'Created By,' ELSE '' END || 'order_ref,line_no,memo' AS passed
+FROM cells WHERE NOT too_long""")
 def q_apply_mapping(spark, sf_dir):
-    """M7: exports renamed by the resolved mapping (pass-through columns kept)."""
-    return CX.ingest(spark, _exports(spark, sf_dir))
+    """M7: rows with the canonical names, and the names of the columns that pass through."""
+    passed = F.array_join(F.transform("extras", lambda e: e["name"]), ",")
+    return _ingested(spark, sf_dir).select("tenant_id", *CL.CANONICAL, passed.alias("passed"))
 
 
 # Cleaning on the billing facts.
@@ -1075,13 +1306,13 @@ def q_preview(spark, sf_dir):
 
 # --- streaming forms (T1, T2 on a stream) ----------------------------------------
 
-def _events_stream_run(spark, sf_dir, which: str):
+def _events_stream_run(spark, sf_dir, which: str, build=None):
     import datetime as _dt
 
     from recurra.streaming import sessions_stream as SS
     marker = {"event_id": -1, "ts": _dt.datetime.fromisoformat(SS.END_MARKER_TS), "user_id": SS.END_MARKER_USER,
               "event_type": "end", "value": 0.0, "props": None}
-    build = SS.idle_sessions_stream if which == "idle" else SS.sessions_stream
+    build = build or (SS.idle_sessions_stream if which == "idle" else SS.sessions_stream)
     out = SS.run_to_parquet(spark, build, f"{sf_dir.rstrip('/')}/events.parquet", SS.EVENT_SCHEMA, marker,
                             f"sessions-{which}")
     return out.where(F.col("user_id") != SS.END_MARKER_USER).select(
@@ -1109,6 +1340,14 @@ def q_sessions_max_age_stream(spark, sf_dir):
     return _events_stream_run(spark, sf_dir, "max_age")
 
 
+@register("sessions_max_age_slow_stream", _max_age_sql(SLOW_IDLE, SLOW_MAX_AGE).replace(_SESS_OUT, """SELECT user_id, min(ts) AS session_start,
+       max(ts) AS session_end, count(*) AS n_events"""))
+def q_sessions_max_age_slow_stream(spark, sf_dir):
+    """T1 + T2 as Structured Streaming with limits of a day and three days, under which the age rule fires."""
+    from recurra.streaming import sessions_stream as SS
+    return _events_stream_run(spark, sf_dir, "max_age_slow", lambda e: SS.sessions_stream(e, SLOW_IDLE, SLOW_MAX_AGE))
+
+
 # --- customer-level sets behind the metrics (G3, G6, K3) and the sales feed (R8) --
 
 _SETS_SQL = "WITH " + O.LAST + """,
@@ -1123,6 +1362,13 @@ def q_new_customers(spark, sf_dir):
     return MX.new_customers(rollup_of(spark, sf_dir))
 
 
+@register("new_customers_by_month", "WITH " + O.BY_MONTH + f"""
+SELECT f.tenant_id, f.customer_id, {O.label('f.fs')} AS period FROM first_seen f JOIN tm t ON t.tenant_id = f.tenant_id AND t.pidx = f.fs""")
+def q_new_customers_by_month(spark, sf_dir):
+    """G3 for every paying month as if it were the last."""
+    return MX.new_customers_by_month(rollup_of(spark, sf_dir))
+
+
 @register("reactivated_customers", _SETS_SQL + """
 SELECT p.tenant_id, p.customer_id, round(CAST(p.amt AS DOUBLE), 6) AS mrr
 FROM pay p JOIN lastidx l ON l.tenant_id = p.tenant_id AND l.pidx = p.pidx

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from recurra.sources.tables import RAW_BILLING_SQL
 
-# Clean facts: dedup on whole rows, month ordinal, money decimal.
+# Clean facts: dedup on whole rows, tenants that mix currencies left out of all metrics, month ordinal, money decimal.
 FACTS = RAW_BILLING_SQL + """,
 subs AS (SELECT DISTINCT * FROM raw),
+blocked AS (SELECT tenant_id FROM subs WHERE currency IS NOT NULL GROUP BY tenant_id HAVING count(DISTINCT currency) > 1),
 s AS (SELECT *, CAST(year(date) * 12 + month(date) - 1 AS INTEGER) AS pidx,
-             CAST(amount AS DECIMAL(18,4)) AS amt FROM subs),
+             CAST(amount AS DECIMAL(18,4)) AS amt FROM subs
+      WHERE tenant_id NOT IN (SELECT tenant_id FROM blocked)),
 pay AS (SELECT tenant_id, customer_id, pidx, sum(amt) AS amt
         FROM s WHERE status = 'active' AND amount > 0 AND pidx IS NOT NULL
         GROUP BY tenant_id, customer_id, pidx),

@@ -1,95 +1,142 @@
 """Billing exports as CSV files, and their ingestion.
 
-``write_exports`` turns the canonical billing rows into one CSV export per
-tenant, in the header layout of the tenant's billing source (by the first
-letter of the tenant name; unknown letters use the plain layout). They land
-under the shared checkpoint folder, so on a cluster every executor sees them.
-Ingestion then does what the upload flow does: file guards, encoding check,
-all-string CSV read, schema resolution and cleaning.
+``write_exports`` turns the canonical billing rows into CSV exports, one
+upload per tenant, in the header layout of the tenant's billing source (by the
+first letter of the tenant name; unknown letters use the plain layout). They
+look as uploads do: extra columns, quoted fields with commas and quotes, short
+and long lines, missing-value spellings, three date spellings, UTF-8 with and
+without a byte order mark and two single-byte encodings. They land under the
+shared checkpoint folder, so on a cluster every executor sees them.
+
+``ingest`` does what the upload flow does, with any number of files at once:
+lines are read as bytes, each file's encoding and header are found by grouped
+aggregates, lines are cut into fields by position of their own file's header,
+and fields get their canonical names by the mapping of that header. Columns
+that no field claims pass through in ``extras`` (name and value, in order).
+
+Defined cases: blank lines are skipped; a short line is padded with NULL; a
+line with more fields than its header is dropped (the strict read refuses its
+whole file); a default missing-value spelling is NULL; a file without lines
+gives no rows; a quoted field may hold commas and quotes, but no line break.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recurra.functions import columns as C
-from recurra.functions.constants import MAX_FILE_BYTES
-from recurra.session import shared_path
-
-# Export layouts: canonical field -> header name (a bit of everything the
-# upload flow meets: exact presets and a header only the fuzzy matcher maps).
-LAYOUTS = {
-    "stripe": {"customer_id": "customer_id", "date": "created", "amount": "amount", "status": "status",
-               "currency": "currency"},
-    "paddle": {"customer_id": "customer_id", "date": "created_at", "amount": "amount", "status": "status",
-               "currency": "currency"},
-    "lemonsqueezy": {"customer_id": "customer_email", "date": "created_at", "amount": "total",
-                     "status": "status", "currency": "currency"},
-    "chargebee": {"customer_id": "customer_id", "date": "started_at", "amount": "amount", "status": "status",
-                  "currency": "currency"},
-    "custom": {"customer_id": "Client ID", "date": "Billing Date", "amount": "Plan Amount",
-               "status": "Subscription Status", "currency": "Currency Code", "created_by": "Created By"},
-    "manual": {"customer_id": "customer_id", "date": "date", "amount": "amount", "status": "status",
-               "currency": "currency"},
-}
+from recurra.functions.constants import MAX_FILE_BYTES, PANDAS_NA_STRINGS, PRESET_SIGNATURES
+from recurra.session import materialize, shared_path
+
+CANONICAL = ["customer_id", "date", "amount", "status", "currency"]
+#: Columns beside the canonical ones that every export carries.
+EXTRAS = {"src_order": "order_ref", "src_line": "line_no", "memo": "memo"}
+CUSTOM = {"customer_id": "Client ID", "date": "Billing Date", "amount": "Plan Amount", "status": "Subscription Status",
+          "currency": "Currency Code", "created_by": "Created By"}
+
+
+def _layouts() -> dict[str, dict[str, str]]:
+    """Header names per billing source: the presets' signatures, and a header only the fuzzy matcher maps."""
+    out = {name: {f: sig[f] for f in CANONICAL if f in sig} | {"currency": "currency"}
+           for name, sig in PRESET_SIGNATURES if name != "gumroad"}
+    out["custom"] = CUSTOM
+    return {name: header | EXTRAS for name, header in out.items()}
+
+
+LAYOUTS = _layouts()
 LAYOUT_BY_INITIAL = {"A": "stripe", "B": "paddle", "F": "lemonsqueezy", "H": "chargebee", "M": "custom"}
+#: How a source writes dates; others write yyyy-MM-dd.
+DATE_FORMATS = {"stripe": "MM/dd/yyyy", "lemonsqueezy": "dd/MM/yyyy"}
+#: Sources whose files are not UTF-8, and the memo that shows it (the second one is no valid cp1251).
+SINGLE_BYTE = {"chargebee": "Счёт", "lemonsqueezy": "Café\u0098"}
+BOM_LAYOUT = "paddle"
+#: Sources whose exports hold lines with too many fields.
+LONG_LINE_LAYOUTS = ["stripe", "custom"]
+#: Orders per file: an export of a large tenant is many files.
+CHUNK_ORDERS = 100_000
 
+_HIGH = [chr(b) for b in range(0x80, 0x100)]
+_CP1251 = [(c, bytes([ord(c)]).decode("cp1251")) for c in _HIGH if c != "\x98"]  # 0x98 has no meaning there
+_LATIN, _CYRILLIC = "".join(a for a, _ in _CP1251), "".join(b for _, b in _CP1251)
 
-def layout_of(tenant: F.Column) -> F.Column:
+
+def layout_of(tenant: Column) -> Column:
     m = F.create_map(*[x for k, v in LAYOUT_BY_INITIAL.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.element_at(m, F.upper(F.substring(tenant, 1, 1))), F.lit("manual"))
 
 
-def exports_path(spark: SparkSession, sf_dir: str) -> str:
-    key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return shared_path(spark, f"exports-{key}")
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
 
+def _csv_field(v: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(v.rlike('[",\r\n]'), quoted).otherwise(v)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+
+def export_lines(raw: DataFrame) -> DataFrame:
+    """(tenant_id, layout, chunk, src_order, src_line, line): the body lines of the exports."""
+    rows = raw.withColumn("layout", layout_of(F.col("tenant_id"))).withColumn(
+        "chunk", F.floor(F.col("src_order") / CHUNK_ORDERS))
+    foreign = F.create_map(*[x for k, v in SINGLE_BYTE.items() for x in (F.lit(k), F.lit(v))])
+    word = F.coalesce(F.element_at(foreign, F.col("layout")), F.lit("Facture é"))
+    memo = (F.when(F.col("src_line") == 1, F.concat(word, F.lit(', "'), F.col("status"), F.lit('", 1')))
+             .when(F.col("src_line") == 2, F.lit("NA")).otherwise(word))
+    fmt = F.create_map(*[x for k, v in DATE_FORMATS.items() for x in (F.lit(k), F.lit(v))])
+    spelled = F.when(F.element_at(fmt, F.col("layout")) == "MM/dd/yyyy", F.date_format("date", "MM/dd/yyyy")).when(
+        F.element_at(fmt, F.col("layout")) == "dd/MM/yyyy", F.date_format("date", "dd/MM/yyyy")).otherwise(
+        F.date_format("date", "yyyy-MM-dd"))
+    value = {"customer_id": F.col("customer_id"), "date": spelled, "amount": F.format_string("%.2f", F.col("amount")),
+             "status": F.col("status"), "currency": F.col("currency"), "created_by": F.lit("export"),
+             "src_order": F.col("src_order").cast("string"), "src_line": F.col("src_line").cast("string"), "memo": memo}
+    short = (F.col("src_line") == 4) & (F.col("src_order") % 3 == 0)  # the last field is left out
+    long = F.col("layout").isin(LONG_LINE_LAYOUTS) & (F.col("src_line") == 5) & (F.col("src_order") % 4 == 0)
+
+    def line(fields):
+        cells = [F.coalesce(_csv_field(value[f]), F.lit("")) for f in fields]
+        return F.when(short, F.concat_ws(",", *cells[:-1])).when(long, F.concat_ws(",", *cells, F.lit("surplus"), F.lit("fields"))) \
+                .otherwise(F.concat_ws(",", *cells))
+
+    text = line(LAYOUTS["manual"])  # all layouts but the custom one have the same fields in the same order
+    text = F.when(F.col("layout") == "custom", line(LAYOUTS["custom"])).otherwise(text)
+    return rows.select("tenant_id", "layout", "chunk", "src_order", "src_line", text.alias("line"))
 
 
 def write_exports(spark: SparkSession, raw: DataFrame, path: str) -> None:
-    """One CSV export per tenant: <path>/<layout>/tenant_id=<t>/part-*.csv.
+    """<path>/charset=<c>/tenant_id=<t>/chunk=<k>/*.csv, each with its header, lines in file order.
 
-    The loop is over the six fixed layouts (not over data); each write
-    partitions by tenant so every tenant's rows form their own export.
-    Amounts are written with two decimals, dates as yyyy-MM-dd, file order
-    follows the ingest ordinal.
+    Rows are written once for each of the two character widths, from one
+    stored copy of the lines. A file is one (tenant, chunk), so a large tenant
+    is spread over many tasks.
     """
-    rows = raw.withColumn("_layout", layout_of(F.col("tenant_id")))
-    for layout, header in LAYOUTS.items():
-        cols = [F.col("tenant_id")]
-        for field, name in header.items():
-            if field == "amount":
-                v = F.format_string("%.2f", F.col("amount"))
-            elif field == "date":
-                v = F.date_format(F.col("date"), "yyyy-MM-dd")
-            elif field == "created_by":
-                v = F.lit("export")
-            else:
-                v = F.col(field)
-            cols.append(v.alias(name))
-        # Range partitioning keeps each file a contiguous, ordered slice of
-        # one tenant's export and splits a large tenant over many files.
-        part = (rows.where(F.col("_layout") == layout)
-                    .repartitionByRange("tenant_id", "src_order", "src_line")
-                    .sortWithinPartitions("tenant_id", "src_order", "src_line")
-                    .select(*cols))
-        (part.write.mode("overwrite").option("header", True).partitionBy("tenant_id")
-             .csv(f"{path}/{layout}"))
-
-
-def ensure_exports(spark: SparkSession, sf_dir: str, raw: DataFrame) -> str:
-    """Write the exports once per input folder (a _READY marker guards reuse)."""
-    path = exports_path(spark, sf_dir)
+    lines = materialize(spark, export_lines(raw), "export-lines")
+    headers = F.create_map(*[x for name, h in LAYOUTS.items() for x in (
+        F.lit(name), F.lit(("\ufeff" if name == BOM_LAYOUT else "") + ",".join(h.values())))])
+    heads = lines.select("tenant_id", "layout", "chunk").distinct().select(
+        "tenant_id", "layout", "chunk", F.lit(-1).cast("long").alias("src_order"), F.lit(-1).alias("src_line"),
+        F.element_at(headers, F.col("layout")).alias("line"))
+    every = lines.unionByName(heads)
+    narrow = F.col("layout").isin(list(SINGLE_BYTE))
+    for charset, some in (("UTF-8", ~narrow), ("ISO-8859-1", narrow)):
+        # Letters of the single-byte code page are written as the characters that have their bytes.
+        text = F.translate("line", _CYRILLIC, _LATIN) if charset != "UTF-8" else F.col("line")
+        text = F.when(F.col("layout") == "chargebee", text).otherwise(F.col("line"))
+        (every.where(some).withColumn("line", text).repartition("tenant_id", "chunk")
+              .sortWithinPartitions("tenant_id", "chunk", "src_order", "src_line").select("tenant_id", "chunk", "line")
+              .write.mode("overwrite").partitionBy("tenant_id", "chunk")
+              .option("encoding", charset).option("sep", "\u0001").option("quote", "\u0000").option("escapeQuotes", False)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .csv(f"{path}/charset={charset}"))
+
+
+def ensure_exports(spark: SparkSession, identity: tuple, raw: DataFrame) -> str:
+    """Write the exports once per input (``identity``: its files' paths, lengths and times)."""
+    key = hashlib.sha1(repr(identity).encode()).hexdigest()[:12]
+    path = shared_path(spark, f"exports-{key}")
     if not _exists(spark, f"{path}/_READY"):
         write_exports(spark, raw, path)
         spark.createDataFrame([("ok",)], "s string").coalesce(1).write.mode("overwrite").text(f"{path}/_READY")
@@ -101,92 +148,115 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
 
     Only path and length are selected, so file contents are not read.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                  .select("path", "length"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     reason = (F.when(~F.lower(F.col("path")).endswith(".csv"), F.lit("not_csv"))
                .when(F.col("length") == 0, F.lit("empty"))
                .when(F.col("length") > MAX_FILE_BYTES, F.lit("too_large")))
-    return files.select("path", "length", reason.alias("reject_reason"),
-                        reason.isNull().alias("accepted"))
-
-
-def encoding_report(spark: SparkSession, path: str) -> DataFrame:
-    """Per accepted file, UTF-8 (with/without BOM) or the single-byte
-    fallback (read as ISO-8859-1, flagged)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", "*.csv").load(path).select("path", "length", "content"))
-    bom = F.substring(F.col("content"), 1, 3) == F.unhex(F.lit("EFBBBF"))
-    utf8 = F.expr("is_valid_utf8(cast(content as string))")
-    enc = (F.when(F.col("length") == 0, F.lit("utf-8"))
-            .when(bom, F.lit("utf-8-sig"))
-            .when(utf8, F.lit("utf-8"))
-            .otherwise(F.lit("latin-1")))
-    return files.select("path", "length", enc.alias("encoding"), (enc == "latin-1").alias("encoding_warning"))
-
-
-def read_export_dir(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """All-string CSV read of one layout folder. Permissive mode keeps
-    short lines (padded with NULL, as pandas does) and drops lines with too
-    many fields; strict mode fails on any malformed line."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8")
-    if strict:
-        return reader.option("mode", "FAILFAST").csv(path)
-    header = reader.csv(path).schema
-    data_cols = [f for f in header.fields if f.name != "tenant_id"]
-    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in data_cols]
-                          + [T.StructField("_corrupt_record", T.StringType())])
-    df = (reader.schema(schema).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    # Spark flags short and long lines alike; pandas pads short lines with
-    # NULL and skips lines with too many fields, so only the latter go.
-    too_long = F.size(F.split(F.col("_corrupt_record"), ",")) > len(data_cols)
-    # The filter also reads the data columns: a scan reduced to the corrupt
-    # record column alone (e.g. for a row count) is refused by Spark.
-    reads_data = F.length(F.concat_ws(",", *[F.col(f.name) for f in data_cols])) >= 0
-    return df.where((F.col("_corrupt_record").isNull() | ~too_long) & reads_data).drop("_corrupt_record")
-
-
-def layout_frames(spark: SparkSession, path: str, strict: bool = False) -> dict[str, DataFrame]:
-    """The non-empty layout folders, each read as all-string CSV."""
-    out = {}
-    for layout in LAYOUTS:
-        if not _exists(spark, f"{path}/{layout}"):
-            continue
-        try:
-            out[layout] = read_export_dir(spark, f"{path}/{layout}", strict=strict)
-        except Exception as e:  # noqa: BLE001 - an empty folder has no schema to infer
-            if "UNABLE_TO_INFER_SCHEMA" not in str(e) and "Unable to infer schema" not in str(e):
-                raise
-    return out
-
-
-def header_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Column catalog (source_id, ordinal, column) of every export folder
-    (the CSV header line is file metadata, read when the schema is built)."""
-    from recurra.operators.mapping import catalog_from_columns
-    sources = {layout: [c for c in df.columns if c != "tenant_id"]
-               for layout, df in layout_frames(spark, path).items()}
-    return catalog_from_columns(spark, sources)
-
-
-def ingest(spark: SparkSession, path: str, mapping: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """R1 + M7 for every layout folder: string rows renamed to the canonical
-    fields by the resolved mapping, unioned into one raw table."""
+    return files.select("path", "length", reason.alias("reject_reason"), reason.isNull().alias("accepted"))
+
+
+def upload_of(path: Column) -> list[Column]:
+    """Tenant and chunk of an export file, from its path."""
+    return [F.url_decode(F.regexp_extract(path, "tenant_id=([^/]*)/", 1)).alias("tenant_id"),
+            F.regexp_extract(path, "chunk=([0-9]+)/", 1).cast("long").alias("chunk")]
+
+
+def _cells(text: Column) -> Column:
+    """The fields of a CSV line, unquoted."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',("(?:[^"]++|"")*+"[^,]*|[^,]*)'), F.lit(1))
+    return F.transform(raw, lambda f: F.when(
+        f.startswith('"') & (F.length(f) > 1),
+        F.replace(F.regexp_replace(f, r'(?s)^"((?:[^"]++|"")*+)"(.*)$', "$1$2"), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
+class Uploads:
+    """The lines of all CSV files under a folder, stored once, and what is known of each file."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        read = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+                .schema("value string").text(path))
+        # A file's lines have rising row numbers in the task that reads its first block.
+        self.lines = materialize(spark, read.select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("bytes")), "upload-lines")
+        latin = F.decode("bytes", "ISO-8859-1")
+        found = self.lines.groupBy("file").agg(
+            F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8"),
+            F.bool_or(latin.contains("\x98")).alias("no_cp1251"),
+            F.min_by("bytes", F.when(F.col("block") == 0, F.col("row"))).alias("head"),
+            F.min(F.when(F.col("block") == 0, F.col("row"))).alias("head_row"))
+        # The line reader takes a byte order mark off the first line.
+        encoding = F.when(F.col("utf8"), "utf-8").when(F.col("no_cp1251"), "latin-1").otherwise("cp1251")
+        head = decoded(F.col("head"), F.col("encoding"))
+        self.files = materialize(spark, found.withColumn("encoding", encoding).withColumn("names", _cells(head)).select(
+            "file", "encoding", "head_row", "names", F.md5(F.to_json("names")).alias("header_id")), "upload-files")
+
+    def encodings(self) -> DataFrame:
+        """(file, encoding, encoding_warning): the chain utf-8-sig, utf-8, cp1251, latin-1 over the whole file.
+
+        The byte order mark is looked up in the accepted files alone (the size limit is pushed to the reader).
+        """
+        starts = (self.lines.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", "*.csv").load(self.path).where(F.col("length") <= MAX_FILE_BYTES)
+                  .select(F.url_decode(F.regexp_replace("path", "^[a-z0-9]+:/+", "/")).alias("at"), F.hex(F.substring("content", 1, 3)).alias("start")))
+        at = F.url_decode(F.regexp_replace("file", "^[a-z0-9]+:/+", "/"))
+        found = self.files.withColumn("at", at).join(starts, "at", "left")
+        return found.select("file", F.when((F.col("start") == "EFBBBF") & (F.col("encoding") == "utf-8"), "utf-8-sig")
+                            .otherwise(F.col("encoding")).alias("encoding"),
+                            (F.col("encoding") == "latin-1").alias("encoding_warning"))
+
+    def catalog(self, source: Column | None = None) -> DataFrame:
+        """(source_id, ordinal, column) of the distinct headers, or of the sources that ``source`` names."""
+        source = F.col("header_id") if source is None else source
+        return self.files.select(source.alias("source_id"), F.posexplode("names").alias("ordinal", "column")).distinct()
+
+    def rows(self, strict: bool = False) -> DataFrame:
+        """(file, header_id, names, cells) of the data lines; ``strict`` leaves out files with a long line."""
+        known = self.files.select("file", "encoding", "head_row", "names", "header_id")
+        text = decoded(F.col("bytes"), F.col("encoding"))
+        r = (self.lines.join(known, "file").where(F.col("row") != F.col("head_row"))
+             .select("file", "header_id", "names", text.alias("text")).where(F.col("text") != "")
+             .select("file", "header_id", "names", _cells(F.col("text")).alias("cells")))
+        long = F.size("cells") > F.size("names")
+        if strict:
+            r = r.join(r.where(long).select("file").distinct(), "file", "left_anti")
+        return r.where(~long)
+
+
+def decoded(raw: Column, encoding: Column) -> Column:
+    latin = F.decode(raw, "ISO-8859-1")
+    return (F.when(encoding == "utf-8", raw.cast("string"))
+             .when(encoding == "cp1251", F.translate(latin, _LATIN, _CYRILLIC)).otherwise(latin))
+
+
+def ingest(spark: SparkSession, path: str, strict: bool = False, uploads: Uploads | None = None,
+           mapping: DataFrame | None = None) -> DataFrame:
+    """R1 + M7: (tenant_id, canonical fields as text, extras) of every file's rows.
+
+    ``mapping`` (source_id = header_id, field, column) replaces the resolved
+    one. A header maps at most five fields, so each header's map is one row;
+    files meet it by their header, lines meet their file.
+    """
     from recurra.operators import mapping as M
-    catalog = header_catalog(spark, path)
+    uploads = uploads or Uploads(spark, path)
+    catalog = uploads.catalog()
     resolved = M.resolve_mapping(catalog) if mapping is None else mapping
-    # The resolved mapping is at most 5 rows per export layout: it is small by
-    # construction (bounded by header width), so reading it on the driver to
-    # build the rename plans is safe.
-    plans: dict[str, list[tuple[str, str]]] = {}
-    for r in resolved.select("source_id", "field", "column").collect():
-        plans.setdefault(r["source_id"], []).append((r["field"], r["column"]))
-    out = None
-    for layout, df in layout_frames(spark, path, strict=strict).items():
-        renamed = M.apply_mapping(df, M.rename_plan(plans.get(layout, [])))
-        renamed = renamed.withColumn("tenant_id", F.col("tenant_id").cast("string"))
-        keep = ["tenant_id"] + [c for c in ("customer_id", "date", "amount", "status", "currency")
-                                if c in renamed.columns]
-        cur = renamed.select(*keep)
-        out = cur if out is None else out.unionByName(cur, allowMissingColumns=True)
-    return out
+    places = (resolved.select("source_id", "field", "column").join(catalog, ["source_id", "column"])
+              .groupBy("source_id", "field").agg(F.min("ordinal").alias("ordinal"))
+              .groupBy(F.col("source_id").alias("header_id")).agg(
+                  F.map_from_entries(F.collect_list(F.struct("field", "ordinal"))).alias("at")))
+    rows = uploads.rows(strict).join(places, "header_id", "left")
+    cells = F.transform("cells", C.null_if_na_string)
+    at = F.coalesce("at", F.create_map().cast("map<string,int>"))
+    rows = rows.select(upload_of(F.col("file"))[0], "names", cells.alias("cells"), at.alias("at"))
+    fields = [F.get("cells", F.try_element_at("at", F.lit(f))).alias(f) for f in CANONICAL]
+    pairs = F.transform("names", lambda n, i: F.struct(n.alias("name"), F.get("cells", i).alias("value"), i.alias("i")))
+    free = F.filter(pairs, lambda p: ~F.array_contains(F.map_values("at"), p["i"]))
+    extras = F.transform(free, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
+    return rows.select("tenant_id", *fields, extras.alias("extras"))
+
+
+def extra(name: str) -> Column:
+    """The value of a pass-through column."""
+    return F.get(F.filter("extras", lambda e: e["name"] == name), F.lit(0))["value"]

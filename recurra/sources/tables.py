@@ -13,7 +13,8 @@ job reads real, scalable input:
   discount below 1 % (zero-amount rows)
 * ``status``      = raw export spelling: ``Active``; pending orders become
   ``cancelled`` (open line) or ``Payment Failed`` (final line)
-* ``currency``    = ``USD``
+* ``currency``    = ``USD``, but ``EUR`` for the HOUSEHOLD customers whose
+  nation key is divisible by 5 (so that tenant mixes currencies)
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def raw_billing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount",
         "l_returnflag", "l_linestatus", "l_shipdate")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
 
     # Orders meet their customers first: the fact rows are joined (and shuffled) once, by order.
     owned = orders.join(cust, orders.o_custkey == cust.c_custkey)
@@ -63,7 +64,8 @@ def raw_billing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp_ntz").alias("date"),
         (signed_cents.cast("double") / F.lit(100.0)).alias("amount"),
         raw_status.alias("status"),
-        F.lit("USD").alias("currency"),
+        F.when((F.col("c_mktsegment") == "HOUSEHOLD") & (F.col("c_nationkey") % 5 == 0), F.lit("EUR"))
+         .otherwise(F.lit("USD")).alias("currency"),
         F.col("l_orderkey").alias("src_order"),
         F.col("l_linenumber").alias("src_line"),
     )
@@ -83,7 +85,7 @@ raw AS (
          CASE WHEN o.o_orderstatus <> 'P' THEN 'active'
               WHEN l.l_linestatus = 'O' THEN 'churned'
               ELSE 'past_due' END AS status,
-         'USD' AS currency,
+         CASE WHEN c.c_mktsegment = 'HOUSEHOLD' AND c.c_nationkey % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
          l.l_orderkey AS src_order,
          l.l_linenumber AS src_line
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
