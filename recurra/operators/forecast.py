@@ -13,7 +13,7 @@ scenario factors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurra.functions import columns as C
@@ -44,6 +44,10 @@ def _grid(df: DataFrame, names: list[str], steps: list[int]) -> DataFrame:
     return df
 
 
+def _spread(grid: DataFrame) -> DataFrame:
+    return grid.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tenant_id", "alpha")
+
+
 def fit_trend(series: DataFrame) -> DataFrame:
     """F2: best (alpha, beta) per tenant; state (level, trend) after the data."""
     g = _grid(series.where(F.col("n") >= 2), ["alpha", "beta"], TREND_GRID)
@@ -53,7 +57,8 @@ def fit_trend(series: DataFrame) -> DataFrame:
           'l', alpha * y + (1 - alpha) * (acc.l + acc.b),
           'b', beta * ((alpha * y + (1 - alpha) * (acc.l + acc.b)) - acc.l) + (1 - beta) * acc.b,
           'sse', acc.sse + (y - (acc.l + acc.b)) * (y - (acc.l + acc.b))))""")
-    fitted = g.select("tenant_id", "alpha", "beta", fold.alias("st"))
+    # The rows are few bytes and much work: every (tenant, alpha) may be a task of its own.
+    fitted = _spread(g).select("tenant_id", "alpha", "beta", fold.alias("st"))
     best = fitted.groupBy("tenant_id").agg(
         F.min(F.struct(F.col("st.sse").alias("sse"), "alpha", "beta",
                        F.col("st.l").alias("level"), F.col("st.b").alias("trend"))).alias("m"))
@@ -77,7 +82,7 @@ def fit_seasonal(series: DataFrame) -> DataFrame:
           's', transform(acc.s, (x, i) -> if(i = acc.t % m, gamma * (y - acc.l - acc.b) + (1 - gamma) * x, x)),
           'sse', acc.sse + (y - (acc.l + acc.b + acc.s[acc.t % m])) * (y - (acc.l + acc.b + acc.s[acc.t % m])),
           't', acc.t + 1))""")
-    fitted = g.select("tenant_id", "m", "alpha", "beta", "gamma", fold.alias("st"))
+    fitted = _spread(g).select("tenant_id", "m", "alpha", "beta", "gamma", fold.alias("st"))
     best = fitted.groupBy("tenant_id", "m").agg(
         F.min(F.struct(F.col("st.sse").alias("sse"), "alpha", "beta", "gamma",
                        F.col("st.l").alias("level"), F.col("st.b").alias("trend"),
@@ -86,13 +91,17 @@ def fit_seasonal(series: DataFrame) -> DataFrame:
                        "x.level", "x.trend", "x.season", "x.sse")
 
 
+def _status() -> Column:
+    """the gate by the number of months with data and by whether they differ."""
+    return (F.when(F.col("n") < FORECAST_MIN_MONTHS, F.lit("insufficient"))
+             .when(F.size(F.array_distinct("ys")) == 1, F.lit("degenerate"))
+             .when(F.col("n") < FORECAST_FULL_MONTHS, F.lit("realistic_only"))
+             .otherwise(F.lit("full")))
+
+
 def forecast_status(series: DataFrame) -> DataFrame:
-    """gate per tenant on the number of months with data."""
-    distinct = F.size(F.array_distinct("ys"))
-    status = (F.when(F.col("n") < FORECAST_MIN_MONTHS, F.lit("insufficient"))
-               .when(distinct == 1, F.lit("degenerate"))
-               .when(F.col("n") < FORECAST_FULL_MONTHS, F.lit("realistic_only"))
-               .otherwise(F.lit("full")))
+    """gate per tenant."""
+    status = _status()
     return series.select(
         "tenant_id", F.col("n").cast("long").alias("data_months_used"), status.alias("status"),
         (status == "full").alias("export_enabled"),
@@ -105,8 +114,7 @@ def projections(series: DataFrame) -> DataFrame:
     3-5 months: trend model. >= 6 months: seasonal model (falls back to the
     trend model only if no seasonal fit exists).
     """
-    st = forecast_status(series).select("tenant_id", "status")
-    ok = series.join(st, "tenant_id").where(F.col("status").isin("realistic_only", "full"))
+    ok = series.withColumn("status", _status()).where(F.col("status").isin("realistic_only", "full"))
     # The trend model serves the 3-5 month forecasts; longer series use the
     # seasonal model (a grid fit always exists, so no fallback is needed).
     trend = fit_trend(ok.where(F.col("status") == "realistic_only"))

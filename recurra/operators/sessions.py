@@ -39,18 +39,19 @@ def mark_idle_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECON
     """Every event with ``session_idx`` (1-based per user) under the idle rule."""
     ev = _events(events, user, ts, eid).withColumn("chunk", F.floor(F.col("t") / (chunk_seconds * MICROS)))
     in_chunk = Window.partitionBy("user_id", "chunk").orderBy("t", "event_id")
-    ev = ev.withColumn("prev_t", F.lag("t").over(in_chunk))
+    late = F.col("t") - F.lag("t").over(in_chunk) > idle_seconds * MICROS
+    # Starts inside the chunk; whether its first event is one depends on the chunk before.
+    ev = (ev.withColumn("is_start", F.coalesce(late, F.lit(False)).cast("int"))
+            .withColumn("starts_upto", F.sum("is_start").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0))))
+    # One row per chunk, from the same partitions; a user's chunks grow with time alone.
     by_user = Window.partitionBy("user_id").orderBy("chunk")
-    chunks = (ev.groupBy("user_id", "chunk").agg(F.max("t").alias("max_t"))
-                .withColumn("prev_chunk_max", F.lag("max_t").over(by_user)))
-    ev = ev.join(chunks.select("user_id", "chunk", "prev_chunk_max"), ["user_id", "chunk"])
-    prev = F.coalesce(F.col("prev_t"), F.col("prev_chunk_max"))
-    ev = ev.withColumn("is_start", (prev.isNull() | ((F.col("t") - prev) > idle_seconds * MICROS)).cast("int"))
-    ev = ev.withColumn("starts_upto", F.sum("is_start").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)))
-    offsets = (ev.groupBy("user_id", "chunk").agg(F.sum("is_start").alias("n_starts"))
-                 .withColumn("offset", F.coalesce(
-                     F.sum("n_starts").over(by_user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    ev = ev.join(offsets.select("user_id", "chunk", "offset"), ["user_id", "chunk"])
+    chunks = ev.groupBy("user_id", "chunk").agg(
+        F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.sum("is_start").alias("n_inside"))
+    gap = F.col("min_t") - F.lag("max_t").over(by_user)
+    chunks = chunks.withColumn("opens", F.coalesce(gap > idle_seconds * MICROS, F.lit(True)).cast("int"))
+    chunks = chunks.withColumn("offset", F.sum(F.col("opens") + F.col("n_inside")).over(
+        by_user.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_inside"))
+    ev = ev.join(chunks.select("user_id", "chunk", "offset"), ["user_id", "chunk"])
     return ev.select("user_id", "event_id", "ts", "t",
                      (F.col("offset") + F.col("starts_upto")).cast("long").alias("session_idx"))
 

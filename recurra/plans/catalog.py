@@ -79,6 +79,12 @@ def rollup_of(spark: SparkSession, sf_dir: str) -> MX.Rollup:
     return r
 
 
+def forget() -> None:
+    """Forget the stored tables, so that the next query builds them anew."""
+    for stored in (_ROLLUPS, _IDLE_MARKS, _UPLOADS):
+        stored.clear()
+
+
 # --- metrics (A, G, K, H) ------------------------------------------------------
 
 def _last(cols: list[str]):
