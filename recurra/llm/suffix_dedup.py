@@ -27,9 +27,15 @@ suffix of at the front of their groups. Nothing is renamed or recursed into.
 
 Only hashes and positions are shuffled per anchor (one for about 28 bytes);
 the texts are shuffled once, to meet their open anchors and covered places.
-An anchor with more than ``HOT`` different contexts is not sorted in one task:
-its windows are dealt out by their own digests, as suffix buckets of the full
-window length, where all order left is that of the positions.
+A map task settles equal contexts among the ``HELD`` positions it holds before
+it deals them out, so a string that very many documents share costs a bucket
+one position per ``HELD``. An anchor with more than ``HOT`` different contexts
+is not sorted in one task: its windows are dealt out by their own digests, as
+suffix buckets of the full window length, where all order left is that of the
+positions; equal windows of a batch are settled before the shuffle here too. A
+map task that holds more than ``HOT_HELD`` different contexts of an anchor
+sends them this way at once and tells the anchor's bucket, which does the same
+with what it gets of it.
 
 Defined cases: null and empty texts have no bytes; texts shorter than the
 window lose nothing; rows without doc_id are left out; of rows with the same
@@ -55,6 +61,8 @@ WINDOW, ANCHOR, UNIT = 100, 40, 15
 PIECE, OVERLAP = 1 << 18, 512
 #: Different contexts of an anchor that one task sorts together.
 HOT = 20_000
+#: Positions that a map task holds, and different contexts of an anchor among them that make it hot.
+HELD, HOT_HELD = 1 << 20, 512
 #: Bytes of contexts that are sorted at a time.
 CHUNK = 1 << 21
 
@@ -258,54 +266,94 @@ def _by_doc(doc: np.ndarray, *arrays: np.ndarray):
 
 #: Kinds of a document's marks: contexts covered whole, open anchors, open anchors of hot groups, covered windows.
 COVERED, OPEN, OPEN_HOT, STARTS = 0, 1, 2, 3
+#: Kinds of a bucket's rows: positions of anchors, and keys of anchors that are hot.
+POSITIONS, HOT_KEYS = 4, 5
 MARKS = "doc_id long, kind byte, data binary"
 MARK_NAMES, MARK_TYPES = ["doc_id", "kind", "data"], [pa.int64(), pa.int8(), pa.binary()]
 
 
-def anchor_marks(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of each run."""
+    first = np.flatnonzero(run_starts(sorted_keys))
+    return first, np.diff(np.append(first, len(sorted_keys)))
+
+
+def anchor_marks(docs: DataFrame, window: int, hot: int = HOT, hot_held: int = HOT_HELD) -> DataFrame:
     """MARKS of kinds COVERED (positions) and OPEN, OPEN_HOT (anchor keys and positions)."""
     n_buckets = shuffle_partitions(docs)
-    names, types = ["bucket", "data"], [pa.int32(), pa.binary()]
+    names, types = ["bucket", *MARK_NAMES], [pa.int32(), *MARK_TYPES]
+
+    def keys_of(h):
+        """Bucket and key of anchor hashes; the key holds the bucket and the 48 bits that are sent."""
+        bucket = ((h >> U64(48)) % U64(n_buckets)).astype(np.int64)
+        return bucket, (h & U64((1 << 48) - 1)).astype(np.int64) | bucket << 48
+
+    def dealt(held):
+        h, ctx, doc, pos = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        _, size = _runs(h[order])
+        many = np.repeat(size > 1, size)
+        alone, some = order[~many], order[many]
+        some = some[np.lexsort((pos[some], doc[some], ctx[some], h[some]))]
+        new = run_starts(h[some], ctx[some])
+        late, some = some[~new], some[new]
+        first, size = _runs(h[some])
+        wide = np.repeat(size > hot_held, size)
+        heads, own, rest = some[first[size > hot_held]], some[wide], np.concatenate([alone, some[~wide]])
+        out = [(d % n_buckets, d, COVERED, x) for d, x in _by_doc(doc[late], pos[late])]
+        out += [(d % n_buckets, d, OPEN_HOT, x) for d, x in _by_doc(doc[own], keys_of(h[own])[1], pos[own])]
+        bucket, key = keys_of(h[heads])
+        out += [(b, None, HOT_KEYS, x) for b, x in deal(bucket, n_buckets, key)]
+        h, ctx, doc, pos = h[rest], ctx[rest], doc[rest], pos[rest]
+        out += [(b, None, POSITIONS, x) for b, x in deal(keys_of(h)[0], n_buckets, h.astype(np.uint32),
+                                                        (h >> U64(32)).astype(np.uint16), ctx, doc, pos)]
+        return _batch(out, names, types)
 
     def scan(batches):
-        anchors = Anchors(window)
+        anchors, held, n = Anchors(window), [], 0
         for ids, offsets, parts, within in _pieces(batches, window):
             t, pos, h, ctx = anchors.of(parts, within)
-            doc, pos = np.array(ids, np.int64)[t], (pos + np.array(offsets, np.int64)[t]).astype(np.uint32)
-            yield _batch(list(deal(((h >> U64(48)) % U64(n_buckets)).astype(np.int64), n_buckets, h.astype(np.uint32),
-                                   (h >> U64(32)).astype(np.uint16), ctx, doc, pos)), names, types)
+            held.append((h, ctx, np.array(ids, np.int64)[t], (pos + np.array(offsets, np.int64)[t]).astype(np.uint32)))
+            n += len(t)
+            if n >= HELD:
+                yield dealt(held)
+                held, n = [], 0
+        if held:
+            yield dealt(held)
 
     def match(batches):
         by_bucket: dict[int, list] = {}
+        hot_keys: dict[int, list] = {}
         for b in batches:
-            for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
-                by_bucket.setdefault(bucket, []).append(data)
+            kinds = b.column("kind").to_numpy()
+            yield b.filter(pa.array(kinds < POSITIONS)).select(MARK_NAMES)
+            for bucket, kind, data in zip(*(b.filter(pa.array(kinds >= POSITIONS)).column(c).to_pylist() for c in ("bucket", "kind", "data"))):
+                (by_bucket if kind == POSITIONS else hot_keys).setdefault(bucket, []).append(data)
         while by_bucket:
             bucket, blobs = by_bucket.popitem()
             low, high, ctx, doc, pos = (np.concatenate(x) for x in zip(*(
                 unpack(d, np.uint32, np.uint16, np.uint64, np.int64, np.uint32) for d in blobs)))
             del blobs
-            h = low.astype(U64) | high.astype(U64) << U64(32)
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            first = np.flatnonzero(run_starts(s))
-            size = np.diff(np.append(first, len(s)))
-            order = order[np.repeat(size > 1, size)]  # anchors that occur once cover nothing
-            h, ctx, doc, pos = h[order], ctx[order], doc[order], pos[order]
-            order = np.lexsort((pos, doc, ctx, h))
-            h, ctx, doc, pos = h[order], ctx[order], doc[order], pos[order]
-            new = run_starts(h, ctx)
+            key = low.astype(np.int64) | high.astype(np.int64) << 32 | np.int64(bucket) << 48
+            told = np.unique(np.concatenate([unpack(d, np.int64)[0] for d in hot_keys.get(bucket, ())] or [np.zeros(0, np.int64)]))
+            order = np.argsort(key, kind="stable")
+            first, size = _runs(key[order])
+            # Anchors that occur once cover nothing, unless their other places went the hot way.
+            order = order[np.repeat((size > 1) | np.isin(key[order[first]], told), size)]
+            key, ctx, doc, pos = key[order], ctx[order], doc[order], pos[order]
+            order = np.lexsort((pos, doc, ctx, key))
+            key, ctx, doc, pos = key[order], ctx[order], doc[order], pos[order]
+            new = run_starts(key, ctx)
             out = [(d, COVERED, x) for d, x in _by_doc(doc[~new], pos[~new])]
-            h, doc, pos = h[new], doc[new], pos[new]
-            first = np.flatnonzero(run_starts(h))
-            size = np.diff(np.append(first, len(h)))
-            many = np.repeat(size, size)
-            key = h.astype(np.int64) | np.int64(bucket) << 48
-            for kind, some in ((OPEN, (many > 1) & (many <= hot)), (OPEN_HOT, many > hot)):
+            key, doc, pos = key[new], doc[new], pos[new]
+            first, size = _runs(key)
+            wide = np.repeat((size > hot) | np.isin(key[first], told), size)
+            open_ = np.repeat(size > 1, size) & ~wide
+            for kind, some in ((OPEN, open_), (OPEN_HOT, wide)):
                 out += [(d, kind, x) for d, x in _by_doc(doc[some], key[some], pos[some])]
             yield _batch(out, MARK_NAMES, MARK_TYPES)
 
-    return docs.mapInArrow(scan, "bucket int, data binary").repartition(n_buckets, "bucket").mapInArrow(match, MARKS)
+    return docs.mapInArrow(scan, "bucket int, " + MARKS).repartition(n_buckets, "bucket").mapInArrow(match, MARKS)
 
 
 def covered_windows(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,12 +428,22 @@ def open_windows(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     reach, n_buckets = window - ANCHOR, shuffle_partitions(docs)
     open_ = marks.where(F.col("kind").isin(OPEN, OPEN_HOT)).groupBy("doc_id").agg(
         F.collect_list(F.struct("kind", "data")).alias("anchors"))
-    # One pass over the texts gives contexts (kind OPEN) and, of hot anchors, window digests (kind OPEN_HOT).
+    # One pass over the texts gives contexts (kind OPEN) and, of hot anchors, window digests (kind OPEN_HOT) and
+    # windows already known to come later (kind STARTS, packed).
     schema = "kind byte, key long, doc_id long, pos long, n_left int, context binary"
     names = ["kind", "key", "doc_id", "pos", "n_left", "context"]
     types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def contexts(batches):
+        first, late = {}, {}  # of the hot windows held: place of the earliest by digest; the others by document
+
+        def settled():
+            rows = [(OPEN_HOT, int.from_bytes(x[:8], "little", signed=True), d, s, 0, x) for x, (d, s) in first.items()]
+            rows += [(STARTS, d, d, 0, 0, pack(np.array(s, np.uint32))) for d, s in late.items()]
+            first.clear()
+            late.clear()
+            return _batch(rows, names, types)
+
         for b in batches:
             out = []
             for doc_id, text, anchors in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("anchors").to_pylist()):
@@ -396,15 +454,24 @@ def open_windows(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                         lo, hi = max(0, p - reach), min(len(data), p + window)
                         if a["kind"] == OPEN:
                             out.append((OPEN, k, doc_id, p, p - lo, data[lo:hi]))
-                        else:
-                            for s in range(lo, hi - window + 1):
-                                digest = xxhash.xxh3_128_digest(data[s:s + window])
-                                out.append((OPEN_HOT, int.from_bytes(digest[:8], "little", signed=True), doc_id, s, 0, digest))
+                            continue
+                        for s in range(lo, hi - window + 1):
+                            digest, here = xxhash.xxh3_128_digest(data[s:s + window]), (doc_id, s)
+                            least = first.setdefault(digest, here)
+                            if here < least:
+                                first[digest], here = here, least
+                            elif here == least:
+                                continue
+                            late.setdefault(here[0], []).append(here[1])
                 if len(out) > 20_000:
                     yield _batch(out, names, types)
                     out = []
+                if len(first) > 200_000:
+                    yield settled()
             if out:
                 yield _batch(out, names, types)
+        if first:
+            yield settled()
 
     def settle(batches):
         held, size = [], 0
@@ -438,6 +505,8 @@ def open_windows(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                 if (kinds == kind).any():
                     doc, start = f(t.filter(pa.array(kinds == kind)))
                     out += [(d, STARTS, x) for d, x in _by_doc(doc, start.astype(np.uint32))]
+            early = t.filter(pa.array(kinds == STARTS))
+            out += zip(early.column("doc_id").to_pylist(), [STARTS] * len(early), early.column("context").to_pylist())
             return _batch(out, MARK_NAMES, MARK_TYPES)
 
         for b in batches:
@@ -463,7 +532,7 @@ def open_windows(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     return rows.repartition(n_buckets, "key").sortWithinPartitions("kind", "key").mapInArrow(settle, MARKS)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, hot_held: int = HOT_HELD) -> DataFrame:
     """(doc_id, text, spans, n_bytes, n_removed, n_spans, kept_sha256).
 
     spans are the removed byte ranges, and the numbers and the digest follow them. text is what is left as a string:
@@ -471,7 +540,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """
     rows = clean_docs(docs).where(F.col("doc_id").isNotNull())
     rows = rows if unique_ids(docs) else one_per_id(rows)
-    marks = anchor_marks(rows, window, hot)
+    marks = anchor_marks(rows, window, hot, hot_held)
     covered = marks.where(F.col("kind") == COVERED).union(open_windows(rows, marks, window))
     per_doc = covered.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("marks"))
     reach = window - ANCHOR

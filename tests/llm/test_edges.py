@@ -33,9 +33,10 @@ TEXTS = {i: t for i, t in ROWS if i is not None}
 def test_suffix_dedup(docs, none):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
     assert got == brute.suffix_dedup(TEXTS)
-    # Hot anchors take the way by window digests; the result is the same.
-    again = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, hot=1).collect()}
-    assert again == got
+    # Hot anchors take the way by window digests, found in their bucket or by one map task of several; the result is the same.
+    for rows, hot, held in ((docs, 1, 512), (docs, 20_000, 1), (docs.repartition(3, "doc_id"), 20_000, 1), (docs.repartition(3, "doc_id"), 2, 2)):
+        again = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(rows, hot=hot, hot_held=held).collect()}
+        assert again == got
     assert suffix_dedup.dedup(none).count() == 0
 
 
