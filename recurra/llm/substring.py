@@ -19,6 +19,10 @@ it also starts in a document with a smaller doc_id.
 Only hashes and positions are shuffled (a few bytes per word, packed per batch
 and bucket); the texts are shuffled once, to meet the hits of their document.
 Nothing grows with the square of a group's size: a bucket sorts its positions.
+Map tasks settle first what they hold: block hits among the words of a slice
+and repeats among the windows of a batch need no bucket, which then gets one
+position for them. So words or passages that a third of all documents share
+cost a bucket about one position per slice or batch.
 Hash clashes of step 1 cost work only, step 2 decides on 80 bits plus bucket.
 
 Defined cases: null and empty texts have no words; documents shorter than a
@@ -40,6 +44,10 @@ from pyspark.sql import functions as F
 from recurra.llm.common import U64, WordHash, clean_docs, deal, mix, ngrams, one_per_id, pack, run_starts, shuffle_partitions, text_slices, unique_ids, unpack
 
 WINDOW = 13
+#: Bytes of text that a map task hashes and settles at a time.
+SLICE = 1 << 22
+#: Kinds of rows: a slice's documents, hits, positions for a bucket.
+HEAD, HIT, PROBE = 0, 1, 2
 
 
 def _rows(out: list[tuple], names: list[str], types: list[pa.DataType]):
@@ -49,7 +57,7 @@ def _rows(out: list[tuple], names: list[str], types: list[pa.DataType]):
 
 def _slices(batches, hashing: WordHash):
     """Per slice: ids, first word of each document, words of each, word hashes."""
-    for ids, texts in text_slices(batches):
+    for ids, texts in text_slices(batches, SLICE):
         lists = [t.split() for t in texts]
         n = np.array([len(x) for x in lists], np.int64)
         yield ids, np.cumsum(n) - n, n, hashing.of([w for x in lists for w in x])
@@ -69,9 +77,22 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at = np.flatnonzero(np.repeat(starts + n, n)[:len(grams)] - np.arange(len(grams)) >= block)
             h = grams[at]
             on_grid = (at - np.repeat(starts, n)[at]) % block == 0
+            # Runs of the slice with a block of the index and at least two positions are hits; one of them stands for all.
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(run_starts(h[order]))
+            size = np.diff(np.append(first, len(h)))
+            known = (np.add.reduceat(on_grid[order].astype(np.int64), first) > 0) & (size > 1) if len(h) else size > 1
+            sure = order[np.repeat(known, size)]
+            on_grid[order[first[known]]] = True
+            others = np.ones(len(h), bool)
+            others[sure] = False
+            others[order[first[known]]] = True
+            out = [(batch % n_buckets, batch, HEAD, pack(np.array(ids, np.int64), starts))]
+            if len(sure):
+                out.append((batch % n_buckets, batch, HIT, pack(at[sure].astype(np.uint32))))
+            h, at, on_grid = h[others], at[others], on_grid[others]
             low = ((h & U64(0x7FFFFFFF)) << U64(1) | on_grid.astype(U64)).astype(np.uint32)
-            out = [(batch % n_buckets, batch, 0, pack(np.array(ids, np.int64), starts))]
-            out += [(b, batch, 1, data) for b, data in deal(((h >> U64(33)) % U64(n_buckets)).astype(np.int64), n_buckets, low, at.astype(np.uint32))]
+            out += [(b, batch, PROBE, data) for b, data in deal(((h >> U64(33)) % U64(n_buckets)).astype(np.int64), n_buckets, low, at.astype(np.uint32))]
             yield _rows(out, names, types)
             batch += 1
 
@@ -80,8 +101,8 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in batches:
             out = []
             for bucket, batch, kind, data in zip(*(b.column(c).to_pylist() for c in names)):
-                if kind == 0:
-                    out.append((0, batch, 0, data))
+                if kind != PROBE:
+                    out.append((0, batch, kind, data))
                 else:
                     by_bucket.setdefault(bucket, []).append((batch, data))
             yield _rows(out, names, types)
@@ -102,7 +123,7 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 mine = pos[hit[at:at + n]]
                 at += n
                 if len(mine):
-                    out.append((0, batch, 1, pack(mine)))
+                    out.append((0, batch, HIT, pack(mine)))
             if out:
                 yield _rows(out, names, types)
 
@@ -110,13 +131,13 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         heads, found = {}, {}
         for b in batches:
             for batch, kind, data in zip(*(b.column(c).to_pylist() for c in names[1:])):
-                if kind == 0:
+                if kind == HEAD:
                     heads[batch] = data
                 else:
                     found.setdefault(batch, []).append(data)
         for batch, blobs in found.items():
             ids, starts = unpack(heads[batch], np.int64, np.int64)
-            pos = np.sort(np.concatenate([unpack(d, np.uint32)[0] for d in blobs]).astype(np.int64))
+            pos = np.unique(np.concatenate([unpack(d, np.uint32)[0] for d in blobs]).astype(np.int64))
             doc = np.searchsorted(starts, pos, "right") - 1
             cut = np.flatnonzero(run_starts(doc))
             out = [(int(ids[d]), pack((p - starts[d]).astype(np.uint32))) for d, p in zip(doc[cut].tolist(), np.split(pos, cut[1:]))]
@@ -130,6 +151,18 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
     """(doc_id, starts): packed starts of the windows that also start in a smaller doc_id; one row per document."""
     block, n_buckets = (window + 1) // 2, shuffle_partitions(docs)
     reach = window - block
+    names, types = ["bucket", "kind", "data"], [pa.int32(), pa.int8(), pa.binary()]
+
+    def later(lo, hi, doc):
+        """An order by window, and whether each window there also starts in a smaller document."""
+        order = np.lexsort((doc, hi, lo))
+        lo, hi, doc = lo[order], hi[order], doc[order]
+        first = np.flatnonzero(run_starts(lo, hi))
+        return order, doc > np.repeat(doc[first], np.diff(np.append(first, len(lo))))
+
+    def replies(doc, pos):
+        # Replies travel in one blob per bucket and target, not in a row per bucket and document.
+        return deal((mix(doc.view(U64)) % U64(n_buckets)).astype(np.int64), n_buckets, doc, pos)
 
     def extend(batches):
         hashing, second = WordHash(), WordHash(7)
@@ -152,28 +185,30 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
                     ds.append(np.full(len(at), doc_id, np.int64))
                     ps.append(at.astype(np.uint32))
             if los:
-                lo, hi = np.concatenate(los), np.concatenate(his)
-                out = deal((hi % U64(n_buckets)).astype(np.int64), n_buckets, lo, (hi >> U64(48)).astype(np.uint16),
-                           np.concatenate(ds), np.concatenate(ps))
-                yield _rows(list(out), ["bucket", "data"], [pa.int32(), pa.binary()])
+                lo, hi, doc, pos = map(np.concatenate, (los, his, ds, ps))
+                order, again = later(lo, hi, doc)
+                rows, late = order[~again], order[again]
+                out = [(b, HIT, data) for b, data in replies(doc[late], pos[late])]
+                lo, hi, doc, pos = lo[rows], hi[rows], doc[rows], pos[rows]
+                out += [(b, PROBE, data) for b, data in deal((hi % U64(n_buckets)).astype(np.int64), n_buckets, lo, (hi >> U64(48)).astype(np.uint16), doc, pos)]
+                yield _rows(out, names, types)
 
     def settle(batches):
         by_bucket: dict[int, list] = {}
         for b in batches:
-            for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
-                by_bucket.setdefault(bucket, []).append(data)
+            out = []
+            for bucket, kind, data in zip(*(b.column(c).to_pylist() for c in names)):
+                if kind == HIT:
+                    out.append((bucket, data))
+                else:
+                    by_bucket.setdefault(bucket, []).append(data)
+            yield _rows(out, ["target", "data"], [pa.int32(), pa.binary()])
         while by_bucket:
             _, blobs = by_bucket.popitem()
             lo, hi, doc, pos = (np.concatenate(x) for x in zip(*(unpack(d, np.uint64, np.uint16, np.int64, np.uint32) for d in blobs)))
-            order = np.lexsort((doc, hi, lo))
-            lo, hi, doc, pos = lo[order], hi[order], doc[order], pos[order]
-            first = np.flatnonzero(run_starts(lo, hi))
-            least = np.repeat(doc[first], np.diff(np.append(first, len(lo))))
-            again = doc > least
-            doc, pos = doc[again], pos[again]
-            # Replies travel in one blob per bucket and target, not in a row per bucket and document.
-            to = (mix(doc.view(U64)) % U64(n_buckets)).astype(np.int64)
-            yield _rows(list(deal(to, n_buckets, doc, pos)), ["target", "data"], [pa.int32(), pa.binary()])
+            order, again = later(lo, hi, doc)
+            late = order[again]
+            yield _rows(list(replies(doc[late], pos[late])), ["target", "data"], [pa.int32(), pa.binary()])
 
     def gather(batches):
         blobs = [d for b in batches for d in b.column("data").to_pylist()]
@@ -185,7 +220,7 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
             out = [(d, pack(p)) for d, p in zip(doc[cut].tolist(), np.split(pos, cut[1:]))]
             yield _rows(out, ["doc_id", "starts"], [pa.int64(), pa.binary()])
 
-    rows = docs.join(hit_rows, "doc_id").select("doc_id", "text", "hits").mapInArrow(extend, "bucket int, data binary")
+    rows = docs.join(hit_rows, "doc_id").select("doc_id", "text", "hits").mapInArrow(extend, "bucket int, kind byte, data binary")
     found = rows.repartition(n_buckets, "bucket").mapInArrow(settle, "target int, data binary")
     return found.repartition(n_buckets, "target").mapInArrow(gather, "doc_id long, starts binary")
 
@@ -196,7 +231,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Also n_words, n_removed and kept_sha256 (of the kept text).
     """
     rows = clean_docs(docs).where(F.col("doc_id").isNotNull())
-    rows = rows if unique_ids(docs) else one_per_id(rows)
+    # Slices are numbered within a partition, so a partition that is made again must have the same order.
+    rows = rows if unique_ids(docs) else one_per_id(rows).sortWithinPartitions("doc_id")
     per_doc = repeated_windows(rows, hits(rows, window), window)
     schema = "doc_id long, text string, spans array<struct<start:int,end:int>>, n_words long, n_removed long, kept_sha256 string"
 
