@@ -55,9 +55,9 @@ def _rows(out: list[tuple], names: list[str], types: list[pa.DataType]):
                                       [pa.array([], t) for t in types], names)
 
 
-def _slices(batches, hashing: WordHash):
+def _slices(batches, hashing: WordHash, size: int):
     """Per slice: ids, first word of each document, words of each, word hashes."""
-    for ids, texts in text_slices(batches, SLICE):
+    for ids, texts in text_slices(batches, size):
         lists = [t.split() for t in texts]
         n = np.array([len(x) for x in lists], np.int64)
         yield ids, np.cumsum(n) - n, n, hashing.of([w for x in lists for w in x])
@@ -72,13 +72,13 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def probe(batches):
         from pyspark import TaskContext
         hashing, batch = WordHash(), TaskContext.get().partitionId() << 32
-        for ids, starts, n, words in _slices(batches, hashing):
+        for ids, starts, n, words in _slices(batches, hashing, SLICE):
             grams = ngrams(words, block)
             at = np.flatnonzero(np.repeat(starts + n, n)[:len(grams)] - np.arange(len(grams)) >= block)
             h = grams[at]
             on_grid = (at - np.repeat(starts, n)[at]) % block == 0
             # Runs of the slice with a block of the index and at least two positions are hits; one of them stands for all.
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             first = np.flatnonzero(run_starts(h[order]))
             size = np.diff(np.append(first, len(h)))
             known = (np.add.reduceat(on_grid[order].astype(np.int64), first) > 0) & (size > 1) if len(h) else size > 1
@@ -110,7 +110,7 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             _, blobs = by_bucket.popitem()
             arrays = [unpack(d, np.uint32, np.uint32) for _, d in blobs]
             low, sizes = np.concatenate([a[0] for a in arrays]), [len(a[0]) for a in arrays]
-            order = np.argsort(low >> 1, kind="stable")
+            order = np.argsort(low >> 1)
             s = low[order]
             first = np.flatnonzero(run_starts(s >> 1))
             grid = np.add.reduceat((s & 1).astype(np.int64), first)
@@ -154,42 +154,49 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
     names, types = ["bucket", "kind", "data"], [pa.int32(), pa.int8(), pa.binary()]
 
     def later(lo, hi, doc):
-        """An order by window, and whether each window there also starts in a smaller document."""
-        order = np.lexsort((doc, hi, lo))
-        lo, hi, doc = lo[order], hi[order], doc[order]
+        """Whether each window also starts in a smaller document."""
+        order = np.argsort(lo)
+        first = np.flatnonzero(run_starts(lo[order]))
+        size = np.diff(np.append(first, len(lo)))
+        order = order[np.repeat(size > 1, size)]
+        order = order[np.lexsort((doc[order], hi[order], lo[order]))]
+        lo, hi, least = lo[order], hi[order], doc[order]
         first = np.flatnonzero(run_starts(lo, hi))
-        return order, doc > np.repeat(doc[first], np.diff(np.append(first, len(lo))))
+        least = np.repeat(least[first], np.diff(np.append(first, len(lo))))
+        again = np.zeros(len(doc), bool)
+        again[order] = doc[order] > least
+        return again
 
     def replies(doc, pos):
         # Replies travel in one blob per bucket and target, not in a row per bucket and document.
         return deal((mix(doc.view(U64)) % U64(n_buckets)).astype(np.int64), n_buckets, doc, pos)
 
     def extend(batches):
-        hashing, second = WordHash(), WordHash(7)
+        hashing = WordHash()
         for b in batches:
-            ids, blobs = b.column("doc_id").to_pylist(), b.column("hits")
-            heads, los, his, ds, ps = [], [], [], [], []
-            for doc_id, text, blob in zip(ids, b.column("text"), blobs):
-                words = text.as_py().encode("utf-8", "surrogatepass").split()
+            blobs, los, his, ds, ps = b.column("hits").to_pylist(), [], [], [], []
+            for ids, starts, n, words in _slices([b], hashing, 1 << 20):
+                mine, blobs = blobs[:len(ids)], blobs[len(ids):]
                 m = len(words) - window + 1
                 if m <= 0:
                     continue
-                q = unpack(blob.as_py(), np.uint32)[0].astype(np.int64)
-                mark = np.zeros(m + window + 1, np.int32)
-                np.add.at(mark, np.maximum(q - reach, 0), 1)
+                q = [unpack(x, np.uint32)[0].astype(np.int64) + a for x, a in zip(mine, starts.tolist())]
+                own = np.repeat(starts, [len(x) for x in q])
+                q = np.concatenate(q)
+                mark = np.zeros(len(words) + 1, np.int32)
+                np.add.at(mark, np.maximum(q - reach, own), 1)
                 np.add.at(mark, q + 1, -1)
-                at = np.flatnonzero(np.cumsum(mark)[:m] > 0)
-                if len(at):
-                    los.append(ngrams(hashing.of(words), window)[at])
-                    his.append(ngrams(second.of(words), window)[at])
-                    ds.append(np.full(len(at), doc_id, np.int64))
-                    ps.append(at.astype(np.uint32))
+                inside = np.repeat(starts + n, n)[:m] - np.arange(m) >= window
+                at = np.flatnonzero((np.cumsum(mark)[:m] > 0) & inside)
+                los.append(ngrams(words, window)[at])
+                his.append(ngrams(mix(words ^ U64(0x94D049BB133111EB)), window, 0xC2B2AE3D27D4EB4F)[at])
+                ds.append(np.repeat(np.array(ids, np.int64), n)[at])
+                ps.append((at - np.repeat(starts, n)[at]).astype(np.uint32))
             if los:
                 lo, hi, doc, pos = map(np.concatenate, (los, his, ds, ps))
-                order, again = later(lo, hi, doc)
-                rows, late = order[~again], order[again]
+                late = later(lo, hi, doc)
                 out = [(b, HIT, data) for b, data in replies(doc[late], pos[late])]
-                lo, hi, doc, pos = lo[rows], hi[rows], doc[rows], pos[rows]
+                lo, hi, doc, pos = lo[~late], hi[~late], doc[~late], pos[~late]
                 out += [(b, PROBE, data) for b, data in deal((hi % U64(n_buckets)).astype(np.int64), n_buckets, lo, (hi >> U64(48)).astype(np.uint16), doc, pos)]
                 yield _rows(out, names, types)
 
@@ -206,8 +213,7 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
         while by_bucket:
             _, blobs = by_bucket.popitem()
             lo, hi, doc, pos = (np.concatenate(x) for x in zip(*(unpack(d, np.uint64, np.uint16, np.int64, np.uint32) for d in blobs)))
-            order, again = later(lo, hi, doc)
-            late = order[again]
+            late = later(lo, hi, doc)
             yield _rows(list(replies(doc[late], pos[late])), ["target", "data"], [pa.int32(), pa.binary()])
 
     def gather(batches):
