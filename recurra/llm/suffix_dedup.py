@@ -255,7 +255,7 @@ def _by_doc(doc: np.ndarray, *arrays: np.ndarray):
     """(doc, packed arrays) per document."""
     if not len(doc):
         return
-    order = np.argsort(doc, kind="stable")
+    order = np.argsort(doc)
     doc = doc[order]
     cut = np.flatnonzero(run_starts(doc))
     ends = np.append(cut[1:], len(doc))
@@ -290,7 +290,7 @@ def anchor_marks(docs: DataFrame, window: int, hot: int = HOT, hot_held: int = H
 
     def dealt(held):
         h, ctx, doc, pos = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         _, size = _runs(h[order])
         many = np.repeat(size > 1, size)
         alone, some = order[~many], order[many]
@@ -336,7 +336,7 @@ def anchor_marks(docs: DataFrame, window: int, hot: int = HOT, hot_held: int = H
             del blobs
             key = low.astype(np.int64) | high.astype(np.int64) << 32 | np.int64(bucket) << 48
             told = np.unique(np.concatenate([unpack(d, np.int64)[0] for d in hot_keys.get(bucket, ())] or [np.zeros(0, np.int64)]))
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             first, size = _runs(key[order])
             # Anchors that occur once cover nothing, unless their other places went the hot way.
             order = order[np.repeat((size > 1) | np.isin(key[order[first]], told), size)]
