@@ -16,7 +16,9 @@ the same way by that of all hosts.
 
 Everything is grouped counting: pages are reduced to (host, path shape)
 counts first, which is combined map-side, so a host with a third of all pages
-costs one row per task and path shape.
+costs one row per task and path shape. The tree is written after every level,
+and has only as many levels as a host has more than ``max_fan`` shapes that
+reach them; below that no node can be variable, so a very long path costs none.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits
 no rule and belongs to the empty template of the empty host; pages without
@@ -27,9 +29,11 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recurra.llm.common import materialize
+
 #: (verdict, host, path): production rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,10 +66,13 @@ def path_shape(path: Column) -> Column:
 def templates(shapes: DataFrame, max_fan: int = 20, rare: float = 0.2) -> DataFrame:
     """(host, shape, template): literal segments of nodes with many rare children become ``*``, level by level.
 
-    ``shapes`` has host, shape and n (pages). The number of levels is the longest shape.
+    ``shapes`` has host, shape, n (pages), labelled and bad.
     """
-    depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
-    tree = shapes.withColumn("template", F.array().cast("array<string>"))
+    spark = shapes.sparkSession
+    tree = materialize(spark, shapes.withColumn("template", F.array().cast("array<string>")), "url-tree")
+    longest = Window.partitionBy("host").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = tree.groupBy("host", F.size("shape").alias("k")).agg(F.count("*").alias("c")).withColumn("c", F.sum("c").over(longest))
+    depth = sizes.where(F.col("c") > max_fan).agg(F.max("k")).first()[0] or 0
     for level in range(depth):
         seg = F.get("shape", F.lit(level))
         nodes = tree.where(F.size("shape") > level).groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("n"))
@@ -73,10 +80,11 @@ def templates(shapes: DataFrame, max_fan: int = 20, rare: float = 0.2) -> DataFr
         wide = wide.where((F.col("fan") > max_fan) & (F.col("fan") >= rare * F.col("n"))).select(
             "host", "template", F.lit(True).alias("variable"))
         here = F.when(F.col("variable"), F.lit("*")).otherwise(seg)
-        tree = tree.join(wide, ["host", "template"], "left").select(
+        tree = materialize(spark, tree.join(wide, ["host", "template"], "left").select(
             "host", "shape", "n", "labelled", "bad",
-            F.when(F.size("shape") > level, F.concat("template", F.array(here))).otherwise(F.col("template")).alias("template"))
-    return tree
+            F.when(F.size("shape") > level, F.concat("template", F.array(here))).otherwise(F.col("template")).alias("template")), "url-tree")
+    rest = F.slice("shape", depth + 1, F.greatest(F.size("shape"), F.lit(1)))
+    return materialize(spark, tree.withColumn("template", F.concat("template", rest)), "url-tree")
 
 
 def judged(tree: DataFrame, strength: float = 20.0, threshold: float = 0.5, z: float = 1.96) -> DataFrame:
@@ -85,8 +93,10 @@ def judged(tree: DataFrame, strength: float = 20.0, threshold: float = 0.5, z: f
     # The last literal segment is the one that tells a branch from its siblings.
     literal = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size("template"), F.lit(1)) - 1),
                                       lambda i: F.when(~F.coalesce(F.get("template", i), F.lit("*")).contains("*"), i)))
-    branch = F.when(literal.isNotNull(), F.transform("template", lambda s, i: F.when(i == literal, F.lit("*")).otherwise(s))).otherwise(F.col("template"))
-    leaf = leaf.withColumn("branch", branch)
+    starred = F.concat(F.slice("template", 1, F.col("literal")), F.array(F.lit("*")),
+                       F.slice("template", F.col("literal") + 2, F.size("template")))
+    leaf = leaf.withColumn("literal", literal).withColumn(
+        "branch", F.when(F.col("literal").isNotNull(), starred).otherwise(F.col("template")))
     pool = leaf.groupBy("host", "branch").agg(F.sum("labelled").alias("pool_n"), F.sum("bad").alias("pool_bad"))
     hosts = leaf.groupBy("host").agg(F.sum("labelled").alias("host_n"), F.sum("bad").alias("host_bad"))
     n_all, bad_all = leaf.agg(F.sum("labelled"), F.sum("bad")).first()

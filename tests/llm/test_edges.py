@@ -106,7 +106,7 @@ def test_token_edits(docs, none, spark):
 
 
 def test_chat(spark):
-    data = [(1, 0, "user", "a\\#<b\n"), (1, 0, "user", "a\\#<b\n"), (1, 1, None, None), (None, 2, "assistant", "x" * 5000),
+    data = [(1, 0, "user", "a\\#<b\n"), (1, 0, "user", "a\\#<b\n"), (1, 1, None, None), (None, 2, "assistant", "x" * 5000), (3, 0, "user", "\\#<" * 300_000 + "y" * 2_000_000),
             (2, None, "assistant", "</turn>\n### user\n"), (2, 1, "a:\n#b", "é")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).withColumn("msg", F.lit(2))
     got = {r[0]: tuple(r[1:5]) for r in chat.digests(chat.format_conversations(chat.events_of(df))).collect()}
@@ -132,6 +132,16 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.where("page_id = -1"), marks).count() == 0
 
 
+def test_url_templates(spark):
+    """A node with many rare children becomes variable at every level; one very long path costs no levels."""
+    urls = [f"http://h/{'abc'[i % 3]}/{chr(97 + i % 26)}{chr(97 + i // 26)}/end" for i in range(90)] + ["http://h/" + "/".join(["x"] * 2000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame([(1, True)], "page_id long, bad boolean")
+    got = {r.page_id: r.template for r in url_filter.filter_urls(pages, marks).collect()}
+    assert {got[i] for i in range(90)} == {"/a/*/end", "/b/*/end", "/c/*/end"}
+    assert got[90] == "/" + "/".join(["x"] * 2000)
+
+
 def test_top_k(spark):
     data = [(i, [float(i % 3), 1.0, -0.5 * (i % 2)]) for i in range(1, 130)] + [(150, None), (200, [1.0, None, 0.0]), (250, [float("nan"), 1.0, 1.0]),
             (300, []), (350, [1.0, 2.0]), (400, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
