@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from recurra.llm.common import shuffle_partitions
 
-TURN = re.compile(r"### ((?:\\.|[^\\\n])*)\n((?:\\.|[^\\<#])*)</turn>\n", re.S)
+TURN = re.compile(r"### ([^\\\n]*(?:\\.[^\\\n]*)*)\n([^\\<#]*(?:\\.[^\\<#]*)*)</turn>\n", re.S)
 UNESCAPE = re.compile(r"\\(.)", re.S)
 CHUNK = 64
 
