@@ -19,7 +19,8 @@ in the tightest compatible bin all the same; a null source is a source of its
 own kind that never conflicts; copies are texts that are equal after
 lower-casing and white space runs made one space (null and empty texts are
 copies of each other, and do not conflict as they take no space); repeated
-rows are packed each, rows with the same doc_id are told apart by ``copy``;
+rows are packed each, rows with the same doc_id are told apart by ``copy``
+(rows without doc_id are dealt by their place and numbered within their shard);
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -97,7 +98,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         out = pd.DataFrame(out, columns=["shard", "bin", "doc_id", "copy", "piece", "start", "length", "free"])
         return out.astype({"doc_id": "Int64"})
 
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.col("cluster"))), F.lit(shards)).cast("int"))
+    keyed = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(shards)).cast("int"))
     return keyed.groupBy("shard").applyInPandas(run, SCHEMA)
 
 
