@@ -49,8 +49,7 @@ def events_of(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("msg", F.struct("turn", "role", F.sha2(F.col("text").cast("binary"), 256).alias("key")))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / CHUNK).cast("int")),
-                         lambda i: F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK)))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))  # one pass, however long the text
     half = F.floor(F.length("text") / 2).cast("int")
 
     def event(kind, payload):

@@ -107,6 +107,7 @@ def test_token_edits(docs, none, spark):
 
 def test_chat(spark):
     data = [(1, 0, "user", "a\\#<b\n"), (1, 0, "user", "a\\#<b\n"), (1, 1, None, None), (None, 2, "assistant", "x" * 5000), (3, 0, "user", "\\#<" * 300_000 + "y" * 2_000_000),
+            (3, 1, "assistant", "é\n\\🙂<" * 300_000), (3, 2, "assistant", ""),
             (2, None, "assistant", "</turn>\n### user\n"), (2, 1, "a:\n#b", "é")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).withColumn("msg", F.lit(2))
     got = {r[0]: tuple(r[1:5]) for r in chat.digests(chat.format_conversations(chat.events_of(df))).collect()}
