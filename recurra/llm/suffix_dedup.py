@@ -10,11 +10,12 @@ earlier (in a smaller doc_id, or earlier in the same document).
    equal contexts the first stays; the later ones are covered by it whole.
 2. Suffix arrays. Where an anchor has several different contexts, these are
    suffix sorted together: cut into units of ``UNIT`` bytes aligned on the
-   anchor, concatenated, and sorted by ``suffix_array`` below. Suffixes next
-   to each other give the longest common prefixes, and windows that are equal
-   lie next to each other; a window that starts mid-unit is the suffix at the
-   next unit border together with the bytes before it. All but the first of
-   equal windows are covered.
+   anchor, named in byte order, concatenated, and sorted by ``suffix_array``
+   below. Suffixes next to each other give the longest common prefixes, and
+   windows that are equal lie next to each other, also where they end
+   mid-unit; a window that starts mid-unit is the suffix at the next unit
+   border together with the bytes before it. All but the first of equal
+   windows are covered.
 3. The covered bytes are taken out of each document.
 
 ``suffix_array`` constructs in linear time: suffixes are grouped by their
@@ -365,35 +366,42 @@ def covered_windows(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_r
     n, reach = left.shape
     rows = np.concatenate([left, right], axis=1)
     units = reach // UNIT
-    # Symbols: 64-bit hashes of units, named by rank. 0 ends the text, 1 separates contexts.
-    sym = np.zeros((n, 2 * units + 2), U64)
-    used = np.zeros(sym.shape, bool)
+    # Symbols: units named by rank in byte order (a shorter end first), so that those with equal first bytes lie together;
+    # anchors, which every window holds whole, by hash. 0 ends the text, 1 separates contexts.
+    high = np.zeros((n, 2 * units + 2), U64)
+    low = np.zeros(high.shape, U64)
+    used = np.zeros(high.shape, bool)
     anchor = rows[:, reach:reach + ANCHOR]
-    sym[:, units] = [xxhash.xxh64_intdigest(a) for a in np.ascontiguousarray(anchor)]
+    high[:, units] = [xxhash.xxh64_intdigest(a) for a in np.ascontiguousarray(anchor)]
+    low[:, units] = ANCHOR
     used[:, units] = True
-    weights = np.multiply.accumulate(np.full(UNIT, U64(BASE[0])))
+    word = np.zeros((n, UNIT + 1), np.uint8)  # the unit's bytes and their number
     for u in range(units):
-        a = rows[:, u * UNIT:(u + 1) * UNIT].astype(U64) + U64(1)
-        sym[:, u] = mix((a * weights).sum(axis=1))
-        used[:, u] = n_left >= reach - u * UNIT
         at = reach + ANCHOR + u * UNIT
         have = np.clip(n_right - ANCHOR - u * UNIT, 0, UNIT)
-        a = np.where(np.arange(UNIT) < have[:, None], rows[:, at:at + UNIT].astype(U64) + U64(1), U64(0))
-        sym[:, units + 1 + u] = mix((a * weights).sum(axis=1))
+        for k, part, number in ((u, rows[:, u * UNIT:(u + 1) * UNIT], UNIT),
+                                (units + 1 + u, np.where(np.arange(UNIT) < have[:, None], rows[:, at:at + UNIT], 0), have)):
+            word[:, :UNIT], word[:, UNIT] = part, number
+            high[:, k], low[:, k] = word.view(">u8").T
+        used[:, u] = n_left >= reach - u * UNIT
         used[:, units + 1 + u] = have > 0
     used[:, -1] = True
-    ranks = np.zeros(sym.shape, np.int64)
+    ranks = np.zeros(used.shape, np.int64)
     inner = used.copy()
     inner[:, -1] = False
-    ranks[inner] = np.unique(sym[inner], return_inverse=True)[1] + 2
+    high, low = high[inner], low[inner]
+    order = np.lexsort((low, high))
+    name = np.zeros(len(order), np.int64)
+    name[order] = np.cumsum(run_starts(high[order], low[order])) + 1
+    ranks[inner] = name
     ranks[:, -1] = 1
     flat = np.flatnonzero(used.ravel())
     text = ranks.ravel()[flat].tolist() + [0]
     sa = np.array(suffix_array(text), np.int64)
     sa = sa[sa < len(flat)]
-    col = flat[sa] % sym.shape[1]
+    col = flat[sa] % used.shape[1]
     keep = col <= units  # suffixes that start at a unit border at or before the anchor
-    ctx, border = flat[sa[keep]] // sym.shape[1], col[keep] * UNIT
+    ctx, border = flat[sa[keep]] // used.shape[1], col[keep] * UNIT
     first_byte = reach - n_left
     end = reach + n_right
     # Longest common prefixes of neighbours, up to the window.
