@@ -12,8 +12,14 @@ must reach 0.8.
 
 Only windows that share a shingle with some item are fingerprinted; any other
 has similarity zero. The radius lies about 4 standard deviations beyond the
-distance that a similarity of 0.8 leads to. Of overlapping hits the best one
-per document and item is returned.
+distance that a similarity of 0.8 leads to where no shingle repeats. A shingle
+that repeats weighs on all bits at once and can lead to any distance: where the
+window or the item repeats a shingle, the candidates are found without
+fingerprints, exactly. A similarity of 0.8 needs a number of shared shingles,
+so such a window holds that many shingles of items, and an item that reaches it
+holds one of any choice of the window's shingles that is too large to be left
+out; the rarest are looked up. Of overlapping hits the best one per document
+and item is returned.
 
 Items are read in blocks of bounded size (``block_items``, ``block_bytes``); a
 block's index is broadcast, whatever the size of the benchmark, and each block
@@ -65,6 +71,15 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+def latest_repeat(s: np.ndarray) -> np.ndarray:
+    """For each end: the latest place up to there whose shingle comes again up to there (-1: none)."""
+    order = np.argsort(s, kind="stable")
+    before = np.full(len(s), -1, np.int64)
+    again = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+    before[order[again + 1]] = order[again]
+    return np.maximum.accumulate(before)
+
+
 class ItemIndex:
     """Fingerprints and shingles of one block of items, by item length."""
 
@@ -90,6 +105,15 @@ class ItemIndex:
                 for i in range(len(group)):
                     near[k, values[i, k] ^ FLIPS, i] = True
             self.blocks[length] = fps, near
+        #: By item length: the items that hold a shingle, and whether an item repeats one.
+        self.holders: dict[int, dict[int, list[int]]] = {}
+        self.repeats = {}
+        for length, group in self.by_length.items():
+            holders = self.holders[length] = {}
+            for i, (_, _, counts) in enumerate(group):
+                for h in counts:
+                    holders.setdefault(h, []).append(i)
+            self.repeats[length] = np.array([max(counts.values()) > 1 for _, _, counts in group])
 
     def candidates(self, length: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) positions within RADIUS: found by the blocks, checked on all bits."""
@@ -100,12 +124,29 @@ class ItemIndex:
         close = np.bitwise_count(fps[w] ^ own[i]) <= RADIUS
         return w[close], i[close]
 
+    def sharing(self, length: int, counts: Counter, spare: float) -> set[int]:
+        """Items that hold a shingle of the window, if all but ``spare`` of its shingles must be shared."""
+        holders, found, seen = self.holders[length], set(), 0
+        for h in sorted(counts, key=lambda h: len(holders.get(h, ()))):
+            found.update(holders.get(h, ()))
+            seen += counts[h]
+            if seen > spare:
+                break
+        return found
+
     def hits(self, hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words): the best window of each item."""
         n, best = len(hashes), {}
         if not n:
             return []
-        grams = {}
+
+        def verify(length, i, x, window):
+            item_id, _, counts = self.by_length[length][i]
+            alike = similarity(window, counts)
+            if alike >= SIMILARITY and (alike, -x) > best.get((length, i), (0, 0))[:2]:
+                best[length, i] = (alike, -x, item_id)
+
+        grams, latest = {}, {}
         for m, known in self.known.items():
             size = m if m < SHINGLE else min(SHINGLE, n)
             s = ngrams(hashes, size)
@@ -136,12 +177,26 @@ class ItemIndex:
                     votes = sums[some - lo + per] - sums[some - lo]
                     fps = np.packbits(2 * votes > per, axis=1, bitorder="little").view(U64)[:, 0]
                 for w, i in zip(*self.candidates(length, np.ascontiguousarray(fps))):
-                    item_id, _, counts = self.by_length[length][i]
                     x = int(some[w])
-                    alike = similarity(Counter(s[x:x + per].tolist()), counts)
-                    if alike >= SIMILARITY and alike > best.get((length, i), (0,))[0]:
-                        best[length, i] = (alike, item_id, x)
-        return [(item, alike, x, min(length, n)) for (length, _), (alike, item, x) in best.items()]
+                    verify(length, i, x, Counter(s[x:x + per].tolist()))
+            # Where the window or the item repeats shingles: without fingerprints. Fewer shared shingles than least are too few.
+            least = SIMILARITY / (1 + SIMILARITY) * (length - min(length, SHINGLE) + 1 + per) - 1e-6
+            if len(places) < least:
+                continue
+            m = min(length, SHINGLE)
+            if m not in latest:
+                latest[m] = latest_repeat(s)
+            inside = np.concatenate([[0], np.cumsum(hit)])
+            full = np.flatnonzero(inside[per:] - inside[:-per] >= least)
+            own = latest[m][full + per - 1] >= full
+            if not self.repeats[length].any():
+                full, own = full[own], own[own]
+            for x, repeated in zip(full.tolist(), own.tolist()):
+                window = Counter(s[x:x + per].tolist())
+                for i in self.sharing(length, window, per - least):
+                    if repeated or self.repeats[length][i]:
+                        verify(length, i, x, window)
+        return [(item, alike, -x, min(length, n)) for (length, _), (alike, x, item) in best.items()]
 
 
 def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int):
