@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import chat, decontam, packing, quality, simhash, substring, suffix_dedup, token_counts, topk, url_filter
+from recurra.llm import chat, decontam, packing, phrases, quality, simhash, substring, suffix_dedup, token_counts, topk, url_filter
 from recurra.llm.common import table
 
 
@@ -70,7 +70,42 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_token_counts, op5_chat_formatting,
-    op6_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_url_filters, op10_exact_top_k)}
+    op6_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_url_filters, op10_exact_top_k,
+    op11_phrase_collocations)}
+
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op11_phrase_collocations"] = f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {LETTERS}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+words AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM pieces) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM words GROUP BY lang),
+two AS (SELECT lang, g[1] AS w1, g[2] AS w2, count(*) AS a FROM (
+    SELECT lang, unnest([ws[i:i + 1] FOR i IN range(1, len(ws))]) AS g FROM pieces) GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, g[1] AS w1, g[2] AS w2, g[3] AS w3, count(*) AS a FROM (
+    SELECT lang, unnest([ws[i:i + 2] FOR i IN range(1, len(ws) - 1)]) AS g FROM pieces) GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.a, 1 AS k, x.f AS l, y.f AS r FROM two t
+    JOIN words x ON x.lang = t.lang AND x.w = t.w1 JOIN words y ON y.lang = t.lang AND y.w = t.w2
+    WHERE NOT EXISTS (SELECT 1 FROM three o WHERE o.lang = t.lang AND 100 * o.a >= 50 * t.a AND o.w1 = t.w1 AND o.w2 = t.w2)
+      AND NOT EXISTS (SELECT 1 FROM three o WHERE o.lang = t.lang AND 100 * o.a >= 50 * t.a AND o.w2 = t.w1 AND o.w3 = t.w2)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.a, 1, x.f, y.a FROM three t
+    JOIN words x ON x.lang = t.lang AND x.w = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.a, 2, x.a, y.f FROM three t
+    JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN words y ON y.lang = t.lang AND y.w = t.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
