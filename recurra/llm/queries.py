@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import chat, decontam, packing, phrases, quality, simhash, substring, suffix_dedup, token_counts, topk, url_filter
+from recurra.llm import chat, decontam, divergence, packing, phrases, quality, simhash, substring, suffix_dedup, token_counts, topk, url_filter
 from recurra.llm.common import table
 
 
@@ -74,10 +74,14 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_token_counts, op5_chat_formatting,
     op6_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_url_filters, op10_exact_top_k,
-    op11_phrase_collocations)}
+    op11_phrase_collocations, op12_source_divergence)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -109,3 +113,31 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phra
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM best)
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+ORACLE["op12_source_divergence"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS found FROM documents),
+words AS (SELECT d, lang, source, translate(unnest(found), {LETTERS}) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(v, 0)::HUGEINT AS v, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN v USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q
+  FROM counts JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, coalesce((SELECT sum(abs(a.p - b.p)) FROM shares a JOIN shares b USING (lang, term)
+    WHERE a.lang = x.lang AND a.source = x.source AND b.source = y.source), 0) AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source),
+marks AS (SELECT lang, source, term AS item, p - q AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "C"))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value::BIGINT,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "C"))::INTEGER AS rank FROM marks QUALIFY rank <= 50"""
