@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import chat, decontam, divergence, packing, phrases, quality, simhash, substring, suffix_dedup, token_counts, topk, url_filter
+from recurra.llm import chat, decontam, divergence, packing, phrases, quality, secrets, simhash, substring, suffix_dedup, token_counts, topk, url_filter
 from recurra.llm.common import table
 
 
@@ -78,10 +78,25 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def span_texts(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select("doc_id", *(count(k) for k in ("assign", "access", "hex")),
+                        F.sha2(span_texts(base).cast("binary"), 256).alias("base_sha256"), span_texts(F.col("spans")).alias("spans"), count("novel"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_token_counts, op5_chat_formatting,
     op6_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_url_filters, op10_exact_top_k,
-    op11_phrase_collocations, op12_source_divergence)}
+    op11_phrase_collocations, op12_source_divergence, op13_secret_scans)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
