@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +54,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(*text, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def _document_counts(batches):
+def _document_counts(batches, most: int):
     held: dict[str, Counter] = {}
 
     def flush():
@@ -70,15 +69,15 @@ def _document_counts(batches):
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
             held.setdefault(lang, Counter()).update(set(text.as_py().translate(FOLD).split()))
-            if sum(map(len, held.values())) > HELD:
+            if sum(map(len, held.values())) > most:
                 yield from flush()
     yield from flush()
 
 
-def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
+def kept_terms(docs: DataFrame, min_docs: int, held: int = HELD) -> DataFrame:
     """lang, term (bytes), ordinal (from 0 per language, by bytes), written."""
     spark = docs.sparkSession
-    counted = _rows(docs).select("lang", "text").mapInArrow(_document_counts, "lang string, term binary, docs long")
+    counted = _rows(docs).select("lang", "text").mapInArrow(lambda batches: _document_counts(batches, held), "lang string, term binary, docs long")
     kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     placed = numbered(materialize(spark, kept, "audit-kept").orderBy("lang", "term"), "audit-sorted", "place")
     placed = materialize(spark, placed, "audit-placed")
@@ -109,7 +108,7 @@ def transducers(terms: DataFrame, block_terms: int) -> DataFrame:
     return materialize(terms.sparkSession, rows.select("lang", "block", "ordinal", "term").mapInArrow(build, "lang string, base long, blob binary"), "audit-transducers")
 
 
-def _recount(shared):
+def _recount(shared, most: int):
     """Occurrences of kept terms by language, source and ordinal, summed within the task."""
     def run(batches):
         by_lang: dict[str, list] = {}
@@ -164,9 +163,9 @@ def _recount(shared):
                 if bytes_of[lang] >= BUFFER:
                     stream(lang, waiting.pop(lang))
                     del bytes_of[lang]
-                if size > HELD:
+                if size > most:
                     merge()
-                    if size > HELD // 2:
+                    if size > most // 2:
                         yield from flush()
         for lang, held in waiting.items():
             stream(lang, held)
@@ -174,7 +173,7 @@ def _recount(shared):
     return run
 
 
-def occurrences(docs: DataFrame, blobs: DataFrame, pass_bytes: int) -> DataFrame:
+def occurrences(docs: DataFrame, blobs: DataFrame, pass_bytes: int, most: int = HELD) -> DataFrame:
     """lang, source, ordinal, n: occurrences of the kept terms; written."""
     spark = docs.sparkSession
     rows = _rows(docs)
@@ -183,7 +182,7 @@ def occurrences(docs: DataFrame, blobs: DataFrame, pass_bytes: int) -> DataFrame
 
     def scan(held):
         shared = spark.sparkContext.broadcast(held)
-        return rows.where(F.col("lang").isin(sorted({h[0] for h in held}))).mapInArrow(_recount(shared), empty)
+        return rows.where(F.col("lang").isin(sorted({h[0] for h in held}))).mapInArrow(_recount(shared, most), empty)
 
     held, size = [], 0
     for r in blobs.orderBy("lang", "base").toLocalIterator():
@@ -204,47 +203,53 @@ def _share(n: str, total: str, terms: str):
     return F.expr(f"CASE WHEN {terms} > 0 THEN 1 + ({top}) div ({below}) END")
 
 
-def _distances(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _distances(wide: int, tile: int):
     """Sums of absolute differences of shares between the sources of two tiles over the ordinals of one block."""
-    lang, tile_a, tile_b, block = key
-    own = rows[rows.ordinal < 0].sort_values("idx")
-    idx, terms = own.idx.to_numpy(np.int64), int(own.terms.iloc[0])
-    width = max(min(BLOCK, terms - block * BLOCK), 0)
-    share = np.repeat(own.p.fillna(0).to_numpy(np.int64)[:, None], width, axis=1)
-    some = rows[rows.ordinal >= 0]
-    share[np.searchsorted(idx, some.idx.to_numpy(np.int64)), some.ordinal.to_numpy(np.int64) - block * BLOCK] = some.p.to_numpy(np.int64)
-    left, right = np.flatnonzero(idx // TILE == tile_a), np.flatnonzero(idx // TILE == tile_b)
-    out = []
-    for a in left:
-        others = right[right > a] if tile_a == tile_b else right
-        if len(others):
-            far = np.abs(share[others] - share[a]).sum(axis=1)
-            out.append(pd.DataFrame({"lang": lang, "a": idx[a], "b": idx[others], "value": far}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
-
-
-def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, block_terms: int = 1 << 17, pass_bytes: int = 64 << 20) -> DataFrame:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lang, tile_a, tile_b, block = (k.as_py() for k in key)
+        source, ordinal, p, terms = (rows.column(c).to_numpy() for c in ("idx", "ordinal", "p", "terms"))
+        # A source's row of ordinal -1 holds its share of terms that it lacks.
+        lacks = np.flatnonzero(ordinal < 0)
+        lacks = lacks[np.argsort(source[lacks])]
+        idx, width = source[lacks], max(min(wide, int(terms[0]) - block * wide), 0)
+        share = np.repeat(p[lacks][:, None], width, axis=1)
+        some = ordinal >= 0
+        share[np.searchsorted(idx, source[some]), ordinal[some] - block * wide] = p[some]
+        left, right = np.flatnonzero(idx // tile == tile_a), np.flatnonzero(idx // tile == tile_b)
+        a, b, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for one in left:
+            others = right[right > one] if tile_a == tile_b else right
+            a.append(np.full(len(others), idx[one]))
+            b.append(idx[others])
+            far.append(np.abs(share[others] - share[one]).sum(axis=1))
+        a, b, far = (np.concatenate(x) for x in (a, b, far))
+        return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(a), "b": pa.array(b), "value": pa.array(far)})
+    return run
+
+
+def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, block_terms: int = 1 << 17, pass_bytes: int = 64 << 20,
+          block: int = BLOCK, tile: int = TILE, held: int = HELD) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
     spark = docs.sparkSession
-    terms = kept_terms(docs, min_docs)
-    counts = occurrences(docs, transducers(terms, block_terms), pass_bytes)
+    terms = kept_terms(docs, min_docs, held)
+    counts = occurrences(docs, transducers(terms, block_terms), pass_bytes, held)
     sizes = terms.groupBy("lang").agg(F.count("*").alias("terms"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = _rows(docs).select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.na.fill(0, ["total", "terms"]).withColumn("idx", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    groups = groups.withColumn("tiles", F.floor((F.count("*").over(Window.partitionBy("lang")) - 1) / TILE))
+    groups = groups.withColumn("tiles", F.floor((F.count("*").over(Window.partitionBy("lang")) - 1) / tile))
     groups = materialize(spark, groups.withColumn("p", _share("0", "total", "terms")), "audit-groups")
 
     shares = counts.join(groups.drop("p"), ["lang", "source"]).withColumn("p", _share("n", "total", "terms"))
 
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("terms") - 1, F.lit(0)) / BLOCK))).alias("block")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("terms") - 1, F.lit(0)) / block))).alias("block")
     columns = ["lang", "idx", "terms", "tiles", "ordinal", "p"]
     cells = groups.withColumn("ordinal", F.lit(-1).cast("long")).select(*columns, blocks)
-    cells = cells.unionByName(shares.select(*columns, F.floor(F.col("ordinal") / BLOCK).alias("block")))
-    tile = F.floor(F.col("idx") / TILE)
+    cells = cells.unionByName(shares.select(*columns, F.floor(F.col("ordinal") / block).alias("block")))
+    own = F.floor(F.col("idx") / tile)
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles")))).select(
-        "lang", F.least(tile, "other").alias("tile_a"), F.greatest(tile, "other").alias("tile_b"), "block", "idx", "terms", "ordinal", "p")
-    parts = cells.groupBy("lang", "tile_a", "tile_b", "block").applyInPandas(_distances, "lang string, a long, b long, value long")
+        "lang", F.least(own, "other").alias("tile_a"), F.greatest(own, "other").alias("tile_b"), "block", F.col("idx").cast("long").alias("idx"), F.col("terms").cast("long").alias("terms"), "ordinal", F.coalesce("p", F.lit(0)).alias("p"))
+    parts = cells.groupBy("lang", "tile_a", "tile_b", "block").applyInArrow(_distances(block, tile), "lang string, a long, b long, value long")
     far = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     far = far.select("lang", "value", F.inline(F.array(F.struct(F.col("a").alias("idx"), F.col("b").alias("to")), F.struct(F.col("b").alias("idx"), F.col("a").alias("to")))))
     names = groups.select("lang", "idx", "source")

@@ -15,7 +15,7 @@ keys of 20 letters and digits, and takes one of 100 names of four known words.
 
 The dictionary holds the ``identifiers`` words (letters and underscores, 4 to 24
 of them) with the most occurrences over all texts, counted by Spark; only these,
-at most 24 bytes each, reach the driver and the tasks. Words with digits are
+at most 24 bytes each, reach the driver and the tasks. Letters beside digits are
 left out, so that a key that is copied often does not hide itself.
 
 Defined cases: null and empty texts have no spans; each row gets a row, repeated
@@ -43,8 +43,7 @@ ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 SENSITIVE = re.compile(rb"key|secret|token|passw|passphrase|pwd|auth|credential|bearer|private|signature|cookie|session", re.IGNORECASE)
-IDENTIFIER = re.compile(rb"[A-Za-z_]{4,}")
-LONGEST_IDENTIFIER = 24
+IDENTIFIER = re.compile(rb"(?<![A-Za-z0-9_])[A-Za-z_]{4,24}(?![A-Za-z0-9_])")
 KEY_RUN = re.compile(rb"(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[A-Za-z0-9]{10,}")
 #: Bytes before a candidate in which a sensitive word is looked for, and bytes on both sides it is measured against.
 NEAR, AROUND = 64, (64, 128, 192, 256)
@@ -65,7 +64,7 @@ def identifiers(docs: DataFrame, n: int) -> list[bytes]:
 
         for batch in batches:
             for text in batch.column("text"):
-                held.update(w for w in IDENTIFIER.findall(text.as_py()) if len(w) <= LONGEST_IDENTIFIER)
+                held.update(IDENTIFIER.findall(text.as_py()))
                 if len(held) > HELD:
                     yield from flush()
         yield from flush()

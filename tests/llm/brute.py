@@ -153,3 +153,72 @@ def contaminated(docs, items, threshold=0.8):
             if best >= threshold:
                 out[d, item] = best
     return out
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def phrases(rows, min_count=10, top=2000):
+    """rows: (lang, text). {(lang, rank, phrase, a, l, r, n, score)}."""
+    grams = {}
+    for lang, text in rows:
+        f = grams.setdefault(lang if lang is not None else "und", Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                f.update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    out = set()
+    for lang, f in grams.items():
+        n, found = sum(c for g, c in f.items() if len(g) == 1), []
+        often = {g: c for g, c in f.items() if len(g) > 1 and c >= min_count}
+        inside = Counter()
+        for g, c in often.items():
+            if len(g) == 3:
+                for part in (g[:2], g[1:]):
+                    inside[part] = max(inside[part], c)
+        for g, a in often.items():
+            if len(g) == 3 or 100 * inside[g] < 50 * a:
+                score, _, l, r = min((1_000_000 * a * a // (f[g[:k]] * f[g[k:]]), k, f[g[:k]], f[g[k:]]) for k in range(1, len(g)))
+                found.append((-score, -a, " ".join(g).encode(), l, r))
+        for rank, (s, a, phrase, l, r) in enumerate(sorted(found)[:top], 1):
+            out.add((lang, rank, phrase.decode(), -a, l, r, n, -s))
+    return out
+
+
+def divergence(rows, min_docs=30, top=50):
+    """rows: (lang, source, text). {(lang, source, part, item, value, rank)}."""
+    texts = [(a or "", s or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t))) for a, s, t in rows]
+    out = set()
+    for lang in {t[0] for t in texts}:
+        own = [(s, w) for a, s, w in texts if a == lang]
+        docs = Counter(t for _, w in own for t in set(w))
+        kept = sorted((t for t, c in docs.items() if c >= min_docs), key=str.encode)
+        counts = {s: Counter() for s, _ in own}
+        for s, w in own:
+            counts[s].update(t for t in w if docs[t] >= min_docs)
+        whole = sum(counts.values(), Counter())
+
+        def share(c):
+            return {t: 1 + 1_000_000_000 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept)) for t in kept}
+        p, q = {s: share(c) for s, c in counts.items()}, share(whole)
+        for s in p:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode()) for o in p if o != s]
+            marks = [(q[t] - p[s][t], t.encode()) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(marks)[:top])):
+                out |= {(lang, s, part, item.decode(), -v, rank) for rank, (v, item) in enumerate(found, 1)}
+    return out
+
+
+def base_spans(text):
+    """Spans of the plain patterns: (start, kind's place, end)."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(
+        r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def span_text(spans):
+    return ",".join(f"{('assign', 'access', 'hex', 'novel')[k]}:{s}:{e}" for s, k, e in spans)
