@@ -95,3 +95,41 @@ def is_paying(status: Column | None = None, amount: Column | None = None) -> Col
     status = F.col("status") if status is None else status
     amount = F.col("amount") if amount is None else amount
     return (status == "active") & (amount > 0)
+
+
+# Date spellings that decide the format of a file: the first value's shape, and the format its other values must have.
+# The day comes first only where the first value has no other reading.
+_DAY_FIRST = r"(1[3-9]|2[0-9]|3[01])"
+DATE_SHAPES = [
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}", "yyyy-M-d H:mm"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}", "yyyy-M-d H:mm:ss"),
+    (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}", "yyyy-M-d'T'H:mm:ss"),
+    (r"\d{4}-\d{1,2}", "yyyy-M"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{4}\.\d{1,2}\.\d{1,2}", "yyyy.M.d"),
+    (_DAY_FIRST + r"/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (_DAY_FIRST + r"\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (_DAY_FIRST + r"-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "M.d.yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy"),
+    (r"\d{1,2}-[A-Z][a-z]{2}-\d{4}", "d-MMM-yyyy"),
+]
+
+
+def date_format_of(first: Column) -> Column:
+    """The format that the first date of a file decides, NULL if its shape is not known."""
+    out = None
+    for shape, fmt in DATE_SHAPES:
+        hit = first.rlike(rf"\A{shape}\z")
+        out = F.when(hit, fmt) if out is None else out.when(hit, fmt)
+    return out
+
+
+def parse_date_as(col_name: str, fmt: Column) -> Column:
+    """Text in exactly the given format, else NULL; without a format each value is read on its own."""
+    exact = F.try_to_timestamp(F.col(col_name), fmt)
+    return F.when(fmt.isNull(), parse_date_expr(col_name).cast("timestamp")).otherwise(exact).cast("timestamp_ntz")

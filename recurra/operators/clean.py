@@ -22,15 +22,33 @@ def _typed_amount(df: DataFrame) -> Column:
     return F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double"))
 
 
+def file_facts(raw: DataFrame) -> DataFrame:
+    """Per file of an ingested upload: the date format that its first date decides, and whether all its amounts are numbers."""
+    dated = F.when(F.col("date").isNotNull(), F.col("ordinal"))
+    number = F.col("amount").isNull() | C.parse_amount_expr("amount").isNotNull()
+    found = raw.groupBy(F.col("file").alias("_file")).agg(F.min_by("date", dated).alias("_first"), F.bool_and(number).alias("_numeric"))
+    return found.select("_file", C.date_format_of(F.col("_first")).alias("_format"), "_numeric")
+
+
+def ingested(df: DataFrame) -> bool:
+    """Whether the rows know their place in a file."""
+    return {"file", "ordinal"} <= set(df.columns)
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Cast amount/date to their types (C4, C5; NaN -> NULL, bad -> NULL).
 
-    One date format holds per export: if any of a tenant's slash dates can
-    only be read with the day first, all of them are (one grouped aggregate).
+    One date format holds per file: rows of an upload take the format of the
+    file's first date, values in any other spelling are NULL. Rows without a
+    place in a file are read by tenant: if any slash date can only be read with
+    the day first, all of them are. Either is one grouped aggregate.
     """
     amount = _typed_amount(df)
     if not isinstance(df.schema["date"].dataType, T.StringType):
         return df.withColumns({"amount": amount, "date": F.col("date").cast("timestamp_ntz")})
+    if ingested(df):
+        met = df.join(file_facts(df), F.col("file") == F.col("_file"))
+        return met.withColumns({"amount": amount, "date": C.parse_date_as("date", F.col("_format"))}).drop("_file", "_format", "_numeric")
     order = df.groupBy("tenant_id").agg(F.bool_or(C.only_day_first("date")).alias("_day_first"))
     order = order.where("_day_first").withColumnRenamed("tenant_id", "_tenant")
     met = df.join(order, F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left")
@@ -38,6 +56,25 @@ def typed(df: DataFrame) -> DataFrame:
     return met.withColumns({"amount": amount, "date": C.parse_date_expr("date", day_first)}).drop("_day_first", "_tenant")
 
 
+def distinct_rows(raw: DataFrame) -> DataFrame:
+    """C1 with types: each distinct row once, with its multiplicity ``n_copies`` and the place of its first copy.
+
+    Two rows are copies only if they agree in all columns of the export, before
+    any normalisation. Rows of an upload are compared as they were written: dates
+    as text, amounts as numbers if all amounts of their file are numbers. The
+    grouping hashes whole rows, so one hot customer is spread over many tasks,
+    and copies are counted map-side first.
+    """
+    if not ingested(raw):
+        t = typed(raw)
+        return t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n_copies"))
+    met = raw.join(file_facts(raw), F.col("file") == F.col("_file")).drop("_file")
+    met = met.withColumns({"_text": F.when(~F.col("_numeric"), F.col("amount")), "amount": _typed_amount(raw)}).drop("_numeric")
+    keys = [c for c in met.columns if c not in ("file", "ordinal")]
+    d = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("file", "ordinal")).alias("first"))
+    return d.withColumn("date", C.parse_date_as("date", F.col("_format"))).drop("_format", "_text")
+
+
 def dedup(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Exact-duplicate removal on the typed values of all columns (NULLs compare equal).
 
@@ -65,18 +102,13 @@ def clean(raw: DataFrame) -> DataFrame:
     Zero and negative amounts are kept; NULL dates stay (they only drop out
     of month-grouped metrics).
     """
-    t = typed(raw)
-    if "currency" not in t.columns:
-        t = t.withColumn("currency", F.lit(None).cast("string"))
-    # De-duplicate on the raw typed values of every column the export has
-    # (before normalisation): two rows are copies only if they agree in the
-    # pass-through columns too, e.g. the order line they bill. The exchange hashes whole rows, so even one hot customer-month is spread
-    # over all tasks, and exact copies are dropped map-side first. The
-    # customer-month rollup that follows pre-aggregates map-side again, so
-    # its own exchange carries at most one row per customer-month and task.
+    if "currency" not in raw.columns:
+        raw = raw.withColumn("currency", F.lit(None).cast("string"))
     # The grouping keeps each distinct row's multiplicity (n_copies), so the
-    # cleaning report is a by-product of this pass.
-    d = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n_copies"))
+    # cleaning report is a by-product of this pass. The customer-month rollup
+    # that follows pre-aggregates map-side again, so its own exchange carries at
+    # most one row per customer-month and task.
+    d = distinct_rows(raw)
     return d.select(
         "tenant_id", C.text_key(F.col("customer_id")).alias("customer_id"), "date", "amount",
         clean_status().alias("status"), "currency", "n_copies",
@@ -85,21 +117,21 @@ def clean(raw: DataFrame) -> DataFrame:
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
-    """Per-tenant counters of the cleaning step."""
-    t = typed(raw)
-    keys = t.columns
+    """Per-tenant counters of the cleaning step.
+
+    ``encoding_warning`` (R3) is raised if any file of the tenant was read as latin-1.
+    """
     # One pass: distinct rows with their multiplicity, then per tenant.
-    d = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_mult"))
-    return (d.groupBy("tenant_id").agg(
-                F.sum("_mult").alias("rows_before"),
+    warned = F.bool_or("encoding_warning") if "encoding_warning" in raw.columns else F.bool_or(F.lit(False))
+    return (distinct_rows(raw).groupBy("tenant_id").agg(
+                F.sum("n_copies").alias("rows_before"),
                 F.count(F.lit(1)).alias("rows_after"),
                 F.count_if(F.col("amount") == 0).alias("zeros_count"),
                 F.count_if(F.col("amount") < 0).alias("negatives_count"),
-                F.count_distinct("currency").alias("_ncur"))
+                F.count_distinct("currency").alias("_ncur"), warned.alias("encoding_warning"))
             .select("tenant_id", "rows_before",
                     (F.col("rows_before") - F.col("rows_after")).alias("duplicates_removed"),
-                    "zeros_count", "negatives_count", "rows_after",
-                    F.lit(False).alias("encoding_warning"),
+                    "zeros_count", "negatives_count", "rows_after", "encoding_warning",
                     (F.col("_ncur") > 1).alias("multicurrency_error")))
 
 

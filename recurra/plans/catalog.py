@@ -1053,20 +1053,36 @@ san AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(
 # The exports' rows as they must come back: the long lines are dropped.
 _LONG = (f"{_layout_case('tenant_id')} IN ({', '.join(repr(x) for x in CX.LONG_LINE_LAYOUTS)}) "
          "AND src_line = 5 AND src_order % 4 = 0")
-_UP_SQL = O.FACTS + f""",
+_UP_CTES = f"""
 up AS (SELECT *, {_layout_case('tenant_id')} AS layout, src_order // {CX.CHUNK_ORDERS} AS chunk, ({_LONG}) AS too_long,
-              CASE status WHEN 'active' THEN 'Active' WHEN 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS spelled
-       FROM raw),
+              CASE WHEN copy = 2 THEN 'active' WHEN status = 'active' THEN 'Active' WHEN status = 'churned' THEN 'cancelled' ELSE 'Payment Failed' END AS spelled
+       FROM (SELECT *, 0 AS copy FROM raw UNION ALL SELECT *, 1 FROM raw WHERE src_line = 6 AND src_order % 5 = 0
+             UNION ALL SELECT *, 2 FROM raw WHERE src_line = 7 AND src_order % 5 = 1 AND status = 'active')),
+words AS (
+  SELECT *, CASE WHEN src_line = 2 AND src_order % 3 = 0 THEN '  ' || customer_id || ' ' || chr(160) ELSE customer_id END AS id_text,
+         CASE WHEN src_line = 1 AND src_order % 11 = 0 THEN '$' ELSE '' END || printf('%.2f', amount)
+           || CASE WHEN src_line = 1 AND src_order % 13 = 0 AND src_order % 11 <> 0 THEN 'd' ELSE '' END AS amount_text,
+         CASE WHEN layout IN ('stripe', 'lemonsqueezy') = (src_line = 3 AND src_order % 9 = 0) THEN strftime(date, '%Y-%m-%d')
+              WHEN layout = 'lemonsqueezy' THEN strftime(date, '%d/%m/%Y') ELSE strftime(date, '%m/%d/%Y') END AS day,
+         CASE layout WHEN 'chargebee' THEN 'Счёт' WHEN 'lemonsqueezy' THEN 'Café' || chr(152) ELSE 'Facture é' END AS word FROM up),
 cells AS (
-  SELECT *, CASE layout WHEN 'stripe' THEN strftime(date, '%m/%d/%Y') WHEN 'lemonsqueezy' THEN strftime(date, '%d/%m/%Y')
-                        ELSE strftime(date, '%Y-%m-%d') END AS day,
-         CASE layout WHEN 'chargebee' THEN 'Счёт' WHEN 'lemonsqueezy' THEN 'Café' || chr(152) ELSE 'Facture é' END AS word FROM up)"""
+  SELECT *, CASE WHEN src_line = 2 OR (src_line = 4 AND src_order % 3 = 0) THEN NULL
+                 WHEN src_line = 1 THEN word || ', "' || spelled || '", 1'
+                 WHEN src_line = 3 THEN word || chr(10) || 'line 2, "x"' || chr(10) || ' ' || chr(10) || 'end' ELSE word END AS memo FROM words)"""
+_UP_SQL = O.FACTS + "," + _UP_CTES
 _UP_OUT = """
-SELECT tenant_id, customer_id, day AS date, printf('%.2f', amount) AS amount, spelled AS status, currency,
-       CAST(src_order AS VARCHAR) AS order_ref, CAST(src_line AS VARCHAR) AS line_no,
-       CASE WHEN src_line = 2 OR (src_line = 4 AND src_order % 3 = 0) THEN NULL
-            WHEN src_line = 1 THEN word || ', "' || spelled || '", 1' ELSE word END AS memo
+SELECT tenant_id, id_text AS customer_id, day AS date, amount_text AS amount, spelled AS status, currency,
+       CAST(src_order AS VARCHAR) AS order_ref, CAST(src_line AS VARCHAR) AS line_no, memo
 FROM cells"""
+# What is left after the copies are gone, in the format of each file's first date.
+_UP_TYPED = _UP_CTES + """,
+firsts AS (SELECT tenant_id, chunk, first(day ORDER BY src_order, src_line, copy, day) AS first_day FROM cells WHERE NOT too_long GROUP BY ALL),
+clean_rows AS (
+  SELECT c.tenant_id, c.customer_id, TRY_CAST(amount_text AS DOUBLE) AS amount, c.status, c.currency, c.src_order, c.src_line, c.copy, c.layout,
+         CASE WHEN first_day LIKE '____-%' THEN try_strptime(day, '%Y-%m-%d')
+              WHEN CAST(substr(first_day, 1, 2) AS INTEGER) > 12 THEN try_strptime(day, '%d/%m/%Y')
+              ELSE try_strptime(day, '%m/%d/%Y') END AS date
+  FROM cells c JOIN firsts USING (tenant_id, chunk) WHERE NOT too_long AND copy <> 1)"""
 
 
 def _with_extras(rows):
@@ -1087,7 +1103,7 @@ def q_ingest_csv_strict(spark, sf_dir):
 
 
 @register("ingest_metrics", O.last_metric_sql(ALL + ["last_month_is_fallback", "prev_month", "prev_month_status"]).replace(
-    "(SELECT DISTINCT * FROM raw)", f"(SELECT DISTINCT * FROM raw WHERE NOT ({_LONG}))"))
+    "subs AS (SELECT DISTINCT * FROM raw)", _UP_TYPED.lstrip() + ",\nsubs AS (SELECT tenant_id, customer_id, date, amount, status, currency FROM clean_rows)"))
 def q_ingest_metrics(spark, sf_dir):
     """End to end as the upload flow: CSV exports -> mapping -> clean -> metrics."""
     m = MX.metrics_last(MX.Rollup(CL.clean(_ingested(spark, sf_dir)), materialize=True))
@@ -1096,7 +1112,9 @@ def q_ingest_metrics(spark, sf_dir):
 
 
 @register("file_manifest", "WITH " + _UP_SQL + """
-SELECT DISTINCT tenant_id, chunk, CAST(NULL AS VARCHAR) AS reject_reason, true AS accepted FROM up""")
+SELECT DISTINCT tenant_id, chunk, CAST(NULL AS VARCHAR) AS reject_reason, true AS accepted FROM up
+UNION ALL SELECT * FROM (VALUES ('r-empty', 0::BIGINT, 'empty', false), ('r-note', 0, 'not_csv', false), ('r-large', 0, 'too_large', false),
+                                ('r-blank', 0, NULL, true), ('r-header', 0, NULL, true), ('r-open', 0, NULL, true)) r(tenant_id, chunk, reject_reason, accepted)""")
 def q_file_manifest(spark, sf_dir):
     """Upload guards over the export files."""
     files = CX.file_manifest(spark, _uploads(spark, sf_dir)[0] + "/charset=*")
@@ -1112,6 +1130,43 @@ def q_file_encoding_report(spark, sf_dir):
     return _uploads(spark, sf_dir)[1].encodings().select(*CX.upload_of(F.col("file")), "encoding", "encoding_warning")
 
 
+@register("upload_rejects", "WITH " + _UP_SQL + """
+SELECT * FROM (VALUES ('r-blank', 0::BIGINT, 'no_columns'), ('r-header', 0, 'no_rows'), ('r-open', 0, 'unclosed_quote')) r(tenant_id, chunk, reject_reason)
+WHERE EXISTS (SELECT 1 FROM up)""")
+def q_upload_rejects(spark, sf_dir):
+    """Files that pass the guards and hold no table."""
+    return _uploads(spark, sf_dir)[1].rejects().select(*CX.upload_of(F.col("file")), "reject_reason")
+
+
+@register("upload_dedup", "WITH " + _UP_SQL + """
+SELECT tenant_id, id_text AS customer_id, day AS date, amount_text AS amount, spelled AS status, CAST(src_order AS VARCHAR) AS order_ref,
+       CAST(src_line AS VARCHAR) AS line_no, count(*) AS n_copies FROM cells WHERE NOT too_long GROUP BY ALL""")
+def q_upload_dedup(spark, sf_dir):
+    """C1 on uploads: each distinct row once, as it was written, with its multiplicity; respelled twins stay."""
+    raw = _ingested(spark, sf_dir)
+    kept = CL.distinct_rows(raw).select("first", "n_copies")
+    at = raw.select(F.struct("file", "ordinal").alias("first"), "tenant_id", "customer_id", "date", "amount", "status", *[CX.extra(n).alias(n) for n in ("order_ref", "line_no")])
+    return kept.join(at, "first").drop("first")
+
+
+@register("upload_clean", "WITH " + O.FACTS + "," + _UP_TYPED + """
+SELECT tenant_id, customer_id, date, round(amount, 6) AS amount, status, currency, CASE WHEN src_line = 6 AND src_order % 5 = 0 THEN 2::BIGINT ELSE 1 END AS n_copies FROM clean_rows""")
+def q_upload_clean(spark, sf_dir):
+    """C1-C5 on uploads: one date format per file, bad amounts NULL, ids without blanks, canonical status."""
+    return round_doubles(CL.clean(_ingested(spark, sf_dir)).select("tenant_id", *CL.CANONICAL, "n_copies"))
+
+
+@register("upload_cleaning_report", "WITH " + O.FACTS + "," + _UP_TYPED + """
+SELECT c.tenant_id, c.n AS rows_before, c.copies AS duplicates_removed, r.zeros AS zeros_count, r.negs AS negatives_count,
+       c.n - c.copies AS rows_after, r.latin AS encoding_warning, r.ncur > 1 AS multicurrency_error
+FROM (SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE copy = 1) AS copies FROM cells WHERE NOT too_long GROUP BY tenant_id) c
+JOIN (SELECT tenant_id, count(*) FILTER (WHERE amount = 0) AS zeros, count(*) FILTER (WHERE amount < 0) AS negs,
+             count(DISTINCT currency) AS ncur, bool_or(layout = 'lemonsqueezy') AS latin FROM clean_rows GROUP BY tenant_id) r USING (tenant_id)""")
+def q_upload_cleaning_report(spark, sf_dir):
+    """C9 on uploads: copies, zero and negative amounts, the encoding warning of R3 and the currency guard."""
+    return CL.cleaning_report(_ingested(spark, sf_dir))
+
+
 @register("sanitize_names", "WITH " + _CATALOG_SQL + """
 SELECT source_id, ordinal, "column", sanitized FROM san""")
 def q_sanitize_names(spark, sf_dir):
@@ -1220,7 +1275,7 @@ def q_duplicate_mappings(spark, sf_dir):
 
 
 @register("apply_mapping", "WITH " + _UP_SQL + """
-SELECT tenant_id, customer_id, day AS date, printf('%.2f', amount) AS amount, spelled AS status, currency,
+SELECT tenant_id, id_text AS customer_id, day AS date, amount_text AS amount, spelled AS status, currency,
        CASE layout WHEN 'custom' THEN 'Created By,' ELSE '' END || 'order_ref,line_no,memo' AS passed
 FROM cells WHERE NOT too_long""")
 def q_apply_mapping(spark, sf_dir):
@@ -1239,7 +1294,7 @@ SELECT tenant_id, customer_id, date, round(amount, 6) AS amount, status, currenc
 def q_dedup(spark, sf_dir):
     """Exact duplicates removed (typed values)."""
     raw = tables.raw_billing_rows(spark, sf_dir)
-    d = CL.dedup(CL.normalize(CL.typed(raw)))
+    d = CL.normalize(CL.dedup(CL.typed(raw)))
     return round_doubles(d.select("tenant_id", *CL.CANONICAL))
 
 

@@ -3,21 +3,24 @@
 ``write_exports`` turns the canonical billing rows into CSV exports, one
 upload per tenant, in the header layout of the tenant's billing source (by the
 first letter of the tenant name; unknown letters use the plain layout). They
-look as uploads do: extra columns, quoted fields with commas and quotes, short
-and long lines, missing-value spellings, three date spellings, UTF-8 with and
+look as uploads do: extra columns, quoted fields with commas, quotes and line
+breaks, blank first lines, copies, padded ids, amounts with units, short and long lines, missing-value spellings, three date spellings, UTF-8 with and
 without a byte order mark and two single-byte encodings. They land under the
 shared checkpoint folder, so on a cluster every executor sees them.
 
 ``ingest`` does what the upload flow does, with any number of files at once:
-lines are read as bytes, each file's encoding and header are found by grouped
-aggregates, lines are cut into fields by position of their own file's header,
+lines are read as bytes and put together to records, each file's encoding and
+header are found by grouped aggregates, records are cut into fields by position
+of their own file's header,
 and fields get their canonical names by the mapping of that header. Columns
 that no field claims pass through in ``extras`` (name and value, in order).
 
-Defined cases: blank lines are skipped; a short line is padded with NULL; a
-line with more fields than its header is dropped (the strict read refuses its
-whole file); a default missing-value spelling is NULL; a file without lines
-gives no rows; a quoted field may hold commas and quotes, but no line break.
+Defined cases: blank lines (before the header too) are skipped; a short record
+is padded with NULL; a record with more fields than its header is dropped (the
+strict read refuses its whole file); a default missing-value spelling is NULL; a
+quoted field may hold commas, quotes and line breaks (``records.py``). Files
+without a record, with a header only, that end within quotes or are larger than
+the limit give no rows and are reported.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from recurra.functions import columns as C
 from recurra.functions.constants import MAX_FILE_BYTES, PANDAS_NA_STRINGS, PRESET_SIGNATURES
 from recurra.session import materialize, shared_path
+from recurra.sources import records as R
 
 CANONICAL = ["customer_id", "date", "amount", "status", "currency"]
 #: Columns beside the canonical ones that every export carries.
@@ -79,31 +83,51 @@ def _csv_field(v: Column) -> Column:
 
 
 def export_lines(raw: DataFrame) -> DataFrame:
-    """(tenant_id, layout, chunk, src_order, src_line, line): the body lines of the exports."""
+    """(tenant_id, layout, chunk, src_order, src_line, copy, record, sub, line): the physical body lines of the exports.
+
+    Order and line number do not tell records apart, so their text orders them too. As in real exports some records are there twice, some a second time with another spelling of the status; ids
+    carry blanks, amounts units, single dates another format than their file's, and memos line breaks.
+    """
     rows = raw.withColumn("layout", layout_of(F.col("tenant_id"))).withColumn(
         "chunk", F.floor(F.col("src_order") / CHUNK_ORDERS))
+    twice = (F.col("src_line") == 6) & (F.col("src_order") % 5 == 0)
+    respelled = (F.col("src_line") == 7) & (F.col("src_order") % 5 == 1) & (F.col("status") == "Active")
+    rows = rows.withColumn("copy", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).when(
+        respelled, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))))
     foreign = F.create_map(*[x for k, v in SINGLE_BYTE.items() for x in (F.lit(k), F.lit(v))])
     word = F.coalesce(F.element_at(foreign, F.col("layout")), F.lit("Facture é"))
     memo = (F.when(F.col("src_line") == 1, F.concat(word, F.lit(', "'), F.col("status"), F.lit('", 1')))
-             .when(F.col("src_line") == 2, F.lit("NA")).otherwise(word))
+             .when(F.col("src_line") == 2, F.lit("NA"))
+             .when(F.col("src_line") == 3, F.concat(word, F.lit('\nline 2, "x"\n \nend'))).otherwise(word))
     fmt = F.create_map(*[x for k, v in DATE_FORMATS.items() for x in (F.lit(k), F.lit(v))])
-    spelled = F.when(F.element_at(fmt, F.col("layout")) == "MM/dd/yyyy", F.date_format("date", "MM/dd/yyyy")).when(
-        F.element_at(fmt, F.col("layout")) == "dd/MM/yyyy", F.date_format("date", "dd/MM/yyyy")).otherwise(
-        F.date_format("date", "yyyy-MM-dd"))
-    value = {"customer_id": F.col("customer_id"), "date": spelled, "amount": F.format_string("%.2f", F.col("amount")),
-             "status": F.col("status"), "currency": F.col("currency"), "created_by": F.lit("export"),
+    usual = F.coalesce(F.element_at(fmt, F.col("layout")), F.lit("yyyy-MM-dd"))
+    other = (F.col("src_line") == 3) & (F.col("src_order") % 9 == 0)
+    used = F.when(other, F.when(usual == "yyyy-MM-dd", "MM/dd/yyyy").otherwise("yyyy-MM-dd")).otherwise(usual)
+    spelled = F.when(used == "MM/dd/yyyy", F.date_format("date", "MM/dd/yyyy")).when(
+        used == "dd/MM/yyyy", F.date_format("date", "dd/MM/yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    amount = F.format_string("%.2f", F.col("amount"))
+    amount = F.when((F.col("src_line") == 1) & (F.col("src_order") % 11 == 0), F.concat(F.lit("$"), amount)).when(
+        (F.col("src_line") == 1) & (F.col("src_order") % 13 == 0), F.concat(amount, F.lit("d"))).otherwise(amount)
+    padded = (F.col("src_line") == 2) & (F.col("src_order") % 3 == 0)
+    value = {"customer_id": F.when(padded, F.concat(F.lit("  "), "customer_id", F.lit(" \u00a0"))).otherwise(F.col("customer_id")),
+             "date": spelled, "amount": amount,
+             "status": F.when(F.col("copy") == 2, "active").otherwise(F.col("status")), "currency": F.col("currency"),
              "src_order": F.col("src_order").cast("string"), "src_line": F.col("src_line").cast("string"), "memo": memo}
     short = (F.col("src_line") == 4) & (F.col("src_order") % 3 == 0)  # the last field is left out
     long = F.col("layout").isin(LONG_LINE_LAYOUTS) & (F.col("src_line") == 5) & (F.col("src_order") % 4 == 0)
 
-    def line(fields):
-        cells = [F.coalesce(_csv_field(value[f]), F.lit("")) for f in fields]
-        return F.when(short, F.concat_ws(",", *cells[:-1])).when(long, F.concat_ws(",", *cells, F.lit("surplus"), F.lit("fields"))) \
-                .otherwise(F.concat_ws(",", *cells))
+    # Cells are made once and then joined: all layouts have the same fields in the same order, but for one of the custom one.
+    def cells(fields):
+        return F.array(*[F.coalesce(_csv_field(value[f]), F.lit("")) for f in fields])
 
-    text = line(LAYOUTS["manual"])  # all layouts but the custom one have the same fields in the same order
-    text = F.when(F.col("layout") == "custom", line(LAYOUTS["custom"])).otherwise(text)
-    return rows.select("tenant_id", "layout", "chunk", "src_order", "src_line", text.alias("line"))
+    none = F.array().cast("array<string>")
+    rows = rows.select("tenant_id", "layout", "chunk", "src_order", "src_line", "copy", short.alias("short"), long.alias("long"),
+                       cells(CANONICAL).alias("known"), cells(EXTRAS).alias("rest"))
+    every = F.concat("known", F.when(F.col("layout") == "custom", F.array(F.lit("export"))).otherwise(none), "rest",
+                     F.when(F.col("long"), F.array(F.lit("surplus"), F.lit("fields"))).otherwise(none))
+    rows = rows.withColumn("cells", every)
+    text = F.array_join(F.slice("cells", 1, F.size("cells") - F.col("short").cast("int")), ",")
+    return rows.select("tenant_id", "layout", "chunk", "src_order", "src_line", "copy", text.alias("record"), F.posexplode(F.split(text, "\n")).alias("sub", "line"))
 
 
 def write_exports(spark: SparkSession, raw: DataFrame, path: str) -> None:
@@ -111,14 +135,17 @@ def write_exports(spark: SparkSession, raw: DataFrame, path: str) -> None:
 
     Rows are written once for each of the two character widths, from one
     stored copy of the lines. A file is one (tenant, chunk), so a large tenant
-    is spread over many tasks.
+    is spread over many tasks. Exports of a custom layout begin with blank
+    lines. Beside them lie the files that an upload must refuse.
     """
     lines = materialize(spark, export_lines(raw), "export-lines")
     headers = F.create_map(*[x for name, h in LAYOUTS.items() for x in (
         F.lit(name), F.lit(("\ufeff" if name == BOM_LAYOUT else "") + ",".join(h.values())))])
-    heads = lines.select("tenant_id", "layout", "chunk").distinct().select(
-        "tenant_id", "layout", "chunk", F.lit(-1).cast("long").alias("src_order"), F.lit(-1).alias("src_line"),
-        F.element_at(headers, F.col("layout")).alias("line"))
+    files = lines.select("tenant_id", "layout", "chunk").distinct()
+    header = F.element_at(headers, F.col("layout"))
+    first = F.when(F.col("layout") == "custom", F.array(F.lit(" \t"), F.lit("  "), header)).otherwise(F.array(header))
+    heads = files.select("tenant_id", "layout", "chunk", F.lit(-1).cast("long").alias("src_order"), F.lit(-1).alias("src_line"),
+                         F.lit(0).alias("copy"), F.lit("").alias("record"), F.posexplode(first).alias("sub", "line"))
     every = lines.unionByName(heads)
     narrow = F.col("layout").isin(list(SINGLE_BYTE))
     for charset, some in (("UTF-8", ~narrow), ("ISO-8859-1", narrow)):
@@ -126,11 +153,26 @@ def write_exports(spark: SparkSession, raw: DataFrame, path: str) -> None:
         text = F.translate("line", _CYRILLIC, _LATIN) if charset != "UTF-8" else F.col("line")
         text = F.when(F.col("layout") == "chargebee", text).otherwise(F.col("line"))
         (every.where(some).withColumn("line", text).repartition("tenant_id", "chunk")
-              .sortWithinPartitions("tenant_id", "chunk", "src_order", "src_line").select("tenant_id", "chunk", "line")
+              .sortWithinPartitions("tenant_id", "chunk", "src_order", "src_line", "copy", "record", "sub").select("tenant_id", "chunk", "line")
               .write.mode("overwrite").partitionBy("tenant_id", "chunk")
               .option("encoding", charset).option("sep", "\u0001").option("quote", "\u0000").option("escapeQuotes", False)
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
               .csv(f"{path}/charset={charset}"))
+    head = ",".join(LAYOUTS["manual"].values()).encode() + b"\n"
+    for name, content in REFUSED.items():
+        tenant, file = name.split("/")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/charset=UTF-8/tenant_id={tenant}/chunk=0/{file}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        for _ in range(MAX_FILE_BYTES // len(FILLER) + 1 if content is None else 0):
+            out.write(bytearray(FILLER))
+        out.write(bytearray(b"" if content is None else content.replace(b"HEAD\n", head)))
+        out.close()
+
+
+#: Files no upload takes, by the reason; the one without content is longer than any file may be.
+FILLER = b"customer,date\n" * 65536
+REFUSED = {"r-empty/a.csv": b"", "r-note/a.txt": b"HEAD\n1,2024-01-02,1.00,Active,USD,1,1,x\n", "r-large/a.csv": None,
+           "r-blank/a.csv": b"\n  \n", "r-header/a.csv": b"\nHEAD\n\n", "r-open/a.csv": b'HEAD\n1,2024-01-02,1.00,Active,USD,1,1,"never\nclosed\n'}
 
 
 def ensure_exports(spark: SparkSession, identity: tuple, raw: DataFrame) -> str:
@@ -143,12 +185,28 @@ def ensure_exports(spark: SparkSession, identity: tuple, raw: DataFrame) -> str:
     return path
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for folder in fs.globStatus(at) or []:
+        listed = fs.listFiles(folder.getPath(), True)
+        while listed.hasNext():
+            f = listed.next()
+            name = f.getPath().getName()
+            if f.getLen() == 0 and not name.startswith(("_", ".")):
+                out.append((f.getPath().toString(), 0))
+    return out
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Every file with the upload guards (.csv, non-empty, <= 15 MB).
 
-    Only path and length are selected, so file contents are not read.
+    Only path and length are selected, so file contents are not read. Spark's
+    readers pass over files without bytes; those are taken from the listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    files = files.union(spark.createDataFrame(_empty_files(spark, path), "path string, length long"))
     reason = (F.when(~F.lower(F.col("path")).endswith(".csv"), F.lit("not_csv"))
                .when(F.col("length") == 0, F.lit("empty"))
                .when(F.col("length") > MAX_FILE_BYTES, F.lit("too_large")))
@@ -170,35 +228,48 @@ def _cells(text: Column) -> Column:
 
 
 class Uploads:
-    """The lines of all CSV files under a folder, stored once, and what is known of each file."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.path = path
-        read = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-                .schema("value string").text(path))
-        # A file's lines have rising row numbers in the task that reads its first block.
-        self.lines = materialize(spark, read.select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("bytes")), "upload-lines")
-        latin = F.decode("bytes", "ISO-8859-1")
-        found = self.lines.groupBy("file").agg(
-            F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8"),
-            F.bool_or(latin.contains("\x98")).alias("no_cp1251"),
-            F.min_by("bytes", F.when(F.col("block") == 0, F.col("row"))).alias("head"),
-            F.min(F.when(F.col("block") == 0, F.col("row"))).alias("head_row"))
-        # The line reader takes a byte order mark off the first line.
+    """The records of all CSV files under a folder, and what is known of each file.
+
+    Lines are stored once. Files without a quoted line break have a record per line; the others' records are put
+    together from lines (``records.spanning_records``) and stored too.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES):
+        self.path, self.max_bytes = path, max_bytes
+        lines = materialize(spark, R.read_lines(spark, path, max_bytes), "upload-lines")
+        filled = ~F.col("text").rlike(R.BLANK)
+        at = F.when(filled, R.position())
+        found = materialize(spark, lines.groupBy("file").agg(
+            F.bool_and("utf8").alias("utf8"), F.bool_or(F.col("text").contains("\x98")).alias("no_cp1251"),
+            F.bool_or("opens").alias("spans"), F.min_by("text", at).alias("head"), F.min(at).alias("head_at"),
+            F.count_if(filled).alias("n_records")), "upload-found")
+        met = lines.join(found.select("file", "spans"), "file")
+        spanning, self.unclosed = R.spanning_records(met.where("spans").drop("spans"))
+        spanning = materialize(spark, spanning, "upload-spanning").where(filled)
+        self._records = met.where(~F.col("spans") & filled).select("file", R.position().alias("at"), "text").unionByName(spanning)
+        heads = spanning.groupBy("file").agg(F.min_by("text", "at").alias("head"), F.min("at").alias("head_at"), F.count("*").alias("n_records"))
+        about = found.where("spans").select("file", "utf8", "no_cp1251").join(heads, "file", "left")
+        about = found.where("NOT spans").drop("spans").unionByName(about)
         encoding = F.when(F.col("utf8"), "utf-8").when(F.col("no_cp1251"), "latin-1").otherwise("cp1251")
         head = decoded(F.col("head"), F.col("encoding"))
-        self.files = materialize(spark, found.withColumn("encoding", encoding).withColumn("names", _cells(head)).select(
-            "file", "encoding", "head_row", "names", F.md5(F.to_json("names")).alias("header_id")), "upload-files")
+        about = materialize(spark, about.withColumn("encoding", encoding).withColumn("names", _cells(head)).select(
+            "file", "encoding", "head_at", "names", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.md5(F.to_json("names")).alias("header_id")), "upload-files")
+        self.about = about
+        self.files = about.where("n_records > 1")
+
+    def rejects(self) -> DataFrame:
+        """Files that pass the guards of ``file_manifest`` and cannot be read: (file, reject_reason)."""
+        unclosed = materialize(self.unclosed.sparkSession, self.unclosed, "upload-unclosed").withColumn("open", F.lit(True))
+        reason = (F.when(F.col("open"), "unclosed_quote").when(F.col("n_records") == 0, "no_columns").when(F.col("n_records") == 1, "no_rows"))
+        return self.about.join(unclosed, "file", "left").select("file", reason.alias("reject_reason")).where("reject_reason IS NOT NULL")
 
     def encodings(self) -> DataFrame:
         """(file, encoding, encoding_warning): the chain utf-8-sig, utf-8, cp1251, latin-1 over the whole file.
 
         The byte order mark is looked up in the accepted files alone (the size limit is pushed to the reader).
         """
-        starts = (self.lines.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", "*.csv").load(self.path).where(F.col("length") <= MAX_FILE_BYTES)
+        starts = (self.files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", "*.csv").load(self.path).where(F.col("length") <= self.max_bytes)
                   .select(F.url_decode(F.regexp_replace("path", "^[a-z0-9]+:/+", "/")).alias("at"), F.hex(F.substring("content", 1, 3)).alias("start")))
         at = F.url_decode(F.regexp_replace("file", "^[a-z0-9]+:/+", "/"))
         found = self.files.withColumn("at", at).join(starts, "at", "left")
@@ -212,27 +283,27 @@ class Uploads:
         return self.files.select(source.alias("source_id"), F.posexplode("names").alias("ordinal", "column")).distinct()
 
     def rows(self, strict: bool = False) -> DataFrame:
-        """(file, header_id, names, cells) of the data lines; ``strict`` leaves out files with a long line."""
-        known = self.files.select("file", "encoding", "head_row", "names", "header_id")
-        text = decoded(F.col("bytes"), F.col("encoding"))
-        r = (self.lines.join(known, "file").where(F.col("row") != F.col("head_row"))
-             .select("file", "header_id", "names", text.alias("text")).where(F.col("text") != "")
-             .select("file", "header_id", "names", _cells(F.col("text")).alias("cells")))
+        """(file, at, encoding, header_id, names, cells) of the data records; ``strict`` leaves out files with a long one."""
+        known = self.files.select("file", "encoding", "head_at", "names", "header_id")
+        r = (self._records.join(known, "file").where(F.col("at") != F.col("head_at"))
+             .select("file", "at", "encoding", "header_id", "names", _cells(decoded(F.col("text"), F.col("encoding"))).alias("cells")))
         long = F.size("cells") > F.size("names")
         if strict:
             r = r.join(r.where(long).select("file").distinct(), "file", "left_anti")
         return r.where(~long)
 
 
-def decoded(raw: Column, encoding: Column) -> Column:
-    latin = F.decode(raw, "ISO-8859-1")
-    return (F.when(encoding == "utf-8", raw.cast("string"))
+def decoded(latin: Column, encoding: Column) -> Column:
+    """Text in its file's encoding, from one character per byte."""
+    return (F.when(encoding == "utf-8", F.encode(latin, "ISO-8859-1").cast("string"))
              .when(encoding == "cp1251", F.translate(latin, _LATIN, _CYRILLIC)).otherwise(latin))
 
 
 def ingest(spark: SparkSession, path: str, strict: bool = False, uploads: Uploads | None = None,
            mapping: DataFrame | None = None) -> DataFrame:
-    """R1 + M7: (tenant_id, canonical fields as text, extras) of every file's rows.
+    """R1 + M7: (tenant_id, canonical fields as text, extras, file, ordinal, encoding_warning) of every file's rows.
+
+    ``ordinal`` orders the rows of a file; cleaning takes the first of equal rows and the first date by it.
 
     ``mapping`` (source_id = header_id, field, column) replaces the resolved
     one. A header maps at most five fields, so each header's map is one row;
@@ -246,15 +317,16 @@ def ingest(spark: SparkSession, path: str, strict: bool = False, uploads: Upload
               .groupBy("source_id", "field").agg(F.min("ordinal").alias("ordinal"))
               .groupBy(F.col("source_id").alias("header_id")).agg(
                   F.map_from_entries(F.collect_list(F.struct("field", "ordinal"))).alias("at")))
-    rows = uploads.rows(strict).join(places, "header_id", "left")
+    rows = uploads.rows(strict).withColumnRenamed("at", "place").join(places, "header_id", "left")
     cells = F.transform("cells", C.null_if_na_string)
     at = F.coalesce("at", F.create_map().cast("map<string,int>"))
-    rows = rows.select(upload_of(F.col("file"))[0], "names", cells.alias("cells"), at.alias("at"))
+    rows = rows.select(upload_of(F.col("file"))[0], "names", cells.alias("cells"), at.alias("at"), "file",
+                       F.col("place").alias("ordinal"), (F.col("encoding") == "latin-1").alias("encoding_warning"))
     fields = [F.get("cells", F.try_element_at("at", F.lit(f))).alias(f) for f in CANONICAL]
     pairs = F.transform("names", lambda n, i: F.struct(n.alias("name"), F.get("cells", i).alias("value"), i.alias("i")))
     free = F.filter(pairs, lambda p: ~F.array_contains(F.map_values("at"), p["i"]))
     extras = F.transform(free, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
-    return rows.select("tenant_id", *fields, extras.alias("extras"))
+    return rows.select("tenant_id", *fields, extras.alias("extras"), "file", "ordinal", "encoding_warning")
 
 
 def extra(name: str) -> Column:

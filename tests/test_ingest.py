@@ -89,3 +89,107 @@ def test_feedback_without_id_is_still_judged(spark):
     fb = spark.createDataFrame([(None, "u", 9, "x"), (None, "u", None, "\t"), (None, "u", None, "\tok\n")],
                                "feedback_id long, user_email string, rating int, message string")
     assert [r["message"] for r in PL.feedback_accepted(fb).collect()] == ["ok"]
+
+
+def as_pandas_reads(data: bytes):
+    import io
+
+    import pandas as pd
+    df = pd.read_csv(io.BytesIO(data), dtype=str)
+    return sorted(tuple(None if isinstance(v, float) else v for v in r) for r in df.itertuples(index=False))
+
+
+def test_line_breaks_within_quotes(spark, folder):
+    data = HEAD + b'c1,2024-01-02,10,active,"two\nlines"\n"a\r\n""b""\n\n,c",2024-01-02,1,active,USD\r\n5" pipe,2024-01-02,1,act"ive,x"y\nd,2024-01-02,1,active,"\n"\n'
+    path = folder("a", b"\n \t\n\r\n" + data)
+    got = rows_of(spark, path)
+    fields = ("customer_id", "date", "amount", "status", "currency")
+    assert sorted(tuple(r[f] for f in fields) for r in got.collect()) == as_pandas_reads(data) and got.count() == 4
+
+
+def test_records_across_blocks_as_pandas_reads_them(spark, folder):
+    """Files of random fields, read in blocks of a few bytes."""
+    import random
+    r = random.Random(11)
+    want = []
+    for k in range(6):
+        bits = ["a", "b", '"', "\n", "\r\n", "\r", ",", " ", "é", '""', "x" * 30]
+
+        def field():
+            text = "".join(r.choice(bits) for _ in range(r.randrange(6)))
+            if r.random() < 0.3:
+                text = "".join(c for c in text if c not in '\n\r,')
+                return "s" + text  # a quote within a field that does not begin with one is a letter
+            return '"' + text.replace('"', '""') + '"'
+        brk = r.choice(["\n", "\r\n", "\r"])
+        lines = [("\n \t\n" if brk == "\n" else brk) * (k % 3) + "customer_id,date,amount,status,currency"]
+        lines += [",".join([f"id{i}"] + [field() for _ in range(r.choice([2, 4, 4, 4]))]) + brk * r.choice([0, 0, 1]) for i in range(20)]
+        data = (brk.join(lines) + r.choice(["", brk])).encode()
+        path = folder(f"t{k}", data)
+        want += [(f"t{k}", *row) for row in as_pandas_reads(data)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "199")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        fields = ("tenant_id", "customer_id", "date", "amount", "status", "currency")
+        got = [tuple(x[f] for f in fields) for x in rows_of(spark, path).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32m")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    def order(rows):
+        return sorted(rows, key=lambda t: tuple((v is None, v or "") for v in t))
+    assert order(got) == order(want)
+
+
+def test_refused_files(spark, folder):
+    from recurra.sources import csv_exports as CX
+    folder("ok", HEAD + b"A,2024-01-02,1,active,USD\n")
+    folder("open", HEAD + b'A,2024-01-02,1,active,"USD\nB,2024-01-02,1,active,USD\n')
+    folder("head", b"\n" + HEAD)
+    folder("blank", b" \n\n")
+    folder("none", b"")
+    path = folder("note", HEAD, "a.txt")
+    up = CX.Uploads(spark, path)
+    tenant = CX.upload_of(F.col("file"))[0]
+    assert {r[0]: r[1] for r in up.rejects().select(tenant, "reject_reason").collect()} == {"open": "unclosed_quote", "head": "no_rows", "blank": "no_columns"}
+    assert [r["customer_id"] for r in CX.ingest(spark, path, uploads=up).collect()] == ["A"]
+    reasons = {r[0]: r[1] for r in CX.file_manifest(spark, path).select(CX.upload_of(F.col("path"))[0], "reject_reason").collect()}
+    assert {k: v for k, v in reasons.items() if v} == {"none": "empty", "note": "not_csv"}
+
+
+def test_copies_are_judged_before_normalising(spark, folder):
+    from recurra.operators import clean as CL
+    body = b"A,2024-01-02,49,Active,USD\n" * 3 + b"A,2024-01-02,49.0,Active,USD\nA,2024-01-02,49,active,USD\n A ,2024-01-02,49,Active,USD\n"
+    folder("num", HEAD + body)  # all amounts are numbers: 49 and 49.0 are equal
+    path = folder("txt", HEAD + body + b"A,2024-01-02,$5,Active,USD\nA,2024-01-02,49d,Active,USD\n")
+    d = CL.distinct_rows(rows_of(spark, path))
+    got = {}
+    for r in d.collect():
+        got.setdefault(r["tenant_id"], []).append(r["n_copies"])
+    assert {k: sorted(v) for k, v in got.items()} == {"num": [1, 1, 4], "txt": [1, 1, 1, 1, 1, 3]}
+    report = {r["tenant_id"]: (r["rows_before"], r["duplicates_removed"], r["encoding_warning"]) for r in CL.cleaning_report(rows_of(spark, path)).collect()}
+    assert report == {"num": (6, 3, False), "txt": (8, 2, False)}
+    assert {r["customer_id"] for r in CL.clean(rows_of(spark, path)).collect()} == {"A"}
+    assert CL.clean(rows_of(spark, path)).where("amount IS NULL").count() == 2
+
+
+DATES = [
+    ["2024-01-02", "2024-1-3", " 2024-01-04", "2024-01-06 00:00:00", "04/05/2024", None], ["03/04/2024", "13/04/2024", "2024-01-02", "3/4/2024"],
+    [None, "13/04/2024", "03/04/2024", "04/13/2024"], ["2024-05", "2024-05-03", "2024-06"], ["x", "2024-01-02"], ["2024-01-02 10:11:12", "2024-01-02"],
+    ["13.04.2024", "03.04.2024"], ["Jan 02, 2024", "Feb 3, 2024", "2024-01-02"], ["2-Jan-2024", "13-Feb-2024"]]
+
+
+def test_the_first_date_decides_the_format(spark, folder):
+    import warnings
+
+    import pandas as pd
+
+    from recurra.operators import clean as CL
+    want = {}
+    for k, dates in enumerate(DATES):
+        path = folder(f"t{k}", HEAD + "".join(f'c{i:02},"{d or ""}",1,active,USD\n' for i, d in enumerate(dates)).encode())
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            for i, d in enumerate(pd.to_datetime(pd.Series(dates, dtype=object), errors="coerce")):
+                want[f"t{k}", f"c{i:02}"] = None if pd.isna(d) else d.to_pydatetime()
+    assert {(r["tenant_id"], r["customer_id"]): r["date"] for r in CL.clean(rows_of(spark, path)).collect()} == want
