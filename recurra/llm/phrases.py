@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recurra.llm import quotient
-from recurra.llm.common import U64, materialize, shuffle_partitions
+from recurra.llm.common import U64, materialize, planes, shuffle_partitions, unplanes
 
 #: Upper-case letters become lower case, what ends a piece a line break, tabs blanks.
 FOLD = bytes(range(256)).translate(bytes.maketrans(
@@ -84,7 +84,7 @@ class _Slice:
                 if k:
                     lang[k - 1] = name
         m = len(self.words)
-        yield _batch([slice_id], [seq.tobytes()], [None], [None], [None], [None])
+        yield _batch([slice_id], [planes(seq)], [None], [None], [None], [None])
         for at in range(0, m, 65536):
             part = slice(at, min(at + 65536, m))
             size = part.stop - at
@@ -97,17 +97,17 @@ def _batch(slice_id, seq, lang, word, n, local):
          pa.array(n, pa.int64()), pa.array(local, pa.int32())], ["slice", "seq", "lang", "word", "n", "local"])
 
 
-def _split(data: bytes):
+def _split(data: bytes, chunk: int):
     """Words and line breaks of a folded text, a part of it at a time."""
     at = 0
     while at < len(data):
-        gap = GAP.search(data, at + CHUNK)
+        gap = GAP.search(data, at + chunk)
         end = gap.start() if gap else len(data)
         yield TOKEN.findall(data, at, end)
         at = end
 
 
-def _slices(slice_words: int):
+def _slices(slice_words: int, chunk: int = CHUNK):
     """Cuts texts into slices: a row with the sequence of word numbers, and a row for each distinct word.
 
     In the sequence 0 ends a piece. A negative number is a word that another slice counts: the two words after
@@ -119,9 +119,9 @@ def _slices(slice_words: int):
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 data, words = text.as_py().translate(FOLD), []
-                for found in _split(data):
+                for found in _split(data, chunk):
                     words += found
-                    while len(words) >= slice_words - cur.starts + 2:
+                    while len(words) >= max(slice_words - cur.starts, 1) + 2:
                         own = max(slice_words - cur.starts, 1)
                         ids = np.fromiter(map(cur.of(lang).__getitem__, words[:own + 2]), np.int32, own + 2)
                         ids[own:] *= -1
@@ -136,7 +136,7 @@ def _slices(slice_words: int):
     return run
 
 
-def _filters(bits: int, range_bits: int):
+def _filters(bits: int, range_bits: int, most: int):
     """Counts the n-grams of slices and deals sorted filters out by ranges of the permuted keys."""
     keys = quotient.Keys(bits)
     w = keys.w
@@ -156,7 +156,8 @@ def _filters(bits: int, range_bits: int):
                 flat = ids.values
                 look = np.zeros(max(len(flat) and int(np.max(np.asarray(flat.field("local")))), 0) + 1, U64)
                 look[np.asarray(flat.field("local"))] = np.asarray(flat.field("id")).astype(U64)
-                seq = np.frombuffer(seq.as_buffer(), np.int32)
+                blob = seq.as_buffer()
+                seq = unplanes(blob, np.int32, len(blob) // 4)
                 known = np.where(np.abs(seq) < len(look), np.abs(seq), 0)
                 g = look[known]
                 two = (seq[:-1] > 0) & (g[:-1] > 0) & (g[1:] > 0)
@@ -166,10 +167,10 @@ def _filters(bits: int, range_bits: int):
                 if len(a):
                     held.append(quotient.count(*keys.pack(a, b, c), None, w))
                     size += len(held[-1][0])
-                if size > HELD:
+                if size > most:
                     held = [quotient.merge(held, w)]
                     size = len(held[0][0])
-                    if size > HELD // 2:
+                    if size > most // 2:
                         yield from deal(held)
                         held, size = [], 0
         if held:
@@ -177,7 +178,7 @@ def _filters(bits: int, range_bits: int):
     return run
 
 
-def _merged(bits: int, range_bits: int, min_count: int):
+def _merged(bits: int, range_bits: int, min_count: int, most: int):
     """Merges the filters of each range; rows come range by range."""
     keys = quotient.Keys(bits)
     w = keys.w
@@ -198,9 +199,9 @@ def _merged(bits: int, range_bits: int, min_count: int):
                     part, held, size = p, [], 0
                 held.append(quotient.read(blob.as_buffer(), w - range_bits, w))
                 size += len(held[-1][0])
-                if size > 2 * HELD and len(held) > 1:
+                if size > 2 * most and len(held) > 1:
                     before, held = size, [quotient.merge(held, w)]
-                    size = 0 if len(held[0][0]) < before // 2 else -2 * HELD  # next merge after as many new keys
+                    size = 0 if len(held[0][0]) < before // 2 else -2 * most  # next merge after as many new keys
         if held:
             yield finish(part, held)
     return run
@@ -220,7 +221,7 @@ def numbered(df: DataFrame, name: str, col: str) -> DataFrame:
 
 
 def mine(docs: DataFrame, min_count: int = 10, top: int = 2000, covered: int = 50, slice_words: int = 1 << 19,
-         range_words: int = 1 << 22) -> DataFrame:
+         range_words: int = 1 << 22, held: int = HELD) -> DataFrame:
     """Phrases of two and three words by language and rank, with the counts that make their score.
 
     A phrase within a longer one that occurs at least ``covered`` times in a hundred of its occurrences is left out.
@@ -238,9 +239,9 @@ def mine(docs: DataFrame, min_count: int = 10, top: int = 2000, covered: int = 5
     n_ranges = max(shuffle_partitions(docs), all_words // range_words + 1)
     range_bits = min(int(n_ranges - 1).bit_length(), quotient.Keys(bits).w - 1)
     ids = words.join(vocabulary, ["lang", "word"]).groupBy("slice").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
-    filters = cut.where("seq IS NOT NULL").select("slice", "seq").join(ids, "slice").mapInArrow(_filters(bits, range_bits), "part long, filter binary")
+    filters = cut.where("seq IS NOT NULL").select("slice", "seq").join(ids, "slice").mapInArrow(_filters(bits, range_bits, held), "part long, filter binary")
     by_range = filters.repartition(1 << range_bits, "part").sortWithinPartitions("part")
-    grams = materialize(spark, by_range.mapInArrow(_merged(bits, range_bits, min_count), "i1 long, i2 long, i3 long, a long"), "phrases-grams")
+    grams = materialize(spark, by_range.mapInArrow(_merged(bits, range_bits, min_count, held), "i1 long, i2 long, i3 long, a long"), "phrases-grams")
 
     def word(k):
         return vocabulary.select(F.col("id").alias(f"i{k}"), F.col("word").alias(f"w{k}"), F.col("f").alias(f"f{k}"), *(["lang"] if k == 1 else []))

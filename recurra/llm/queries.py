@@ -156,3 +156,14 @@ SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
 UNION ALL
 SELECT lang, source, 'term', item, value::BIGINT,
   (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "C"))::INTEGER AS rank FROM marks QUALIFY rank <= 50"""
+
+ORACLE["op10_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT id, min(v) AS v FROM v WHERE id % 50 = 0 GROUP BY id),
+pairs AS (
+  SELECT q.id AS query_id, v.id AS vec_id, list_sum(list_transform(list_zip(q.v, v.v), lambda z: z[1] * z[2])) AS score
+  FROM q JOIN v ON v.id <> q.id AND len(v.v) = len(q.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score::BIGINT AS score FROM ranked WHERE rank <= 5"""

@@ -108,13 +108,16 @@ def url(u):
 
 
 def top_k(rows, k=5, scale=256, is_query=lambda i: i % 50 == 0):
-    good = [(i, np.array([math.floor(scale * float(x)) for x in v], np.int64)) for i, v in rows
+    """Rows with multiplicity; an id's smallest vector is the query."""
+    good = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows
             if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
+    queries, out = {}, set()
     for q, v in good:
         if is_query(q):
-            scores = sorted(((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v)))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
+            queries[q] = min(queries.get(q, v), v)
+    for q, v in queries.items():
+        scores = sorted((-max(-2**63, min(2**63 - 1, sum(x * y for x, y in zip(v, w)))), i) for i, w in good if i != q and len(w) == len(v))
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
     return out
 
 

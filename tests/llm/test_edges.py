@@ -149,3 +149,27 @@ def test_top_k(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("ids", F.lit(1)).withColumn("id", F.lit(2))
     assert {tuple(r) for r in topk.top_k(df, lambda i: i % 50 == 0).collect()} == brute.top_k(data)
     assert topk.top_k(df.where("vec_id = -1"), lambda i: i % 50 == 0).count() == 0
+
+
+def test_top_k_repeats_and_large_components(spark):
+    """Repeated rows have ranks of their own; ids with several vectors; components that pass 32 bits, products that pass 63."""
+    import random
+    r = random.Random(4)
+    data = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(1, 160)] + [(13, [1.0, 1.0, 1.0, 1.0])] * 3
+    data += [(50, [0.9, 0.9, 0.9, 0.9])] * 7 + [(50, [0.5, 0.5, 0.5, 0.5]), (50, [-1.0, 0.0, 0.5, 2.0]), (100, [1e8, -1e8, 3.0, 4.0]), (171, [1e8, 1e8, 1e8, -1e8]),
+             (172, [1e15, 1.0, -1e15, 2.0]), (150, [1e17, 1e17, 0.0, -2.0]), (173, [1e17, 3.0, 1.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for options in ({}, {"first_reads": 1}, {"cand_block": 7, "query_block": 2}):
+        got = [tuple(x) for x in topk.top_k(df, lambda i: i % 50 == 0, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute.top_k(data)
+
+
+def test_top_k_outlier_leaves_the_bounds_tight(spark):
+    import numpy as np
+    r = np.random.default_rng(5)
+    data = [(i, r.normal(size=64).tolist()) for i in range(2000)] + [(5001, (r.normal(size=64) * 1e5).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    vectors = topk.integer_vectors(df, "vec_id", "embedding", 256)
+    entries = topk._entries(vectors, 5).persist()
+    queries = vectors.where("id % 50 = 0").groupBy("id").agg(F.min("ints").alias("ints"))
+    assert topk.candidate_bounds(entries, queries, 5, 2048, 4096).count() < 0.05 * 40 * 2001
