@@ -4,8 +4,8 @@ Wide intermediate data (rolling hashes of every position) moves between tasks
 as a few binary rows per input batch and bucket instead of one row per
 position: a map task hashes a batch of texts with numpy, deals the positions
 out by hash to buckets and emits one packed row per bucket; Spark shuffles the
-rows by bucket. The number of buckets follows the input size, so a bucket's
-memory is bounded by its share of the positions.
+rows by bucket. There are as many buckets as shuffle partitions, so a bucket's
+memory is its share of the positions; the setting must grow with the input.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recurra.session import materialize, shared_path  # noqa: F401  (re-exported)
 
@@ -33,14 +34,44 @@ def clean_docs(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """Rows with a doc_id; of repeated ids the row with the smallest text stays."""
-    return docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"))
-
-
-def unique_ids(docs: DataFrame) -> bool:
-    """Whether no doc_id repeats: one grouped count over the ids; texts are not read."""
-    return docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
+def numbered(df: DataFrame, name: str, col: str) -> DataFrame:
+    """df, written, with numbers from 1 on in the order of its partitions, without gaps."""
+    rows = materialize(df.sparkSession, df.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    # One row per partition that wrote rows.
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(col, F.col("_before") + within + 1).drop("_at", "_part", "_before")
+
+
+def own_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a doc_id of its own for each row, and (doc_id, given) of the rows that got a new one.
+
+    A table whose ids are unique stays as it is (one grouped count over the ids; texts are not read). Otherwise, of
+    the rows with one id the one with the smallest text keeps it. The others and rows without an id get numbers above
+    all ids, in order of id and text, so they count as later documents; no row is lost.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0:
+        return docs, None
+    spark, columns = docs.sparkSession, docs.columns
+    rows = materialize(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows-by-id")
+    first = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "_row"))["_row"].alias("_row"))
+    kept, extra = (rows.join(first.select("_row"), "_row", how) for how in ("left_semi", "left_anti"))
+    most = rows.agg(F.max("doc_id")).first()[0] or 0
+    extra = numbered(extra.orderBy("doc_id", "text", "_row"), "rows-extra", "_number").withColumn("_own", F.col("_number") + most)
+    extra = materialize(spark, extra.drop("_row", "_number"), "rows-extra-ids")
+    given = extra.select(F.col("_own").alias("doc_id"), F.col("doc_id").alias("given"))
+    return kept.select(*columns).unionByName(extra.drop("doc_id").withColumnRenamed("_own", "doc_id").select(*columns)), given
+
+
+def with_given_ids(result: DataFrame, given: DataFrame | None) -> DataFrame:
+    """The result's doc_id as it was given."""
+    if given is None:
+        return result
+    met = result.join(given.withColumn("_new", F.lit(True)), "doc_id", "left")
+    return met.withColumn("doc_id", F.when(F.col("_new"), F.col("given")).otherwise(F.col("doc_id"))).select(*result.columns)
 
 
 class WordHash(dict):

@@ -34,8 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recurra.llm.common import materialize, shuffle_partitions
-from recurra.llm.phrases import numbered
+from recurra.llm.common import materialize, numbered, shuffle_partitions
 from recurra.llm.transducer import Transducer
 
 #: Upper-case letters become lower case, other ASCII that is no letter a blank; all other bytes are parts of terms.

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recurra.llm import quotient
-from recurra.llm.common import U64, materialize, planes, shuffle_partitions, unplanes
+from recurra.llm.common import U64, materialize, numbered, planes, shuffle_partitions, unplanes
 
 #: Upper-case letters become lower case, what ends a piece a line break, tabs blanks.
 FOLD = bytes(range(256)).translate(bytes.maketrans(
@@ -207,19 +207,6 @@ def _merged(bits: int, range_bits: int, min_count: int, most: int):
     return run
 
 
-def numbered(df: DataFrame, name: str, col: str) -> DataFrame:
-    """df, written, with numbers from 1 on in the order of its partitions, without gaps."""
-    spark = df.sparkSession
-    rows = materialize(spark, df.withColumn("_at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_at", 33)
-    # One row per partition that wrote rows.
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(col, F.col("_before") + within + 1).drop("_at", "_part", "_before")
-
-
 def mine(docs: DataFrame, min_count: int = 10, top: int = 2000, covered: int = 50, slice_words: int = 1 << 19,
          range_words: int = 1 << 22, held: int = HELD) -> DataFrame:
     """Phrases of two and three words by language and rank, with the counts that make their score.

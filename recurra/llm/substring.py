@@ -12,7 +12,7 @@ it also starts in a document with a smaller doc_id.
    if another position with its hash lies on the grid (or it does itself).
 2. Extension. Around each hit the words to both sides are added: all windows
    that hold the hit are formed at once, and a window occurs in a smaller
-   document if its 80-bit digest does. Neighbouring windows that do so join
+   document if its digest does (128 bits, cryptographic, of the words' bytes). Neighbouring windows that do so join
    into maximal repeats.
 3. Every word under such a window is removed.
 
@@ -23,11 +23,12 @@ Map tasks settle first what they hold: block hits among the words of a slice
 and repeats among the windows of a batch need no bucket, which then gets one
 position for them. So words or passages that a third of all documents share
 cost a bucket about one position per slice or batch.
-Hash clashes of step 1 cost work only, step 2 decides on 80 bits plus bucket.
+Hash clashes of step 1 cost work only; of step 2's digests 96 bits and the bucket travel.
 
 Defined cases: null and empty texts have no words; documents shorter than a
-window lose nothing; rows without doc_id are left out; of rows with the same
-doc_id the one with the smallest text stays; equal texts under different ids
+window lose nothing; of rows with the same doc_id the one with the smallest text has it,
+the others and rows without doc_id count as documents after all others, in order
+of id and text (each row gets a row); equal texts under different ids
 lose all words that a window covers, but for the smallest id; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.common import U64, WordHash, clean_docs, deal, mix, ngrams, one_per_id, pack, run_starts, shuffle_partitions, text_slices, unique_ids, unpack
+from recurra.llm.common import U64, WordHash, clean_docs, deal, materialize, mix, ngrams, own_ids, pack, run_starts, shuffle_partitions, text_slices, unpack, with_given_ids
 
 WINDOW = 13
 #: Bytes of text that a map task hashes and settles at a time.
@@ -56,11 +57,12 @@ def _rows(out: list[tuple], names: list[str], types: list[pa.DataType]):
 
 
 def _slices(batches, hashing: WordHash, size: int):
-    """Per slice: ids, first word of each document, words of each, word hashes."""
+    """Per slice: ids, first word of each document, words of each, word hashes, words."""
     for ids, texts in text_slices(batches, size):
         lists = [t.split() for t in texts]
         n = np.array([len(x) for x in lists], np.int64)
-        yield ids, np.cumsum(n) - n, n, hashing.of([w for x in lists for w in x])
+        flat = [w for x in lists for w in x]
+        yield ids, np.cumsum(n) - n, n, hashing.of(flat), flat
 
 
 def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -72,7 +74,7 @@ def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def probe(batches):
         from pyspark import TaskContext
         hashing, batch = WordHash(), TaskContext.get().partitionId() << 32
-        for ids, starts, n, words in _slices(batches, hashing, SLICE):
+        for ids, starts, n, words, _ in _slices(batches, hashing, SLICE):
             grams = ngrams(words, block)
             at = np.flatnonzero(np.repeat(starts + n, n)[:len(grams)] - np.arange(len(grams)) >= block)
             h = grams[at]
@@ -175,7 +177,7 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
         hashing = WordHash()
         for b in batches:
             blobs, los, his, ds, ps = b.column("hits").to_pylist(), [], [], [], []
-            for ids, starts, n, words in _slices([b], hashing, 1 << 20):
+            for ids, starts, n, words, flat in _slices([b], hashing, 1 << 20):
                 mine, blobs = blobs[:len(ids)], blobs[len(ids):]
                 m = len(words) - window + 1
                 if m <= 0:
@@ -188,8 +190,10 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
                 np.add.at(mark, q + 1, -1)
                 inside = np.repeat(starts + n, n)[:m] - np.arange(m) >= window
                 at = np.flatnonzero((np.cumsum(mark)[:m] > 0) & inside)
-                los.append(ngrams(words, window)[at])
-                his.append(ngrams(mix(words ^ U64(0x94D049BB133111EB)), window, 0xC2B2AE3D27D4EB4F)[at])
+                digest = b"".join([hashlib.blake2b(b" ".join(flat[i:i + window]), digest_size=16).digest() for i in at.tolist()])
+                digest = np.frombuffer(digest, U64).reshape(-1, 2)
+                los.append(digest[:, 0])
+                his.append(digest[:, 1])
                 ds.append(np.repeat(np.array(ids, np.int64), n)[at])
                 ps.append((at - np.repeat(starts, n)[at]).astype(np.uint32))
             if los:
@@ -197,7 +201,7 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
                 late = later(lo, hi, doc)
                 out = [(b, HIT, data) for b, data in replies(doc[late], pos[late])]
                 lo, hi, doc, pos = lo[~late], hi[~late], doc[~late], pos[~late]
-                out += [(b, PROBE, data) for b, data in deal((hi % U64(n_buckets)).astype(np.int64), n_buckets, lo, (hi >> U64(48)).astype(np.uint16), doc, pos)]
+                out += [(b, PROBE, data) for b, data in deal((hi % U64(n_buckets)).astype(np.int64), n_buckets, lo, (hi >> U64(32)).astype(np.uint32), doc, pos)]
                 yield _rows(out, names, types)
 
     def settle(batches):
@@ -212,7 +216,7 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
             yield _rows(out, ["target", "data"], [pa.int32(), pa.binary()])
         while by_bucket:
             _, blobs = by_bucket.popitem()
-            lo, hi, doc, pos = (np.concatenate(x) for x in zip(*(unpack(d, np.uint64, np.uint16, np.int64, np.uint32) for d in blobs)))
+            lo, hi, doc, pos = (np.concatenate(x) for x in zip(*(unpack(d, np.uint64, np.uint32, np.int64, np.uint32) for d in blobs)))
             late = later(lo, hi, doc)
             yield _rows(list(replies(doc[late], pos[late])), ["target", "data"], [pa.int32(), pa.binary()])
 
@@ -236,9 +240,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Also n_words, n_removed and kept_sha256 (of the kept text).
     """
-    rows = clean_docs(docs).where(F.col("doc_id").isNotNull())
-    # Slices are numbered within a partition, so a partition that is made again must have the same order.
-    rows = rows if unique_ids(docs) else one_per_id(rows).sortWithinPartitions("doc_id")
+    # Slices are numbered within a partition; a table's or a written table's partition has the same order when made again.
+    rows, given = own_ids(clean_docs(docs))
+    rows = rows if given is None else materialize(docs.sparkSession, rows, "substring-rows")
     per_doc = repeated_windows(rows, hits(rows, window), window)
     schema = "doc_id long, text string, spans array<struct<start:int,end:int>>, n_words long, n_removed long, kept_sha256 string"
 
@@ -260,5 +264,5 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield _rows(out, ["doc_id", "text", "spans", "n_words", "n_removed", "kept_sha256"],
                         [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64(), pa.int64(), pa.string()])
 
-    return rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(cut, schema)
+    return with_given_ids(rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(cut, schema), given)
 

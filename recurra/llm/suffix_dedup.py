@@ -7,7 +7,8 @@ earlier (in a smaller doc_id, or earlier in the same document).
    marks an anchor; equal windows mark equal anchors at equal places. An
    anchor's context is all that windows around it can hold: ``window`` bytes
    less the anchor to both sides. Anchors are dealt to buckets by hash. Of
-   equal contexts the first stays; the later ones are covered by it whole.
+   equal contexts (by a 128-bit cryptographic digest of their bytes) the first
+   stays; the later ones are covered by it whole.
 2. Suffix arrays. Where an anchor has several different contexts, these are
    suffix sorted together: cut into units of ``UNIT`` bytes aligned on the
    anchor, named in byte order, concatenated, and sorted by ``suffix_array``
@@ -39,8 +40,9 @@ sends them this way at once and tells the anchor's bucket, which does the same
 with what it gets of it.
 
 Defined cases: null and empty texts have no bytes; texts shorter than the
-window lose nothing; rows without doc_id are left out; of rows with the same
-doc_id the one with the smallest text stays; an empty table gives an empty
+window lose nothing; of rows with the same doc_id the one with the smallest text
+has it, the others and rows without doc_id count as documents after all others,
+in order of id and text (each row gets a row); an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -55,7 +57,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.common import U64, clean_docs, deal, mix, one_per_id, pack, run_starts, shuffle_partitions, unique_ids, unpack
+from recurra.llm.common import U64, clean_docs, deal, mix, own_ids, pack, run_starts, shuffle_partitions, unpack, with_given_ids
 
 WINDOW, ANCHOR, UNIT = 100, 40, 15
 #: Bytes hashed at a time (in cache), and the overlap of the pieces of a longer text.
@@ -176,28 +178,27 @@ class Anchors:
 
     def __init__(self, window: int):
         self.window, self.reach = window, window - ANCHOR
-        self.up, self.down = [], []
-        for b in BASE:
-            for to, base in ((self.up, b), (self.down, pow(b, -1, 1 << 64))):
-                a = np.full(PIECE + 2 * OVERLAP + 2, U64(base))
-                a[0] = 1
-                to.append(np.multiply.accumulate(a))
+        self.up, self.down = (self._powers(b) for b in (BASE[0], pow(BASE[0], -1, 1 << 64)))
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        a = np.full(PIECE + 2 * OVERLAP + 2, U64(base))
+        a[0] = 1
+        return np.multiply.accumulate(a)
 
     def of(self, texts: list[bytes], within: list[tuple[int, int]]):
-        """(text number, position, anchor hash, context hash) of the anchors that lie within the places to report."""
+        """(text number, position, anchor hash, two halves of the context's digest) of the anchors within the places to report."""
         n_gram, reach, window = ANCHOR, self.reach, self.window
-        buf = np.frombuffer(b"".join(texts), np.uint8).astype(U64) + U64(1)
+        joined = b"".join(texts)
+        buf = np.frombuffer(joined, np.uint8).astype(U64) + U64(1)
         n = len(buf)
         none = np.zeros(0, np.int64)
         if n < window:
-            return none, none, none.astype(U64), none.astype(U64)
+            return none, none, none.astype(U64), none.astype(U64), none.astype(U64)
         start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        sums = []
-        for up in self.up:
-            s = np.zeros(n + 1, U64)
-            np.cumsum(buf * up[:n], out=s[1:])
-            sums.append(s)
-        x = mix((sums[0][n_gram:] - sums[0][:-n_gram]) * self.down[0][:n + 1 - n_gram])
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(buf * self.up[:n], out=sums[1:])
+        x = mix((sums[n_gram:] - sums[:-n_gram]) * self.down[:n + 1 - n_gram])
         cross = np.zeros(len(x), bool)
         for e in start[1:-1].tolist():
             cross[max(0, e - n_gram + 1):e] = True
@@ -211,8 +212,10 @@ class Anchors:
         limits = np.array(within, np.int64).reshape(-1, 2)
         keep = (hi - lo >= window) & (pos >= limits[t, 0]) & (pos < limits[t, 1])
         at, t, lo, hi, pos = at[keep], t[keep], lo[keep], hi[keep], pos[keep]
-        context = mix((sums[1][hi] - sums[1][lo]) * self.down[1][lo] + (at - lo).astype(U64) * U64(BASE[0]) + (hi - at).astype(U64) * U64(BASE[1]))
-        return t, pos, x[at], context
+        # Equal contexts are told by a 128-bit cryptographic digest of their bytes, and by where the anchor lies in them.
+        digest = b"".join([hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())])
+        digest = np.frombuffer(digest, U64).reshape(-1, 2)
+        return t, pos, x[at], digest[:, 0] + (at - lo).astype(U64) * U64(BASE[0]), digest[:, 1] + (hi - at).astype(U64) * U64(BASE[0])
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -290,13 +293,13 @@ def anchor_marks(docs: DataFrame, window: int, hot: int = HOT, hot_held: int = H
         return bucket, (h & U64((1 << 48) - 1)).astype(np.int64) | bucket << 48
 
     def dealt(held):
-        h, ctx, doc, pos = (np.concatenate(x) for x in zip(*held))
+        h, ctx, ctx2, doc, pos = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h)
         _, size = _runs(h[order])
         many = np.repeat(size > 1, size)
         alone, some = order[~many], order[many]
-        some = some[np.lexsort((pos[some], doc[some], ctx[some], h[some]))]
-        new = run_starts(h[some], ctx[some])
+        some = some[np.lexsort((pos[some], doc[some], ctx2[some], ctx[some], h[some]))]
+        new = run_starts(h[some], ctx[some], ctx2[some])
         late, some = some[~new], some[new]
         first, size = _runs(h[some])
         wide = np.repeat(size > hot_held, size)
@@ -305,16 +308,16 @@ def anchor_marks(docs: DataFrame, window: int, hot: int = HOT, hot_held: int = H
         out += [(d % n_buckets, d, OPEN_HOT, x) for d, x in _by_doc(doc[own], keys_of(h[own])[1], pos[own])]
         bucket, key = keys_of(h[heads])
         out += [(b, None, HOT_KEYS, x) for b, x in deal(bucket, n_buckets, key)]
-        h, ctx, doc, pos = h[rest], ctx[rest], doc[rest], pos[rest]
+        h, ctx, ctx2, doc, pos = h[rest], ctx[rest], ctx2[rest], doc[rest], pos[rest]
         out += [(b, None, POSITIONS, x) for b, x in deal(keys_of(h)[0], n_buckets, h.astype(np.uint32),
-                                                        (h >> U64(32)).astype(np.uint16), ctx, doc, pos)]
+                                                        (h >> U64(32)).astype(np.uint16), ctx, ctx2, doc, pos)]
         return _batch(out, names, types)
 
     def scan(batches):
         anchors, held, n = Anchors(window), [], 0
         for ids, offsets, parts, within in _pieces(batches, window):
-            t, pos, h, ctx = anchors.of(parts, within)
-            held.append((h, ctx, np.array(ids, np.int64)[t], (pos + np.array(offsets, np.int64)[t]).astype(np.uint32)))
+            t, pos, h, ctx, ctx2 = anchors.of(parts, within)
+            held.append((h, ctx, ctx2, np.array(ids, np.int64)[t], (pos + np.array(offsets, np.int64)[t]).astype(np.uint32)))
             n += len(t)
             if n >= HELD:
                 yield dealt(held)
@@ -332,8 +335,8 @@ def anchor_marks(docs: DataFrame, window: int, hot: int = HOT, hot_held: int = H
                 (by_bucket if kind == POSITIONS else hot_keys).setdefault(bucket, []).append(data)
         while by_bucket:
             bucket, blobs = by_bucket.popitem()
-            low, high, ctx, doc, pos = (np.concatenate(x) for x in zip(*(
-                unpack(d, np.uint32, np.uint16, np.uint64, np.int64, np.uint32) for d in blobs)))
+            low, high, ctx, ctx2, doc, pos = (np.concatenate(x) for x in zip(*(
+                unpack(d, np.uint32, np.uint16, np.uint64, np.uint64, np.int64, np.uint32) for d in blobs)))
             del blobs
             key = low.astype(np.int64) | high.astype(np.int64) << 32 | np.int64(bucket) << 48
             told = np.unique(np.concatenate([unpack(d, np.int64)[0] for d in hot_keys.get(bucket, ())] or [np.zeros(0, np.int64)]))
@@ -341,10 +344,10 @@ def anchor_marks(docs: DataFrame, window: int, hot: int = HOT, hot_held: int = H
             first, size = _runs(key[order])
             # Anchors that occur once cover nothing, unless their other places went the hot way.
             order = order[np.repeat((size > 1) | np.isin(key[order[first]], told), size)]
-            key, ctx, doc, pos = key[order], ctx[order], doc[order], pos[order]
-            order = np.lexsort((pos, doc, ctx, key))
-            key, ctx, doc, pos = key[order], ctx[order], doc[order], pos[order]
-            new = run_starts(key, ctx)
+            key, ctx, ctx2, doc, pos = key[order], ctx[order], ctx2[order], doc[order], pos[order]
+            order = np.lexsort((pos, doc, ctx2, ctx, key))
+            key, ctx, ctx2, doc, pos = key[order], ctx[order], ctx2[order], doc[order], pos[order]
+            new = run_starts(key, ctx, ctx2)
             out = [(d, COVERED, x) for d, x in _by_doc(doc[~new], pos[~new])]
             key, doc, pos = key[new], doc[new], pos[new]
             first, size = _runs(key)
@@ -546,8 +549,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, hot_held: int =
     spans are the removed byte ranges, and the numbers and the digest follow them. text is what is left as a string:
     there a character that a span's edge cuts through stays whole.
     """
-    rows = clean_docs(docs).where(F.col("doc_id").isNotNull())
-    rows = rows if unique_ids(docs) else one_per_id(rows)
+    rows, given = own_ids(clean_docs(docs))
     marks = anchor_marks(rows, window, hot, hot_held)
     covered = marks.where(F.col("kind") == COVERED).union(open_windows(rows, marks, window))
     per_doc = covered.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("marks"))
@@ -585,4 +587,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, hot_held: int =
             yield _batch(out, ["doc_id", "text", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                          [pa.int64(), pa.string(), span, pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
-    return rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(cut, schema)
+    return with_given_ids(rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(cut, schema), given)

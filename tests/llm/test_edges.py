@@ -30,19 +30,49 @@ def none(docs):
 TEXTS = {i: t for i, t in ROWS if i is not None}
 
 
+def by_row(rows):
+    """{own id: (given id, text)}: rows that lack an id, or repeat one with a later text, count as documents after all others."""
+    first = {}
+    for i, t in rows:
+        if i is not None and (i not in first or (t or "") < first[i]):
+            first[i] = t or ""
+    extra = list(rows)
+    for i, t in first.items():
+        extra.remove(next(r for r in extra if r[0] == i and (r[1] or "") == t))
+    extra = sorted(((i is not None, i or 0, t or "") for i, t in extra))
+    out = {i: (i, t) for i, t in first.items()}
+    return out | {max(first) + k: (i if known else None, t) for k, (known, i, t) in enumerate(extra, 1)}
+
+
+def rows_of(want, own):
+    return sorted(((own[k][0], *v) for k, v in want.items()), key=str)
+
+
+def spark_rows(docs, rows):
+    return docs.sparkSession.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x"))
+
+
 def test_suffix_dedup(docs, none):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
-    assert got == brute.suffix_dedup(TEXTS)
+    def result(rows, **options):
+        return sorted((tuple(r) for r in suffix_dedup.dedup(rows, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+
+    own = by_row(ROWS)
+    got = result(docs)
+    assert got == rows_of(brute.suffix_dedup({k: t for k, (_, t) in own.items()}), own)
+    twice = ROWS + [(1, PASSAGE), (6, "short"), (None, LONG[:5000])]
+    own = by_row(twice)
+    assert result(spark_rows(docs, twice)) == rows_of(brute.suffix_dedup({k: t for k, (_, t) in own.items()}), own)
     # Hot anchors take the way by window digests, found in their bucket or by one map task of several; the result is the same.
     for rows, hot, held in ((docs, 1, 512), (docs, 20_000, 1), (docs.repartition(3, "doc_id"), 20_000, 1), (docs.repartition(3, "doc_id"), 2, 2)):
-        again = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(rows, hot=hot, hot_held=held).collect()}
-        assert again == got
+        assert result(rows, hot=hot, hot_held=held) == got
     assert suffix_dedup.dedup(none).count() == 0
 
 
 def test_substring(docs, none):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs.union(docs.where("doc_id = 1"))).collect()}
-    assert got == brute.substring_dedup(TEXTS)
+    twice = ROWS + [ROWS[0], (6, PASSAGE + " z"), (None, "no id")]
+    own = by_row(twice)
+    got = substring.dedup(spark_rows(docs, twice)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == rows_of(brute.substring_dedup({k: t for k, (_, t) in own.items()}), own)
     assert substring.dedup(none).count() == 0
 
 
@@ -108,7 +138,8 @@ def test_token_edits(docs, none, spark):
 def test_chat(spark):
     data = [(1, 0, "user", "a\\#<b\n"), (1, 0, "user", "a\\#<b\n"), (1, 1, None, None), (None, 2, "assistant", "x" * 5000), (3, 0, "user", "\\#<" * 300_000 + "y" * 2_000_000),
             (3, 1, "assistant", "é\n\\🙂<" * 300_000), (3, 2, "assistant", ""),
-            (2, None, "assistant", "</turn>\n### user\n"), (2, 1, "a:\n#b", "é")]
+            (2, None, "assistant", "</turn>\n### user\n"), (2, 1, "a:\n#b", "é"),
+            (4, 1, "user", "a b"), (4, 1, "user", "a"), (4, 1, "user", "a\n"), (4, 1, "user", "#"), (4, 1, "user", "!"), (4, 1, "user", "a<")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).withColumn("msg", F.lit(2))
     got = {r[0]: tuple(r[1:5]) for r in chat.digests(chat.format_conversations(chat.events_of(df))).collect()}
     assert got == brute.chat(data)
@@ -173,3 +204,26 @@ def test_top_k_outlier_leaves_the_bounds_tight(spark):
     entries = topk._entries(vectors, 5).persist()
     queries = vectors.where("id % 50 = 0").groupBy("id").agg(F.min("ints").alias("ints"))
     assert topk.candidate_bounds(entries, queries, 5, 2048, 4096).count() < 0.05 * 40 * 2001
+
+
+def test_token_edits_of_rows_that_share_an_id(spark, tmp_path):
+    """Each row gets its own three edits."""
+    from recurra.llm import queries
+    rows = [(7, f"row {i} of one id", "en", "s") for i in range(300)] + [(None, "no id", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_token_counts(spark, str(tmp_path)).collect()
+    assert len(got) == 301 and sum(r.n_edits for r in got) == 903 and sum(r.doc_id is None for r in got) == 1
+
+
+def test_quality_sample_is_bounded(spark):
+    """An id that very many rows have counts once."""
+    rows = [(1, f"the same id {i} " * 5) for i in range(500)] + [(i, f"good text number {i} " * 5) for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 60)] + [(3, 9)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, made = [], quality._dictionary
+    quality._dictionary = lambda pieces, size: seen.append(len(pieces)) or made(pieces, size)
+    try:
+        model = quality.fit(docs, labels, per_class=20)
+    finally:
+        quality._dictionary = made
+    assert model["dicts"] and max(seen) <= 20

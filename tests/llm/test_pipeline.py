@@ -46,13 +46,16 @@ def test_pipeline(spark, tmp_path):
     top = max(docs)
     docs |= {top + 1 + k: docs[d] for k, d in enumerate(sorted(docs)[:40])}
     docs |= {top + 100 + k: (f"buy{k % 7} cheap pills click here now!!! $$$ {k} " * 20, "en", f"src{k % 5}") for k in range(80)}
-    table = [(d, *r, len(r[0])) for d, r in docs.items()] + [(None, "no id", "en", "s", 5)]
+    # Rows without an id, or with an id that another row has, get ids above all others, in order of id and text.
+    table = [(d, *r, len(r[0])) for d, r in docs.items()] + [(None, "no id " + docs[top][0][:300], "en", "s", 5), (min(docs), "~ second row of an id", "en", "s2", 20)]
+    most = max(docs)
+    docs |= {most + 1: table[-2][1:4], most + 2: table[-1][1:4]}
     pq.write_table(pa.table(dict(zip(corpus_pipeline.COLUMNS, map(list, zip(*table))))), tmp_path / "documents.parquet")
     pq.write_table(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}), tmp_path / "benchmark.parquet")
-    marks = [(d, int(d < top + 100), int(d >= top + 100)) for d in docs]
+    marks = [(d, int(d < top + 100), int(d >= top + 100)) for d in docs if d <= most]
     pq.write_table(pa.table(dict(zip(("doc_id", "quality", "toxic"), map(list, zip(*marks))))), tmp_path / "labels.parquet")
 
-    named = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id IS NOT NULL")
+    named = spark.createDataFrame([(d, *r) for d, r in docs.items()], "doc_id long, text string, lang string, source string")
     good = {r.doc_id for r in quality.classify(named, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect() if r.predicted == 1}
     texts = {d: docs[d][0] for d in good}
     groups = brute.components({d: brute.fingerprint(t) for d, t in texts.items()})

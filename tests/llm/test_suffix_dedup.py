@@ -21,3 +21,23 @@ def test_shared_passage(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
     assert got == brute.suffix_dedup(texts)
+
+
+def test_equal_hashes_are_not_equal_texts(spark):
+    """Whatever the rolling hash says: with a hash that makes all contexts and anchors equal, no byte is lost."""
+    random.seed(6)
+    texts = {i: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=160)) for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    # A base of 1 makes the rolling hash a sum of letters, and 2**32 one of the first few bytes: clashes abound.
+    before = suffix_dedup.BASE
+    for base in (1, (1 << 32) + 1):
+        suffix_dedup.BASE = (base, before[1])
+        try:
+            anchors = suffix_dedup.Anchors(100)
+            parts = [t.encode() for t in texts.values()]
+            t, pos, h, c1, c2 = anchors.of(parts, [(0, len(p)) for p in parts])
+            assert len(set(zip(c1.tolist(), c2.tolist()))) == len(c1)
+        finally:
+            suffix_dedup.BASE = before
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == brute.suffix_dedup(texts) and not any(v[1] for v in got.values())
