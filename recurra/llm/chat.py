@@ -76,7 +76,7 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, msg, copies, segment, loss_from, loss_to): the rendered turn, loss span in code points."""
+    """(conv_id, msg, copies, segment, body_from, loss_from, loss_to): the rendered turn, places in code points."""
     text = F.regexp_replace(F.col("text"), r"([\\#<])", r"\\$1")
     role = F.regexp_replace(F.col("role"), r"([\\#<\n])", r"\\$1")
     head = F.concat(F.lit("### "), role, F.lit("\n"))
@@ -84,7 +84,7 @@ def render(messages: DataFrame) -> DataFrame:
     is_loss = F.col("role") == "assistant"
     return rows.select(
         "conv_id", "msg", "copies", F.concat("head", "body", F.lit("</turn>\n")).alias("segment"),
-        F.when(is_loss, F.length("head")).alias("loss_from"),
+        F.length("head").alias("body_from"), F.when(is_loss, F.length("head")).alias("loss_from"),
         F.when(is_loss, F.length("head") + F.length("body")).alias("loss_to"))
 
 
@@ -98,7 +98,9 @@ def ordered_segments(rendered: DataFrame) -> DataFrame:
     """All turns of a conversation in one partition, in order: the sink's and the reader's layout."""
     n = shuffle_partitions(rendered)
     keyed = rendered.withColumn("turn", F.col("msg.turn")).withColumn("who", F.col("msg.role"))
-    return keyed.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "who", "segment")
+    # Turns of one number and role go by their text as it is, not as it is escaped.
+    body = F.substring(F.col("segment"), F.col("body_from") + 1, F.length("segment") - F.col("body_from") - len("</turn>\n"))
+    return keyed.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "who", F.regexp_replace(body, r"(?s)\\(.)", "$1"))
 
 
 def digests(rendered: DataFrame) -> DataFrame:

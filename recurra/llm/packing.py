@@ -98,7 +98,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         out = pd.DataFrame(out, columns=["shard", "bin", "doc_id", "copy", "piece", "start", "length", "free"])
         return out.astype({"doc_id": "Int64"})
 
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(shards)).cast("int"))
+    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_words"), F.lit(shards)).cast("int"))
     return keyed.groupBy("shard").applyInPandas(run, SCHEMA)
 
 

@@ -81,7 +81,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 16384,
         dict_bytes: int = 32768, level: int = 1) -> dict:
     """Model from the labelled rows that are not held out."""
-    marked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
+    marked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
               .select("doc_id", "quality").distinct())
     share = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = share.get(0, 0) + share.get(1, 0)
@@ -91,7 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: in
     for q in (1, 0):
         # The sample is drawn from the labels, so that texts are met by a list of bounded length and never shuffled.
         ids = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).select("doc_id")
-        rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toLocalIterator()
+        # An id counts once, with its smallest text, however many rows have it.
+        own = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows = own.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toLocalIterator()
         taken.append([r["text"].encode("utf-8", "surrogatepass") for r in rows])
     if min(map(len, taken)) < 4:
         return model

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurra.llm import chat, decontam, divergence, packing, phrases, quality, secrets, simhash, substring, suffix_dedup, token_counts, topk, url_filter
-from recurra.llm.common import table
+from recurra.llm.common import own_ids, table, with_given_ids
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def document_edits(docs: DataFrame) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    after = token_counts.apply_edits(token_counts.trees(docs), document_edits(docs))
+    docs, given = own_ids(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    after = with_given_ids(token_counts.apply_edits(token_counts.trees(docs), document_edits(docs)), given)
     return after.select("doc_id", "n_before", F.get("tree", F.lit(1)).alias("n_tokens"), F.size("leaf_chars").alias("n_leaves"),
                         F.length("text").cast("long").alias("n_chars"), "n_edits", "encoded_chars")
 
