@@ -4,9 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept and returns a DataFrame with the columns of documents (the last one:
 packed pieces). ``run`` writes each stage's result as Parquet in the shared
 folder and reads it as the next one's docs, so a lost executor costs a part of
-one stage at most. Rows without doc_id cannot be followed and leave in the
-first stage; of rows that repeat a doc_id the one with the smallest text (then
-language, source) stays.
+one stage at most. No row is lost by its id: the first stage gives rows without
+a doc_id, and all but one of rows that share one, an id above all others.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurra.llm import decontam, packing, quality, simhash, suffix_dedup
-from recurra.llm.common import materialize, table, unique_ids
+from recurra.llm.common import materialize, own_ids, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,10 +25,8 @@ def _kept(docs: DataFrame, decisions: DataFrame, keep) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts good (empty texts are judged like any other)."""
-    docs = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
-    if not unique_ids(docs):
-        docs = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    docs, _ = own_ids(docs.select(*COLUMNS))
     return _kept(docs, quality.score(docs, model), F.col("predicted") == 1)
 
 
