@@ -8,11 +8,13 @@ hours after the session's first event; that event starts the next session.
 The age rule is checked before the idle rule; both start a new session at
 the offending event.
 
-T1 is computed without ordering a whole user in one task: events are cut
-into (user, hour) chunks, gaps are found inside chunks with a window, and
-the first event of each chunk takes its predecessor from the previous
-chunk's last event (a small chunk-level table). Session numbers are chunk
-offsets (prefix sums over the chunk table) plus in-chunk running counts.
+T1 orders the log by (user, time) in ranges, so a user, or a single hour of one,
+that holds a third of all events lies in as many tasks as its size asks for. Each
+task streams its range once and marks the events whose predecessor lies in it.
+What a range cannot know, whether its first event goes on with a session and how
+many sessions its first user had before, comes from the rows of one small table:
+first and last user of each range, with their first and last event and number of
+sessions (two rows per range).
 
 T2 is exact and distributed as well (no group is gathered in one task):
 see ``mark_sessions``.
@@ -20,10 +22,15 @@ see ``mark_sessions``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recurra.functions.constants import SESSION_IDLE_SECONDS, SESSION_MAX_AGE_SECONDS
+from recurra.session import materialize
 
 MICROS = 1_000_000
 
@@ -33,27 +40,63 @@ def _events(events: DataFrame, user: str, ts: str, eid: str) -> DataFrame:
                          F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
 
 
-def mark_idle_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
-                       chunk_seconds: int = 3600, user: str = "user_id", ts: str = "ts",
-                       eid: str = "event_id") -> DataFrame:
-    """Every event with ``session_idx`` (1-based per user) under the idle rule."""
-    ev = _events(events, user, ts, eid).withColumn("chunk", F.floor(F.col("t") / (chunk_seconds * MICROS)))
-    in_chunk = Window.partitionBy("user_id", "chunk").orderBy("t", "event_id")
-    late = F.col("t") - F.lag("t").over(in_chunk) > idle_seconds * MICROS
-    # Starts inside the chunk; whether its first event is one depends on the chunk before.
-    ev = (ev.withColumn("is_start", F.coalesce(late, F.lit(False)).cast("int"))
-            .withColumn("starts_upto", F.sum("is_start").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0))))
-    # One row per chunk, from the same partitions; a user's chunks grow with time alone.
-    by_user = Window.partitionBy("user_id").orderBy("chunk")
-    chunks = ev.groupBy("user_id", "chunk").agg(
-        F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.sum("is_start").alias("n_inside"))
-    gap = F.col("min_t") - F.lag("max_t").over(by_user)
-    chunks = chunks.withColumn("opens", F.coalesce(gap > idle_seconds * MICROS, F.lit(True)).cast("int"))
-    chunks = chunks.withColumn("offset", F.sum(F.col("opens") + F.col("n_inside")).over(
-        by_user.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_inside"))
-    ev = ev.join(chunks.select("user_id", "chunk", "offset"), ["user_id", "chunk"])
-    return ev.select("user_id", "event_id", "ts", "t",
-                     (F.col("offset") + F.col("starts_upto")).cast("long").alias("session_idx"))
+def _mark_range(idle_us: int):
+    """Streams one range in order: adds range, local (session number of the user within the range) and edge.
+
+    edge: 1 on rows of the range's first user. The first event counts as a start here.
+    """
+    def run(batches):
+        at = TaskContext.get().partitionId()
+        user, last, number, first = None, None, 0, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = b.column("t").to_numpy()
+            who = b.column("user_id").dictionary_encode(null_encoding="encode")
+            code = who.indices.to_numpy()
+            changes = np.append(True, code[1:] != code[:-1])
+            head = b.column("user_id")[0].as_py()
+            goes_on = last is not None and head == user
+            changes[0] = not goes_on
+            gap = np.diff(t, prepend=last if goes_on else t[0])
+            starts = changes | (gap > idle_us)
+            total = np.cumsum(starts)
+            # Numbers begin anew with each user; those of the user that goes on follow the last batch's.
+            begin = np.maximum.accumulate(np.where(changes, np.arange(len(t)), -1))
+            local = np.where(begin >= 0, total - total[np.maximum(begin, 0)] + 1, total + number)
+            same = (begin < 0) & first if goes_on else np.zeros(len(t), bool)
+            if last is None:
+                after = np.flatnonzero(changes[1:])
+                same[:after[0] + 1 if len(after) else len(t)] = True
+            first = bool(same[-1])
+            user, last, number = b.column("user_id")[b.num_rows - 1].as_py(), int(t[-1]), int(local[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(t), at), pa.int32()), pa.array(local, pa.int64()), pa.array(same)],
+                                             [*b.schema.names, "range", "local", "edge"])
+    return run
+
+
+def mark_idle_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS, user: str = "user_id", ts: str = "ts",
+                       eid: str = "event_id", ranges: int | None = None) -> DataFrame:
+    """Every event with ``session_idx`` (1-based per user) under the idle rule; the marked ranges are stored."""
+    spark = events.sparkSession
+    ev = _events(events, user, ts, eid)
+    order = ["user_id", "t", "event_id"]
+    schema = T.StructType(ev.schema.fields + [T.StructField("range", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("edge", T.BooleanType())])
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = materialize(spark, ev.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_mark_range(idle_seconds * MICROS), schema), "idle-ranges")
+
+    # A range's last user is the only one the next range can go on with; users within a range are whole.
+    ends = marked.groupBy("range", "user_id").agg(F.bool_or("edge").alias("edge"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.max("local").alias("n"))
+    ends = ends.withColumn("is_last", F.col("user_id").eqNullSafe(F.max_by("user_id", F.struct(F.col("user_id").isNotNull(), "user_id")).over(Window.partitionBy("range"))))
+    ends = ends.where(F.col("edge") | F.col("is_last"))
+    by_user = Window.partitionBy("user_id").orderBy("range")
+    goes_on = F.coalesce(F.col("first_t") - F.lag("last_t").over(by_user) <= idle_seconds * MICROS, F.lit(False)).cast("int")
+    ends = ends.withColumn("goes_on", goes_on).withColumn("before", F.coalesce(F.sum(F.col("n") - F.col("goes_on")).over(
+        by_user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("goes_on"))
+    shift = ends.where("edge").select(F.col("range").alias("_range"), "before")
+    # At most one row per range.
+    met = marked.join(F.broadcast(shift), F.col("edge") & (F.col("range") == F.col("_range")), "left")
+    return met.select("user_id", "event_id", "ts", "t", (F.col("local") + F.coalesce("before", F.lit(0))).cast("long").alias("session_idx"))
 
 
 def summarize(marked: DataFrame) -> DataFrame:
@@ -105,7 +148,6 @@ def _age_starts(long_ev: DataFrame, first_ev: DataFrame, levels: int, max_age_us
     max_age later), found by pointer doubling: jump tables J_k = next^(2^k),
     and orbit sets S_{k+1} = S_k + J_k(S_k), so 2^levels starts are covered
     after ``levels`` joins."""
-    from recurra.session import materialize
     spark = long_ev.sparkSession
     keys = ["user_id", "idle_idx"]
     jump = materialize(spark, _successor_after(long_ev, max_age_us, chunk_us), "session-jump-0")
@@ -143,12 +185,10 @@ def mark_sessions(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
     """
     import math
 
-    from recurra.session import materialize
     spark = events.sparkSession
     max_age_us, chunk_us = max_age_seconds * MICROS, chunk_seconds * MICROS
     idle = idle_marked if idle_marked is not None else materialize(
-        spark, mark_idle_sessions(events, idle_seconds=idle_seconds, chunk_seconds=chunk_seconds, **kw),
-        "idle_sessions")
+        spark, mark_idle_sessions(events, idle_seconds=idle_seconds, **kw), "idle_sessions")
     keys = ["user_id", "idle_idx"]
     idle = idle.withColumnRenamed("session_idx", "idle_idx")
     spans = (idle.groupBy(*keys)

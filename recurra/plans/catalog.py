@@ -7,6 +7,7 @@ full; none uses a row cap, id subset or sample unless that is the operator.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -755,8 +756,7 @@ def idle_marks_of(spark, sf_dir):
     ident = table_files(spark, sf_dir, "events")
     key = (id(spark), spark.sparkContext.applicationId, ident)
     if key not in _IDLE_MARKS:
-        _IDLE_MARKS[key] = materialize(
-            spark, SE.mark_idle_sessions(tables.read_table(spark, sf_dir, "events")), "idle_sessions")
+        _IDLE_MARKS[key] = SE.mark_idle_sessions(tables.read_table(spark, sf_dir, "events"))
     return _IDLE_MARKS[key]
 
 
@@ -1367,15 +1367,29 @@ def q_preview(spark, sf_dir):
 
 # --- streaming forms (T1, T2 on a stream) ----------------------------------------
 
-def _events_stream_run(spark, sf_dir, which: str, build=None):
+#: The stream's files hold events in no order over the whole log, so the watermark lies a log's length behind.
+STREAM_FILES, STREAM_DELAY = 12, "60 days"
+
+
+def _event_files(spark, sf_dir) -> str:
+    """The event log as files in no order of time, written once per input; a stream reads a few per micro-batch."""
+    from recurra.session import shared_path
+    ident = table_files(spark, sf_dir, "events")
+    path = shared_path(spark, "event-files-" + hashlib.sha1(repr(ident).encode()).hexdigest()[:12])
+    if not CX._exists(spark, f"{path}/_SUCCESS"):
+        tables.read_table(spark, sf_dir, "events").repartition(STREAM_FILES, F.xxhash64("event_id")).write.mode("overwrite").parquet(path)
+    return path
+
+
+def _events_stream_run(spark, sf_dir, which: str, build):
     import datetime as _dt
 
     from recurra.streaming import sessions_stream as SS
     marker = {"event_id": -1, "ts": _dt.datetime.fromisoformat(SS.END_MARKER_TS), "user_id": SS.END_MARKER_USER,
               "event_type": "end", "value": 0.0, "props": None}
-    build = build or (SS.idle_sessions_stream if which == "idle" else SS.sessions_stream)
-    out = SS.run_to_parquet(spark, build, f"{sf_dir.rstrip('/')}/events.parquet", SS.EVENT_SCHEMA, marker,
-                            f"sessions-{which}")
+    path = _event_files(spark, sf_dir)
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    out = SS.run_to_parquet(spark, build, path, SS.EVENT_SCHEMA, marker, f"sessions-{which}", max_bytes=str(size // 4))
     return out.where(F.col("user_id") != SS.END_MARKER_USER).select(
         "user_id", "session_start", "session_end", "n_events")
 
@@ -1391,14 +1405,16 @@ FROM m GROUP BY user_id, session_idx"""
 @register("sessions_idle_stream", _SESS_STREAM_SQL)
 def q_sessions_idle_stream(spark, sf_dir):
     """T1 as Structured Streaming (session_window + watermark, append)."""
-    return _events_stream_run(spark, sf_dir, "idle")
+    from recurra.streaming import sessions_stream as SS
+    return _events_stream_run(spark, sf_dir, "idle", lambda e: SS.idle_sessions_stream(e, watermark=STREAM_DELAY))
 
 
 @register("sessions_max_age_stream", _SESS_STREAM_SQL)
 def q_sessions_max_age_stream(spark, sf_dir):
-    """T1 + T2 as Structured Streaming (applyInPandasWithState per user).
+    """T1 + T2 as Structured Streaming (keyed state, several micro-batches of unordered files).
     The 8-hour rule does not fire on this event log, so the oracle is T1's."""
-    return _events_stream_run(spark, sf_dir, "max_age")
+    from recurra.streaming import sessions_stream as SS
+    return _events_stream_run(spark, sf_dir, "max_age", lambda e: SS.sessions_stream(e, watermark=STREAM_DELAY))
 
 
 @register("sessions_max_age_slow_stream", _max_age_sql(SLOW_IDLE, SLOW_MAX_AGE).replace(_SESS_OUT, """SELECT user_id, min(ts) AS session_start,
@@ -1406,7 +1422,7 @@ def q_sessions_max_age_stream(spark, sf_dir):
 def q_sessions_max_age_slow_stream(spark, sf_dir):
     """T1 + T2 as Structured Streaming with limits of a day and three days, under which the age rule fires."""
     from recurra.streaming import sessions_stream as SS
-    return _events_stream_run(spark, sf_dir, "max_age_slow", lambda e: SS.sessions_stream(e, SLOW_IDLE, SLOW_MAX_AGE))
+    return _events_stream_run(spark, sf_dir, "max_age_slow", lambda e: SS.sessions_stream(e, SLOW_IDLE, SLOW_MAX_AGE, STREAM_DELAY))
 
 
 # --- customer-level sets behind the metrics (G3, G6, K3) and the sales feed (R8) --

@@ -2,11 +2,9 @@
 
 * ``idle_sessions_stream``: T1 as ``session_window(ts, 30 minutes)`` with a
   watermark; append mode emits each session once it can no longer grow.
-* ``sessions_stream``: T1 + T2 with ``applyInPandasWithState`` keyed by user.
-  State is three numbers per user (session start, last event, session
-  number), so it stays constant however long a user is active; an
-  event-time timeout closes a session once the watermark passes its idle
-  limit.
+* ``sessions_stream``: T1 + T2 with ``transformWithStateInPandas`` keyed by
+  user, for events in any order: the state holds the sessions that may still
+  grow, late events merge into them, and event-time timers close them.
 * ``customer_month_stream``: the customer-month rollup as a streaming
   aggregate keyed by the month start, evicted by the watermark.
 
@@ -21,12 +19,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from recurra.functions import columns as C
 from recurra.functions.constants import SESSION_IDLE_SECONDS, SESSION_MAX_AGE_SECONDS
@@ -50,51 +48,91 @@ def idle_sessions_stream(events: DataFrame, idle_seconds: int = SESSION_IDLE_SEC
                        F.count(F.lit(1)).alias("n_events")))
 
 
-def _session_fn(idle_us: int, max_age_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        user = key[0]
-        if state.hasTimedOut:
-            start, last, n, first_ts, last_ts = state.get
-            state.remove()
-            yield pd.DataFrame({"user_id": [user], "session_start": [first_ts], "session_end": [last_ts],
-                                "n_events": [n]})
-            return
-        if state.exists:
-            start, last, n, first_ts, last_ts = state.get
-        else:
-            start = last = None
-            n, first_ts, last_ts = 0, None, None
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
-            return
-        batch = pd.concat(frames).sort_values(["ts", "event_id"], kind="mergesort")
+class OpenSessions(StatefulProcessor):
+    """The sessions of one user that may still grow, for events in any order.
+
+    State is one entry per idle session that the watermark has not closed: its
+    start, end and number of events, and the event times where an age rule must
+    still cut it. An event joins the sessions that lie within the idle limit of
+    it and makes them one. A timer per session emits it once no event can reach
+    it any more.
+    """
+
+    def __init__(self, idle_us: int, max_age_us: int):
+        self.idle_us, self.max_age_us = idle_us, max_age_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "stop long, n long, times binary")
+
+    def _due(self, stop: int) -> int:
+        return (stop + self.idle_us) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            if len(frame):
+                self._merge(np.sort(frame["t"].to_numpy(np.int64)))
+        return iter(())
+
+    def _merge(self, times: np.ndarray) -> None:
+        known = [(k[0], v[0], v[1], v[2]) for k, v in self.open.iterator()]
+        lo = np.concatenate([times, np.array([k[0] for k in known], np.int64)])
+        hi = np.concatenate([times, np.array([k[1] for k in known], np.int64)])
+        n = np.concatenate([np.ones(len(times), np.int64), np.array([k[2] for k in known], np.int64)])
+        order = np.argsort(lo, kind="stable")
+        reach = np.maximum.accumulate(hi[order])
+        cuts = np.flatnonzero(np.append(True, lo[order][1:] - reach[:-1] > self.idle_us))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            own = order[a:b]
+            old = [known[i - len(times)] for i in own.tolist() if i >= len(times)]
+            if len(old) == len(own) == 1:
+                continue  # no new event
+            start, stop = int(lo[own].min()), int(hi[own].max())
+            for k in old:
+                self.open.removeKey((k[0],))
+                if k[1] != stop:
+                    self.handle.deleteTimer(self._due(k[1]))
+            # Event times are needed only where the age rule may cut.
+            new = np.sort(np.concatenate([times[own[own < len(times)]], *(np.frombuffer(k[3], np.int64) for k in old)]))
+            self.open.updateValue((start,), (stop, int(n[own].sum()), new.tobytes()))
+            self.handle.registerTimer(self._due(stop))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
         out = []
-        for ts in batch["ts"]:
-            t = int(pd.Timestamp(ts).value // 1000)
-            if start is not None and (t - start > max_age_us or t - last > idle_us):
-                out.append((first_ts, last_ts, n))
-                start = None
-            if start is None:
-                start, n, first_ts = t, 0, ts
-            last, last_ts, n = t, ts, n + 1
-        state.update((start, last, n, first_ts, last_ts))
-        # A timeout must lie beyond the watermark, which may have passed a user's last event already.
-        state.setTimeoutTimestamp(max(int(last // 1000) + idle_us // 1000, state.getCurrentWatermarkMs()) + 1)
+        for (start,), (stop, n, times) in [(k, v) for k, v in self.open.iterator()]:
+            if self._due(stop) > now:
+                continue
+            self.open.removeKey((start,))
+            t, at = np.frombuffer(times, np.int64), 0
+            while at < len(t):
+                end = int(np.searchsorted(t, t[at] + self.max_age_us, "right"))
+                out.append((key[0], int(t[at]), int(t[end - 1]), end - at))
+                at = end
         if out:
-            yield pd.DataFrame({"user_id": [user] * len(out), "session_start": [o[0] for o in out],
-                                "session_end": [o[1] for o in out], "n_events": [o[2] for o in out]})
-    return fn
+            yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "n_events"])
+
+    def close(self) -> None:
+        pass
 
 
 def sessions_stream(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
                     max_age_seconds: int = SESSION_MAX_AGE_SECONDS, watermark: str = "1 hour") -> DataFrame:
-    """T1 + T2 on a stream (events of one user must not arrive later than
-    the watermark; within a micro-batch they are sorted by time)."""
-    state_schema = "start long, last long, n long, first_ts timestamp, last_ts timestamp"
-    return (events.withWatermark("ts", watermark)
-                  .groupBy("user_id")
-                  .applyInPandasWithState(_session_fn(idle_seconds * 1_000_000, max_age_seconds * 1_000_000),
-                                          SESSION_OUT, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
+    """T1 + T2 on a stream of events in any order.
+
+    Events older than the watermark when they come are left out by Spark and
+    counted in the query's progress (``late_rows``).
+    """
+    keyed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", watermark).select("user_id", "ts", "t")
+    out = keyed.groupBy("user_id").transformWithStateInPandas(
+        OpenSessions(idle_seconds * 1_000_000, max_age_seconds * 1_000_000),
+        "user_id long, start_us long, end_us long, n_events long", "append", "EventTime")
+    return out.select("user_id", F.timestamp_micros("start_us").alias("session_start"), F.timestamp_micros("end_us").alias("session_end"), "n_events")
+
+
+def late_rows(progress: list) -> int:
+    """Rows that came after the watermark had passed them, over all micro-batches of a query."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p["stateOperators"])
 
 
 def customer_month_stream(subs: DataFrame, watermark: str = "31 days") -> DataFrame:
@@ -112,16 +150,20 @@ def customer_month_stream(subs: DataFrame, watermark: str = "31 days") -> DataFr
                      F.count(F.lit(1)).alias("n_rows")))
 
 
+#: Keyed state with maps and timers needs this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_parquet(spark: SparkSession, build, source: str, schema: str, marker_row: dict,
-                   name: str, max_bytes: str | None = None) -> DataFrame:
+                   name: str, max_bytes: str | None = None, progress: list | None = None) -> DataFrame:
     """Run ``build(stream_df)`` over ``source`` (all available files) into a
     parquet sink under the shared folder and return the sink as a batch
     DataFrame.
 
-    All files are read in one micro-batch, so their order does not matter.
-    With ``max_bytes`` per micro-batch they are read in order of their
-    modification time, and the watermark delay of ``build`` must cover how far
-    files are out of event-time order.
+    Without ``max_bytes`` all files are read in one micro-batch. With it, files
+    are read batch by batch in order of their modification time, and the
+    watermark delay of ``build`` must cover how far files are out of event-time
+    order; what is later still is counted in ``progress`` (``late_rows``).
     """
     base = shared_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
     marker = os.path.join(base, "end-marker")
@@ -144,11 +186,19 @@ def run_to_parquet(spark: SparkSession, build, source: str, schema: str, marker_
                 .option("path", os.path.join(base, "sink"))
                 .trigger(availableNow=True).start())
         q.awaitTermination()
-
-    run()
-    spark.createDataFrame([marker_row], schema).coalesce(1).write.mode("append").parquet(marker)
-    run()  # reads the marker: the watermark passes every real event
-    run()  # evicts what that watermark closes
+        if progress is not None:
+            progress.extend(q.recentProgress)
+
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        run()
+        spark.createDataFrame([marker_row], schema).coalesce(1).write.mode("append").parquet(marker)
+        run()  # reads the marker: the watermark passes every real event
+        run()  # evicts what that watermark closes
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(out.schema).parquet(os.path.join(base, "sink"))
 
 

@@ -101,6 +101,52 @@ def test_stream_over_many_files_loses_nothing(spark):
                 assert sorted((r["user_id"], r["session_start"], r["n_events"]) for r in out.collect()) == want
 
 
+def test_unordered_files_in_several_micro_batches(spark):
+    """All events come back whatever the order of the files, in several micro-batches; what is late is counted."""
+    from recurra.operators import sessions as SE
+    from recurra.streaming import sessions_stream as SS
+    times = [(u, T0 + dt.timedelta(minutes=17 * k + 7 * u + (90 if k % 9 > 5 else 0))) for u in range(5) for k in range(200)]
+    ev = events_df(spark, times)
+    marker = {"event_id": -1, "ts": dt.datetime.fromisoformat(SS.END_MARKER_TS), "user_id": SS.END_MARKER_USER,
+              "event_type": "end", "value": 0.0, "props": None}
+    src = os.path.join(tempfile.mkdtemp(prefix="recurra-test-src-", dir="/tmp"), "events")
+    ev.repartition(12, F.xxhash64("event_id")).write.parquet(src)
+    want = sorted((r["user_id"], r["session_start"], r["session_end"], r["n_events"]) for r in SE.sessions(ev).collect())
+    progress = []
+    out = SS.run_to_parquet(spark, lambda e: SS.sessions_stream(e, watermark="30 days"), src, SS.EVENT_SCHEMA, marker, "unordered", "9000", progress)
+    got = sorted((r["user_id"], r["session_start"], r["session_end"], r["n_events"]) for r in out.where(F.col("user_id") >= 0).collect())
+    assert got == want and sum(r[3] for r in got) == 1000
+    assert sum(p["numInputRows"] > 0 for p in progress) > 3 and SS.late_rows(progress) == 0
+    progress = []
+    out = SS.run_to_parquet(spark, lambda e: SS.sessions_stream(e, watermark="1 minute"), src, SS.EVENT_SCHEMA, marker, "late", "9000", progress)
+    kept = out.where(F.col("user_id") >= 0).agg(F.sum("n_events")).first()[0]
+    assert kept + SS.late_rows(progress) == 1000 and kept < 1000
+
+
+def test_idle_sessions_in_any_ranges(spark):
+    """One hour of one user split over ranges, users that span several, equal times, nulls."""
+    import random
+    from recurra.operators import sessions as SE
+    r = random.Random(3)
+    data = [(u, T0 + dt.timedelta(seconds=r.choice([r.randrange(3600), r.randrange(20) * 1800, r.randrange(200_000)]))) for u in (1, 1, 1, 2, 3, 3) for _ in range(60)]
+    data += [(4, T0)] * 5 + [(None, T0), (None, T0 + dt.timedelta(hours=3))]
+    ev = spark.createDataFrame([(i, t, u) for i, (u, t) in enumerate(data)], "event_id long, ts timestamp, user_id long")
+    want = {}
+    for u in {u for u, _ in data}:
+        idx, last = 0, None
+        for t, i in sorted((t, i) for i, (x, t) in enumerate(data) if x == u):
+            idx += last is None or (t - last).total_seconds() > 1800
+            last, want[i] = t, idx
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for ranges in (1, 5, 60, 400):
+            assert {x["event_id"]: x["session_idx"] for x in SE.mark_idle_sessions(ev, ranges=ranges).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert SE.mark_idle_sessions(ev.where("user_id = 99")).count() == 0
+
+
 def test_upsert_into_store(spark):
     from recurra.operators import snapshots as SN
     path = os.path.join(tempfile.mkdtemp(prefix="recurra-test-store-", dir="/tmp"), "s")
