@@ -3,12 +3,13 @@
 The series is a tenant's monthly MRR over the months that have paying rows
 (bounded by the number of months, never by rows), held as one
 ``ARRAY<DOUBLE>`` per tenant. Models are additive Holt (trend) and additive
-Holt-Winters (trend + season, period ``min(12, max(2, n // 2))``) fitted by
-a fixed parameter grid: each grid point is one generated row whose state is
-folded over the series with ``aggregate``; the fit with the smallest squared
-one-step error wins (ties: smallest parameters). The reference's numerical
-optimiser is not reproduced; the contract is its gates, horizons, clamps and
-scenario factors.
+Holt-Winters (trend + season, period ``min(12, max(2, n // 2))``). The smoothing
+parameters are fitted by a grid and finer grids around its best cell, smallest
+squared one-step error first (ties: smallest parameters). For given parameters
+the errors are linear in the starting values, so the best starting level, trend
+and size of the season come in closed form from sums taken in the same fold. All
+of it is one row's work per tenant. The reference's numerical optimiser itself
+is not reproduced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from recurra.functions.constants import (
 
 TREND_GRID = list(range(1, 10))          # alpha, beta in 0.1 .. 0.9
 SEASONAL_GRID = [1, 3, 5, 7, 9]          # alpha, beta, gamma in 0.1, 0.3, .. 0.9
+# Steps of the finer grids around the best cell, and how near to 0 and 1 a parameter may come.
+TREND_STEPS = [0.04, 0.016, 0.0064, 0.00256]
+SEASONAL_STEPS = [0.1, 0.05, 0.025, 0.0125, 0.00625]
+EDGE = 0.0001
 
 
 def monthly_series(base: DataFrame) -> DataFrame:
@@ -37,58 +42,104 @@ def monthly_series(base: DataFrame) -> DataFrame:
         F.element_at("pts", -1)["period_idx"].alias("last_idx"))
 
 
-def _grid(df: DataFrame, names: list[str], steps: list[int]) -> DataFrame:
-    for n in names:
-        df = (df.withColumn(f"_{n}", F.explode(F.array(*[F.lit(i) for i in steps])))
-                .withColumn(n, F.col(f"_{n}").cast("double") / 10.0).drop(f"_{n}"))
+def _spread(series: DataFrame) -> DataFrame:
+    """Rows are few bytes and much work: every tenant may be a task of its own."""
+    return series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tenant_id")
+
+
+def _params(names: list[str], centre: str | None, values) -> Column:
+    """Array of parameter structs: fixed values, or steps around the best ones so far, kept inside the open unit interval."""
+    from itertools import product
+    cells = []
+    for point in product(values, repeat=len(names)):
+        fields = [F.lit(v).alias(k) if centre is None else
+                  F.greatest(F.least(F.col(f"{centre}.{k}") + F.lit(v), F.lit(1 - EDGE)), F.lit(EDGE)).alias(k) for k, v in zip(names, point)]
+        cells.append(F.struct(*fields))
+    return F.array(*cells)
+
+
+def _refined(series: DataFrame, names: list[str], first: list[float], steps: list[float], spread: list[int], fold: str) -> DataFrame:
+    """``best``: the smallest squared error over a grid and then over finer grids, each around the best cell of the last.
+
+    ``fold`` gives a struct that begins with the error and the parameters (ties go to the smallest ones). All of it
+    happens within a tenant's row; no step shuffles.
+    """
+    df = _spread(series).withColumn("best", F.lit(None))
+    for k, values in enumerate([first, *[[i * step for i in spread] for step in steps]]):
+        df = df.withColumn("cells", _params(names, "best" if k else None, values))
+        df = df.withColumn("best", F.expr(f"array_min(transform(cells, p -> {fold}))"))
     return df
 
 
-def _spread(grid: DataFrame) -> DataFrame:
-    return grid.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tenant_id", "alpha")
+def _holt(alpha: str, beta: str, level: str, trend: str, y: str) -> tuple[str, str]:
+    up = f"({alpha} * {y} + (1 - {alpha}) * ({level} + {trend}))"
+    return up, f"({beta} * ({up} - {level}) + (1 - {beta}) * {trend})"
+
+
+def _trend_fold() -> str:
+    """One run over the series for p = (alpha, beta): errors are linear in the starting values, so beside the run from
+    the usual start two runs of a unit level and a unit trend tell what a change of them would do."""
+    (l, b), (la, ba), (lb, bb) = (_holt("p.alpha", "p.beta", f"s.{x}", f"s.{z}", y) for x, z, y in (("l", "b", "y"), ("la", "ba", "0D"), ("lb", "bb", "0D")))
+    c, a, d = "(y - (s.l + s.b))", "(-(s.la + s.ba))", "(-(s.lb + s.bb))"
+    start = "named_struct('l', ys[0], 'b', (ys[n - 1] - ys[0]) / (n - 1), 'la', 1D, 'ba', 0D, 'lb', 0D, 'bb', 1D, 'cc', 0D, 'ca', 0D, 'cd', 0D, 'aa', 0D, 'ad', 0D, 'dd', 0D)"
+    step = (f"named_struct('l', {l}, 'b', {b}, 'la', {la}, 'ba', {ba}, 'lb', {lb}, 'bb', {bb}, 'cc', s.cc + {c} * {c}, 'ca', s.ca + {c} * {a}, "
+            f"'cd', s.cd + {c} * {d}, 'aa', s.aa + {a} * {a}, 'ad', s.ad + {a} * {d}, 'dd', s.dd + {d} * {d})")
+    det = "(s.aa * s.dd - s.ad * s.ad)"
+    dl = f"(CASE WHEN {det} > 1e-9 * s.aa * s.dd THEN (s.ad * s.cd - s.dd * s.ca) / {det} ELSE 0D END)"
+    db = f"(CASE WHEN {det} > 1e-9 * s.aa * s.dd THEN (s.ad * s.ca - s.aa * s.cd) / {det} ELSE 0D END)"
+    done = (f"named_struct('sse', greatest(s.cc + {dl} * s.ca + {db} * s.cd, 0D), 'alpha', p.alpha, 'beta', p.beta, "
+            f"'level', s.l + {dl} * s.la + {db} * s.lb, 'trend', s.b + {dl} * s.ba + {db} * s.bb)")
+    return f"aggregate(ys, {start}, (s, y) -> {step}, s -> {done})"
 
 
 def fit_trend(series: DataFrame) -> DataFrame:
-    """F2: best (alpha, beta) per tenant; state (level, trend) after the data."""
-    g = _grid(series.where(F.col("n") >= 2), ["alpha", "beta"], TREND_GRID)
-    fold = F.expr("""
-      aggregate(ys, named_struct('l', ys[0], 'b', (ys[n - 1] - ys[0]) / (n - 1), 'sse', 0D),
-        (acc, y) -> named_struct(
-          'l', alpha * y + (1 - alpha) * (acc.l + acc.b),
-          'b', beta * ((alpha * y + (1 - alpha) * (acc.l + acc.b)) - acc.l) + (1 - beta) * acc.b,
-          'sse', acc.sse + (y - (acc.l + acc.b)) * (y - (acc.l + acc.b))))""")
-    # The rows are few bytes and much work: every (tenant, alpha) may be a task of its own.
-    fitted = _spread(g).select("tenant_id", "alpha", "beta", fold.alias("st"))
-    best = fitted.groupBy("tenant_id").agg(
-        F.min(F.struct(F.col("st.sse").alias("sse"), "alpha", "beta",
-                       F.col("st.l").alias("level"), F.col("st.b").alias("trend"))).alias("m"))
-    return best.select("tenant_id", "m.alpha", "m.beta", "m.level", "m.trend", "m.sse")
+    """F2: best (alpha, beta) per tenant with fitted starting level and trend; state (level, trend) after the data."""
+    best = _refined(series.where(F.col("n") >= 2), ["alpha", "beta"], [i / 10.0 for i in TREND_GRID], TREND_STEPS, [-2, -1, 0, 1, 2], _trend_fold())
+    return best.select("tenant_id", "best.alpha", "best.beta", "best.level", "best.trend", "best.sse")
+
+
+def _seasonal_fold() -> str:
+    """As the trend's, with the season. Four runs: from the usual start, of a unit level, of a unit trend, and of the
+    first season's shape, whose size is fitted as the level and trend are."""
+    runs = (("", "y"), ("a", "0D"), ("d", "0D"), ("g", "0D"))
+    moves, errors = [], {}
+    for x, y in runs:
+        now = f"s.s{x}[s.t % m]"
+        level, trend = _holt("p.alpha", "p.beta", f"s.l{x}", f"s.b{x}", f"({y} - {now})")
+        season = f"transform(s.s{x}, (v, i) -> CASE WHEN i = s.t % m THEN p.gamma * ({y} - s.l{x} - s.b{x}) + (1 - p.gamma) * v ELSE v END)"
+        moves.append(f"'l{x}', {level}, 'b{x}', {trend}, 's{x}', {season}")
+        errors[x or "c"] = f"({y} - (s.l{x} + s.b{x} + {now}))"
+    pairs = ["cc", "ca", "cd", "cg", "aa", "ad", "ag", "dd", "dg", "gg"]
+    sums = ", ".join(f"'{k}', s.{k} + {errors[k[0]]} * {errors[k[1]]}" for k in pairs)
+    zero = "transform(s0, v -> 0D)"
+    start = (f"named_struct('l', l0, 'b', b0, 's', s0, 'la', 1D, 'ba', 0D, 'sa', {zero}, 'ld', 0D, 'bd', 1D, 'sd', {zero}, "
+             f"'lg', 0D, 'bg', 0D, 'sg', s0, {', '.join(f'{k!r}, 0D' for k in pairs)}, 't', 0)")
+    step = f"named_struct({', '.join(moves)}, {sums}, 't', s.t + 1)"
+    det = "(s.aa * (s.dd * s.gg - s.dg * s.dg) - s.ad * (s.ad * s.gg - s.dg * s.ag) + s.ag * (s.ad * s.dg - s.dd * s.ag))"
+    fine = f"{det} > 1e-9 * s.aa * s.dd * s.gg"
+    k = [f"(CASE WHEN {fine} THEN -({num}) / {det} ELSE 0D END)" for num in (
+        "s.ca * (s.dd * s.gg - s.dg * s.dg) - s.ad * (s.cd * s.gg - s.dg * s.cg) + s.ag * (s.cd * s.dg - s.dd * s.cg)",
+        "s.aa * (s.cd * s.gg - s.dg * s.cg) - s.ca * (s.ad * s.gg - s.dg * s.ag) + s.ag * (s.ad * s.cg - s.cd * s.ag)",
+        "s.aa * (s.dd * s.cg - s.cd * s.dg) - s.ad * (s.ad * s.cg - s.cd * s.ag) + s.ca * (s.ad * s.dg - s.dd * s.ag)")]
+    # The corrections are made once, as a struct, and then used.
+    fix = f"named_struct('s', s, 'dl', {k[0]}, 'db', {k[1]}, 'dk', {k[2]})"
+    done = ("named_struct('sse', greatest(f.s.cc + f.dl * f.s.ca + f.db * f.s.cd + f.dk * f.s.cg, 0D), 'alpha', p.alpha, 'beta', p.beta, 'gamma', p.gamma, "
+            "'level', f.s.l + f.dl * f.s.la + f.db * f.s.ld + f.dk * f.s.lg, 'trend', f.s.b + f.dl * f.s.ba + f.db * f.s.bd + f.dk * f.s.bg, "
+            "'season', transform(f.s.s, (v, i) -> v + f.dl * f.s.sa[i] + f.db * f.s.sd[i] + f.dk * f.s.sg[i]))")
+    return f"transform(array(aggregate(ys, {start}, (s, y) -> {step}, s -> {fix})), f -> {done})[0]"
 
 
 def fit_seasonal(series: DataFrame) -> DataFrame:
-    """best (alpha, beta, gamma) per tenant with period m; keeps the
-    seasonal state array for the forecast."""
+    """best (alpha, beta, gamma) per tenant with period m and fitted starting level, trend and size of the season;
+    keeps the seasonal state array for the forecast."""
     s = (series.where(F.col("n") >= 4)
                .withColumn("m", F.least(F.lit(SEASONAL_PERIODS_MAX), F.greatest(F.lit(2), F.floor(F.col("n") / 2).cast("int")))))
     s = s.withColumn("l0", F.expr("aggregate(slice(ys, 1, m), 0D, (a, x) -> a + x) / m"))
     s = s.withColumn("b0", F.expr("(aggregate(slice(ys, m + 1, m), 0D, (a, x) -> a + x) / m - l0) / m"))
     s = s.withColumn("s0", F.expr("transform(slice(ys, 1, m), x -> x - l0)"))
-    g = _grid(s, ["alpha", "beta", "gamma"], SEASONAL_GRID)
-    fold = F.expr("""
-      aggregate(ys, named_struct('l', l0, 'b', b0, 's', s0, 'sse', 0D, 't', 0),
-        (acc, y) -> named_struct(
-          'l', alpha * (y - acc.s[acc.t % m]) + (1 - alpha) * (acc.l + acc.b),
-          'b', beta * ((alpha * (y - acc.s[acc.t % m]) + (1 - alpha) * (acc.l + acc.b)) - acc.l) + (1 - beta) * acc.b,
-          's', transform(acc.s, (x, i) -> if(i = acc.t % m, gamma * (y - acc.l - acc.b) + (1 - gamma) * x, x)),
-          'sse', acc.sse + (y - (acc.l + acc.b + acc.s[acc.t % m])) * (y - (acc.l + acc.b + acc.s[acc.t % m])),
-          't', acc.t + 1))""")
-    fitted = _spread(g).select("tenant_id", "m", "alpha", "beta", "gamma", fold.alias("st"))
-    best = fitted.groupBy("tenant_id", "m").agg(
-        F.min(F.struct(F.col("st.sse").alias("sse"), "alpha", "beta", "gamma",
-                       F.col("st.l").alias("level"), F.col("st.b").alias("trend"),
-                       F.col("st.s").alias("season"))).alias("x"))
-    return best.select("tenant_id", F.col("m").alias("seasonal_periods"), "x.alpha", "x.beta", "x.gamma",
-                       "x.level", "x.trend", "x.season", "x.sse")
+    best = _refined(s, ["alpha", "beta", "gamma"], [i / 10.0 for i in SEASONAL_GRID], SEASONAL_STEPS, [-1, 0, 1], _seasonal_fold())
+    return best.select("tenant_id", F.col("m").alias("seasonal_periods"), "best.alpha", "best.beta", "best.gamma",
+                       "best.level", "best.trend", "best.season", "best.sse")
 
 
 def _status() -> Column:

@@ -223,46 +223,81 @@ def q_cohort_table(spark, sf_dir):
 
 from recurra.operators import forecast as FC  # noqa: E402
 
-_FC_SQL = "WITH RECURSIVE " + O.LAST + """,
-series AS (SELECT tenant_id, list(CAST(mrr AS DOUBLE) ORDER BY pidx) AS ys, count(*) AS n, max(pidx) AS last_idx
-           FROM tm GROUP BY tenant_id),
-gate AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient' WHEN len(list_distinct(ys)) = 1 THEN 'degenerate'
-                        WHEN n < 6 THEN 'realistic_only' ELSE 'full' END AS status FROM series),
-tp AS (SELECT g.tenant_id, g.ys, g.n, CAST(a.i AS DOUBLE) / 10.0 AS alpha, CAST(b.i AS DOUBLE) / 10.0 AS beta
-       FROM gate g, range(1, 10) a(i), range(1, 10) b(i) WHERE g.status IN ('realistic_only', 'full')),
-tfit(tenant_id, alpha, beta, t, l, b, sse) AS (
-  SELECT tenant_id, alpha, beta, 1, ys[1], (ys[n] - ys[1]) / (n - 1), CAST(0 AS DOUBLE) FROM tp
+def _fit_sql() -> str:
+    """Both models by recursion over the months, a chain of tables per grid; the starting values in closed form."""
+    def around(name, steps):
+        return f"greatest(least(b.{name} + {steps}, {1 - FC.EDGE!r}), {FC.EDGE!r}) AS {name}"
+
+    out, last = [], None
+    for k, step in enumerate([None, *FC.TREND_STEPS]):
+        values = ", ".join(f"({i / 10.0!r}::DOUBLE)" for i in FC.TREND_GRID) if step is None else ", ".join(f"({i * step!r}::DOUBLE)" for i in (-2, -1, 0, 1, 2))
+        own = "a.v AS alpha, c.v AS beta" if step is None else f"{around('alpha', 'a.v')}, {around('beta', 'c.v')}"
+        out.append(f"""
+tp{k} AS (SELECT g.tenant_id, g.ys, g.n, {own} FROM gate g {'' if step is None else f'JOIN {last} b USING (tenant_id)'},
+          (VALUES {values}) a(v), (VALUES {values}) c(v) WHERE g.status IN ('realistic_only', 'full')),
+tf{k}(tenant_id, alpha, beta, t, l, b, la, ba, lb, bb, cc, ca, cd, aa, ad, dd) AS (
+  SELECT tenant_id, alpha, beta, 1, ys[1], (ys[n] - ys[1]) / (n - 1), 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE,
+         0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tp{k}
   UNION ALL
-  SELECT f.tenant_id, f.alpha, f.beta, f.t + 1,
-         f.alpha * s.ys[f.t] + (1 - f.alpha) * (f.l + f.b),
-         f.beta * ((f.alpha * s.ys[f.t] + (1 - f.alpha) * (f.l + f.b)) - f.l) + (1 - f.beta) * f.b,
-         f.sse + (s.ys[f.t] - (f.l + f.b)) * (s.ys[f.t] - (f.l + f.b))
-  FROM tfit f JOIN series s ON s.tenant_id = f.tenant_id WHERE f.t <= s.n),
-tbest AS (SELECT DISTINCT ON (f.tenant_id) f.tenant_id, f.alpha, f.beta, f.l AS level, f.b AS trend, f.sse
-          FROM tfit f JOIN series s ON s.tenant_id = f.tenant_id WHERE f.t = s.n + 1
-          ORDER BY f.tenant_id, f.sse, f.alpha, f.beta),
+  SELECT f.tenant_id, alpha, beta, t + 1,
+         (alpha * s.ys[t] + (1 - alpha) * (l + b)), beta * ((alpha * s.ys[t] + (1 - alpha) * (l + b)) - l) + (1 - beta) * b,
+         (alpha * 0.0::DOUBLE + (1 - alpha) * (la + ba)), beta * ((alpha * 0.0::DOUBLE + (1 - alpha) * (la + ba)) - la) + (1 - beta) * ba,
+         (alpha * 0.0::DOUBLE + (1 - alpha) * (lb + bb)), beta * ((alpha * 0.0::DOUBLE + (1 - alpha) * (lb + bb)) - lb) + (1 - beta) * bb,
+         cc + (s.ys[t] - (l + b)) * (s.ys[t] - (l + b)), ca + (s.ys[t] - (l + b)) * (-(la + ba)), cd + (s.ys[t] - (l + b)) * (-(lb + bb)),
+         aa + (-(la + ba)) * (-(la + ba)), ad + (-(la + ba)) * (-(lb + bb)), dd + (-(lb + bb)) * (-(lb + bb))
+  FROM tf{k} f JOIN series s ON s.tenant_id = f.tenant_id WHERE t <= s.n),
+te{k} AS (SELECT f.*, aa * dd - ad * ad AS det FROM tf{k} f JOIN series s ON s.tenant_id = f.tenant_id WHERE f.t = s.n + 1),
+tc{k} AS (SELECT *, CASE WHEN det > 1e-9 * aa * dd THEN (ad * cd - dd * ca) / det ELSE 0.0 END AS dl,
+                 CASE WHEN det > 1e-9 * aa * dd THEN (ad * ca - aa * cd) / det ELSE 0.0 END AS db FROM te{k}),
+tb{k} AS (SELECT DISTINCT ON (tenant_id) tenant_id, alpha, beta, l + dl * la + db * lb AS level, b + dl * ba + db * bb AS trend,
+                 greatest(cc + dl * ca + db * cd, 0.0) AS sse FROM tc{k} ORDER BY tenant_id, sse, alpha, beta)""")
+        last = f"tb{k}"
+    out.append(f"""
+tbest AS (SELECT * FROM {last}),
 sp AS (SELECT g.*, least(12, greatest(2, g.n // 2)) AS m FROM gate g WHERE g.status = 'full'),
 sp1 AS (SELECT *, list_reduce(ys[1:m], lambda a, x: a + x) / m AS l0 FROM sp),
 sp2 AS (SELECT *, (list_reduce(ys[m + 1:2 * m], lambda a, x: a + x) / m - l0) / m AS b0,
-               list_transform(ys[1:m], lambda x: x - l0) AS s0 FROM sp1),
-sgrid AS (SELECT p.tenant_id, p.m, CAST(a.i AS DOUBLE) / 10.0 AS alpha, CAST(b.i AS DOUBLE) / 10.0 AS beta,
-                 CAST(c.i AS DOUBLE) / 10.0 AS gamma, p.l0, p.b0, p.s0
-          FROM sp2 p, (VALUES (1), (3), (5), (7), (9)) a(i), (VALUES (1), (3), (5), (7), (9)) b(i),
-               (VALUES (1), (3), (5), (7), (9)) c(i)),
-sfit(tenant_id, m, alpha, beta, gamma, t, l, b, s, sse) AS (
-  SELECT tenant_id, m, alpha, beta, gamma, 0, l0, b0, s0, CAST(0 AS DOUBLE) FROM sgrid
+               list_transform(ys[1:m], lambda x: x - l0) AS s0 FROM sp1)""")
+    pairs = ["cc", "ca", "cd", "cg", "aa", "ad", "ag", "dd", "dg", "gg"]
+    runs = {"c": ("", "q.ys[t + 1]"), "a": ("a", "0.0::DOUBLE"), "d": ("d", "0.0::DOUBLE"), "g": ("g", "0.0::DOUBLE")}
+    moves, error = [], {}
+    for k, (x, y) in runs.items():
+        up = f"(alpha * ({y} - s{x}[t % m + 1]) + (1 - alpha) * (l{x} + b{x}))"
+        moves.append(f"{up}, beta * ({up} - l{x}) + (1 - beta) * b{x}, "
+                     f"list_transform(s{x}, lambda v, i: CASE WHEN i = t % m + 1 THEN gamma * ({y} - l{x} - b{x}) + (1 - gamma) * v ELSE v END)")
+        error[k] = f"({y} - (l{x} + b{x} + s{x}[t % m + 1]))"
+    last = None
+    for k, step in enumerate([None, *FC.SEASONAL_STEPS]):
+        values = ", ".join(f"({i / 10.0!r}::DOUBLE)" for i in FC.SEASONAL_GRID) if step is None else ", ".join(f"({i * step!r}::DOUBLE)" for i in (-1, 0, 1))
+        own = "a.v AS alpha, c.v AS beta, d.v AS gamma" if step is None else f"{around('alpha', 'a.v')}, {around('beta', 'c.v')}, {around('gamma', 'd.v')}"
+        zero = "list_transform(s0, lambda v: 0.0::DOUBLE)"
+        out.append(f"""
+sg{k} AS (SELECT p.*, {own} FROM sp2 p {'' if step is None else f'JOIN {last} b USING (tenant_id)'}, (VALUES {values}) a(v), (VALUES {values}) c(v), (VALUES {values}) d(v)),
+sf{k}(tenant_id, m, alpha, beta, gamma, t, l, b, s, la, ba, sa, ld, bd, sd, lg, bg, sg, {', '.join(pairs)}) AS (
+  SELECT tenant_id, m, alpha, beta, gamma, 0, l0, b0, s0, 1.0::DOUBLE, 0.0::DOUBLE, {zero}, 0.0::DOUBLE, 1.0::DOUBLE, {zero}, 0.0::DOUBLE, 0.0::DOUBLE, s0,
+         {', '.join('0.0::DOUBLE' for _ in pairs)} FROM sg{k}
   UNION ALL
-  SELECT f.tenant_id, f.m, f.alpha, f.beta, f.gamma, f.t + 1,
-         f.alpha * (q.ys[f.t + 1] - f.s[f.t % f.m + 1]) + (1 - f.alpha) * (f.l + f.b),
-         f.beta * ((f.alpha * (q.ys[f.t + 1] - f.s[f.t % f.m + 1]) + (1 - f.alpha) * (f.l + f.b)) - f.l) + (1 - f.beta) * f.b,
-         list_transform(f.s, lambda x, i: CASE WHEN i = f.t % f.m + 1
-                                              THEN f.gamma * (q.ys[f.t + 1] - f.l - f.b) + (1 - f.gamma) * x ELSE x END),
-         f.sse + (q.ys[f.t + 1] - (f.l + f.b + f.s[f.t % f.m + 1])) * (q.ys[f.t + 1] - (f.l + f.b + f.s[f.t % f.m + 1]))
-  FROM sfit f JOIN series q ON q.tenant_id = f.tenant_id WHERE f.t < q.n),
-sbest AS (SELECT DISTINCT ON (f.tenant_id) f.tenant_id, f.m AS seasonal_periods, f.alpha, f.beta, f.gamma,
-                 f.l AS level, f.b AS trend, f.s AS season, f.sse
-          FROM sfit f JOIN series q ON q.tenant_id = f.tenant_id WHERE f.t = q.n
-          ORDER BY f.tenant_id, f.sse, f.alpha, f.beta, f.gamma),
+  SELECT f.tenant_id, f.m, alpha, beta, gamma, t + 1, {', '.join(moves)}, {', '.join(f'{x} + {error[x[0]]} * {error[x[1]]}' for x in pairs)}
+  FROM sf{k} f JOIN series q ON q.tenant_id = f.tenant_id WHERE t < q.n),
+se{k} AS (SELECT f.*, aa * (dd * gg - dg * dg) - ad * (ad * gg - dg * ag) + ag * (ad * dg - dd * ag) AS det
+          FROM sf{k} f JOIN series q ON q.tenant_id = f.tenant_id WHERE f.t = q.n),
+sc{k} AS (SELECT *, CASE WHEN det > 1e-9 * aa * dd * gg THEN -(ca * (dd * gg - dg * dg) - ad * (cd * gg - dg * cg) + ag * (cd * dg - dd * cg)) / det ELSE 0.0 END AS dl,
+                 CASE WHEN det > 1e-9 * aa * dd * gg THEN -(aa * (cd * gg - dg * cg) - ca * (ad * gg - dg * ag) + ag * (ad * cg - cd * ag)) / det ELSE 0.0 END AS db,
+                 CASE WHEN det > 1e-9 * aa * dd * gg THEN -(aa * (dd * cg - cd * dg) - ad * (ad * cg - cd * ag) + ca * (ad * dg - dd * ag)) / det ELSE 0.0 END AS dk FROM se{k}),
+sb{k} AS (SELECT DISTINCT ON (tenant_id) tenant_id, m AS seasonal_periods, alpha, beta, gamma, l + dl * la + db * ld + dk * lg AS level,
+                 b + dl * ba + db * bd + dk * bg AS trend, list_transform(s, lambda v, i: v + dl * sa[i] + db * sd[i] + dk * sg[i]) AS season,
+                 greatest(cc + dl * ca + db * cd + dk * cg, 0.0) AS sse FROM sc{k} ORDER BY tenant_id, sse, alpha, beta, gamma)""")
+        last = f"sb{k}"
+    out.append(f"\nsbest AS (SELECT * FROM {last})")
+    return ",".join(out).lstrip()
+
+
+_FC_SQL = "WITH RECURSIVE " + O.LAST + """,
+series AS (SELECT tenant_id, list(CAST(mrr AS DOUBLE) ORDER BY pidx) AS ys, count(*) AS n, max(pidx) AS last_idx
+           FROM tm GROUP BY tenant_id),
+gate AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient' WHEN len(list_distinct(ys)) = 1 THEN 'degenerate'
+                        WHEN n < 6 THEN 'realistic_only' ELSE 'full' END AS status FROM series),
+""" + _fit_sql() + """,
 proj AS (
   SELECT g.tenant_id, CAST(h.h AS INTEGER) AS horizon, g.status, """ + O.label("g.last_idx + h.h") + """ AS period,
          greatest(CASE WHEN g.status = 'full' THEN sb.level + h.h * sb.trend + sb.season[(g.n + h.h - 1) % sb.seasonal_periods + 1]
@@ -318,7 +353,7 @@ def q_forecast_gate_by_customer(spark, sf_dir):
 
 
 @register("forecast_trend", _FC_SQL + """
-SELECT t.tenant_id, t.alpha, t.beta, round(t.level, 6) AS level, round(t.trend, 6) AS trend,
+SELECT t.tenant_id, round(t.alpha, 6) AS alpha, round(t.beta, 6) AS beta, round(t.level, 6) AS level, round(t.trend, 6) AS trend,
        round(sqrt(t.sse / s.n), 6) AS rmse FROM tbest t JOIN series s ON s.tenant_id = t.tenant_id""")
 def q_forecast_trend(spark, sf_dir):
     s = _series(spark, sf_dir)
@@ -330,7 +365,7 @@ def q_forecast_trend(spark, sf_dir):
 
 
 @register("forecast_seasonal", _FC_SQL + """
-SELECT b.tenant_id, b.seasonal_periods, b.alpha, b.beta, b.gamma, round(b.level, 6) AS level,
+SELECT b.tenant_id, b.seasonal_periods, round(b.alpha, 6) AS alpha, round(b.beta, 6) AS beta, round(b.gamma, 6) AS gamma, round(b.level, 6) AS level,
        round(b.trend, 6) AS trend, round(sqrt(b.sse / s.n), 6) AS rmse
 FROM sbest b JOIN series s ON s.tenant_id = b.tenant_id""")
 def q_forecast_seasonal(spark, sf_dir):

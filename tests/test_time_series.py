@@ -31,43 +31,74 @@ def brute_trend(ys):
     return best
 
 
-def test_trend_fit_matches_brute_force(spark):
-    from recurra.operators import forecast as FC
-    data = {"a": [100, 120, 150, 160, 200], "b": [5, 3, 8, 1, 9, 4, 7]}
-    got = {r["tenant_id"]: r for r in FC.fit_trend(series_df(spark, data)).collect()}
-    for t, ys in data.items():
-        sse, a, b, level, trend = brute_trend(ys)
-        assert got[t]["alpha"] == a and got[t]["beta"] == b
-        assert got[t]["level"] == pytest.approx(level) and got[t]["trend"] == pytest.approx(trend)
-        assert got[t]["sse"] == pytest.approx(sse)
+def least_squares(run, starts):
+    """Smallest squared error and final state over all starting values in the span of ``starts`` around the first one."""
+    import numpy as np
+    base, *units = starts
+    e0, state0 = run(*base, data=True)
+    effects = [run(*u, data=False) for u in units]
+    k = np.linalg.lstsq(np.stack([e for e, _ in effects], 1), -e0, rcond=None)[0]
+    e = e0 + sum(x * y for x, (y, _) in zip(k, effects))
+    return float(e @ e), state0 + sum(x * y for x, (_, y) in zip(k, effects))
+
+
+def holt(ys, a, b):
+    import numpy as np
+
+    def run(level, trend, data):
+        e = []
+        for y in ys:
+            y = y if data else 0.0
+            e.append(y - level - trend)
+            new = a * y + (1 - a) * (level + trend)
+            level, trend = new, b * (new - level) + (1 - b) * trend
+        return np.array(e), np.array([level, trend])
+    return least_squares(run, [(ys[0], (ys[-1] - ys[0]) / (len(ys) - 1)), (1, 0), (0, 1)])
 
 
-def test_seasonal_fit_matches_brute_force(spark):
-    from recurra.operators import forecast as FC
-    ys = [10, 14, 9, 15, 11, 16, 10, 17, 12, 18]
-    got = FC.fit_seasonal(series_df(spark, {"s": ys})).first()
-    m = min(12, max(2, len(ys) // 2))
-    best = None
-    for ai, bi, gi in itertools.product([1, 3, 5, 7, 9], repeat=3):
-        a, b, g = ai / 10.0, bi / 10.0, gi / 10.0
-        l0 = sum(ys[:m]) / m
-        level, trend = l0, (sum(ys[m:2 * m]) / m - l0) / m
-        season = [y - l0 for y in ys[:m]]
-        sse = 0.0
+def winters(ys, m, a, b, g):
+    import numpy as np
+    l0 = sum(ys[:m]) / m
+    b0, s0 = (sum(ys[m:2 * m]) / m - l0) / m, [y - l0 for y in ys[:m]]
+
+    def run(level, trend, season, data):
+        e, season = [], list(season)
         for t, y in enumerate(ys):
-            s = season[t % m]
-            sse += (y - (level + trend + s)) ** 2
-            new_level = a * (y - s) + (1 - a) * (level + trend)
-            new_trend = b * (new_level - level) + (1 - b) * trend
+            y, s = y if data else 0.0, season[t % m]
+            e.append(y - level - trend - s)
+            new = a * (y - s) + (1 - a) * (level + trend)
             season[t % m] = g * (y - level - trend) + (1 - g) * s
-            level, trend = new_level, new_trend
-        cand = (sse, a, b, g, level, trend, list(season))
-        if best is None or cand[:4] < best[:4]:
-            best = cand
-    assert got["seasonal_periods"] == m
-    assert (got["alpha"], got["beta"], got["gamma"]) == best[1:4]
-    assert got["level"] == pytest.approx(best[4]) and got["trend"] == pytest.approx(best[5])
-    assert got["season"] == pytest.approx(best[6])
+            level, trend = new, b * (new - level) + (1 - b) * trend
+        return np.array(e), np.array([level, trend, *season])
+    return least_squares(run, [(l0, b0, s0), (1, 0, [0] * m), (0, 1, [0] * m), (0, 0, s0)])
+
+
+SERIES = {"a": [100, 120, 150, 160, 200], "b": [5, 3, 8, 1, 9, 4, 7], "c": [10, 14, 9, 15, 11, 16, 10, 17, 12, 18],
+          "d": [3, 9, 4, 12, 8, 20, 11, 5, 30, 12, 14, 9, 2, 40, 13], "line": [10, 20, 30, 40, 50, 60]}
+
+
+def test_trend_fit_is_as_good_as_a_fine_grid(spark):
+    from recurra.operators import forecast as FC
+    got = {r["tenant_id"]: r for r in FC.fit_trend(series_df(spark, SERIES)).collect()}
+    for t, ys in SERIES.items():
+        r = got[t]
+        sse, (level, trend) = holt(ys, r["alpha"], r["beta"])
+        assert r["sse"] == pytest.approx(sse, abs=1e-6) and r["level"] == pytest.approx(level, abs=1e-6) and r["trend"] == pytest.approx(trend, abs=1e-6)
+        fine = min(holt(ys, i / 50, j / 50)[0] for i in range(1, 50) for j in range(1, 50))
+        assert r["sse"] <= 1.01 * fine + 1e-9 and r["sse"] <= brute_trend(ys)[0] + 1e-9
+
+
+def test_seasonal_fit_is_as_good_as_a_fine_grid(spark):
+    from recurra.operators import forecast as FC
+    got = {r["tenant_id"]: r for r in FC.fit_seasonal(series_df(spark, SERIES)).collect()}
+    for t in ("c", "d"):
+        ys, r = SERIES[t], got[t]
+        m = min(12, max(2, len(ys) // 2))
+        sse, (level, trend, *season) = winters(ys, m, r["alpha"], r["beta"], r["gamma"])
+        assert r["seasonal_periods"] == m and r["sse"] == pytest.approx(sse, abs=1e-5)
+        assert [r["level"], r["trend"], *r["season"]] == pytest.approx([level, trend, *season], abs=1e-5)
+        edges = [0.0001, *[i / 12 for i in range(1, 12)], 0.9999]
+        assert r["sse"] <= 1.01 * min(winters(ys, m, a, b, g)[0] for a in edges for b in edges for g in edges) + 1e-9
 
 
 def growing(n_months):
