@@ -54,7 +54,8 @@ def own_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     all ids, in order of id and text, so they count as later documents; no row is lost.
     """
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0:
-        return docs, None
+        # The condition holds anyway; joins add it to one of their sides, and equal plans share a shuffle.
+        return docs.where(F.col("doc_id").isNotNull()), None
     spark, columns = docs.sparkSession, docs.columns
     rows = materialize(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows-by-id")
     first = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "_row"))["_row"].alias("_row"))
@@ -63,7 +64,8 @@ def own_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     extra = numbered(extra.orderBy("doc_id", "text", "_row"), "rows-extra", "_number").withColumn("_own", F.col("_number") + most)
     extra = materialize(spark, extra.drop("_row", "_number"), "rows-extra-ids")
     given = extra.select(F.col("_own").alias("doc_id"), F.col("doc_id").alias("given"))
-    return kept.select(*columns).unionByName(extra.drop("doc_id").withColumnRenamed("_own", "doc_id").select(*columns)), given
+    own = kept.select(*columns).unionByName(extra.drop("doc_id").withColumnRenamed("_own", "doc_id").select(*columns))
+    return own.where(F.col("doc_id").isNotNull()), given
 
 
 def with_given_ids(result: DataFrame, given: DataFrame | None) -> DataFrame:
