@@ -188,3 +188,23 @@ def write_all_csv(snaps: DataFrame, path: str) -> None:
     rows = snaps.select("user_id", *csv_columns(snaps)).repartition("user_id").sortWithinPartitions("user_id", "period")
     (rows.write.mode("overwrite").option("header", True).option("nullValue", "")
          .partitionBy("user_id").csv(path))
+
+
+def register_visible(spark, snaps: DataFrame) -> str:
+    """A table function with the reader as its parameter; returns its name.
+
+    It is the only name under which the rows can be read: the predicate is part of the function's body, and its
+    argument a value, so no query over it can leave the predicate out or add to it.
+    """
+    import uuid
+    tag = uuid.uuid4().hex[:12]
+    snaps.createOrReplaceTempView(f"snapshots_{tag}")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in snaps.schema.fields)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION visible_{tag}(reader STRING) RETURNS TABLE ({columns}) "
+              f"RETURN SELECT {', '.join(f'`{c}`' for c in snaps.columns)} FROM snapshots_{tag} WHERE user_id = reader")
+    return f"visible_{tag}"
+
+
+def visible_rows(spark, function: str, user_id: str | None) -> DataFrame:
+    """What ``user_id`` may read, by a function of :func:`register_visible`; nothing for a null reader."""
+    return spark.sql(f"SELECT * FROM {function}(CAST(:reader AS STRING))", args={"reader": user_id})

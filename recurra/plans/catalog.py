@@ -628,7 +628,8 @@ def q_own_rows(spark, sf_dir):
     """The rows visible to one user (the first tenant by name)."""
     s = _snaps(spark, sf_dir)
     first_user = s.agg(F.min("user_id")).first()[0]
-    return round_doubles(SN.own_rows(s, first_user).select("user_id", "period", "mrr"))
+    rows = SN.visible_rows(spark, SN.register_visible(spark, s), first_user)
+    return round_doubles(rows.select("user_id", "period", "mrr"))
 
 
 # --- report tables (S10, S11, S15, S16, S19, X1) --------------------------------
@@ -899,6 +900,41 @@ def q_pii_scrub_map(spark, sf_dir):
     return fields.unionByName(lines)
 
 
+@register("pii_scrub_nested", f"""
+WITH parts AS (SELECT conv_id, turn, role, i AS line_no, j AS part_no, p[j] AS part FROM (
+  SELECT conv_id, turn, role, i, string_split(ls[i], '. ') AS p FROM (
+    SELECT conv_id, turn, role, string_split(text, chr(10)) AS ls FROM conversations WHERE text IS NOT NULL) x, LATERAL generate_series(1, len(x.ls)) g(i)) y,
+  LATERAL generate_series(1, len(y.p)) h(j))
+SELECT conv_id, turn, {_scrub_sql('role')} AS who, line_no::INTEGER AS line_no, part_no::INTEGER AS part_no, {_scrub_sql('part')} AS part FROM parts""")
+def q_pii_scrub_nested(spark, sf_dir):
+    """E3 at any depth: each turn as a record of a record of lines of parts, every string inside scrubbed by its type."""
+    conv = tables.read_table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), F.split(x, r"\. ", -1).alias("parts")))
+    rec = conv.select("conv_id", "turn", F.struct(F.create_map(F.lit("who"), F.col("role")).alias("about"), F.struct(lines.alias("lines")).alias("body")).alias("record"))
+    clean = PV.scrub_columns(rec, "record")
+    rows = clean.select("conv_id", "turn", F.col("record.about")["who"].alias("who"), F.explode("record.body.lines").alias("line"))
+    return rows.select("conv_id", "turn", "who", "line.line_no", F.posexplode("line.parts").alias("at", "part")).select(
+        "conv_id", "turn", "who", "line_no", (F.col("at") + 1).alias("part_no"), "part")
+
+
+_WHO_SQL = "'user' || CAST(user_id AS VARCHAR) || '@mail.example.org'"
+_TOKEN_SQL = "'Bearer abc' || CAST(event_id AS VARCHAR)"
+
+
+@register("pii_scrub_json", f"""
+SELECT event_id, {_scrub_sql(_WHO_SQL)} AS mail, {_scrub_sql(_TOKEN_SQL)} AS token, regexp_extract(props, ': ([0-9]+)', 1) AS k FROM events""")
+def q_pii_scrub_json(spark, sf_dir):
+    """E3 on JSON text: the props of each event beside its user's address and token, three levels deep, by no given schema."""
+    e = tables.read_table(spark, sf_dir, "events")
+    mail = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@mail.example.org"))
+    seen = F.array(F.struct(F.concat(F.lit("Bearer abc"), F.col("event_id").cast("string")).alias("token")))
+    who = F.to_json(F.struct(F.struct(mail.alias("mail"), seen.alias("seen")).alias("who")))
+    text = F.concat(F.lit('{"user":'), who, F.lit(',"props":'), F.col("props"), F.lit("}"))
+    clean = PV.scrub_json(e.select("event_id", text.alias("record")), "record")
+    found = [F.get_json_object("record", at).alias(n) for n, at in (("mail", "$.user.who.mail"), ("token", "$.user.who.seen[0].token"), ("k", "$.props.k"))]
+    return clean.select("event_id", *found)
+
+
 _PY_SPACE_RE2 = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in PV.PY_SPACE_CODEPOINTS)
 
 
@@ -1460,6 +1496,21 @@ def q_sessions_max_age_slow_stream(spark, sf_dir):
     return _events_stream_run(spark, sf_dir, "max_age_slow", lambda e: SS.sessions_stream(e, SLOW_IDLE, SLOW_MAX_AGE, STREAM_DELAY))
 
 
+@register("customer_month_stream", "WITH " + O.FACTS + f"""
+SELECT tenant_id, {O.label('pidx')} AS period, round(CAST(mrr AS DOUBLE), 6) AS mrr, n AS active FROM tm""")
+def q_customer_month_stream(spark, sf_dir):
+    """A5/S2 on a stream: facts come in several micro-batches into a store that a replayed batch does not change."""
+    from recurra.session import shared_path
+    from recurra.streaming import rollup_stream as RS
+    import uuid
+    base = shared_path(spark, f"fact-files-{uuid.uuid4().hex[:8]}")
+    raw = tables.raw_billing_rows(spark, sf_dir)
+    # Copies of a row agree in all columns, so they lie in one file.
+    raw.repartition(STREAM_FILES, *raw.columns).write.parquet(f"{base}/in")
+    store = RS.run(spark, f"{base}/in", raw.schema, f"{base}/store", files_per_batch=3)
+    return round_doubles(RS.monthly(RS.merged(spark, store)))
+
+
 # --- customer-level sets behind the metrics (G3, G6, K3) and the sales feed (R8) --
 
 _SETS_SQL = "WITH " + O.LAST + """,
