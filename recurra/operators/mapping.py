@@ -51,6 +51,25 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(fold)
 
 
+def synonym_masks(synonym: str) -> Column:
+    """For each letter of a synonym the bits of its places."""
+    bits: dict[str, int] = {}
+    for i, c in enumerate(synonym):
+        bits[c] = bits.get(c, 0) | 1 << i
+    return F.create_map(*[x for c, b in bits.items() for x in (F.lit(c), F.lit(b).cast("long"))])
+
+
+def lcs_by_bits(a: Column, masks: Column, size: Column) -> Column:
+    """Longest common subsequence with a word of at most 62 letters, given by its masks: one step on a whole row of the
+    table per letter of a, held as the bits of a long (a cleared bit is a place where the row rises)."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
+
+    def step(v: Column, c: Column) -> Column:
+        both = v.bitwiseAND(F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long")))
+        return (v + both).bitwiseOR(v - both).bitwiseAND(full)
+    return size - F.bit_count(F.aggregate(F.split(a, ""), full, step))
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     """Indel similarity in [0, 100] (two empty strings -> 100)."""
     total = F.length(a) + F.length(b)
@@ -65,12 +84,13 @@ def name_match_scores(catalog: DataFrame) -> DataFrame:
     """M2/M3: best fuzzy score of every non-blocklisted column per field,
     plus the exact-synonym flag."""
     syn = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(FIELD_ORDER.index(f)).alias("field_rank"),
-                             F.lit(s).alias("synonym"))
+                             F.lit(s).alias("synonym"), F.lit(len(s)).alias("size"), synonym_masks(s).alias("masks"))
                     for f in FIELD_ORDER for s in FIELD_SYNONYMS[f]])
     cat = sanitized_catalog(catalog).where(~F.col("sanitized").isin(BLOCKLIST))
     # Each distinct name is scored once, however many sources carry it.
     pairs = cat.select("sanitized").distinct().select("sanitized", F.inline(syn))
-    scored = (pairs.withColumn("score", indel_ratio(F.col("sanitized"), F.col("synonym")))
+    common = lcs_by_bits(F.col("sanitized"), F.col("masks"), F.col("size"))
+    scored = (pairs.withColumn("score", F.lit(200.0) * common / (F.length("sanitized") + F.col("size")))
               .groupBy("sanitized", "field", "field_rank")
               .agg(F.max("score").alias("score"), F.bool_or(F.col("sanitized") == F.col("synonym")).alias("exact")))
     return cat.join(scored, "sanitized").select(

@@ -209,3 +209,16 @@ def test_cleaning_report_from_rollup_equals_direct(spark):
     via = {k: v for k, v in CL.cleaning_report_from_history(MX.Rollup(CL.clean(raw)).hist).first().asDict().items()}
     assert direct == via
     assert via["rows_before"] == 8 and via["duplicates_removed"] == 3 and via["multicurrency_error"] is True
+
+
+def test_lcs_by_bits_is_the_table(spark):
+    """Against the row-by-row table, on words over few letters, empty ones and the longest synonym's length."""
+    import random
+    from recurra.operators import mapping as MP
+    r = random.Random(2)
+    words = ["", "a"] + ["".join(r.choices("ab_c", k=r.randrange(1, 40))) for _ in range(40)]
+    for synonym in ("a", "ab_c", "subscription_amount", "c" * 62):
+        df = spark.createDataFrame([(w,) for w in words], "w string")
+        got = df.select(MP.lcs_by_bits(F.col("w"), MP.synonym_masks(synonym), F.lit(len(synonym))).alias("x"),
+                        MP.lcs_length(F.col("w"), F.lit(synonym)).alias("y")).collect()
+        assert all(x == y for x, y in got)
