@@ -167,3 +167,34 @@ pairs AS (
   FROM q JOIN v ON v.id <> q.id AND len(v.v) = len(q.v)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score::BIGINT AS score FROM ranked WHERE rank <= 5"""
+
+ORACLE["op1_suffix_array_dedup"] = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, unnest(range(len(h) // 2)) AS i, h FROM docs),
+starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 200 <= len(h) THEN md5(substr(h, 2 * i + 1, 200)) END AS w FROM bytes),
+later AS (SELECT doc_id, i, b, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM starts),
+gone AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS g FROM later),
+runs AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM gone)
+SELECT d.doc_id, count(r.i) AS n_bytes, count(*) FILTER (WHERE r.g) AS n_removed, count(*) FILTER (WHERE r.begins) AS n_spans,
+       sha256(unhex(coalesce(string_agg(r.b, '' ORDER BY r.i) FILTER (WHERE NOT r.g), ''))) AS kept_sha256
+FROM docs d LEFT JOIN runs r USING (doc_id) GROUP BY d.doc_id"""
+
+ORACLE["op7_substring_dedup"] = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM docs),
+starts AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 12 <= len(ws) THEN md5(array_to_string(ws[i:i + 12], ' ')) END AS w FROM words),
+later AS (SELECT doc_id, i, word, w IS NOT NULL AND min(doc_id) OVER (PARTITION BY w) < doc_id AS again FROM starts),
+gone AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS g FROM later)
+SELECT d.doc_id, count(g.i) AS n_words, count(*) FILTER (WHERE g.g) AS n_removed,
+       sha256(coalesce(string_agg(g.word, ' ' ORDER BY g.i) FILTER (WHERE NOT g.g), '')) AS kept_sha256
+FROM docs d LEFT JOIN gone g USING (doc_id) GROUP BY d.doc_id"""
+
+ORACLE["op5_chat_formatting"] = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(13 + length(regexp_replace(role, '([\\\\#<' || chr(10) || '])', '..', 'g')) + length(regexp_replace(text, '[\\\\#<]', '..', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
