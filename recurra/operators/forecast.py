@@ -7,13 +7,18 @@ Holt-Winters (trend + season, period ``min(12, max(2, n // 2))``). The smoothing
 parameters are fitted by a grid and finer grids around its best cell, smallest
 squared one-step error first (ties: smallest parameters). For given parameters
 the errors are linear in the starting values, so the best starting level, trend
-and size of the season come in closed form from sums taken in the same fold. All
-of it is one row's work per tenant. The reference's numerical optimiser itself
-is not reproduced.
+and size of the season come in closed form from sums taken in the same run. A
+tenant's fit is one row's work, done for all points of a grid at once with numpy
+in the task (folds of higher-order functions are interpreted and took several
+times as long). The reference's numerical optimiser itself is not reproduced.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,104 +47,115 @@ def monthly_series(base: DataFrame) -> DataFrame:
         F.element_at("pts", -1)["period_idx"].alias("last_idx"))
 
 
-def _spread(series: DataFrame) -> DataFrame:
-    """Rows are few bytes and much work: every tenant may be a task of its own."""
-    return series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tenant_id")
-
-
-def _params(names: list[str], centre: str | None, values) -> Column:
-    """Array of parameter structs: fixed values, or steps around the best ones so far, kept inside the open unit interval."""
-    from itertools import product
-    cells = []
-    for point in product(values, repeat=len(names)):
-        fields = [F.lit(v).alias(k) if centre is None else
-                  F.greatest(F.least(F.col(f"{centre}.{k}") + F.lit(v), F.lit(1 - EDGE)), F.lit(EDGE)).alias(k) for k, v in zip(names, point)]
-        cells.append(F.struct(*fields))
-    return F.array(*cells)
-
+def _refined(run, names: int, first: list[float], steps: list[float], spread: list[int]):
+    """The best of a grid and then of finer grids, each around the best cell of the last: (sse, parameters, state).
 
-def _refined(series: DataFrame, names: list[str], first: list[float], steps: list[float], spread: list[int], fold: str) -> DataFrame:
-    """``best``: the smallest squared error over a grid and then over finer grids, each around the best cell of the last.
-
-    ``fold`` gives a struct that begins with the error and the parameters (ties go to the smallest ones). All of it
-    happens within a tenant's row; no step shuffles.
+    ``run`` takes one array per parameter, all grid points at once, and gives their errors and states. Ties go to the
+    smallest parameters.
     """
-    df = _spread(series).withColumn("best", F.lit(None))
+    best = None
     for k, values in enumerate([first, *[[i * step for i in spread] for step in steps]]):
-        df = df.withColumn("cells", _params(names, "best" if k else None, values))
-        df = df.withColumn("best", F.expr(f"array_min(transform(cells, p -> {fold}))"))
-    return df
-
-
-def _holt(alpha: str, beta: str, level: str, trend: str, y: str) -> tuple[str, str]:
-    up = f"({alpha} * {y} + (1 - {alpha}) * ({level} + {trend}))"
-    return up, f"({beta} * ({up} - {level}) + (1 - {beta}) * {trend})"
+        points = np.array(list(product(values, repeat=names))).T
+        if k:
+            points = np.maximum(np.minimum(np.array(best[1])[:, None] + points, 1 - EDGE), EDGE)
+        sse, state = run(*points)
+        at = np.lexsort((*points[::-1], sse))[0]
+        best = float(sse[at]), [float(p[at]) for p in points], [x[at] for x in state]
+    return best
 
 
-def _trend_fold() -> str:
-    """One run over the series for p = (alpha, beta): errors are linear in the starting values, so beside the run from
+def _trend_run(ys: list[float]):
+    """One run over the series for all (alpha, beta): errors are linear in the starting values, so beside the run from
     the usual start two runs of a unit level and a unit trend tell what a change of them would do."""
-    (l, b), (la, ba), (lb, bb) = (_holt("p.alpha", "p.beta", f"s.{x}", f"s.{z}", y) for x, z, y in (("l", "b", "y"), ("la", "ba", "0D"), ("lb", "bb", "0D")))
-    c, a, d = "(y - (s.l + s.b))", "(-(s.la + s.ba))", "(-(s.lb + s.bb))"
-    start = "named_struct('l', ys[0], 'b', (ys[n - 1] - ys[0]) / (n - 1), 'la', 1D, 'ba', 0D, 'lb', 0D, 'bb', 1D, 'cc', 0D, 'ca', 0D, 'cd', 0D, 'aa', 0D, 'ad', 0D, 'dd', 0D)"
-    step = (f"named_struct('l', {l}, 'b', {b}, 'la', {la}, 'ba', {ba}, 'lb', {lb}, 'bb', {bb}, 'cc', s.cc + {c} * {c}, 'ca', s.ca + {c} * {a}, "
-            f"'cd', s.cd + {c} * {d}, 'aa', s.aa + {a} * {a}, 'ad', s.ad + {a} * {d}, 'dd', s.dd + {d} * {d})")
-    det = "(s.aa * s.dd - s.ad * s.ad)"
-    dl = f"(CASE WHEN {det} > 1e-9 * s.aa * s.dd THEN (s.ad * s.cd - s.dd * s.ca) / {det} ELSE 0D END)"
-    db = f"(CASE WHEN {det} > 1e-9 * s.aa * s.dd THEN (s.ad * s.ca - s.aa * s.cd) / {det} ELSE 0D END)"
-    done = (f"named_struct('sse', greatest(s.cc + {dl} * s.ca + {db} * s.cd, 0D), 'alpha', p.alpha, 'beta', p.beta, "
-            f"'level', s.l + {dl} * s.la + {db} * s.lb, 'trend', s.b + {dl} * s.ba + {db} * s.bb)")
-    return f"aggregate(ys, {start}, (s, y) -> {step}, s -> {done})"
+    def run(alpha, beta):
+        zero = np.zeros(len(alpha))
+        level, trend = [zero + ys[0], zero + 1, zero], [zero + (ys[-1] - ys[0]) / (len(ys) - 1), zero, zero + 1]
+        cc = ca = cd = aa = ad = dd = zero
+        for y in ys:
+            c, a, d = y - (level[0] + trend[0]), -(level[1] + trend[1]), -(level[2] + trend[2])
+            cc, ca, cd, aa, ad, dd = cc + c * c, ca + c * a, cd + c * d, aa + a * a, ad + a * d, dd + d * d
+            for k, x in enumerate((y, 0.0, 0.0)):
+                up = alpha * x + (1 - alpha) * (level[k] + trend[k])
+                level[k], trend[k] = up, beta * (up - level[k]) + (1 - beta) * trend[k]
+        det = aa * dd - ad * ad
+        fine, safe = det > 1e-9 * aa * dd, np.where(det == 0, 1, det)
+        dl, db = (np.where(fine, x / safe, 0.0) for x in (ad * cd - dd * ca, ad * ca - aa * cd))
+        sse = np.maximum(cc + dl * ca + db * cd, 0.0)
+        return sse, [level[0] + dl * level[1] + db * level[2], trend[0] + dl * trend[1] + db * trend[2]]
+    return run
+
+
+def _seasonal_run(ys: list[float], m: int):
+    """As the trend's, with the season. Four runs: from the usual start, of a unit level, of a unit trend, and of the
+    first season's shape, whose size is fitted as the level and trend are."""
+    def total(values):
+        out = 0.0
+        for v in values:
+            out += v
+        return out
+    l0 = total(ys[:m]) / m
+    b0, s0 = (total(ys[m:2 * m]) / m - l0) / m, np.array(ys[:m]) - l0
+
+    def run(alpha, beta, gamma):
+        zero, none = np.zeros(len(alpha)), np.zeros((len(alpha), m))
+        level, trend, season = [zero + l0, zero + 1, zero, zero], [zero + b0, zero, zero + 1, zero], [none + s0, none.copy(), none.copy(), none + s0]
+        sums = {x + z: zero for i, x in enumerate("cadg") for z in "cadg"[i:]}
+        for t, y in enumerate(ys):
+            now = [s[:, t % m].copy() for s in season]
+            error = {"cadg"[k]: x - (level[k] + trend[k] + now[k]) for k, x in enumerate((y, 0.0, 0.0, 0.0))}
+            sums = {k: v + error[k[0]] * error[k[1]] for k, v in sums.items()}
+            for k, x in enumerate((y, 0.0, 0.0, 0.0)):
+                up = alpha * (x - now[k]) + (1 - alpha) * (level[k] + trend[k])
+                season[k][:, t % m] = gamma * (x - level[k] - trend[k]) + (1 - gamma) * now[k]
+                level[k], trend[k] = up, beta * (up - level[k]) + (1 - beta) * trend[k]
+        cc, ca, cd, cg, aa, ad, ag, dd, dg, gg = (sums[k] for k in ("cc", "ca", "cd", "cg", "aa", "ad", "ag", "dd", "dg", "gg"))
+        det = aa * (dd * gg - dg * dg) - ad * (ad * gg - dg * ag) + ag * (ad * dg - dd * ag)
+        fine, safe = det > 1e-9 * aa * dd * gg, np.where(det == 0, 1, det)
+        dl, db, dk = (np.where(fine, -x / safe, 0.0) for x in (
+            ca * (dd * gg - dg * dg) - ad * (cd * gg - dg * cg) + ag * (cd * dg - dd * cg),
+            aa * (cd * gg - dg * cg) - ca * (ad * gg - dg * ag) + ag * (ad * cg - cd * ag),
+            aa * (dd * cg - cd * dg) - ad * (ad * cg - cd * ag) + ca * (ad * dg - dd * ag)))
+        sse = np.maximum(cc + dl * ca + db * cd + dk * cg, 0.0)
+        fitted = [x[0] + dl * x[1] + db * x[2] + dk * x[3] for x in (level, trend)]
+        return sse, [*fitted, season[0] + dl[:, None] * season[1] + db[:, None] * season[2] + dk[:, None] * season[3]]
+    return run
+
+
+def _fitted(series: DataFrame, schema: str, fit) -> DataFrame:
+    """``fit(ys)`` for each tenant's series, in tasks; a tenant's row is few bytes and its work is its own."""
+    def run(batches):
+        for b in batches:
+            rows = [fit(ys) for ys in b.column("ys").to_pylist()]
+            out = pa.Table.from_pylist(rows, arrow).to_batches() if rows else []
+            for part in out:
+                yield pa.RecordBatch.from_arrays([b.column("tenant_id"), *part.columns], ["tenant_id", *part.schema.names])
+
+    kind = series.schema["tenant_id"].dataType.simpleString()
+    arrow = pa.schema([(n, {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[t]) for n, t in
+                       (f.split(" ") for f in schema.split(", "))])
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.select("tenant_id", "ys").repartition(tasks, "tenant_id").mapInArrow(run, f"tenant_id {kind}, {schema}")
 
 
 def fit_trend(series: DataFrame) -> DataFrame:
     """F2: best (alpha, beta) per tenant with fitted starting level and trend; state (level, trend) after the data."""
-    best = _refined(series.where(F.col("n") >= 2), ["alpha", "beta"], [i / 10.0 for i in TREND_GRID], TREND_STEPS, [-2, -1, 0, 1, 2], _trend_fold())
-    return best.select("tenant_id", "best.alpha", "best.beta", "best.level", "best.trend", "best.sse")
-
-
-def _seasonal_fold() -> str:
-    """As the trend's, with the season. Four runs: from the usual start, of a unit level, of a unit trend, and of the
-    first season's shape, whose size is fitted as the level and trend are."""
-    runs = (("", "y"), ("a", "0D"), ("d", "0D"), ("g", "0D"))
-    moves, errors = [], {}
-    for x, y in runs:
-        now = f"s.s{x}[s.t % m]"
-        level, trend = _holt("p.alpha", "p.beta", f"s.l{x}", f"s.b{x}", f"({y} - {now})")
-        season = f"transform(s.s{x}, (v, i) -> CASE WHEN i = s.t % m THEN p.gamma * ({y} - s.l{x} - s.b{x}) + (1 - p.gamma) * v ELSE v END)"
-        moves.append(f"'l{x}', {level}, 'b{x}', {trend}, 's{x}', {season}")
-        errors[x or "c"] = f"({y} - (s.l{x} + s.b{x} + {now}))"
-    pairs = ["cc", "ca", "cd", "cg", "aa", "ad", "ag", "dd", "dg", "gg"]
-    sums = ", ".join(f"'{k}', s.{k} + {errors[k[0]]} * {errors[k[1]]}" for k in pairs)
-    zero = "transform(s0, v -> 0D)"
-    start = (f"named_struct('l', l0, 'b', b0, 's', s0, 'la', 1D, 'ba', 0D, 'sa', {zero}, 'ld', 0D, 'bd', 1D, 'sd', {zero}, "
-             f"'lg', 0D, 'bg', 0D, 'sg', s0, {', '.join(f'{k!r}, 0D' for k in pairs)}, 't', 0)")
-    step = f"named_struct({', '.join(moves)}, {sums}, 't', s.t + 1)"
-    det = "(s.aa * (s.dd * s.gg - s.dg * s.dg) - s.ad * (s.ad * s.gg - s.dg * s.ag) + s.ag * (s.ad * s.dg - s.dd * s.ag))"
-    fine = f"{det} > 1e-9 * s.aa * s.dd * s.gg"
-    k = [f"(CASE WHEN {fine} THEN -({num}) / {det} ELSE 0D END)" for num in (
-        "s.ca * (s.dd * s.gg - s.dg * s.dg) - s.ad * (s.cd * s.gg - s.dg * s.cg) + s.ag * (s.cd * s.dg - s.dd * s.cg)",
-        "s.aa * (s.cd * s.gg - s.dg * s.cg) - s.ca * (s.ad * s.gg - s.dg * s.ag) + s.ag * (s.ad * s.cg - s.cd * s.ag)",
-        "s.aa * (s.dd * s.cg - s.cd * s.dg) - s.ad * (s.ad * s.cg - s.cd * s.ag) + s.ca * (s.ad * s.dg - s.dd * s.ag)")]
-    # The corrections are made once, as a struct, and then used.
-    fix = f"named_struct('s', s, 'dl', {k[0]}, 'db', {k[1]}, 'dk', {k[2]})"
-    done = ("named_struct('sse', greatest(f.s.cc + f.dl * f.s.ca + f.db * f.s.cd + f.dk * f.s.cg, 0D), 'alpha', p.alpha, 'beta', p.beta, 'gamma', p.gamma, "
-            "'level', f.s.l + f.dl * f.s.la + f.db * f.s.ld + f.dk * f.s.lg, 'trend', f.s.b + f.dl * f.s.ba + f.db * f.s.bd + f.dk * f.s.bg, "
-            "'season', transform(f.s.s, (v, i) -> v + f.dl * f.s.sa[i] + f.db * f.s.sd[i] + f.dk * f.s.sg[i]))")
-    return f"transform(array(aggregate(ys, {start}, (s, y) -> {step}, s -> {fix})), f -> {done})[0]"
+    def fit(ys):
+        sse, (alpha, beta), (level, trend) = _refined(_trend_run(ys), 2, [i / 10.0 for i in TREND_GRID], TREND_STEPS, [-2, -1, 0, 1, 2])
+        return {"alpha": alpha, "beta": beta, "level": float(level), "trend": float(trend), "sse": sse}
+    return _fitted(series.where(F.col("n") >= 2), "alpha double, beta double, level double, trend double, sse double", fit)
 
 
 def fit_seasonal(series: DataFrame) -> DataFrame:
     """best (alpha, beta, gamma) per tenant with period m and fitted starting level, trend and size of the season;
     keeps the seasonal state array for the forecast."""
-    s = (series.where(F.col("n") >= 4)
-               .withColumn("m", F.least(F.lit(SEASONAL_PERIODS_MAX), F.greatest(F.lit(2), F.floor(F.col("n") / 2).cast("int")))))
-    s = s.withColumn("l0", F.expr("aggregate(slice(ys, 1, m), 0D, (a, x) -> a + x) / m"))
-    s = s.withColumn("b0", F.expr("(aggregate(slice(ys, m + 1, m), 0D, (a, x) -> a + x) / m - l0) / m"))
-    s = s.withColumn("s0", F.expr("transform(slice(ys, 1, m), x -> x - l0)"))
-    best = _refined(s, ["alpha", "beta", "gamma"], [i / 10.0 for i in SEASONAL_GRID], SEASONAL_STEPS, [-1, 0, 1], _seasonal_fold())
-    return best.select("tenant_id", F.col("m").alias("seasonal_periods"), "best.alpha", "best.beta", "best.gamma",
-                       "best.level", "best.trend", "best.season", "best.sse")
+    def fit(ys):
+        m = min(SEASONAL_PERIODS_MAX, max(2, len(ys) // 2))
+        sse, (alpha, beta, gamma), (level, trend, season) = _refined(
+            _seasonal_run(ys, m), 3, [i / 10.0 for i in SEASONAL_GRID], SEASONAL_STEPS, [-1, 0, 1])
+        return {"seasonal_periods": m, "alpha": alpha, "beta": beta, "gamma": gamma, "level": float(level), "trend": float(trend),
+                "season": season.tolist(), "sse": sse}
+    return _fitted(series.where(F.col("n") >= 4), "seasonal_periods int, alpha double, beta double, gamma double, level double, trend double, "
+                   "season array<double>, sse double", fit)
 
 
 def _status() -> Column:
