@@ -56,13 +56,18 @@ def _rows(out: list[tuple], names: list[str], types: list[pa.DataType]):
                                       [pa.array([], t) for t in types], names)
 
 
-def _slices(batches, hashing: WordHash, size: int):
-    """Per slice: ids, first word of each document, words of each, word hashes, words."""
+def _slices(batches, hashing: WordHash, size: int, keep: bool = False):
+    """Per slice: ids, first word of each document, words of each, word hashes, and the words if they are kept."""
     for ids, texts in text_slices(batches, size):
-        lists = [t.split() for t in texts]
-        n = np.array([len(x) for x in lists], np.int64)
-        flat = [w for x in lists for w in x]
-        yield ids, np.cumsum(n) - n, n, hashing.of(flat), flat
+        flat, n = [], np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            words = t.split()
+            n[k] = len(words)
+            flat += words
+        hashes = hashing.of(flat)
+        if not keep:
+            flat = None  # else the words would live on while their hashes are dealt out
+        yield ids, np.cumsum(n) - n, n, hashes, flat
 
 
 def hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -177,7 +182,7 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
         hashing = WordHash()
         for b in batches:
             blobs, los, his, ds, ps = b.column("hits").to_pylist(), [], [], [], []
-            for ids, starts, n, words, flat in _slices([b], hashing, 1 << 20):
+            for ids, starts, n, words, flat in _slices([b], hashing, 1 << 20, keep=True):
                 mine, blobs = blobs[:len(ids)], blobs[len(ids):]
                 m = len(words) - window + 1
                 if m <= 0:
@@ -190,10 +195,12 @@ def repeated_windows(docs: DataFrame, hit_rows: DataFrame, window: int = WINDOW)
                 np.add.at(mark, q + 1, -1)
                 inside = np.repeat(starts + n, n)[:m] - np.arange(m) >= window
                 at = np.flatnonzero((np.cumsum(mark)[:m] > 0) & inside)
-                digest = b"".join([hashlib.blake2b(b" ".join(flat[i:i + window]), digest_size=16).digest() for i in at.tolist()])
-                digest = np.frombuffer(digest, U64).reshape(-1, 2)
-                los.append(digest[:, 0])
-                his.append(digest[:, 1])
+                digest = bytearray(16 * len(at))
+                for k, i in enumerate(at.tolist()):
+                    digest[16 * k:16 * k + 16] = hashlib.blake2b(b" ".join(flat[i:i + window]), digest_size=16).digest()
+                digest = np.frombuffer(bytes(digest), U64).reshape(-1, 2)
+                los.append(digest[:, 0].copy())
+                his.append(digest[:, 1].copy())
                 ds.append(np.repeat(np.array(ids, np.int64), n)[at])
                 ps.append((at - np.repeat(starts, n)[at]).astype(np.uint32))
             if los:
