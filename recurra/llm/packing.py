@@ -10,17 +10,18 @@ placed in descending size.
 
 A text longer than a bin is cut: full pieces fill bins of their own, the rest
 is packed like any other text. Packing runs in shards of about ``shard_rows``
-texts each, dealt by a hash of the doc_id, so a source with a third of all
-rows is spread evenly over all shards and a shard's work is bounded; the only
-cost is a part-filled last bin or so per shard.
+texts each, dealt by a hash of the row and its place, so a source, an id or a row
+that a third of all rows repeat is spread over all shards. Places are fixed by
+writing the rows (id, source, text hash and size) first. The only cost is a
+part-filled last bin or so per shard.
 
 Defined cases: null and empty texts have no words, take no space and are laid
 in the tightest compatible bin all the same; a null source is a source of its
 own kind that never conflicts; copies are texts that are equal after
 lower-casing and white space runs made one space (null and empty texts are
 copies of each other, and do not conflict as they take no space); repeated
-rows are packed each, rows with the same doc_id are told apart by ``copy``
-(rows without doc_id are dealt by their place and numbered within their shard);
+rows are packed each, rows with the same doc_id are told apart by shard and
+``copy``, a number within the shard;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recurra.llm.common import materialize
+
 CAPACITY = 2048
 SHARD_ROWS = 8192
 SCHEMA = "shard int, bin long, doc_id long, copy int, piece int, start long, length long, free long"
@@ -85,6 +88,7 @@ def pack_shard(sizes, sources, clusters, capacity: int) -> tuple[list[list[tuple
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece laid: shard, bin, doc_id, piece, start, length and what its bin has left."""
+    rows = materialize(rows.sparkSession, rows.withColumn("place", F.monotonically_increasing_id()), "packing-items")
     shards = max(1, -(-rows.count() // shard_rows))
 
     def run(key, pdf: pd.DataFrame):
@@ -98,7 +102,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         out = pd.DataFrame(out, columns=["shard", "bin", "doc_id", "copy", "piece", "start", "length", "free"])
         return out.astype({"doc_id": "Int64"})
 
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_words"), F.lit(shards)).cast("int"))
+    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_words", "place"), F.lit(shards)).cast("int"))
     return keyed.groupBy("shard").applyInPandas(run, SCHEMA)
 
 
