@@ -2,9 +2,9 @@
 
 * ``idle_sessions_stream``: T1 as ``session_window(ts, 30 minutes)`` with a
   watermark; append mode emits each session once it can no longer grow.
-* ``sessions_stream``: T1 + T2 with ``transformWithStateInPandas`` keyed by
-  user, for events in any order: the state holds the sessions that may still
-  grow, late events merge into them, and event-time timers close them.
+* ``sessions_stream``: T1 + T2, for events in any order: the same windows with
+  the event times of each session that may still grow in their state; once the
+  watermark closes one, the age rule cuts its times.
 * ``customer_month_stream``: the customer-month rollup as a streaming
   aggregate keyed by the month start, evicted by the watermark.
 
@@ -21,10 +21,9 @@ import os
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from recurra.functions import columns as C
 from recurra.functions.constants import SESSION_IDLE_SECONDS, SESSION_MAX_AGE_SECONDS
@@ -48,85 +47,42 @@ def idle_sessions_stream(events: DataFrame, idle_seconds: int = SESSION_IDLE_SEC
                        F.count(F.lit(1)).alias("n_events")))
 
 
-class OpenSessions(StatefulProcessor):
-    """The sessions of one user that may still grow, for events in any order.
-
-    State is one entry per idle session that the watermark has not closed: its
-    start, end and number of events, and the event times where an age rule must
-    still cut it. An event joins the sessions that lie within the idle limit of
-    it and makes them one. A timer per session emits it once no event can reach
-    it any more.
-    """
-
-    def __init__(self, idle_us: int, max_age_us: int):
-        self.idle_us, self.max_age_us = idle_us, max_age_us
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "start long", "stop long, n long, times binary")
-
-    def _due(self, stop: int) -> int:
-        return (stop + self.idle_us) // 1000 + 1
-
-    def handleInputRows(self, key, rows, timerValues):
-        for frame in rows:
-            if len(frame):
-                self._merge(np.sort(frame["t"].to_numpy(np.int64)))
-        return iter(())
-
-    def _merge(self, times: np.ndarray) -> None:
-        known = [(k[0], v[0], v[1], v[2]) for k, v in self.open.iterator()]
-        lo = np.concatenate([times, np.array([k[0] for k in known], np.int64)])
-        hi = np.concatenate([times, np.array([k[1] for k in known], np.int64)])
-        n = np.concatenate([np.ones(len(times), np.int64), np.array([k[2] for k in known], np.int64)])
-        order = np.argsort(lo, kind="stable")
-        reach = np.maximum.accumulate(hi[order])
-        cuts = np.flatnonzero(np.append(True, lo[order][1:] - reach[:-1] > self.idle_us))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-            own = order[a:b]
-            old = [known[i - len(times)] for i in own.tolist() if i >= len(times)]
-            if len(old) == len(own) == 1:
-                continue  # no new event
-            start, stop = int(lo[own].min()), int(hi[own].max())
-            for k in old:
-                self.open.removeKey((k[0],))
-                if k[1] != stop:
-                    self.handle.deleteTimer(self._due(k[1]))
-            # Event times are needed only where the age rule may cut.
-            new = np.sort(np.concatenate([times[own[own < len(times)]], *(np.frombuffer(k[3], np.int64) for k in old)]))
-            self.open.updateValue((start,), (stop, int(n[own].sum()), new.tobytes()))
-            self.handle.registerTimer(self._due(stop))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        for (start,), (stop, n, times) in [(k, v) for k, v in self.open.iterator()]:
-            if self._due(stop) > now:
-                continue
-            self.open.removeKey((start,))
-            t, at = np.frombuffer(times, np.int64), 0
-            while at < len(t):
-                end = int(np.searchsorted(t, t[at] + self.max_age_us, "right"))
-                out.append((key[0], int(t[at]), int(t[end - 1]), end - at))
-                at = end
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "n_events"])
-
-    def close(self) -> None:
-        pass
+def _cut_by_age(max_age_us: int):
+    """Closed idle sessions (user_id, times in order) to sessions: where one is longer than the limit, each starts
+    with the first event more than the limit after the start before it."""
+    def run(batches):
+        for b in batches:
+            lists = b.column("times")
+            at, t = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            first, end = at[:-1], at[1:]
+            row, start, stop = [], [], []
+            for k in np.flatnonzero(t[end - 1] - t[first] > max_age_us).tolist():
+                i = int(first[k])
+                while i < end[k]:
+                    j = i + int(np.searchsorted(t[i:end[k]], t[i] + max_age_us, "right"))
+                    row.append(k), start.append(i), stop.append(j)
+                    i = j
+            whole = np.flatnonzero(t[end - 1] - t[first] <= max_age_us)
+            row = np.concatenate([whole, np.array(row, np.int64)])
+            start = np.concatenate([first[whole], np.array(start, np.int64)])
+            stop = np.concatenate([end[whole], np.array(stop, np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column("user_id").take(pa.array(row)), pa.array(t[start]), pa.array(t[stop - 1]), pa.array(stop - start)],
+                                             ["user_id", "start_us", "end_us", "n_events"])
+    return run
 
 
 def sessions_stream(events: DataFrame, idle_seconds: int = SESSION_IDLE_SECONDS,
                     max_age_seconds: int = SESSION_MAX_AGE_SECONDS, watermark: str = "1 hour") -> DataFrame:
     """T1 + T2 on a stream of events in any order.
 
-    Events older than the watermark when they come are left out by Spark and
-    counted in the query's progress (``late_rows``).
+    Events that the watermark has passed by the idle limit when they come are left
+    out by Spark and counted in the query's progress (``late_rows``; events of a user
+    with equal time that one task read count once).
     """
-    keyed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", watermark).select("user_id", "ts", "t")
-    out = keyed.groupBy("user_id").transformWithStateInPandas(
-        OpenSessions(idle_seconds * 1_000_000, max_age_seconds * 1_000_000),
-        "user_id long, start_us long, end_us long, n_events long", "append", "EventTime")
+    keyed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", watermark)
+    closed = (keyed.groupBy("user_id", F.session_window("ts", f"{idle_seconds} seconds").alias("w"))
+                   .agg(F.sort_array(F.collect_list("t")).alias("times")).select("user_id", "times"))
+    out = closed.mapInArrow(_cut_by_age(max_age_seconds * 1_000_000), "user_id long, start_us long, end_us long, n_events long")
     return out.select("user_id", F.timestamp_micros("start_us").alias("session_start"), F.timestamp_micros("end_us").alias("session_end"), "n_events")
 
 
@@ -150,7 +106,7 @@ def customer_month_stream(subs: DataFrame, watermark: str = "31 days") -> DataFr
                      F.count(F.lit(1)).alias("n_rows")))
 
 
-#: Keyed state with maps and timers needs this store.
+#: State beyond the executors' heap lies on disk in this store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -123,6 +123,30 @@ def test_unordered_files_in_several_micro_batches(spark):
     assert kept + SS.late_rows(progress) == 1000 and kept < 1000
 
 
+def test_stream_work_does_not_grow_with_open_sessions_squared(spark):
+    """Many users with many open sessions each: the age rule costs little beside the idle rule, and its cuts are the batch form's."""
+    import time
+
+    from recurra.operators import sessions as SE
+    from recurra.streaming import sessions_stream as SS
+    n = spark.range(60_000).select((F.col("id") % 500).alias("user_id"), F.floor(F.col("id") / 500).alias("k"), F.col("id").alias("event_id"))
+    ev = n.select("event_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("k") * 3000 + F.pmod(F.xxhash64("event_id"), F.lit(2900))).alias("ts"), "user_id",
+                  F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    src = os.path.join(tempfile.mkdtemp(prefix="recurra-test-src-", dir="/tmp"), "events")
+    ev.repartition(4, F.xxhash64("event_id")).write.parquet(src)
+    marker = {"event_id": -1, "ts": dt.datetime.fromisoformat(SS.END_MARKER_TS), "user_id": SS.END_MARKER_USER,
+              "event_type": "end", "value": 0.0, "props": None}
+    took, limits = [], {"idle_seconds": 3600, "max_age_seconds": 3 * 3600}
+    for build in (lambda e: SS.idle_sessions_stream(e, 3600, "60 days"), lambda e: SS.sessions_stream(e, **limits, watermark="60 days")):
+        began = time.time()
+        out = SS.run_to_parquet(spark, build, src, SS.EVENT_SCHEMA, marker, "many-open")
+        took.append(time.time() - began)
+    got = sorted(map(tuple, out.where(F.col("user_id") >= 0).collect()))
+    want = SE.sessions(spark.read.parquet(src), **limits).select("user_id", "session_start", "session_end", "n_events")
+    assert got == sorted(map(tuple, want.collect()))
+    assert took[1] < 3 * took[0] + 5
+
+
 def test_idle_sessions_in_any_ranges(spark):
     """One hour of one user split over ranges, users that span several, equal times, nulls."""
     import random
