@@ -141,6 +141,15 @@ def test_records_across_blocks_as_pandas_reads_them(spark, folder):
     assert order(got) == order(want)
 
 
+def test_reading_uploads_shuffles_no_rows(spark, folder):
+    from recurra.sources import csv_exports as CX
+    folder("a", HEAD + b'A,2024-01-02,1,active,"U\nSD"\n')
+    up = CX.Uploads(spark, folder("b", b"note," + HEAD + b'x,B,2024-01-02,1,active,USD\n'))
+    rows = up.rows()
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r["cells"]) for r in rows.collect()) == [("A", "2024-01-02", "1", "active", "U\nSD"), ("x", "B", "2024-01-02", "1", "active", "USD")]
+
+
 def test_refused_files(spark, folder):
     from recurra.sources import csv_exports as CX
     folder("ok", HEAD + b"A,2024-01-02,1,active,USD\n")
