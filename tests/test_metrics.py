@@ -211,3 +211,19 @@ def test_metrics_invariant_under_repartitioning(spark, subs_of):
     a = sorted(MX.metrics_last(MX.Rollup(subs)).collect())
     b = sorted(MX.metrics_last(MX.Rollup(subs.repartition(7).orderBy("amount"))).collect())
     assert a == b
+
+
+def test_shuffles_grow_with_the_stored_input(spark, monkeypatch):
+    from recurra import session
+    from recurra.plans import catalog
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        monkeypatch.setattr(session, "SHARE_BYTES", 10_000)
+        n = -(-sum(x for _, x, _ in catalog.table_files(spark, "/root/testdata/sf0.001", "lineitem", "orders", "customer")[1:]) // 10_000)
+        plan = catalog.subscriptions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert n > int(before[keys[0]]) and f", {n})" in plan and f", {before[keys[0]]})" not in plan
+        assert session.fit_shuffles(spark, 10) == n  # a larger number stays
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
