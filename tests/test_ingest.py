@@ -202,3 +202,13 @@ def test_the_first_date_decides_the_format(spark, folder):
             for i, d in enumerate(pd.to_datetime(pd.Series(dates, dtype=object), errors="coerce")):
                 want[f"t{k}", f"c{i:02}"] = None if pd.isna(d) else d.to_pydatetime()
     assert {(r["tenant_id"], r["customer_id"]): r["date"] for r in CL.clean(rows_of(spark, path)).collect()} == want
+
+
+def test_records_are_found_once(spark, folder):
+    from recurra.sources import csv_exports as CX
+    path = folder("a", HEAD + b'"A, ""x""",2024-01-02,1,active,USD\nB,2024-01-02,2,active,"US""D"\n , ,,,\n\n \t\n"C\r\nD",2024-01-02,3,active\r\nE,1,2,3,4,5\n')
+    rows = CX.Uploads(spark, path).rows()
+    assert [r["cells"] for r in rows.orderBy("at").collect()] == [
+        ['A, "x"', "2024-01-02", "1", "active", "USD"], ["B", "2024-01-02", "2", "active", 'US"D'], [" ", " ", "", "", ""], ["C\r\nD", "2024-01-02", "3", "active"]]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(regexp_extract_all(") == 1
