@@ -212,3 +212,19 @@ def test_records_are_found_once(spark, folder):
         ['A, "x"', "2024-01-02", "1", "active", "USD"], ["B", "2024-01-02", "2", "active", 'US"D'], [" ", " ", "", "", ""], ["C\r\nD", "2024-01-02", "3", "active"]]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(regexp_extract_all(") == 1
+
+
+def test_exports_hold_the_lines_of_each_record_in_order(spark, tmp_path):
+    from recurra.sources import csv_exports as CX
+    raw = spark.range(4000).selectExpr(
+        "'MACHINERY' AS tenant_id", "string(id) AS customer_id", "timestamp_ntz'2024-01-02' AS date", "1.0D AS amount", "'Active' AS status", "'USD' AS currency",
+        "(id * 37) % 4000 + (id % 2) * 100000 AS src_order", "int(3) AS src_line")
+    assert CX.export_records(raw.withColumn("chunk", F.lit(0))).count() == 4000
+    CX.write_exports(spark, raw, str(tmp_path / "x"))
+    for chunk in (0, 1):
+        (file,) = (tmp_path / "x").glob(f"charset=UTF-8/tenant_id=MACHINERY/chunk={chunk}/part-*.csv")
+        lines = file.read_bytes().decode().splitlines()
+        assert lines[:3] == [" \t", "  ", ",".join(CX.LAYOUTS["custom"].values())]
+        starts = [int(x.split(",")[6]) for x in lines[3::4]]
+        assert len(starts) == 2000 and starts == sorted(starts) and set(lines[6::4]) == {'end"'}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
