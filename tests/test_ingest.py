@@ -214,6 +214,16 @@ def test_records_are_found_once(spark, folder):
     assert plan.count("filter(regexp_extract_all(") == 1
 
 
+def test_a_file_is_decoded_once_and_stored_only_for_many_readers(spark, folder):
+    from recurra.sources import csv_exports as CX
+    folder("u", HEAD + 'é,2024-01-02,1,active,"U,Щ"\n'.encode())
+    path = folder("c", HEAD + 'Щ,2024-01-02,1,active,"U,Щ"\n'.encode("cp1251"))
+    assert "encode(" not in CX.Uploads(spark, path).rows()._jdf.queryExecution().optimizedPlan().toString()
+    rows = CX.ingest(spark, path, store=False)
+    assert not any("ingested" in f for f in rows.inputFiles())
+    assert sorted((r["customer_id"], r["currency"]) for r in rows.collect()) == [("é", "U,Щ"), ("Щ", "U,Щ")]
+
+
 def test_exports_hold_the_lines_of_each_record_in_order(spark, tmp_path):
     from recurra.sources import csv_exports as CX
     raw = spark.range(4000).selectExpr(
