@@ -224,6 +224,15 @@ def test_a_file_is_decoded_once_and_stored_only_for_many_readers(spark, folder):
     assert sorted((r["customer_id"], r["currency"]) for r in rows.collect()) == [("é", "U,Щ"), ("Щ", "U,Щ")]
 
 
+def test_copies_know_their_file_by_number(spark, folder):
+    from recurra.operators import clean as CL
+    folder("t", HEAD + b"A,2024-01-02,49.0,Active,USD\n", "a.csv")
+    path = folder("t", HEAD + b"A,2024-01-02,49,Active,USD\nB,2024-01-02,1,Active,USD\n", "b.csv")
+    got = {(r["customer_id"], r["n_copies"]): r["first"].asDict() for r in CL.distinct_rows(rows_of(spark, path)).collect()}
+    assert {k: (v["file_no"], v["date"], v["amount"]) for k, v in got.items()} == {
+        ("A", 2): (1, "2024-01-02", "49.0"), ("B", 1): (2, "2024-01-02", "1")}
+
+
 def test_exports_hold_the_lines_of_each_record_in_order(spark, tmp_path):
     from recurra.sources import csv_exports as CX
     raw = spark.range(4000).selectExpr(
