@@ -227,3 +227,19 @@ def test_shuffles_grow_with_the_stored_input(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_shuffles_grow_with_rows_that_compress_well(spark, monkeypatch, tmp_path):
+    from recurra import session
+    from recurra.plans import catalog
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        monkeypatch.setattr(session, "SHARE_BYTES", 10_000)
+        for t in ("lineitem", "orders", "customer"):
+            spark.range(30_000).selectExpr("1 AS k").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+        catalog._input_key(spark, str(tmp_path))  # the tables hold few bytes
+        assert int(spark.conf.get(keys[0])) >= 30_000 * 18 // 10_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
