@@ -247,3 +247,74 @@ def test_exports_hold_the_lines_of_each_record_in_order(spark, tmp_path):
         starts = [int(x.split(",")[6]) for x in lines[3::4]]
         assert len(starts) == 2000 and starts == sorted(starts) and set(lines[6::4]) == {'end"'}
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+# The same customers under other spellings, copies of several kinds, and names and values that only look alike.
+ODD_FILES = {
+    "a.csv": HEAD.strip() + b",ref,memo\n" + b"".join([
+        b"A,2024-01-02,49,Active,USD,1,x\n" * 3, b"A,2024-01-02,49.0,Active,USD,1,x\n", b" A ,2024-01-02,49,Active,USD,1,x\n", b"A,2024-01-02,49,active,USD,1,x\n",
+        b'A,2024-01-02,49,Active,USD,1,""\n', b"A,2024-01-02,49,Active,USD,1,NA\n", b'A,2024-01-02,49,Active,USD,1,"x"",""y"\n', b"A,2024-1-2,49,Active,USD,1,x\n",
+        b",2024-02-02,5,Active,USD,2,x\n", b"' ',2024-02-02,5,Active,USD,2,x\n", b'" ",2024-02-02,5,Active,USD,2,x\n', b"nan ,2024-02-02,5,Active,USD,2,x\n",
+        b"B,03/04/2024,-7,Payment Failed,,3,x\n", b"C,2024-03-02,0,,USD,4,x\n", b"C,2024-03-02,1e2,Active,USD,4,x\n", b"D,,1,Active,USD,5,x\n"]),
+    # Other names, the same names in another order, an own date format, an amount that is no number.
+    "b.csv": b"memo,ref," + HEAD + b"x,1,A,2024-01-02,49,Active,USD\nx,1,A,2024-01-02,49,Active,USD\n",
+    "c.csv": HEAD.strip() + b",memo,ref\n" + b"A,03/04/2024,49,Active,USD,x,1\nA,2024-01-02,$9,Active,USD,x,1\nA,03/04/2024,49.0,Active,USD,x,1\n" + b"E,04/05/2024,1,Active,EUR,,\n" * 4,
+    "d.csv": HEAD + b"A,2024-01-02,49,Active,USD\nA,2024-01-02,49,Active,USD,long\n",
+}
+
+
+@pytest.mark.parametrize("heavy", [10**6, 18, 0])
+def test_a_customers_rows_are_shuffled_once(spark, folder, monkeypatch, heavy):
+    from recurra.operators import clean as CL
+    from recurra.operators import metrics as MX
+    for tenant in ("t", "u"):
+        for name, data in ODD_FILES.items():
+            path = folder(tenant, data if tenant == "t" else data.replace(b"EUR", b"USD"), name)
+    rows = rows_of(spark, path)
+    monkeypatch.setattr(CL, "HEAVY_ROWS", heavy)
+    parts = CL.clean_by_customer(rows)
+    assert len(parts) == (1 if heavy == 10**6 else 2)
+
+    def sorted_rows(df):
+        return sorted(map(str, df.select(sorted(df.columns)).collect()))
+    whole, by_customer = MX.Rollup(CL.clean(rows)), MX.Rollup(parts)
+    assert sorted_rows(by_customer.subs) == sorted_rows(whole.subs)
+    assert sum(r["n_copies"] for r in by_customer.subs.collect()) == rows.count()
+    assert sorted_rows(by_customer.hist) == sorted_rows(whole.hist)
+    assert sorted_rows(MX.metrics_last(by_customer)) == sorted_rows(MX.metrics_last(whole))
+    if len(parts) == 1:
+        plan = by_customer.hist._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_facts_of_files_sort_no_rows(spark, folder, monkeypatch):
+    from recurra.operators import clean as CL
+    stored = {}
+
+    def keep(spark, df, name):
+        stored[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(spark, df, name)
+    real = CL.materialize
+    monkeypatch.setattr(CL, "materialize", keep)
+    folder("t", HEAD + b"A,,x,Active,USD\nA,13/02/2024,1,Active,USD\nA,02/03/2024,1,Active,USD\n", "a.csv")
+    path = folder("t", HEAD + b"A,,1,Active,USD\n", "b.csv")
+    facts = CL.file_facts(rows_of(spark, path))
+    assert sorted((r["_no"], r["_format"], r["_numeric"]) for r in facts.collect()) == [(1, "d/M/yyyy", False), (2, None, True)]
+    # What reads every row; the sorts that are left are of one row a file.
+    assert "SortAggregate" not in stored["file-places"] and "BroadcastHashJoin" in stored["file-facts"]
+
+
+def test_the_metrics_of_uploads_shuffle_a_customers_rows_once(spark, folder, monkeypatch):
+    from recurra.operators import metrics as MX
+    from recurra.plans import catalog
+    path = folder("t", HEAD + b"A,2024-01-02,49,Active,USD\nA,2024-02-02,49,Active,USD\n")
+    made = []
+
+    def rollup(subs, materialize=False):
+        made.append(real(subs))
+        return made[0]
+    real = MX.Rollup
+    monkeypatch.setattr(MX, "Rollup", rollup)
+    monkeypatch.setattr(catalog, "_ingested", lambda spark, sf_dir: rows_of(spark, path))
+    assert [(r["tenant_id"], r["last_month"], r["mrr"], r["prev_month_status"]) for r in catalog.q_ingest_metrics(spark, path).collect()] == [("t", "2024-02", 49.0, "ok")]
+    assert made[0].hist._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
